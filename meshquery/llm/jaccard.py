@@ -33,6 +33,7 @@ FREQUENT_LOCAL = 6  # a batch reports shingles that so many of its sets have
 SMALL_TILE = 8
 BITS = 1024
 BLOCK = 4096
+BLOOM_WORDS = 1 << 17  # 1 MB; at some hundred million candidates take more
 
 
 def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -248,11 +249,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
         differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(bits // 64)), F.lit(0))
         near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         held = stash(held.where(near).select("a", "b", "rep_a", "rep_b"), f"near-{name}")
-        wanted = held.select(F.col("rep_a").alias("doc_id")).union(held.select(F.col("rep_b").alias("doc_id"))).distinct()
-        # a doc_id that several rows share: the row whose set is the class's is found again by its key
-        of = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
-        of = of.mapInArrow(_keyed(width), "key long, text string").dropDuplicates(["key"])
-        of = stash(of, f"texts-{name}")
+        sieve = bloom(held.select(F.col("rep_a").alias("id")).union(held.select(F.col("rep_b").alias("id"))))
+        # rows that share a doc_id all pass; the one whose set is the class's is found by its key
+        of = stash(texts.mapInArrow(_keyed(width, sieve), "key long, text string").dropDuplicates(["key"]), f"texts-{name}")
         held = held.join(of.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(of.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         return stash(held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long"), f"links-{name}")
 
@@ -281,9 +280,34 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     return found, links
 
 
-def _keyed(width: int):
+def _bits(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    return [((x >> np.uint64(6)) % np.uint64(BLOOM_WORDS), np.uint64(1) << (x & np.uint64(63))) for x in (h, mix(h + np.uint64(1)))]
+
+
+def _bloom(batches):
+    whole = np.zeros(BLOOM_WORDS, np.uint64)
+    for batch in batches:
+        for word, bit in _bits(batch.column("id").to_numpy(zero_copy_only=False)):
+            np.bitwise_or.at(whole, word.astype(np.int64), bit)
+    at = np.flatnonzero(whole)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(whole[at]))], ["word", "bits"])
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size; what it lets through besides is dropped by the join that follows."""
+    rows = ids.select(F.coalesce("id", F.lit(0)).alias("id")).mapInArrow(_bloom, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = rows.toArrow()  # BLOOM_WORDS rows at most
+    whole = np.zeros(BLOOM_WORDS, np.uint64)
+    whole[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return whole
+
+
+def _keyed(width: int, sieve: np.ndarray):
     def run(batches):
         for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
+            batch = batch.filter(pa.array(np.logical_and.reduce([(sieve[word.astype(np.int64)] & bit) > 0 for word, bit in _bits(ids)])))
             keys = np.array([digest(s) for s in sets_of(batch.column("text"), width)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("text")], ["key", "text"])
 
