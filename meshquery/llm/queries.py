@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, htmltext, jaccard, packing, quality, secrets, urlfilter
+from . import decontam, htmltext, jaccard, langid, lm, packing, quality, secrets, spandedup, urlfilter
 
 #: host + path prefix, True to allow
 URL_RULES = [("com/en/", False), ("example.com/en/7", True), ("net/de/", True), ("example.net/de/8", False), ("org/es/", False)]
@@ -35,10 +35,25 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_novel")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = langid.identify(docs, langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spandedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -51,7 +66,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_url_filters, op3_html_extraction, op4_secret_scans, op7_ngram_jaccard_join, op9_quality_rules, op10_benchmark_decontamination)
+    found = (
+        op1_best_fit_packing, op2_url_filters, op3_html_extraction, op4_secret_scans, op5_lm_scoring, op6_language_id,
+        op7_ngram_jaccard_join, op8_substring_dedup, op9_quality_rules, op10_benchmark_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -69,8 +87,8 @@ SELECT coalesce(p.page_id, m.page_id) AS page_id, p.host, p.path, m.rule, coales
 
 _OP7 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(ws) - 4, 1)), i -> list_slice(ws, i + 1, i + 5))) AS g FROM w WHERE len(ws) > 0),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(ws) - 4, 1)), lambda i: list_slice(ws, i + 1, i + 5))) AS g FROM w WHERE len(ws) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared_n FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 l AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * shared_n >= 80 * (x.n + y.n - shared_n)),
@@ -80,11 +98,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c
 """
 
 _OP10 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM benchmark),
-win AS (SELECT DISTINCT item_id, unnest(list_transform(range(greatest(len(ws) - 9, 1)), k -> list_slice(ws, k + 1, k + 10))) AS g FROM i WHERE len(ws) > 0),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, unnest(list_transform(range(greatest(len(ws) - 9, 1)), lambda k: list_slice(ws, k + 1, k + 10))) AS g FROM i WHERE len(ws) > 0),
 lens AS (SELECT DISTINCT len(g) AS n FROM win),
-runs AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS pos, unnest(list_transform(range(len(ws) - n + 1), k -> list_slice(ws, k + 1, k + n))) AS g FROM d, lens WHERE len(ws) >= n),
+runs AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS pos, unnest(list_transform(range(len(ws) - n + 1), lambda k: list_slice(ws, k + 1, k + n))) AS g FROM d, lens WHERE len(ws) >= n),
 m AS (SELECT r.doc_id, r.pos, r.n, w.item_id FROM runs r JOIN win w ON w.g = r.g),
 hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS p FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
