@@ -10,10 +10,12 @@ Every text's set is its distinct shingles of ``width`` words.  Two texts link wh
    and cut into bands in which sizes differ by 1 / t at most.  Small tiles give all their admissible pairs; in large
    ones each member meets its band's first member and its predecessor: as many pairs as members, not their square.
 4. A pair's bitmaps (``bits`` bits, each the parity of the set's shingles hashed to it) differ in no more bits than
-   the sets in shingles, which bounds the overlap from above; what passes is intersected exactly as sorted arrays.
+   the sets in shingles, which bounds the overlap from above; what passes is held against bitmaps of ``FINE`` bits,
+   made for the classes still in question only, and what passes that is intersected exactly as sorted arrays.
 5. Links give components.  In large tiles which still hold several components, every two members of different
-   components are held against each other by bitmaps, in blocks; what passes is intersected exactly.  So no pair
-   is left out which could join components.  Tiles of over ``block`` members are dealt out as pairs of blocks.
+   components are held against each other by bitmaps, in blocks; what passes goes on as in 4.  So no pair is left out
+   which could join components.  Of the large tiles two classes share, the least among the first few of each compares
+   them, so a pair comes out once.  Tiles of over ``BLOCK`` members are dealt out as pairs of blocks.
 
 Nulls: a null text is empty; an empty set links with nothing.  Rows that repeat a doc_id are one document each and
 share a class if their sets are equal.  Extra columns are ignored.  An empty table gives an empty result.
@@ -32,6 +34,8 @@ FREQUENT_MOST = 200_000  # entries of the order's head: 1.6 MB in each task
 FREQUENT_LOCAL = 6  # a batch reports shingles that so many of its sets have
 SMALL_TILE = 8
 BITS = 1024
+FINE = 8192
+LEAST_TILES = 4
 BLOCK = 4096
 BLOOM_WORDS = 1 << 17  # 1 MB; at some hundred million candidates take more
 
@@ -55,6 +59,9 @@ def digest(s: np.ndarray) -> int:
         return int(mix(a * np.uint64(0x2545F4914F6CDD1D) ^ mix(b) ^ np.uint64(len(s))))
 
 
+_NO_TILE = np.iinfo(np.int64).min
+
+
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -181,43 +188,67 @@ def _across(percent: int, bits: int):
     """Pairs from different components in one tile (or two blocks of one) that bitmaps don't rule out."""
     step = 256
 
-    def pairs(key, comp, n, maps, side):
+    def pairs(key, comp, n, maps, side, least, token):
         for s in range(0, len(key), step):
             t = slice(s, s + step)
             ok = (comp[t, None] != comp[None, :]) & (key[t, None] < key[None, :]) & ((side[t, None] | side[None, :]) == 3)
-            nn = n[t, None] + n[None, :]
             ok &= 100 * np.minimum(n[t, None], n[None, :]) >= percent * np.maximum(n[t, None], n[None, :])
             i, j = np.nonzero(ok)
             for q in range(0, len(i), 1 << 16):
-                ii, jj = i[q : q + (1 << 16)], j[q : q + (1 << 16)]
-                differ = np.bitwise_count(maps[s + ii] ^ maps[jj]).sum(axis=1).astype(np.int64)
-                good = (100 + percent) * differ <= (100 - percent) * nn[ii, jj]
-                if good.any():
-                    yield key[s + ii[good]], key[jj[good]]
+                ii, jj = i[q : q + (1 << 16)] + s, j[q : q + (1 << 16)]
+                differ = np.bitwise_count(maps[ii] ^ maps[jj]).sum(axis=1).astype(np.int64)
+                good = (100 + percent) * differ <= (100 - percent) * (n[ii] + n[jj])
+                ii, jj = ii[good], jj[good]
+                shared = (least[ii][:, :, None] == least[jj][:, None, :]).any(axis=2) & (least[ii] != _NO_TILE)
+                first = np.where(shared, least[ii], np.iinfo(np.int64).max).min(axis=1)
+                here = ~shared.any(axis=1) | (first == token[ii])
+                if here.any():
+                    yield key[ii[here]], key[jj[here]]
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        tile, key, comp, n, side = (table.column(c).to_numpy() for c in ("tile", "key", "component", "n", "side"))
+        tile, token, key, comp, n, side = (table.column(c).to_numpy() for c in ("tile", "token", "key", "component", "n", "side"))
         maps = table.column("bitmap").combine_chunks().flatten().to_numpy().reshape(len(key), bits // 64)
+        least = table.column("least").combine_chunks().flatten().to_numpy().reshape(len(key), LEAST_TILES)
         o = np.lexsort((key, tile))
-        tile, key, comp, n, side, maps = tile[o], key[o], comp[o], n[o], side[o], maps[o]
+        tile, token, key, comp, n, side, maps, least = (x[o] for x in (tile, token, key, comp, n, side, maps, least))
         begin = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
         for lo, hi in zip(begin[:-1], begin[1:]):
-            for a, b in pairs(key[lo:hi], comp[lo:hi], n[lo:hi], maps[lo:hi], side[lo:hi]):
+            for a, b in pairs(*(x[lo:hi] for x in (key, comp, n, maps, side, least, token))):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _close(percent: int):
+    """Pairs that the fine bitmaps don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (column_bytes(batch.column(c).cast(pa.binary()).view(pa.string()))[0].reshape(batch.num_rows, -1) for c in ("fine_a", "fine_b"))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            differ = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * n))
+
+    return run
+
+
 def _confirm(percent: int, width: int):
+    """Exact intersections; a class stands in many pairs, so a batch makes its set once."""
+
     def run(batches):
         for batch in batches:
-            left, right = sets_of(batch.column("text_a"), width), sets_of(batch.column("text_b"), width)
+            sets: dict[int, np.ndarray] = {}
+            for k in ("a", "b"):
+                keys = batch.column(k).to_pylist()
+                new = {key: i for i, key in enumerate(keys) if key not in sets}
+                sets |= zip(new, sets_of(batch.column(f"text_{k}").take(pa.array(list(new.values()), pa.int64())), width))
             good = []
-            for x, y in zip(left, right):
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = sets[x], sets[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -248,23 +279,33 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
         held = pairs.join(side("a"), "a").join(side("b"), "b")
         differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(bits // 64)), F.lit(0))
         near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        held = stash(held.where(near).select("a", "b", "rep_a", "rep_b"), f"near-{name}")
+        held = stash(held.where(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b"), f"near-{name}")
         sieve = bloom(held.select(F.col("rep_a").alias("id")).union(held.select(F.col("rep_b").alias("id"))))
         # rows that share a doc_id all pass; the one whose set is the class's is found by its key
-        of = stash(texts.mapInArrow(_keyed(width, sieve), "key long, text string").dropDuplicates(["key"]), f"texts-{name}")
-        held = held.join(of.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(of.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        return stash(held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long"), f"links-{name}")
+        of = stash(texts.mapInArrow(_keyed(width, sieve), "key long, text string, fine binary").dropDuplicates(["key"]), f"texts-{name}")
+
+        def beside(pairs: DataFrame, what: str) -> DataFrame:
+            for k in ("a", "b"):
+                pairs = pairs.join(of.select(F.col("key").alias(k), F.col(what).alias(f"{what}_{k}")), k)
+            return pairs
+
+        held = beside(held.select("a", "b", "n_a", "n_b"), "fine").mapInArrow(_close(percent), "a long, b long")
+        held = beside(held, "text").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
+        return stash(held, f"links-{name}")
 
     links = verified(tiles.where("not large").select("a", "b").distinct(), "first")
     named = stash(components(links), "components")
     large = tiles.where("large").select(F.col("a").alias("tile"), F.col("b").alias("key"))
-    members = large.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = members.groupBy("tile").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most")
+    least = F.slice(F.sort_array(F.collect_list("tile")), 1, LEAST_TILES)  # a class has no more tiles than shingles
+    least = large.groupBy("key").agg(F.slice(F.concat(least, F.array_repeat(F.lit(int(_NO_TILE)), LEAST_TILES)), 1, LEAST_TILES).alias("least"))
+    of = least.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    members = large.join(of, "key")
+    mixed = members.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     rest = members.join(mixed.select("tile", "size"), "tile").join(classes.select("key", "n", "bitmap"), "key")
     k = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rest = rest.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rest = rest.select(
-        F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "key", "component", "n", "bitmap",
+        F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.col("tile").alias("token"), "key", "component", "n", "bitmap", "least",
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     more = rest.repartition("tile").mapInArrow(_across(percent, bits), "a long, b long").distinct()
@@ -308,8 +349,9 @@ def _keyed(width: int, sieve: np.ndarray):
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             batch = batch.filter(pa.array(np.logical_and.reduce([(sieve[word.astype(np.int64)] & bit) > 0 for word, bit in _bits(ids)])))
-            keys = np.array([digest(s) for s in sets_of(batch.column("text"), width)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("text")], ["key", "text"])
+            found = sets_of(batch.column("text"), width)
+            keys = np.array([digest(s) for s in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("text"), pa.array([bitmap(s, FINE).tobytes() for s in found], pa.binary())], ["key", "text", "fine"])
 
     return run
 
