@@ -37,3 +37,19 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(archive))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; our own only where none is set (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshquery-"))
+        named = sc.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def checkpointed(df):
+    """``df`` stored reliably, its lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
