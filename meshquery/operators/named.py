@@ -275,9 +275,9 @@ def protocol_endpoints(g: Graph) -> DataFrame:
     return protocols.endpoints(g).select("protocol_id", "component", "role", "function_name", "package", F.concat("file", F.lit(":"), "line").alias("location"), "url_path")
 
 
-def deadlock_check(g: Graph) -> DataFrame:
-    """Q58: chains of two causal pairs."""
-    c = protocols.causality(g)
+def deadlock_check(g: Graph, c: DataFrame | None = None) -> DataFrame:
+    """Q58: chains of two causal pairs (kind, source, target)."""
+    c = protocols.causality(g) if c is None else c
     a = c.select(F.col("kind").alias("first"), F.col("source").alias("start"), F.col("target").alias("via"))
     b = c.select(F.col("kind").alias("second"), F.col("source").alias("via"), F.col("target").alias("stop"))
     return a.join(b, "via").where("start <> stop").select(F.concat_ws(" → ", "first", "second").alias("causality_chain"), "start", "via", "stop")
@@ -324,10 +324,10 @@ _PLAIN = {
 QUERIES: dict[str, Query] = {name: Query(f, tuple(p), _about(f)) for name, (f, *p) in _PLAIN.items()}
 
 
-def run(g: Graph, name: str, **params: str) -> DataFrame:
+def run(g: Graph, query: str, /, **params: str) -> DataFrame:
     """A named query by its name."""
-    q = QUERIES[name]
+    q = QUERIES[query]
     missing = [p for p in q.parameters if p not in params and p != "metric"]
     if missing:
-        raise ValueError(f"{name} needs {', '.join(missing)}")
+        raise ValueError(f"{query} needs {', '.join(missing)}")
     return q.run(g, **params)

@@ -192,7 +192,11 @@ def cycles(g: Graph) -> DataFrame:
     return dependency_cycles(causality(g))
 
 
+def calls_as_pairs(g: Graph) -> DataFrame:
+    """Calls in the place of causal pairs: a caller waits for its callee."""
+    return g.step("call").where("source <> target").select("source", "target", F.lit("IO").alias("kind"), F.lit("calls").alias("protocol_id"))
+
+
 def mutual_cycles(g: Graph) -> DataFrame:
-    """T39 over calls as causal pairs: functions that call each other, and triangles."""
-    c = g.step("call").where("source <> target").select("source", "target", F.lit("IO").alias("kind"), F.lit("calls").alias("protocol_id"))
-    return dependency_cycles(c)
+    """T39 over calls: functions that call each other, and triangles."""
+    return dependency_cycles(calls_as_pairs(g))

@@ -54,7 +54,7 @@ assoc AS (SELECT protocol_id, protocol_name, 1::BIGINT AS all_projectable, count
     CASE WHEN min(is_conforming) = 1 THEN 'VERIFIED: no circular wait (acyclic causality graph, correcting Honda 2008 Thm 5.1)' ELSE 'UNVERIFIED: subtype conformance incomplete' END AS s_deadlock_free,
     CASE WHEN min(is_conforming) = 1 THEN 'VERIFIED: all branches reachable under fair scheduling (Yoshida & Hou 2024, Thm 3)' ELSE 'UNVERIFIED: association relation does not hold' END AS s_live
   FROM subtype GROUP BY protocol_id, protocol_name)"""
-PATTERNS = """patterns_ AS (SELECT 'prometheus' AS component, 'fan_out' AS pattern, 'chan TargetGroup[]' AS channel_type, 'discovery' AS sender_package, package AS receiver_package, count(*) AS goroutine_count, NULL AS session_type
+PATTERNS = """patterns_ AS (SELECT 'prometheus' AS component, 'fan_out' AS pattern, 'chan TargetGroup[]' AS channel_type, 'discovery' AS sender_package, package AS receiver_package, count(*) AS goroutine_count, NULL::VARCHAR AS session_type
     FROM nodes WHERE kind = 'select' AND package IN ('scrape', 'notifier', 'rules') GROUP BY package
   UNION ALL SELECT 'prometheus', 'signal', 'chan struct{}', package, NULL, NULL, NULL FROM nodes WHERE kind = 'send' AND package NOT ILIKE 'github.com%' GROUP BY package
   UNION ALL VALUES ('prometheus', 'pipeline', NULL, NULL, NULL, NULL, '!samples; ?ack; end'), ('prometheus', 'request_response', NULL, NULL, NULL, NULL, '!PromQL_query; ?QueryResult; end'))"""

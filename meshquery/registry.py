@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .graph import Graph
-from .operators import dashboards, navigation, taint, views
+from .operators import dashboards, named, navigation, protocols, taint, views
 from .operators import findings as f
 from .oracle import findings as findings_sql
+from .oracle import named as named_sql
+from .oracle import protocols as protocols_sql
 from .oracle import tables as tables_sql
 from .oracle import views as views_sql
+from .plans import specs
 from .plans.carrier import build, stored
 from .session import ship
 
@@ -109,7 +113,141 @@ FINDINGS: dict[str, Callable[[Graph], DataFrame]] = {
 # JSON texts differ between engines in spacing: details are tested apart
 ANALYSES |= {name: (lambda g, rule=rule: rule(g).drop("details")) for name, rule in FINDINGS.items()}
 
-ORACLES: list[dict[str, str]] = [views_sql.ORACLE, findings_sql.ORACLE, tables_sql.ORACLE]
+ANALYSES |= {
+    "T33_protocols": lambda g: specs.protocols(g.spark),
+    "T33_participants": lambda g: specs.participants(g.spark),
+    "T33_session_steps": lambda g: specs.session_steps(g.spark),
+    "T33_links": lambda g: specs.links(g.spark),
+    "T34_endpoints": protocols.endpoints,
+    "T35_channel_patterns": protocols.channel_patterns,
+    "T36_causality": protocols.causality,
+    "T37_conformance": protocols.conformance,
+    "T38_subtype_check": protocols.subtype_check,
+    "T39_dependency_cycles": protocols.mutual_cycles,
+    "T40_association": protocols.association,
+    "V19_comm_topology": protocols.topology,
+    "V20_protocol_coverage": protocols.coverage,
+    "V21_comm_endpoint_detail": protocols.endpoint_detail,
+    "V22_session_duality": protocols.duality,
+    "V23_causality_summary": protocols.causality_summary,
+    "V24_association_summary": protocols.association_summary,
+    "V25_subtype_detail": protocols.subtype_detail,
+    "V26_dependency_cycles": lambda g: protocols.mutual_cycles(g).drop("involved_protocols"),
+}
+
+
+def _value(d: DataFrame) -> str:
+    return d.first()[0]
+
+
+def _caller(g: Graph) -> str:
+    return _value(g.step("call").agg(F.min("source")))
+
+
+def _most(g: Graph, edges: DataFrame, end: str) -> str:
+    """The node with the most of some edges at one end."""
+    return _value(edges.groupBy(end).count().orderBy(F.desc("count"), end).select(end).limit(1))
+
+
+def _busiest(g: Graph) -> str:
+    return _most(g, g.step("call"), "source")
+
+
+def _end(g: Graph) -> str:
+    first = _caller(g)
+    via = g.step("call").where(F.col("source") == first).select(F.col("target").alias("via"))
+    return _value(g.step("call").join(via, F.col("source") == F.col("via")).where(F.col("target") != first).agg(F.min("target")))
+
+
+def _first(g: Graph, *kinds: str, end: str = "source", last: bool = False) -> str:
+    return _value(g.step(*kinds).agg((F.max if last else F.min)(end)))
+
+
+def _name(g: Graph, node_id: str) -> str:
+    return _value(g.nodes.where(F.col("id") == node_id).select("name"))
+
+
+def _coarse(g: Graph) -> DataFrame:
+    """Dependencies of pairs of functions: with few packages none would be a root."""
+    half = lambda c: F.floor(F.regexp_extract(c, "([0-9]+)$", 1).cast("long") / 2).cast("string").alias(c)
+    return g.step("call").select(half("source"), half("target")).where("source <> target").distinct()
+
+
+NAMED: dict[str, Callable[[Graph], DataFrame]] = {
+    "Q01_backward_slice": lambda g: named.backward_slice(g, _most(g, g.step("param_in"), "target")),
+    "Q02_forward_slice": lambda g: named.forward_slice(g, _most(g, g.step("param_out"), "source")),
+    "Q03_call_chain": lambda g: named.call_chain(g, _caller(g)),
+    "Q04_callers_of": lambda g: named.callers_of(g, _most(g, g.step("call"), "target")),
+    "Q05_scope_variables": lambda g: named.scope_variables(g, _first(g, "scope", last=True)),
+    "Q06_interface_implementors": lambda g: named.interface_implementors(g, _first(g, "implements", end="target")),
+    "Q07_function_cfg": lambda g: named.function_cfg(g, _value(g.of("basic_block").join(g.step("cfg"), F.col("id") == F.col("source"), "left_semi").agg(F.min("parent_function")))),
+    "Q08_cross_package_calls": named.cross_package_calls,
+    "Q09_context_propagation": named.context_propagation,
+    "Q10_reaching_definitions": lambda g: named.reaching_definitions(g, _first(g, "dfg", end="target", last=True)),
+    "Q11_package_dependency_graph": views.package_deps,
+    "Q12_goroutine_analysis": named.goroutine_analysis,
+    "Q13_taint_analysis": named.taint_analysis,
+    "Q14_taint_path": lambda g: named.taint_path(g, "package"),
+    "Q15_function_io": lambda g: named.function_io(g, _value(g.of("parameter", "result").agg(F.min("parent_function")))),
+    "Q16_type_methods": lambda g: named.type_methods(g, _value(g.having("receiver").agg(F.min("value")))),
+    "Q17_error_chain": lambda g: named.error_chain(g, _most(g, g.step("call").join(g.having("returns_error", "1"), F.col("target") == F.col("node_id"), "left_semi"), "source")),
+    "Q18_data_flow_path": lambda g: named.data_flow_path(g, _first(g, "dfg")),
+    "Q19_shared_callers": lambda g: named.shared_callers(g, _first(g, "call", end="target"), _first(g, "call", end="target")),
+    "Q20_impact_analysis": lambda g: named.impact_analysis(g, _most(g, g.step("call"), "target")),
+    "Q21_common_callee": lambda g: named.common_callee(g, _caller(g), _caller(g)),
+    "Q22_dependency_depth": lambda g: named.dependency_depth(g, deps=_coarse(g)),
+    "Q23_function_risk_ranking": named.risk_ranking,
+    "Q24_package_stability": named.package_stability,
+    "Q25_function_control_profile": lambda g: named.control_profile(g, _caller(g)),
+    "Q26_similar_functions": lambda g: named.similar_functions(g, _busiest(g), 200),
+    "Q27_package_cohesion": views.package_cohesion,
+    "Q28_concurrency_profile": views.concurrency_profile,
+    "Q29_package_impact": views.package_reach,
+    "Q30_function_neighborhood": lambda g: named.neighborhood(g, _busiest(g)),
+    "Q31_file_complexity": named.file_complexity,
+    "Q32_type_usage": lambda g: named.type_usage(g, "Type1"),
+    "Q33_hotspot_analysis": lambda g: dashboards.hotspots(g, 20),
+    "Q34_package_coupling_matrix": named.coupling_matrix,
+    "Q35_error_propagation": named.error_propagation,
+    "Q36_top_by_metric": lambda g: named.top_by_metric(g, "fan_in"),
+    "Q37_coupling_degree": named.coupling_degree,
+    "Q38_pathfinder": lambda g: named.pathfinder(g, _caller(g), _end(g)),
+    "Q39_file_heatmap": dashboards.file_heatmap,
+    "Q40_package_graph": dashboards.package_graph,
+    "Q41_function_detail": lambda g: named.run(g, "function_detail", function_id=_busiest(g)),
+    "Q42_interface_map": lambda g: named.run(g, "interface_map", name=_name(g, _first(g, "implements", end="target"))),
+    "Q43_type_hierarchy_tree": lambda g: named.run(g, "type_hierarchy_tree", name=_value(navigation.type_hierarchy(g).agg(F.min("parent_name")))),
+    "Q44_method_set": lambda g: named.run(g, "method_set", name=_name(g, _first(g, "implements", end="target"))),
+    "Q45_largest_interfaces": named.largest_interfaces,
+    "Q46_most_implemented": named.most_implemented,
+    "Q47_symbol_search": lambda g: named.symbol_search(g, "get1"),
+    "Q48_file_outline": lambda g: named.run(g, "file_outline_query", file=_value(g.nodes.agg(F.min("file")))),
+    "Q49_xref_lookup": lambda g: named.run(g, "xref_lookup", id=_value(navigation.xrefs(g).agg(F.min("def_id")))),
+    "Q50_go_patterns": navigation.go_patterns,
+    "Q51_taint_path_to_sink": named.taint_path_to_sink,
+    "Q52_tainted_containers": named.tainted_containers,
+    "Q53_scip_lookup": lambda g: named.run(g, "scip_lookup", pattern="#serve1"),
+    "Q54_full_topology": protocols.topology,
+    "Q55_adapter_flow": named.adapter_flow,
+    "Q56_protocol_endpoints": named.protocol_endpoints,
+    "Q57_conformance_report": protocols.conformance,
+    "Q58_deadlock_check": lambda g: named.deadlock_check(g, protocols.calls_as_pairs(g)),
+    "Q59_channel_patterns": protocols.channel_patterns,
+    "Q60_association_report": lambda g: protocols.association_summary(g).select("protocol_id", "verdict"),
+    "Q61_subtype_violations": lambda g: named.run(g, "honda_subtype_violations"),
+    "Q62_deadlock_detection": lambda g: protocols.mutual_cycles(g).where("severity <> 'benign'"),
+    "Q63_errata_summary": named.errata,
+}
+ANALYSES |= NAMED
+RECURSIVE = {"RG01": "Q01_backward_slice", "RG02": "Q02_forward_slice", "RG03": "Q03_call_chain", "RG04": "Q04_callers_of", "RG05": "Q05_scope_variables", "RG06": "Q17_error_chain", "RG07": "Q18_data_flow_path", "RG08": "Q20_impact_analysis", "RG09": "Q22_dependency_depth", "RG11": "Q38_pathfinder"}
+ANALYSES |= {rg + q[3:]: NAMED[q] for rg, q in RECURSIVE.items()}
+ANALYSES |= {
+    "RG10_package_impact": views.package_reach,
+    "RG12_taint_reach": lambda g: taint.flow_state(g).select("source_id", "node_id", "min_hops"),
+    "RG13_cycles": lambda g: protocols.mutual_cycles(g).select("cycle_path", "cycle_length"),
+}
+
+ORACLES: list[dict[str, str]] = [views_sql.ORACLE, findings_sql.ORACLE, tables_sql.ORACLE, protocols_sql.ORACLE, named_sql.ORACLE]
 
 
 def _query(analysis: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
