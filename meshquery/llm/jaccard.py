@@ -23,6 +23,8 @@ share a class if their sets are equal.  Extra columns are ignored.  An empty tab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ from .common import chunks, column_bytes, components, mix, runs_of_rows, shingle
 
 FREQUENT_MOST = 200_000  # entries of the order's head: 1.6 MB in each task
 FREQUENT_LOCAL = 6  # a batch reports shingles that so many of its sets have
+FREQUENT_BLOCK = 1 << 20  # shingles counted at once
 SMALL_TILE = 8
 BITS = 1024
 FINE = 8192
@@ -40,16 +43,19 @@ BLOCK = 4096
 BLOOM_WORDS = 1 << 17  # 1 MB; at some hundred million candidates take more
 
 
-def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Each text's sorted distinct shingle hashes."""
+def each_set(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct shingle hashes; texts are read in chunks, so few sets are held at once."""
     raw, offsets = column_bytes(texts)
-    out: list[np.ndarray] = []
     for lo, hi in chunks(offsets):
         part = offsets[lo : hi + 1] - offsets[lo]
         rows, _, _, words = word_hashes(raw[offsets[lo] : offsets[hi]], part)
         cut = runs_of_rows(rows, hi - lo)
-        out += [np.unique(shingle_hashes(words[cut[k] : cut[k + 1]], width)) for k in range(hi - lo)]
-    return out
+        for k in range(hi - lo):
+            yield np.unique(shingle_hashes(words[cut[k] : cut[k + 1]], width))
+
+
+def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
+    return list(each_set(texts, width))
 
 
 def digest(s: np.ndarray) -> int:
@@ -87,12 +93,20 @@ def in_order(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _frequent(width: int):
     def run(batches):
         for batch in batches:
-            seen, parts = set(), []
-            for s in sets_of(batch.column("text"), width):
+            seen, parts, size, done = set(), [], 0, []
+            for s in each_set(batch.column("text"), width):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     parts.append(s)
-            h, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    size += len(s)
+                if size > FREQUENT_BLOCK:
+                    done.append(np.unique(np.concatenate(parts), return_counts=True))
+                    parts, size = [], 0
+            if parts:
+                done.append(np.unique(np.concatenate(parts), return_counts=True))
+            done = [(h[n > 1], n[n > 1]) for h, n in done]
+            h, own = np.unique(np.concatenate([h for h, _ in done] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            c = np.bincount(own, weights=np.concatenate([n for _, n in done] or [np.zeros(0)]), minlength=len(h))
             keep = c >= FREQUENT_LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(c[keep].astype(np.int64))], ["shingle", "n"])
 
@@ -104,7 +118,7 @@ def _describe(width: int, percent: int, bits: int, known: np.ndarray, rank: np.n
         seen: set[int] = set()  # a partition's copies beyond the first need no signatures
         for batch in batches:
             keys, sizes, maps, heads = [], [], [], []
-            for s in sets_of(batch.column("text"), width):
+            for s in each_set(batch.column("text"), width):
                 d = digest(s)
                 new = len(s) > 0 and d not in seen
                 seen.add(d)
