@@ -26,7 +26,7 @@ from .common import chunks, column_bytes, mix, runs_of_rows, signed, word_hashes
 SENTENCES = 2
 LEAST_WORDS = 15
 LONG_WORDS = 24
-CUT_ONE_IN = 8
+CUT_ONE_IN = 5
 
 _STEP = 0xD1342543DE82EF95
 _steps: list[np.ndarray] = []
