@@ -77,3 +77,14 @@ def scip_symbols(g: Graph) -> DataFrame:
     kind = F.when(method, "method").when(F.col("kind") == "type_decl", "type").otherwise(F.col("kind"))
     d = g.of("function", "type_decl", "package").where("package is not null and name <> ''")
     return d.select(F.col("id").alias("node_id"), F.concat(F.lit(SCHEME), path, F.lit("/"), tail).alias("scip_id"), kind.alias("kind"), "package", F.col("name").alias("display_name"))
+
+
+def schema_docs(g: Graph) -> DataFrame:
+    """Category, name and column types of the graph's tables, and the kinds of nodes and edges met in it."""
+    from ..schema import TABLES
+
+    rows = [("table", name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)) for name, schema in TABLES.items()]
+    d = g.spark.createDataFrame(rows, "category string, name string, description string")
+    for category, df in (("node_kind", g.nodes), ("edge_kind", g.edges)):
+        d = d.unionByName(df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(category).alias("category"), F.col("kind").alias("name"), F.concat("n", F.lit(" rows")).alias("description")))
+    return d

@@ -36,17 +36,18 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...] =
     return reduce(DataFrame.union, levels)
 
 
-def nearest(edges: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...] = (), every: int = EVERY) -> DataFrame:
-    """(*keys, id, depth) with the least depth of each node: nodes met before leave the frontier, so it shrinks."""
+def nearest(edges: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, id, depth) with the least depth of each node: nodes met before leave the frontier, so it shrinks.
+
+    Each level is checkpointed, as the next one needs it twice: to go on from and to leave out.
+    """
     step = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).distinct()
-    level = checkpointed(seeds.select(*keys, "id").distinct().withColumn("depth", F.lit(0).cast("long")))
-    met = level
+    level = met = checkpointed(seeds.select(*keys, "id").distinct().withColumn("depth", F.lit(0).cast("long")))
     for d in range(1, depth + 1):
         level = level.join(step, "id").select(*keys, F.col("next").alias("id")).distinct().join(met, [*keys, "id"], "left_anti").withColumn("depth", F.lit(d).cast("long"))
-        if d % every == 0:
-            level = checkpointed(level)
-            if level.isEmpty():
-                break
+        level = checkpointed(level)
+        if level.isEmpty():
+            break
         met = met.union(level)
     return met
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import registry_more
 from .graph import Graph
 from .operators import dashboards, named, navigation, protocols, taint, views
 from .operators import findings as f
 from .oracle import findings as findings_sql
+from .oracle import more as more_sql
 from .oracle import named as named_sql
 from .oracle import protocols as protocols_sql
 from .oracle import tables as tables_sql
@@ -247,7 +249,7 @@ ANALYSES |= {
     "RG13_cycles": lambda g: protocols.mutual_cycles(g).select("cycle_path", "cycle_length"),
 }
 
-ORACLES: list[dict[str, str]] = [views_sql.ORACLE, findings_sql.ORACLE, tables_sql.ORACLE, protocols_sql.ORACLE, named_sql.ORACLE]
+ORACLES: list[dict[str, str]] = [views_sql.ORACLE, findings_sql.ORACLE, tables_sql.ORACLE, protocols_sql.ORACLE, named_sql.ORACLE, more_sql.ORACLE]
 
 
 def _query(analysis: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -257,7 +259,7 @@ def _query(analysis: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, st
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _query(f) for name, f in ANALYSES.items()}
     found["D04_without_orphans"] = lambda spark, sf_dir: build(ship(spark), sf_dir).without_orphans().along("scope", "embeds", "call")
-    return found
+    return found | registry_more.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -26,8 +27,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application; Python workers unpickle its functions by name."""
+    """Send this package to the executors, once for each application; Python workers unpickle its functions by name.
+
+    Also keeps the batches that go to Python small, so that a worker's memory doesn't hang on the texts' lengths.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES) == "67108864b":  # the default: too much where texts stand in several columns
+        spark.conf.set(ARROW_BYTES, "8m")
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-code-"), f"{root.name}.zip")  # stays while the driver serves it
