@@ -4,7 +4,7 @@ Every text's set is its distinct shingles of ``width`` words.  Two texts link wh
 
 1. Texts of one set form a class (their copies are never compared); a class is named by the 64-bit digest of its set.
 2. Shingles are put in one global order, those met most often last.  The order comes from counts of shingles that
-   are frequent within batches; any order gives the same links, a good one gives few candidates.
+   are frequent within partitions; any order gives the same links, a good one gives few candidates.
 3. Linked sets share a shingle among the first of each (the larger set's first n - ceil(t n) + 1, the smaller's first
    n - ceil(2 t n / (1 + t)) + 1), so classes meet only in the tiles of those shingles.  A tile is sorted by set size
    and cut into bands in which sizes differ by 1 / t at most.  Small tiles give all their admissible pairs; in large
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import chunks, column_bytes, components, mix, runs_of_rows, shingle_hashes, signed, stash, text_or_empty, word_hashes
 
 FREQUENT_MOST = 200_000  # entries of the order's head: 1.6 MB in each task
-FREQUENT_LOCAL = 6  # a batch reports shingles that so many of its sets have
+FREQUENT_LOCAL = 6  # a partition reports shingles that so many of its sets have
 FREQUENT_BLOCK = 1 << 20  # shingles counted at once
 SMALL_TILE = 8
+TOKEN_PARTS = 4
 BITS = 1024
 FINE = 8192
 LEAST_TILES = 4
@@ -92,23 +93,28 @@ def in_order(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _frequent(width: int):
     def run(batches):
+        seen: set[int] = set()
+        parts, size, done = [], 0, []
+
+        def count():
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            done.append((h[n > 1], n[n > 1]))
+
         for batch in batches:
-            seen, parts, size, done = set(), [], 0, []
             for s in each_set(batch.column("text"), width):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     parts.append(s)
                     size += len(s)
                 if size > FREQUENT_BLOCK:
-                    done.append(np.unique(np.concatenate(parts), return_counts=True))
+                    count()
                     parts, size = [], 0
-            if parts:
-                done.append(np.unique(np.concatenate(parts), return_counts=True))
-            done = [(h[n > 1], n[n > 1]) for h, n in done]
-            h, own = np.unique(np.concatenate([h for h, _ in done] or [np.zeros(0, np.uint64)]), return_inverse=True)
-            c = np.bincount(own, weights=np.concatenate([n for _, n in done] or [np.zeros(0)]), minlength=len(h))
-            keep = c >= FREQUENT_LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(c[keep].astype(np.int64))], ["shingle", "n"])
+        if parts:
+            count()
+        h, own = np.unique(np.concatenate([h for h, _ in done] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        c = np.bincount(own, weights=np.concatenate([n for _, n in done] or [np.zeros(0)]), minlength=len(h))
+        keep = c >= FREQUENT_LOCAL
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(c[keep].astype(np.int64))], ["shingle", "n"])
 
     return run
 
@@ -286,7 +292,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap", ignorenulls=True).alias("bitmap"))
     classes = stash(classes, "classes")
     tokens = described.where("head is not null").select("key", "n", F.posexplode("head").alias("place", "token"))
-    tiles = stash(tokens.repartition("token").mapInArrow(_tiles(percent), "a long, b long, large boolean"), "tiles")
+    parts = TOKEN_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task holds its tiles in memory
+    tiles = stash(tokens.repartition(parts, "token").mapInArrow(_tiles(percent), "a long, b long, large boolean"), "tiles")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}"), F.col("rep").alias(f"rep_{k}"))
