@@ -19,7 +19,8 @@ def type_impl_map(g: Graph) -> DataFrame:
     """Interface, concrete type, and how many of the interface's methods (by name) the type has."""
     methods = g.ends(g.step("has_method"), {}, {"name": "method"}).select(F.col("source").alias("owner"), "method").distinct()
     impl = g.step("implements").select(F.col("source").alias("concrete"), F.col("target").alias("interface")).distinct()
-    shared = impl.join(methods.withColumnRenamed("owner", "interface"), "interface").join(methods.withColumnRenamed("owner", "concrete"), ["concrete", "method"]).groupBy("interface", "concrete").agg(counted_as("methods_satisfied"))
+    # a concrete type has few methods, so those are looked up among the interface's
+    shared = impl.join(methods.withColumnRenamed("owner", "concrete"), "concrete").join(methods.withColumnRenamed("owner", "interface"), ["interface", "method"]).groupBy("interface", "concrete").agg(counted_as("methods_satisfied"))
     d = impl.join(_types(g, "interface"), "interface").join(_types(g, "concrete"), "concrete").join(shared, ["interface", "concrete"], "left")
     return d.withColumn("methods_satisfied", zero("methods_satisfied"))
 

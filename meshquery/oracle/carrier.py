@@ -26,9 +26,9 @@ flow_specs(package, func_name, flow_from, flow_to) AS (VALUES {_values(_FLOWS)})
 taint_specs(package, func_name, role, category) AS (VALUES {_values(_TAINTS)}),
 ext_names(pos, package, name) AS (VALUES {_values([(k, p, f) for k, (p, f) in enumerate(_EXT)])}),
 named(pos, project, package, name) AS (VALUES {_values([(k, *x) for k, x in enumerate(_split(NAMED))])}),
-item AS (SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, l_quantity AS qty, l_linenumber AS num,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
-         FROM lineitem WHERE l_orderkey % 20 = 0),
+item AS (SELECT l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, l_quantity AS qty, l_linenumber AS num, l_returnflag AS flag,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) AS rn
+         FROM lineitem),
 owners AS (SELECT i.*, o_custkey AS ck FROM item i JOIN orders ON o_orderkey = ok),
 fn AS (SELECT p_partkey AS pk, p_partkey % 3 = 0 AS outside, p_size,
     CASE WHEN p_partkey % 3 = 0 THEN 'ext::f' ELSE 'f' END || p_partkey AS id,
@@ -40,7 +40,7 @@ fn AS (SELECT p_partkey AS pk, p_partkey % 3 = 0 AS outside, p_size,
     CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 13 = 5 THEN n.project END AS project
   FROM part LEFT JOIN ext_names e ON e.pos = (p_partkey // 3) % {len(_EXT)} LEFT JOIN named n ON n.pos = (p_partkey // 13) % {len(_split(NAMED))}),
 stmt AS (SELECT i.ok, i.rn, i.pk, i.sk, fn.id AS fid, fn.package, fn.file, 's' || ok || '_' || rn AS id,
-    ['if','for','call','switch','select','return','defer','call','go','assign','call','send','local','parameter'][1 + (ok // 20 + rn) % 14] AS kind
+    ['if','for','switch','select','return','defer','go','assign','call','send','local','parameter','block_end','label'][1 + (ok + rn) % 14] AS kind
   FROM item i JOIN fn ON fn.pk = i.pk),
 types_ AS (SELECT ['bool', 'map[string]int', '[]string', 'context.Context', 'error'] AS v),
 all_nodes AS (
@@ -55,6 +55,7 @@ all_nodes AS (
   UNION ALL SELECT DISTINCT 'b' || ok, 'block', 'block', NULL, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL, NULL, NULL FROM item
   UNION ALL SELECT DISTINCT 't' || ck, 'type_decl', 'Type' || ck, 'types' || ck % 7 || '.go', ck, NULL::BIGINT, NULL::BIGINT, 'types/p' || ck % 20, NULL, NULL FROM owners
   UNION ALL SELECT DISTINCT 'i' || sk, 'type_decl', 'Iface' || sk, 'ifaces' || sk % 5 || '.go', sk, NULL::BIGINT, NULL::BIGINT, 'types/p' || sk % 20, NULL, NULL FROM item
+  UNION ALL SELECT 'n' || n_nationkey, 'type_decl', 'Nation' || n_nationkey, 'nations.go', n_nationkey + 1, NULL, NULL, 'types/nations', NULL, NULL FROM nation
   UNION ALL SELECT DISTINCT 'pkg::' || package, 'package', package, NULL, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, package, NULL, NULL FROM fn),
 nodes AS MATERIALIZED (SELECT * FROM all_nodes),
 props AS MATERIALIZED (
@@ -70,13 +71,14 @@ props AS MATERIALIZED (
   UNION ALL SELECT id, 'dispatch_type', ['static', 'interface', 'closure'][1 + pk % 3] FROM stmt WHERE kind = 'call'
   UNION ALL SELECT id, 'context_derivation', 'with_cancel' FROM stmt WHERE kind = 'call' AND pk % 6 = 2
   UNION ALL SELECT DISTINCT 't' || ck, 'type_kind', 'struct' FROM owners
+  UNION ALL SELECT 'n' || n_nationkey, 'type_kind', 'struct' FROM nation
   UNION ALL SELECT DISTINCT 'i' || sk, 'type_kind', 'interface' FROM item),
 pair AS (SELECT a.*, b.fid AS fid2, b.pk AS pk2, b.kind AS kind2, b.id AS id2 FROM stmt a JOIN stmt b ON b.ok = a.ok AND b.rn = a.rn + 1),
 args AS (SELECT c.id AS call, c.fid2, s.id AS arg, s.rn - c.rn - 1 AS index FROM pair c JOIN stmt s ON s.ok = c.ok AND s.rn > c.rn AND s.rn <= c.rn + 3 WHERE c.kind = 'call'),
 flow AS (SELECT fid, 'bb' || ok || '_' || rn AS bb, lead('bb' || ok || '_' || rn) OVER (PARTITION BY fid ORDER BY ok, rn) AS bb2 FROM stmt),
-made AS (SELECT o.ck, o.sk, fn.id AS fid FROM owners o JOIN fn ON fn.pk = o.pk WHERE ck % 3 = 0),
+made AS (SELECT o.ck, o.sk, fn.id AS fid FROM owners o JOIN fn ON fn.pk = o.pk WHERE flag = 'R'),
 raw_edges AS (
-  SELECT fid AS source, fid2 AS target, 'call' AS kind FROM pair GROUP BY fid, fid2
+  SELECT fid AS source, fid2 AS target, 'call' AS kind FROM pair WHERE kind = 'call' GROUP BY fid, fid2
   UNION ALL SELECT id, id2, 'dfg' FROM pair
   UNION ALL SELECT id, fid2, 'call_site' FROM pair WHERE kind = 'call'
   UNION ALL SELECT fid2, id, 'param_out' FROM pair WHERE kind = 'call'
@@ -89,15 +91,15 @@ raw_edges AS (
   UNION ALL SELECT 'i' || sk, 'fld' || ok || '_' || rn, 'ast' FROM stmt
   UNION ALL SELECT fid, id, 'ast' FROM stmt WHERE kind IN ('local', 'parameter')
   UNION ALL SELECT fid, 'res' || ok || '_' || rn, 'ast' FROM stmt WHERE kind = 'return'
-  UNION ALL SELECT DISTINCT 'b' || ok, 'b' || ok // 40 * 20, 'scope' FROM item
+  UNION ALL SELECT DISTINCT 'b' || ok, 'b' || ok // 2, 'scope' FROM item
   UNION ALL SELECT bb, bb2, 'cfg' FROM flow WHERE bb2 IS NOT NULL
   UNION ALL SELECT DISTINCT 't' || ck, 'i' || sk, 'implements' FROM made
   UNION ALL SELECT DISTINCT 't' || ck, fid, 'has_method' FROM made
   UNION ALL SELECT DISTINCT 'i' || sk, fid, 'has_method' FROM stmt
-  UNION ALL SELECT DISTINCT 't' || ck, 't' || ck // 2, 'embeds' FROM owners WHERE ck % 2 = 0),
+  UNION ALL SELECT DISTINCT 't' || ck, 't' || ck // 2, 'embeds' FROM owners WHERE ck > 1),
 edges AS MATERIALIZED (SELECT * FROM raw_edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
 calls AS (SELECT source, target FROM edges WHERE kind = 'call'),
-dynamic_calls AS (SELECT fid AS source, fid2 AS target FROM pair GROUP BY fid, fid2 HAVING max(pk + pk2) % 5 = 0),
+dynamic_calls AS (SELECT fid AS source, fid2 AS target FROM pair WHERE kind = 'call' GROUP BY fid, fid2 HAVING max(pk + pk2) % 5 = 0),
 functions AS (SELECT * FROM nodes WHERE kind = 'function'),
 metrics AS MATERIALIZED (SELECT fn.id AS function_id, CASE WHEN outside THEN 0 ELSE 1 + p_size % 25 END::BIGINT AS cyclomatic_complexity,
     (SELECT count(*) FROM calls c WHERE c.target = fn.id) AS fan_in, (SELECT count(*) FROM calls c WHERE c.source = fn.id) AS fan_out,

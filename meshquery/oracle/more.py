@@ -22,9 +22,9 @@ _DOCS = [("table", name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f
 
 ORACLE = {
     "S09_escape_log": """SELECT 'src/f' || l_suppkey || '.go' AS file, l_linenumber::BIGINT AS line, l_partkey % 80 AS col, ['leaking_param', 'moved_to_heap', 'escapes_to_heap', 'does_not_escape', 'inlineable'][1 + l_partkey % 6] AS kind,
-      ['p', 'v', 'new(T', 'p', 'f'][1 + l_partkey % 6] || l_partkey || CASE WHEN l_partkey % 6 = 2 THEN ')' ELSE '' END AS detail FROM lineitem WHERE l_orderkey % 20 = 0 AND l_partkey % 6 < 5 AND l_partkey % 11 <> 0""",
+      ['p', 'v', 'new(T', 'p', 'f'][1 + l_partkey % 6] || l_partkey || CASE WHEN l_partkey % 6 = 2 THEN ')' ELSE '' END AS detail FROM lineitem WHERE l_partkey % 6 < 5 AND l_partkey % 11 <> 0""",
     "S10_change_log": """SELECT 'src/f' || l_suppkey || '.go' AS file, count(DISTINCT l_orderkey) AS commit_count, count(DISTINCT o_custkey) AS author_count, sum(l_quantity::BIGINT)::BIGINT AS insertions, sum(l_linenumber)::BIGINT AS deletions,
-      (sum(l_quantity::BIGINT) + sum(l_linenumber))::BIGINT AS churn FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 20 = 0 AND l_partkey % 9 <> 0 AND l_partkey % 10 <> 0 GROUP BY l_suppkey""",
+      (sum(l_quantity::BIGINT) + sum(l_linenumber))::BIGINT AS churn FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 9 <> 0 AND l_partkey % 10 <> 0 GROUP BY l_suppkey""",
     "S12_scan_by_kind": sql("SELECT id, name, package FROM nodes WHERE kind = 'send'"),
     "S13_full_text": r"""WITH t AS (SELECT 'doc' || doc_id || '.go' AS file, unnest(list_concat(['doc' || doc_id, 'go'], regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), regexp_split_to_array(lower(source), '[^\p{L}\p{N}]+'))) AS token FROM documents)
       SELECT file, count(*) AS hits FROM t WHERE token IN ('the', 'and') GROUP BY file HAVING count(DISTINCT token) = 2""",
@@ -41,7 +41,7 @@ ORACLE = {
     "G13_cfg_ends": sql("""SELECT fid AS source, arg_min(bb, (ok, rn)) AS target, 'entry' AS label FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid
       UNION ALL SELECT arg_max(bb, (ok, rn)), fid, 'exit' FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid"""),
     "G14_uses": sql("SELECT id AS source, id2 AS target FROM pair"),
-    "G16_pairs": sql("SELECT a.id AS source, b.id AS target FROM stmt a JOIN stmt b ON b.package = a.package WHERE a.kind = 'send' AND b.kind = 'select'"),
+    "G16_pairs": sql("SELECT a.id AS source, b.id AS target FROM stmt a JOIN stmt b ON b.fid = a.fid WHERE a.kind = 'send' AND b.kind = 'select'"),
     "G17_dominance": sql("""SELECT bb AS source, bb2 AS target, 'dom' AS kind FROM flow WHERE bb2 IS NOT NULL UNION ALL SELECT bb2, bb, 'pdom' FROM flow WHERE bb2 IS NOT NULL"""),
     "G20_implementations": sql("""SELECT DISTINCT t.owner AS type, i.owner AS interface FROM (SELECT e.source AS owner, min(f.name) AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 'i%' GROUP BY 1) i
       JOIN (SELECT DISTINCT e.source AS owner, f.name AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 't%') t ON t.method = i.method"""),

@@ -21,7 +21,7 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def escape_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compiler's log made from items, parsed."""
-    d = _lineitem(spark, sf_dir).where("l_orderkey % 20 = 0")
+    d = _lineitem(spark, sf_dir)
     k = F.col("l_partkey")
     said = F.when(k % 6 == 0, F.concat(F.lit("leaking param: p"), k)).when(k % 6 == 1, F.concat(F.lit("moved to heap: v"), k)).when(k % 6 == 2, F.concat(F.lit("new(T"), k, F.lit(") escapes to heap"))).when(k % 6 == 3, F.concat(F.lit("p"), k, F.lit(" does not escape"))).when(k % 6 == 4, F.concat(F.lit("can inline f"), k)).otherwise("something else")
     line = F.concat(F.when(k % 2 == 0, "./").otherwise(""), F.lit("src/f"), "l_suppkey", F.lit(".go:"), "l_linenumber", F.lit(":"), (k % 80).cast("string"), F.lit(": "), said)
@@ -31,7 +31,7 @@ def escape_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version-control log made from orders (a commit each), parsed."""
-    items = _lineitem(spark, sf_dir).where("l_orderkey % 20 = 0")
+    items = _lineitem(spark, sf_dir)
     orders = ship(spark).read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     name = F.concat(F.lit("src/f"), F.col("l_suppkey"), F.when(F.col("l_partkey") % 9 == 0, ".md").otherwise(".go"))
     added = F.when(F.col("l_partkey") % 10 == 0, "-").otherwise(F.col("l_quantity").cast("long").cast("string"))
@@ -85,7 +85,7 @@ GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "G12_param_in": extract.param_in,
     "G13_cfg_ends": extract.cfg_ends,
     "G14_uses": extract.uses,
-    "G16_pairs": lambda g: extract.pairs(g.of("send", "select").select("id", "kind", "package"), "package", "send", "select"),
+    "G16_pairs": lambda g: extract.pairs(g.of("send", "select").select("id", "kind", "parent_function"), "parent_function", "send", "select"),
     "G17_dominance": extract.dominance,
     "G20_implementations": _implementations,
     "G24_relative_paths": _modules,

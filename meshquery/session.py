@@ -33,7 +33,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """
     sc = spark.sparkContext
     if spark.conf.get(ARROW_BYTES) == "67108864b":  # the default: too much where texts stand in several columns
-        spark.conf.set(ARROW_BYTES, "8m")
+        spark.conf.set(ARROW_BYTES, "2m")
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-code-"), f"{root.name}.zip")  # stays while the driver serves it
