@@ -40,7 +40,7 @@ fn AS (SELECT p_partkey AS pk, p_partkey % 3 = 0 AS outside, p_size,
     CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 13 = 5 THEN n.project END AS project
   FROM part LEFT JOIN ext_names e ON e.pos = (p_partkey // 3) % {len(_EXT)} LEFT JOIN named n ON n.pos = (p_partkey // 13) % {len(_split(NAMED))}),
 stmt AS (SELECT i.ok, i.rn, i.pk, i.sk, fn.id AS fid, fn.package, fn.file, 's' || ok || '_' || rn AS id,
-    ['if','for','switch','select','return','defer','go','assign','call','send','local','parameter','block_end','label'][1 + (ok + rn) % 14] AS kind
+    ['if','for','switch','select','return','defer','go','assign','call','send','local','parameter','call','label'][1 + (ok + rn * (1 + ok % 7)) % 14] AS kind
   FROM item i JOIN fn ON fn.pk = i.pk),
 types_ AS (SELECT ['bool', 'map[string]int', '[]string', 'context.Context', 'error'] AS v),
 all_nodes AS (
