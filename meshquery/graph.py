@@ -58,9 +58,11 @@ class Graph:
                 found[name] = spark.createDataFrame([], schema)
         return cls(**found)
 
-    def save(self, path: str) -> Graph:
-        """Write all tables; a scan of some kinds then reads those folders only."""
+    def save(self, path: str, *tables: str) -> Graph:
+        """Write all tables, or those named; a scan of some kinds then reads those folders only."""
         for name, schema in TABLES.items():
+            if tables and name not in tables:
+                continue
             w = conform(getattr(self, name), schema).write.mode("overwrite")
             (w.partitionBy("kind") if "kind" in schema.names else w).parquet(f"{path}/{name}")
         return Graph.load(self.spark, path)
