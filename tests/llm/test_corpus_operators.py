@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from meshquery.llm import common, decontam, jaccard, langid, lm, spandedup
@@ -169,6 +170,62 @@ def test_later_copies_of_a_passage_go(spark):
     assert out[1].text == "" and out[1].n_sentences == 0
 
 
+def left(spark, rows):
+    return {r.doc_id: r.text for r in spandedup.remove_repeats(docs(spark, rows).repartition(3)).collect()}
+
+
+def test_copies_with_short_last_sentences_and_short_copies_go(spark):
+    rng = random.Random(4)
+    sentence = lambda n: prose(rng, n).capitalize() + "."
+    whole = " ".join(sentence(n) for n in (20, 10, 4))
+    one, few = sentence(22), f"{sentence(3)} {sentence(5)}"
+    out = left(spark, [(1, whole), (2, whole), (3, one), (4, one), (5, few), (6, few), (7, sentence(22)), (8, sentence(6)), (9, "Yes."), (10, "Yes.")])
+    assert [out[i] for i in (2, 4, 6, 10)] == [""] * 4
+    assert all(out[i] for i in (1, 3, 5, 7, 8, 9))
+
+
+def test_passages_in_foreign_sentences_go_to_their_edges(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"{rng.choice(VOCAB)}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = [*words(11), "stop.", *words(13), "stop.", *words(9), "stop.", *words(3), "end."]
+    rows = [(1, " ".join([*words(30), *passage, *words(30)])), (2, " ".join(["So.", *passage, *words(5)])), (3, " ".join([*words(3), *passage]))]
+    out = left(spark, rows)
+    assert out[1] == rows[0][1]
+    for i, foreign in ((2, {*rows[1][1].split()} - {*passage}), (3, {*rows[2][1].split()} - {*passage})):
+        stay = [w for w in out[i].split() if w in passage]
+        assert foreign <= {*out[i].split()} and len(stay) <= 11 and "end." not in stay
+
+
+def test_spans_against_all_places(spark, monkeypatch):
+    monkeypatch.setattr(spandedup, "SPAN_BLOCK", 50)
+    rng = random.Random(12)
+    lines = [prose(rng, rng.choice([2, 6, 9, 16])) + "." for _ in range(40)]
+    rows = [(None, " ".join(lines[:6])), *((i // 2, " ".join(rng.choices(lines, k=rng.randrange(9)))) for i in range(60, 160))]
+    seen, cuts = {}, []
+    for i, t in rows:
+        words = [w.lower() for w in t.split()]
+        s = spandedup.Sentences(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        edge, n, found = s.word.tolist() if words else [0], len(s.begin), set()
+        for a in range(n):
+            found |= {(a, next((b for b in range(a + 2, n + 1) if edge[b] - edge[a] >= 15), None))}
+            found |= {(next((b for b in range(a - 1, -1, -1) if edge[a + 1] - edge[b] >= 15), None), a + 1)}
+        if n and (0, None) in found:
+            found |= {(0, n)}
+        found = {x for x in found if None not in x}
+        cuts.append(found)
+        for a, b in found:
+            seen.setdefault(tuple(words[edge[a] : edge[b]]), []).append(((i is not None, i or 0, a), b - a))
+    gone = {}
+    for places in seen.values():
+        for (known, i, a), n in places:
+            if (known, i, a) != min(p for p, _ in places):
+                gone.setdefault(i if known else None, set()).update(range(a, a + n))
+    got = spandedup.remove_repeats(docs(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows) and any(r.n_removed for r in got)
+    for r in got:
+        assert set(r.removed) == {k for k in gone.get(r.doc_id, ()) if k < r.n_sentences}
+
+
 # --- language model and language -----------------------------------------------------------------------------
 
 
