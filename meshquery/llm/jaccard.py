@@ -16,6 +16,9 @@ Every text's set is its distinct shingles of ``width`` words.  Two texts link wh
    components are held against each other by bitmaps, in blocks; what passes goes on as in 4.  So no pair is left out
    which could join components.  Of the large tiles two classes share, the least among the first few of each compares
    them, so a pair comes out once.  Tiles of over ``BLOCK`` members are dealt out as pairs of blocks.
+6. The links so found suffice for the components but are not all.  Where all are asked for (``every``, as in
+   ``jaccard_links`` and ``count_links``), step 5 holds all members of every large tile against each other, those of
+   one component too.
 
 Nulls: a null text is empty; an empty set links with nothing.  Rows that repeat a doc_id are one document each and
 share a class if their sets are equal.  Extra columns are ignored.  An empty table gives an empty result.
@@ -204,14 +207,14 @@ def _tiles(percent: int):
     return run
 
 
-def _across(percent: int, bits: int):
-    """Pairs from different components in one tile (or two blocks of one) that bitmaps don't rule out."""
+def _across(percent: int, bits: int, every: bool = False):
+    """Pairs in one tile (or two blocks of one) that bitmaps don't rule out, from different components or ``every`` one."""
     step = 256
 
     def pairs(key, comp, n, maps, side, least, token):
         for s in range(0, len(key), step):
             t = slice(s, s + step)
-            ok = (comp[t, None] != comp[None, :]) & (key[t, None] < key[None, :]) & ((side[t, None] | side[None, :]) == 3)
+            ok = ((comp[t, None] != comp[None, :]) | every) & (key[t, None] < key[None, :]) & ((side[t, None] | side[None, :]) == 3)
             ok &= 100 * np.minimum(n[t, None], n[None, :]) >= percent * np.maximum(n[t, None], n[None, :])
             i, j = np.nonzero(ok)
             for q in range(0, len(i), 1 << 16):
@@ -231,7 +234,7 @@ def _across(percent: int, bits: int):
             return
         table = pa.Table.from_batches(parts)
         tile, token, key, comp, n, side = (table.column(c).to_numpy() for c in ("tile", "token", "key", "component", "n", "side"))
-        maps = table.column("bitmap").combine_chunks().flatten().to_numpy().reshape(len(key), bits // 64)
+        maps = table.column("bitmap").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(key), bits // 64)  # numpy counts the bits of a signed number's absolute value
         least = table.column("least").combine_chunks().flatten().to_numpy().reshape(len(key), LEAST_TILES)
         o = np.lexsort((key, tile))
         tile, token, key, comp, n, side, maps, least = (x[o] for x in (tile, token, key, comp, n, side, maps, least))
@@ -276,8 +279,11 @@ def _confirm(percent: int, width: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(membership: doc_id, key, n_shingles, component_id; links: a, b between classes by key)."""
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = BITS, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(membership: doc_id, key, n_shingles, component_id; links between classes by key: a, b).
+
+    The links are ``every`` one, or as many as suffice for the components.
+    """
     spark = docs.sparkSession
     texts = text_or_empty(docs)
     order = texts.mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -321,7 +327,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     least = large.groupBy("key").agg(F.slice(F.concat(least, F.array_repeat(F.lit(int(_NO_TILE)), LEAST_TILES)), 1, LEAST_TILES).alias("least"))
     of = least.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     members = large.join(of, "key")
-    mixed = members.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    mixed = members.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    if not every:
+        mixed = mixed.where("low <> high")
     rest = members.join(mixed.select("tile", "size"), "tile").join(classes.select("key", "n", "bitmap"), "key")
     k = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rest = rest.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -329,7 +337,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), F.col("tile").alias("token"), "key", "component", "n", "bitmap", "least",
         F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    more = rest.repartition("tile").mapInArrow(_across(percent, bits), "a long, b long").distinct()
+    more = rest.repartition("tile").mapInArrow(_across(percent, bits, every), "a long, b long").distinct()
     more = stash(more, "across")
     if not more.isEmpty():
         links = links.union(verified(more, "second"))
@@ -382,6 +390,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return jaccard_classes(docs, width, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key of every row of ``docs``; a, b: all links between different sets by key, a < b, each once)."""
+    found, links = jaccard_classes(docs, width, percent, every=True)
+    return found.select("doc_id", "key"), links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def count_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_links of every row of ``docs``: the other rows it links with, those of an equal set included."""
+    found, links = jaccard_classes(docs, width, percent, every=True)
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = found.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.union(links.select("b", "a")).toDF("key", "other")
+    near = both.join(rows.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.sum("rows").alias("near"))
+    n = rows.join(near, "key", "left").select("key", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return found.join(n, "key", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of linked documents, that of the smallest doc_id; all columns stay."""
     found = jaccard_components(docs, width, percent)

@@ -82,6 +82,24 @@ def test_large_tiles_in_blocks(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_all_links_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(10)
+    base = prose(rng, 120).split()
+    rows = [*AWKWARD, *((100 + i, mutated(rng, base, rng.choice([0, 0.005, 0.01, 0.03]))) for i in range(40))]
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(i, j) for i, j in itertools.combinations(sets, 2) if (both := len(sets[i] & sets[j])) and 100 * both >= 80 * len(sets[i] | sets[j])]
+    many = Counter(i for pair in near for i in pair)
+    assert max(many.values()) > 9
+    got = {r.doc_id: r.n_links for r in jaccard.count_links(docs(spark, rows).repartition(3)).collect()}
+    assert got == {i: many[i] for i in sets}
+    found, links = jaccard.jaccard_links(docs(spark, rows))
+    key = {r.doc_id: r.key for r in found.collect()}
+    pairs = sorted(map(tuple, links.collect()))
+    assert pairs == sorted({tuple(sorted((key[i], key[j]))) for i, j in near if key[i] != key[j]})
+
+
 def test_keep_one_keeps_columns(spark):
     d = docs(spark, [*AWKWARD, (11, "x " * 3000)])
     out = jaccard.keep_one(d)
