@@ -45,6 +45,12 @@ ORACLE = {
     "G17_dominance": sql("""SELECT bb AS source, bb2 AS target, 'dom' AS kind FROM flow WHERE bb2 IS NOT NULL UNION ALL SELECT bb2, bb, 'pdom' FROM flow WHERE bb2 IS NOT NULL"""),
     "G20_implementations": sql("""SELECT DISTINCT t.owner AS type, i.owner AS interface FROM (SELECT e.source AS owner, min(f.name) AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 'i%' GROUP BY 1) i
       JOIN (SELECT DISTINCT e.source AS owner, f.name AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 't%') t ON t.method = i.method"""),
+    "G20_implementations_whole": sql("""SELECT t.owner AS type, i.owner AS interface FROM types t JOIN asked i ON i.method = t.method GROUP BY 1, 2
+      HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.owner = i.owner)""",
+      "has AS (SELECT DISTINCT e.source AS owner, f.name AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND f.name IS NOT NULL)",
+      "asked AS (SELECT * FROM has WHERE owner LIKE 'i%')",
+      """types AS (SELECT * FROM has WHERE owner LIKE 't%' UNION ALL SELECT 'all:' || owner, method FROM asked
+      UNION ALL SELECT 'few:' || owner, method FROM asked a WHERE EXISTS (SELECT 1 FROM asked b WHERE b.owner = a.owner AND b.method > a.method))"""),
     "G24_relative_paths": sql("""SELECT DISTINCT 'corp.io/' || package AS path, CASE WHEN package = 'web' THEN 'main' WHEN package = 'web/api' THEN 'api' WHEN package LIKE 'web/api/%' THEN 'api/' || substr(package, 9) WHEN package LIKE 'web/%' THEN substr(package, 5)
       WHEN package = 'storage' THEN 'store' WHEN package LIKE 'storage/%' THEN 'store/' || substr(package, 9) ELSE 'base/' || package END AS relative FROM functions"""),
     "A1_search": sql("SELECT * FROM symbols WHERE name ILIKE '%serve1%' ORDER BY kind, name, id LIMIT 20", SYMBOLS),

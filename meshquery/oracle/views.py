@@ -57,6 +57,7 @@ ORACLE = {
       JOIN args a ON a.call = o.call AND s.flow_from = 'arg:' || a.index JOIN args b ON b.call = o.call AND s.flow_to = 'arg:' || b.index""", OUTSIDE),
     "D03_flows_by_default": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outside o ON o.call = a.call WHERE NOT EXISTS (SELECT 1 FROM flow_specs s WHERE s.package = o.package AND s.func_name = o.func_name)", OUTSIDE),
     "D04_without_orphans": sql("SELECT source, target, kind FROM edges WHERE kind IN ('scope', 'embeds', 'call')"),
+    "D04_without_orphans_whole": sql("SELECT source, target, kind FROM edges"),
     "D05_evaluation_order": sql("""SELECT a.arg AS source, b.arg AS target, 0::BIGINT AS final FROM args a JOIN args b ON b.call = a.call AND b.index = a.index + 1
       UNION SELECT arg, call, 1 FROM args a WHERE index = (SELECT max(index) FROM args b WHERE b.call = a.call)"""),
     "S21_validate": sql("SELECT 'orphan_edges' AS \"check\", NULL::VARCHAR AS kind, 0::BIGINT AS n UNION ALL SELECT 'nodes', kind, count(*) FROM nodes GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind"),

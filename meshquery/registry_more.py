@@ -50,13 +50,26 @@ def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _implementations(g: Graph) -> DataFrame:
-    """Types that have all of the first three method names (by text) of an interface."""
+    """Types that have the first method name (by text) of an interface; ``_implementations_whole`` asks for all."""
     m = g.ends(g.step("has_method"), {}, {"name": "method"}).select(F.col("source").alias("owner"), "method").distinct()
     first = Window.partitionBy("owner").orderBy("method")
     few = m.where("owner like 'i%'").withColumn("k", F.row_number().over(first)).where("k <= 1").select(F.col("owner").alias("interface"), "method")
     return extract.implementations(m.where("owner like 't%'").select(F.col("owner").alias("type"), "method"), few)
 
 
+def _implementations_whole(g: Graph) -> DataFrame:
+    """Types that have all method names of an interface.
+
+    Beside the graph's types each interface gets two: ``all:`` has its methods, ``few:`` all but the last by text.
+    """
+    m = g.ends(g.step("has_method"), {}, {"name": "method"}).select(F.col("source").alias("owner"), "method").distinct()
+    asked = m.where("owner like 'i%'").select(F.col("owner").alias("interface"), "method")
+    last = asked.groupBy("interface").agg(F.max("method").alias("last"))
+    made = asked.select(F.concat(F.lit("all:"), "interface").alias("type"), "method")
+    made = made.union(asked.join(last, "interface").where("method < last").select(F.concat(F.lit("few:"), "interface"), "method"))
+    return extract.implementations(m.where("owner like 't%'").select(F.col("owner").alias("type"), "method").union(made), asked)
+
+
 def _modules(g: Graph) -> DataFrame:
     d = g.functions.where("package is not null").select(F.concat(F.lit("corp.io/"), "package").alias("path")).distinct()
     return extract.relative(d, [("corp.io/web", ""), ("corp.io/web/api", "api"), ("corp.io/storage", "store"), ("corp.io", "base")])
@@ -88,6 +101,7 @@ GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "G16_pairs": lambda g: extract.pairs(g.of("send", "select").select("id", "kind", "parent_function"), "parent_function", "send", "select"),
     "G17_dominance": extract.dominance,
     "G20_implementations": _implementations,
+    "G20_implementations_whole": _implementations_whole,
     "G24_relative_paths": _modules,
     "A1_search": lambda g: api.search(g, "serve1", 20),
     "A2_subgraph_nodes": lambda g: api.subgraph(g, _busiest(g)).nodes,
