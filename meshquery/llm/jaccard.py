@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import chunks, column_bytes, components, mix, runs_of_rows, shingle_hashes, signed, stash, text_or_empty, word_hashes
 
@@ -280,9 +281,10 @@ def _confirm(percent: int, width: int):
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = BITS, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(membership: doc_id, key, n_shingles, component_id; links between classes by key: a, b).
+    """(membership: doc_id, key, n_shingles, component_id, component; links between classes by key: a, b).
 
-    The links are ``every`` one, or as many as suffice for the components.
+    The links are ``every`` one, or as many as suffice for the components.  ``component`` is null for an empty set; it
+    tells groups apart where rows repeat a doc_id and so a component_id.
     """
     spark = docs.sparkSession
     texts = text_or_empty(docs)
@@ -344,9 +346,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
         named = stash(components(links), "components")
     grouped = classes.select("key", "rep").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_key = grouped.join(least, "component").select("key", "component_id")
+    by_key = grouped.join(least, "component").select("key", "component_id", "component")
     found = described.select("doc_id", "key", "n").join(by_key, "key", "left")
-    found = found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
     return found, links
 
 
@@ -385,6 +387,16 @@ def _keyed(width: int, sieve: np.ndarray):
     return run
 
 
+def _with_key(width: int):
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text")
+            keys = np.array([digest(s) for s in each_set(text.fill_null(""), width)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*batch.schema.names, "_key"])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     return jaccard_classes(docs, width, percent)[0].select("doc_id", "n_shingles", "component_id")
@@ -408,7 +420,18 @@ def count_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest doc_id; all columns stay."""
-    found = jaccard_components(docs, width, percent)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    """One row of each group of linked documents; all columns stay.
+
+    It is the row of the smallest doc_id, then of the least set key, text hash and text.  An empty set is a group of its
+    own, so its rows all stay.
+    """
+    found = jaccard_classes(docs, width, percent)[0]
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_own"), F.lit(False).alias("_empty"))
+    first = stash(first.union(found.where("n_shingles = 0").select("doc_id", "key", F.lit(True)).distinct()), "first")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(first, docs.doc_id.eqNullSafe(first["_id"]), "left_semi")
+    keyed = docs.mapInArrow(_with_key(width), StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")))
+    place = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64("text"), "text"))
+    return kept.withColumn("_place", place).where("_empty or _place = 1").select(*docs.columns)

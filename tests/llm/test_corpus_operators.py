@@ -108,6 +108,16 @@ def test_keep_one_keeps_columns(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_repeated_ids(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b + " ka"), (2, c), (3, c + " ka"), (4, None), (4, ""), (None, a), (None, prose(rng, 30))]
+    out = jaccard.keep_one(docs(spark, rows).repartition(3))
+    assert out.columns == docs(spark, []).columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    assert got == sorted([(1, a), (1, b), (2, c), (4, ""), (4, ""), (0, rows[-1][1])])
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()))
