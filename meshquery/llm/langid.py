@@ -2,8 +2,9 @@
 
 A text's subwords are the byte pairs and triples of its folded text; each is hashed to one of ``buckets`` embeddings, the
 text is the mean of its subwords' embeddings, and a linear layer with softmax gives a probability to every language.
-Embeddings and layer are trained by stochastic gradient descent in numpy on a sample of labelled texts (at most
-``sample`` whole texts, those first by a hash of their ids).  One in five of them is held back: it sets the
+Embeddings and layer are trained by stochastic gradient descent in numpy on a sample of labelled texts: the
+``sample`` documents first by a hash of their ids, and of every language the first ``each``, a text of a document and
+language.  So the sample grows with the number of languages only.  One in five of a language is held back: it sets the
 temperature of the softmax and the probability below which a prediction is not ``accepted``.
 
 As the mean goes through linear layers only, a prediction needs one row of ``buckets x languages`` scores a subword.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _FOLD, chunks, column_bytes, text_or_empty
@@ -24,8 +25,8 @@ from .common import _FOLD, chunks, column_bytes, text_or_empty
 BUCKETS = 1 << 13
 WIDTH = 16
 SAMPLE = 4000
+EACH = 1000  # documents of every language; Spark drops later ones before the shuffle up to this number
 EPOCHS = 12
-LANGUAGES = 200
 
 
 def subwords(raw: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ class Model:
         layer = rng.normal(0, 0.1, (WIDTH, c)).astype(np.float32)
         bias = np.zeros(c, np.float32)
         label = np.array([languages.index(lang) for lang, _, _ in rows], np.int64)
-        held = np.arange(len(rows)) % 5 == 4
+        held = (np.arange(len(rows)) - np.searchsorted(label, label)) % 5 == 4  # by place in the language, rows being sorted
         train = np.flatnonzero(~held)
         for epoch in range(EPOCHS):
             rate = 2.0 * (1 - epoch / EPOCHS)
@@ -131,15 +132,17 @@ def _predict(model: Model | None):
     return run
 
 
-def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
-    """A model from at most ``sample`` rows with text and lang for which ``learn`` holds."""
+def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, each: int = EACH) -> Model | None:
+    """A model from ``sample`` documents and ``each`` of every language, with text and lang and where ``learn`` holds."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    picked = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = rows.join(F.broadcast(picked), "doc_id", "left_semi").limit(2 * sample)  # ids may repeat
+    ids = rows.select("lang", "doc_id").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
+    picked = picked.union(ids.withColumn("place", place).where(F.col("place") <= each).drop("place")).distinct()
+    rows = rows.join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # ids may repeat
     got = rows.select("lang", "text").mapInArrow(_histograms, "lang string, bucket array<int>, n array<int>").toArrow()
     data = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "bucket", "n"))))
-    languages = sorted({r[0] for r in data})[:LANGUAGES]
-    data = [r for r in data if r[0] in set(languages)]
+    languages = sorted({r[0] for r in data})
     return Model(languages, data) if data else None
 
 

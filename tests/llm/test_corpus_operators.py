@@ -282,6 +282,22 @@ def test_model_probabilities_sum_to_one():
     assert t == pytest.approx(1.0, abs=1e-4)
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(15)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(20)) for _ in range(3))
+    rows = [(i, " ".join(word(i % 210) for _ in range(20)), f"l{i % 210:03}") for i in range(630)]
+    rows += [(5000 + i, " ".join(word(300) for _ in range(20)), "k") for i in range(4)] + [(6000, " ".join(word(301) for _ in range(30)), "kk")]
+    rows += [(7000, " ".join(word(302) for _ in range(5)), "many")] * 300
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, F.lit(True), sample=50, each=3)
+    assert model.languages == sorted({k for _, _, k in rows})
+    few = [("a", [1, 2], [1, 1])] * 79 + [("b", [3, 4], [1, 1])] * 80 + [("c", [5, 6], [1, 1])]
+    model = langid.Model(["a", "b", "c"], few)
+    assert (model.scores[5] + model.scores[6]).argmax() == 2 and (model.scores[5] + model.scores[6])[2] > 0.5  # the one text of c was learned
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(8)
     parts = {"xx": ["sha", "the", "ing", "tion", "wh"], "yy": ["ção", "ñe", "lla", "dor", "ci"], "zz": ["sch", "ü", "ung", "ein", "ß"]}
