@@ -57,6 +57,20 @@ def listed(c: str | Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.array_sort(found), ","))
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """To some decimal places, halves away from zero.
+
+    The value is taken to twelve places before, so that the order in which it was summed can't show.
+    """
+    return F.round(col(c).cast("decimal(38,12)"), digits).cast("double")
+
+
+def encoded(properties: str | Column) -> Column:
+    """A map as JSON with its keys in order; an empty one is null."""
+    entries = F.array_sort(F.map_entries(col(properties)))
+    return F.when(F.size(col(properties)) > 0, F.to_json(F.map_from_entries(entries)))
+
+
 def details(**fields: str | Column) -> Column:
     """A JSON object that keeps null fields."""
     return F.to_json(F.struct(*[col(c).alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .schema import NODES, TABLES, conform, null_defaults
 
-MAP = "map<string,string>"
+MAP = "map<string,variant>"
 
 
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each property; JSON true and false become 1 and 0 as the rules expect them."""
-    of = F.from_json("properties", MAP)
-    df = df.where("properties is not null").select(*keys, F.explode(of).alias("key", "value"))
-    return df.withColumn("value", F.when(F.col("value") == "true", "1").when(F.col("value") == "false", "0").otherwise(F.col("value")))
+    """One row for each property; JSON true and false become 1 and 0 as the rules expect them, texts stay as they are."""
+    df = df.where("properties is not null").select(*keys, F.explode(F.from_json("properties", MAP)).alias("key", "v"))
+    flag = F.when(F.col("v").cast("string") == "true", "1").otherwise("0")
+    value = F.when(F.schema_of_variant("v") == "BOOLEAN", flag).otherwise(F.col("v").cast("string"))
+    return df.withColumn("value", value).drop("v").where("value is not null")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 class Graph:
@@ -32,6 +40,7 @@ class Graph:
         self.metrics = metrics if metrics is not None else empty("metrics")
         self.history = history if history is not None else empty("history")
         self._extra = properties
+        self.path: str | None = None  # where the tables are stored, if they are
 
     # --- construction and storage --------------------------------------------------------------------------
 
@@ -49,24 +58,38 @@ class Graph:
     def load(cls, spark: SparkSession, path: str) -> Graph:
         """From a saved folder; a table that isn't there is empty."""
         found = {}
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name, schema in TABLES.items():
-            at = hadoop(f"{path}/{name}")
-            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            if exists(spark, f"{path}/{name}"):
                 found[name] = conform(spark.read.schema(schema).parquet(f"{path}/{name}"), schema)
             else:
                 found[name] = spark.createDataFrame([], schema)
-        return cls(**found)
+        g = cls(**found)
+        g.path = path
+        return g
 
     def save(self, path: str, *tables: str) -> Graph:
-        """Write all tables, or those named; a scan of some kinds then reads those folders only."""
+        """Write all tables, or those named; a scan of some kinds then reads those folders only.
+
+        Rows are dealt by kind first, so that a task doesn't write every kind; adaptive execution splits large kinds.
+        """
         for name, schema in TABLES.items():
             if tables and name not in tables:
                 continue
-            w = conform(getattr(self, name), schema).write.mode("overwrite")
-            (w.partitionBy("kind") if "kind" in schema.names else w).parquet(f"{path}/{name}")
+            d = conform(getattr(self, name), schema)
+            by_kind = "kind" in schema.names
+            w = (d.hint("rebalance", F.col("kind")) if by_kind else d).write.mode("overwrite")
+            (w.partitionBy("kind") if by_kind else w).parquet(f"{path}/{name}")
         return Graph.load(self.spark, path)
 
+    def made(self, name: str, schema: T.StructType, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several analyses read: for a stored graph it is stored beside it and made once."""
+        if self.path is None:
+            return make()
+        path = f"{self.path}/derived-{name}"
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            conform(make(), schema).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
     # --- scans ---------------------------------------------------------------------------------------------
 
     def of(self, *kinds: str) -> DataFrame:
@@ -109,12 +132,25 @@ class Graph:
         """Functions with their metrics."""
         return self.functions.join(self.metrics, F.col("id") == F.col("function_id"))
 
-    def ends(self, edges: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
-        """Edges with columns of both ends: {node column: new name} for source and target."""
-        s = self.nodes.select(F.col("id").alias("source"), *[F.col(c).alias(n) for c, n in left.items()])
-        t = self.nodes.select(F.col("id").alias("target"), *[F.col(c).alias(n) for c, n in right.items()])
+    @cached_property
+    def weighed(self) -> DataFrame:
+        """All functions; those without metrics have nulls."""
+        return self.functions.join(self.metrics, F.col("id") == F.col("function_id"), "left")
+
+    def ends(self, edges: DataFrame, left: dict[str, str], right: dict[str, str], *kinds: str) -> DataFrame:
+        """Edges with columns of both ends: {node column: new name} for source and target.
+
+        Where edges only join nodes of some kinds, naming them spares the scan of all others.
+        """
+        nodes = self.of(*kinds) if kinds else self.nodes
+        s = nodes.select(F.col("id").alias("source"), *[F.col(c).alias(n) for c, n in left.items()])
+        t = nodes.select(F.col("id").alias("target"), *[F.col(c).alias(n) for c, n in right.items()])
         return edges.join(s, "source").join(t, "target")
 
+    def calls(self, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+        """Call edges with columns of caller and callee; both are functions."""
+        return self.ends(self.step("call"), left, right, "function")
+
     # --- checks --------------------------------------------------------------------------------------------
 
     def without_orphans(self) -> Graph:

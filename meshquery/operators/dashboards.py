@@ -4,67 +4,84 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sqlcompat import at_least, cc, counted_as, like, listed, tally, zero
+from ..functions.sqlcompat import at_least, cc, counted_as, like, listed, rounded, tally, zero
 from ..graph import Graph
+from ..plans import catalogue
 from . import findings as rules
 from . import views
 
-# Complexity buckets, by least and most.
-BUCKETS = (("1", 0, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("51+", 51, 999))
+# Complexity buckets: label, least and most as shown, most as met
+BUCKETS = (
+    ("1 (trivial)", 0, 1, 1),
+    ("2-5 (simple)", 2, 5, 5),
+    ("6-10 (moderate)", 6, 10, 10),
+    ("11-20 (complex)", 11, 20, 20),
+    ("21-50 (very complex)", 21, 50, 50),
+    ("51+ (extreme)", 51, 999, None),
+)
 TOP = 50
 HOTSPOTS = 200
 
 
 def complexity_distribution(g: Graph) -> DataFrame:
     """Functions by complexity bucket."""
-    low = high = name = F.lit(None)
-    for label, a, b in reversed(BUCKETS):
-        here = (cc() >= a) if b == 999 else (cc() <= b)
-        name, low, high = (F.when(here, v).otherwise(rest) if rest is not None else v for v, rest in ((F.lit(label), name), (F.lit(a), low), (F.lit(b), high)))
-    d = g.metrics.where(cc() > 0).select(name.alias("bucket"), low.cast("long").alias("min_complexity"), high.cast("long").alias("max_complexity"))
-    return d.groupBy("bucket", "min_complexity", "max_complexity").agg(counted_as("count"))
+    struct = lambda b: F.struct(F.lit(b[0]).alias("bucket"), F.lit(b[1]).cast("long").alias("bucket_min"), F.lit(b[2]).cast("long").alias("bucket_max"))
+    at = struct(BUCKETS[-1])
+    for b in reversed(BUCKETS[:-1]):
+        at = F.when(cc() <= b[3], struct(b)).otherwise(at)
+    return g.metrics.where(cc() > 0).select(at.alias("b")).select("b.*").groupBy("bucket", "bucket_min", "bucket_max").agg(counted_as("function_count"))
 
 
 def package_treemap(g: Graph) -> DataFrame:
     """functions' sizes by package with type and interface counts."""
     kinds = g.of("type_decl").join(g.having("type_kind", name="type_kind"), F.col("id") == F.col("node_id"), "left").where("package is not null")
     kinds = kinds.groupBy("package").agg(counted_as("type_count"), tally(F.col("type_kind") == "interface").alias("interface_count"))
-    d = g.functions.where("package is not null").join(g.metrics, F.col("id") == F.col("function_id"), "left").groupBy("package")
-    d = d.agg(F.count_distinct("file").alias("file_count"), counted_as("function_count"), F.sum(zero("loc")).alias("total_loc"), F.sum(zero("cyclomatic_complexity")).alias("total_complexity"), F.avg(zero("cyclomatic_complexity")).alias("avg_complexity"), F.max(zero("cyclomatic_complexity")).alias("max_complexity"))
+    c = zero("cyclomatic_complexity")
+    d = g.weighed.where("package is not null").groupBy("package")
+    d = d.agg(F.count_distinct("file").alias("file_count"), F.count_distinct("id").alias("function_count"), F.sum(zero("loc")).alias("total_loc"), F.sum(c).alias("total_complexity"), rounded(F.avg(c), 1).alias("avg_complexity"), F.max(c).alias("max_complexity"))
     return d.join(kinds, "package", "left").withColumns({c: zero(c) for c in ("type_count", "interface_count")})
 
 
-def _distribution(df: DataFrame) -> DataFrame:
-    d = df.groupBy("kind").agg(counted_as("count"))
-    return d.crossJoin(F.broadcast(d.agg(F.sum("count").alias("total")))).select("kind", "count", (100.0 * F.col("count") / F.col("total")).alias("percentage"))
+def _distribution(df: DataFrame, kind: str) -> DataFrame:
+    d = df.groupBy(F.col("kind").alias(kind)).agg(counted_as("count"))
+    total = d.agg(at_least(F.sum("count")).alias("total"))  # one row
+    return d.crossJoin(F.broadcast(total)).select(kind, "count", rounded(100.0 * F.col("count") / F.col("total"), 2).alias("percentage"))
 
 
 def edge_distribution(g: Graph) -> DataFrame:
-    return _distribution(g.edges)
+    return _distribution(g.edges, "edge_kind")
 
 
 def node_distribution(g: Graph) -> DataFrame:
-    return _distribution(g.nodes)
+    return _distribution(g.nodes, "node_kind")
 
 
 def complexity_vs_loc(g: Graph) -> DataFrame:
     """T13."""
-    return g.measured.where((cc() > 0) & (F.col("loc") > 0)).select("id", "name", "package", cc().alias("complexity"), "loc", "fan_in", "fan_out")
+    return g.measured.where((cc() > 0) & (F.col("loc") > 0)).select("function_id", "name", "package", cc().alias("complexity"), "loc", "fan_in", "fan_out")
 
 
-def totals(g: Graph, queries: int = 0, view_count: int = 0) -> DataFrame:
-    """Key and value rows."""
+def totals(g: Graph) -> DataFrame:
+    """Key and value (as text) of twenty totals, with the findings of the first stage."""
     k = F.col("kind")
-    n = g.nodes.agg(counted_as("total_nodes"), *[tally(k == kind).alias(f"total_{name}") for kind, name in (("function", "functions"), ("type_decl", "types"), ("call", "calls"), ("local", "locals"), ("parameter", "parameters"), ("basic_block", "basic_blocks"), ("go", "goroutines"))], F.count_distinct("package").alias("total_packages"), F.count_distinct("file").alias("total_files"))
-    e = g.edges.agg(counted_as("total_edges"), *[tally(k == kind).alias(f"total_{name}") for kind, name in (("call", "call_edges"), ("dfg", "dfg_edges"), ("cfg", "cfg_edges"), ("implements", "implementations"))])
-    m = g.metrics.agg(F.max(cc()).alias("max_complexity"), F.sum("loc").alias("total_loc"))
-    f = rules.stage(g, 1).agg(counted_as("total_findings"), tally(F.col("severity") == "warning").alias("total_warnings"))
-    one = n.crossJoin(e).crossJoin(m).crossJoin(f).withColumns({"total_queries": F.lit(queries).cast("long"), "total_views": F.lit(view_count).cast("long")})
-    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("long").alias("value")) for c in one.columns])
-    return one.select(F.inline(pairs))
+    n = g.nodes.agg(
+        F.count_distinct("package").alias("total_packages"), F.count_distinct("file").alias("total_files"), counted_as("total_nodes"),
+        *[tally(k == kind).alias(name) for kind, name in (("function", "total_functions"), ("type_decl", "total_types"), ("go", "total_goroutine_launches"), ("defer", "total_defers"))],
+    )
+    e = g.edges.agg(counted_as("total_edges"), *[tally(k == kind).alias(f"total_{kind}_edges") for kind in ("call", "dfg", "cfg")])
+    true = F.col("value").isin("1", "true")
+    p = g.node_properties.where("key in ('type_kind', 'inlineable', 'heap_escapes')").agg(
+        tally((F.col("key") == "type_kind") & (F.col("value") == "interface")).alias("total_interfaces"),
+        tally((F.col("key") == "inlineable") & true).alias("inlineable_functions"), tally((F.col("key") == "heap_escapes") & true).alias("heap_escaping"),
+    )
+    m = g.metrics.agg(F.sum("loc").alias("total_loc"), rounded(F.avg(F.when(cc() > 0, cc())), 1).alias("avg_complexity"), F.max(cc()).alias("max_complexity"))
+    f = rules.stage(g, 1).agg(counted_as("total_findings"))
+    one = n.crossJoin(e).crossJoin(p).crossJoin(m).crossJoin(f)  # one row each
+    one = one.withColumns({"total_queries": F.lit(catalogue.queries_by(1)), "total_views": F.lit(catalogue.views_by(1))})
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in one.columns])))
 
 
 def top_functions(g: Graph, n: int = TOP) -> DataFrame:
@@ -72,25 +89,31 @@ def top_functions(g: Graph, n: int = TOP) -> DataFrame:
     out = []
     for metric in ("complexity", "loc", "fan_in", "fan_out"):
         value = cc() if metric == "complexity" else F.col(metric)
-        d = g.measured.select("id", "name", "package", value.alias("value")).orderBy(F.desc("value"), "id").limit(n)
-        out.append(d.select(F.lit(metric).alias("metric"), F.row_number().over(Window.orderBy(F.desc("value"), "id")).cast("long").alias("rank"), "id", "name", "package", "value"))
+        d = g.measured.where(value > 0).select("function_id", "name", "package", "file", value.cast("double").alias("value")).orderBy(F.desc("value"), "function_id").limit(n)
+        rank = F.row_number().over(Window.orderBy(F.desc("value"), "function_id")).cast("long")  # over n rows
+        out.append(d.select(F.lit(metric).alias("metric"), rank.alias("rank"), "function_id", "name", "package", "file", "value"))
     return reduce(DataFrame.unionByName, out)
 
 
 def _maxima(d: DataFrame, **of: str) -> DataFrame:
+    """One row: each maximum, 1 at least."""
     return F.broadcast(d.agg(*[at_least(F.max(c)).alias(n) for n, c in of.items()]))
 
 
+def _by_node(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings by node, and the most of one node, findings without a node counted as one node's (1 at least)."""
+    f = findings.groupBy(F.col("node_id").alias("id")).agg(counted_as("finding_count"))
+    return f.where("id is not null"), F.broadcast(f.agg(F.greatest(F.coalesce(F.max("finding_count"), F.lit(1)), F.lit(1)).alias("max_findings")))
+
+
 def hotspots(g: Graph, n: int = HOTSPOTS, findings: DataFrame | None = None) -> DataFrame:
-    """Complexity 30, loc 20, fan-in 25, findings 25; the most findings are taken over all nodes, none included."""
-    f = rules.stage(g, 1) if findings is None else findings
-    f = f.groupBy(F.col("node_id").alias("id")).agg(counted_as("finding_count"))
-    most = F.broadcast(f.agg(at_least(F.max("finding_count")).alias("max_findings")))
-    d = g.measured.where(cc() > 0).join(f.where("id is not null"), "id", "left").withColumn("finding_count", zero("finding_count"))
-    d = d.crossJoin(_maxima(g.measured.where(cc() > 0), max_cc="cyclomatic_complexity", max_loc="loc", max_in="fan_in")).crossJoin(most)
-    score = 30.0 * cc() / F.col("max_cc") + 20.0 * F.col("loc") / F.col("max_loc") + 25.0 * F.col("fan_in") / F.col("max_in") + 25.0 * F.col("finding_count") / F.col("max_findings")
-    d = d.select("id", "name", "package", "file", cc().alias("complexity"), "loc", "fan_in", "finding_count", score.alias("score"))
-    return d.orderBy(F.desc(F.round("score", 9)), "id").limit(n)
+    """Complexity 30, loc 20, fan-in 25, findings 25."""
+    f, most = _by_node(rules.stage(g, 1) if findings is None else findings)
+    d = g.measured.where(cc() > 0).join(f, "id", "left").withColumn("finding_count", zero("finding_count"))
+    d = d.crossJoin(_maxima(g.metrics, max_cc="cyclomatic_complexity", max_loc="loc", max_in="fan_in")).crossJoin(most)  # one row each
+    score = cc() / F.col("max_cc") * 30 + F.col("loc") / F.col("max_loc") * 20 + F.col("fan_in") / F.col("max_in") * 25 + F.col("finding_count") / F.col("max_findings") * 25
+    d = d.select("function_id", "name", "package", "file", cc().alias("complexity"), "loc", "fan_in", "fan_out", "finding_count", rounded(score, 2).alias("hotspot_score"))
+    return d.orderBy(F.desc("hotspot_score"), "function_id").limit(n)
 
 
 def package_coupling(g: Graph) -> DataFrame:
@@ -100,42 +123,46 @@ def package_coupling(g: Graph) -> DataFrame:
 
 def error_chains(g: Graph) -> DataFrame:
     """Functions with wrapped errors; wraps and returns."""
-    wraps = g.ends(g.step("error_wrap"), {"parent_function": "id"}, {}).groupBy("id").agg(counted_as("wraps"))
-    returns = g.of("return").groupBy(F.col("parent_function").alias("id")).agg(counted_as("returns"))
-    return g.functions.select("id", "name", "package").join(wraps, "id").join(returns, "id", "left").select("id", "name", "package", "wraps", zero("returns").alias("returns"), F.lit(0).cast("long").alias("chain_depth"))
+    inside = g.nodes.where("parent_function is not null").select(F.col("id").alias("source"), F.col("parent_function").alias("function_id"))
+    wraps = g.step("error_wrap").join(inside, "source").groupBy("function_id").agg(counted_as("error_wraps"))
+    returns = g.of("return").groupBy(F.col("parent_function").alias("function_id")).agg(counted_as("error_returns"))
+    d = g.functions.select(F.col("id").alias("function_id"), "name", "package").join(wraps, "function_id").join(returns, "function_id", "left")
+    return d.select("function_id", "name", "package", "error_wraps", zero("error_returns").alias("error_returns"), F.lit(0).cast("long").alias("chain_depth"))
 
 
 def file_heatmap(g: Graph, findings: DataFrame | None = None) -> DataFrame:
-    """Complexity 40, loc 30, findings 30 by file; totals over function maxima, so a score can pass 100."""
-    f = (rules.stage(g, 2) if findings is None else findings).where("node_id is not null").groupBy(F.col("node_id").alias("id")).agg(counted_as("n"))
-    most = F.broadcast(f.agg(at_least(F.max("n")).alias("max_findings")))
-    d = g.measured.where("file is not null").join(f, "id", "left").groupBy("file", "package")
-    d = d.agg(counted_as("function_count"), F.sum(cc()).alias("total_complexity"), F.max(cc()).alias("max_complexity"), F.sum("loc").alias("total_loc"), F.sum(zero("n")).alias("finding_count"))
-    d = d.crossJoin(_maxima(g.measured, max_cc="cyclomatic_complexity", max_loc="loc")).crossJoin(most)
-    score = 40.0 * F.col("total_complexity") / F.col("max_cc") + 30.0 * F.col("total_loc") / F.col("max_loc") + 30.0 * F.col("finding_count") / F.col("max_findings")
-    return d.withColumn("score", score).drop("max_cc", "max_loc", "max_findings")
+    """Complexity 40, loc 30, findings 30 by file; totals over function maxima, so a score can pass 100.
+
+    Findings count for the file of their node, whatever its kind.
+    """
+    f, most = _by_node(rules.stage(g, 2) if findings is None else findings)
+    by_file = g.nodes.where("file is not null").select("id", "file").join(f, "id").groupBy("file").agg(F.sum("finding_count").alias("finding_count"))
+    d = views.complexity_by_file(g, "package").join(by_file, "file", "left").withColumn("finding_count", zero("finding_count"))
+    d = d.crossJoin(_maxima(g.metrics, max_cc="cyclomatic_complexity", max_loc="loc")).crossJoin(most)  # one row each
+    score = F.col("total_complexity") / F.col("max_cc") * 40 + F.col("total_loc") / F.col("max_loc") * 30 + F.col("finding_count") / F.col("max_findings") * 30
+    return d.select("file", "package", "function_count", "total_loc", "total_complexity", "max_complexity", "avg_complexity", "finding_count", rounded(score, 2).alias("hotspot_score"))
 
 
 def package_graph(g: Graph) -> DataFrame:
     """Package calls, two at least, without third-party packages."""
-    d = package_coupling(g).where((F.col("call_count") >= 2) & ~like("source_package", "github.com%", "golang.org%") & ~like("target_package", "github.com%", "golang.org%"))
+    d = package_coupling(g).where((F.col("call_count") >= 2) & ~like("source_package", "github.com/%", "golang.org/%") & ~like("target_package", "github.com/%", "golang.org/%"))
     return d.select(F.col("source_package").alias("source"), F.col("target_package").alias("target"), F.col("call_count").alias("weight"))
 
 
-DETAIL = {"num_locals": "local", "num_calls": "call", "num_returns": "return"}
+BRANCHES = ("if", "for", "switch", "select")
+INSIDE = {"num_locals": ("local",), "num_calls": ("call",), "num_branches": BRANCHES, "num_returns": ("return",)}
 
 
 def function_detail(g: Graph, findings: DataFrame | None = None) -> DataFrame:
     """A function's place, size, insides, findings, callers and callees."""
-    k = F.col("kind")
-    inside = g.nodes.where("parent_function is not null").groupBy(F.col("parent_function").alias("id"))
-    inside = inside.agg(*[tally(k == kind).alias(c) for c, kind in DETAIL.items()], tally(k.isin("if", "for", "switch", "select")).alias("num_branches"))
-    f = (rules.stage(g, 2) if findings is None else findings).groupBy(F.col("node_id").alias("id")).agg(counted_as("finding_count"))
-    names = g.ends(g.step("call"), {"name": "caller"}, {"name": "callee"})
+    inside = g.of("local", "call", "return", *BRANCHES).where("parent_function is not null").groupBy(F.col("parent_function").alias("id"))
+    inside = inside.agg(*[tally(F.col("kind").isin(*kinds)).alias(c) for c, kinds in INSIDE.items()])
+    f, _ = _by_node(rules.stage(g, 2) if findings is None else findings)
+    names = g.calls({"name": "caller"}, {"name": "callee"})
     callers = names.groupBy(F.col("target").alias("id")).agg(listed("caller").alias("callers"))
     callees = names.groupBy(F.col("source").alias("id")).agg(listed("callee").alias("callees"))
-    d = g.measured
+    d = g.weighed
     for more in (inside, f, callers, callees):
         d = d.join(more, "id", "left")
-    count: list[Column] = [zero(c).alias(c) for c in (*DETAIL, "num_branches", "finding_count")]
-    return d.select(F.col("id").alias("function_id"), "name", "package", "file", "line", "end_line", F.col("type_info").alias("signature"), cc().alias("complexity"), "loc", "fan_in", "fan_out", "num_params", *count, "callers", "callees")
+    of = {"complexity": "cyclomatic_complexity", **{c: c for c in ("loc", "fan_in", "fan_out", "num_params", *INSIDE, "finding_count")}}
+    return d.select(F.col("id").alias("function_id"), "name", "package", "file", "line", "end_line", F.col("type_info").alias("signature"), *[zero(c).alias(n) for n, c in of.items()], "callers", "callees")

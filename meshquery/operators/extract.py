@@ -61,6 +61,23 @@ def sync_kind(calls: DataFrame) -> DataFrame:
     return calls.join(spec, (F.col("package") == F.col("p")) & (F.col("method") == F.col("m")) & ((F.col("type") == F.col("t")) | (F.col("t") == "*")), "left").drop("p", "t", "m")
 
 
+VERB = r"%%|%[+\-# 0]*[0-9]*(?:\.[0-9]*)?(?s:.)"  # one directive of a format text
+
+
+def error_wraps(calls: DataFrame) -> DataFrame:
+    """Id, argument (from 0) of every error that a call wraps.
+
+    ``calls``: id, callee, format (the first argument if it is a text) and args, the number of arguments.  fmt.Errorf
+    wraps what its %w verbs stand for, each verb but %% taking one argument; errors.Join wraps all.
+    """
+    verbs = F.filter(F.regexp_extract_all("format", F.lit(VERB), F.lit(0)), lambda v: v != "%%")
+    places = F.transform(verbs, lambda v, k: F.when(F.right(v, F.lit(1)) == "w", k + 1))
+    some = F.filter(F.coalesce(places, F.array()), lambda k: k.isNotNull() & (k < F.col("args")))
+    every = F.when(F.col("args") > 0, F.sequence(F.lit(0), F.col("args").cast("int") - 1))
+    hit = F.when(F.col("callee") == "errors.Join", every).when(F.col("callee") == "fmt.Errorf", some)
+    return calls.select("id", F.explode(hit).alias("argument")).withColumn("argument", F.col("argument").cast("long"))
+
+
 def complexity(g: Graph, enclosing: DataFrame | None = None) -> DataFrame:
     """function_id, complexity, loc, num_params; decisions of literals count for the functions around them too.
 
@@ -109,6 +126,15 @@ def cfg_ends(g: Graph) -> DataFrame:
     return entry.unionByName(leave)
 
 
+def branches(ends: DataFrame) -> DataFrame:
+    """Source, target, label of the ways out of a block: true and false where it branches, none otherwise.
+
+    ``ends``: source, target, branches (whether the block ends in an if) and place, the successor's place from 0.
+    """
+    label = F.when(F.col("branches") & (F.col("place") == 0), "true").when(F.col("branches") & (F.col("place") == 1), "false")
+    return ends.select("source", "target", label.alias("label"))
+
+
 def uses(g: Graph) -> DataFrame:
     """Definition to use, without loops on one node."""
     return g.step("dfg").where("source <> target").distinct()
@@ -239,6 +265,24 @@ def satisfied(implements: DataFrame, methods: DataFrame, interfaces: DataFrame)
     return implements.join(a, "type").join(b, ["interface", "method"]).select("source", "target")
 
 
+def type_edges(declared: DataFrame) -> DataFrame:
+    """alias_of and embeds edges.  ``declared``: id, alias_of (another type, or null) and embedded (types, or null)."""
+    alias = declared.where("alias_of is not null").select(F.col("id").alias("source"), F.col("alias_of").alias("target"), F.lit("alias_of").alias("kind"))
+    inner = declared.where("alias_of is null").select(F.col("id").alias("source"), F.explode("embedded").alias("target"), F.lit("embeds").alias("kind"))
+    return alias.unionByName(inner.where("target is not null"))
+
+
+def has_method(types: DataFrame, methods: DataFrame) -> DataFrame:
+    """Type to each of its methods.  ``types``: id, name; ``methods``: id, receiver; both with package, or neither.
+
+    A receiver may be a pointer.
+    """
+    by = ["name", "package"] if "package" in types.columns and "package" in methods.columns else ["name"]
+    m = methods.withColumn("name", F.regexp_replace("receiver", r"^\*", ""))
+    t = types.select(F.col("id").alias("source"), *by)
+    return m.select(F.col("id").alias("target"), *by).join(t, by).select("source", "target").distinct()
+
+
 def relative(paths: DataFrame, modules: list[tuple[str, str]]) -> DataFrame:
     """``path`` below its module, by the longest module that fits; the first module has no prefix, its root is main.
 

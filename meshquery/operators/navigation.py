@@ -12,60 +12,80 @@ SCHEME = "scip-go gomod github.com/prometheus/prometheus v0 "  # fixed value
 
 
 def _types(g: Graph, prefix: str) -> DataFrame:
-    return g.of("type_decl").select(F.col("id").alias(prefix), F.col("name").alias(f"{prefix}_name"), F.col("package").alias(f"{prefix}_package"))
+    return g.of("type_decl").select(F.col("id").alias(f"{prefix}_id"), F.col("name").alias(f"{prefix}_name"), F.col("package").alias(f"{prefix}_package"))
 
 
 def type_impl_map(g: Graph) -> DataFrame:
-    """Interface, concrete type, and how many of the interface's methods (by name) the type has."""
-    methods = g.ends(g.step("has_method"), {}, {"name": "method"}).select(F.col("source").alias("owner"), "method").distinct()
-    impl = g.step("implements").select(F.col("source").alias("concrete"), F.col("target").alias("interface")).distinct()
-    # a concrete type has few methods, so those are looked up among the interface's
-    shared = impl.join(methods.withColumnRenamed("owner", "concrete"), "concrete").join(methods.withColumnRenamed("owner", "interface"), ["interface", "method"]).groupBy("interface", "concrete").agg(counted_as("methods_satisfied"))
-    d = impl.join(_types(g, "interface"), "interface").join(_types(g, "concrete"), "concrete").join(shared, ["interface", "concrete"], "left")
-    return d.withColumn("methods_satisfied", zero("methods_satisfied"))
+    """Interface, concrete type, and how many satisfies_method edges lead from methods of the type to the interface's."""
+    impl = g.step("implements").select(F.col("source").alias("concrete_id"), F.col("target").alias("interface_id"))
+    has = g.step("has_method").distinct()
+    # a concrete type has few methods, so the walk starts there
+    own = has.select(F.col("source").alias("concrete_id"), F.col("target").alias("method"))
+    asked = has.select(F.col("source").alias("interface_id"), F.col("target").alias("wanted"))
+    met = g.step("satisfies_method").select(F.col("source").alias("method"), F.col("target").alias("wanted"))
+    n = impl.distinct().join(own, "concrete_id").join(met, "method").join(asked, ["interface_id", "wanted"], "left_semi")
+    n = n.groupBy("interface_id", "concrete_id").agg(counted_as("method_count"))
+    d = impl.join(_types(g, "interface"), "interface_id").join(_types(g, "concrete"), "concrete_id").join(n, ["interface_id", "concrete_id"], "left")
+    return d.select("interface_id", "interface_name", "interface_package", "concrete_id", "concrete_name", "concrete_package", zero("method_count").alias("method_count"))
 
 
 def type_hierarchy(g: Graph) -> DataFrame:
-    """Embedding at depth 1, and at depth 0 the types that embed nothing."""
+    """Types with those they embed at depth 1, and at depth 0 the types that embed nothing."""
     e = g.step("embeds")
-    one = e.join(_types(g, "child"), F.col("source") == F.col("child")).join(_types(g, "parent"), F.col("target") == F.col("parent")).select("child", "child_name", "parent", "parent_name", F.lit(1).cast("long").alias("depth"))
-    none = _types(g, "child").join(e, F.col("child") == F.col("source"), "left_anti").select("child", "child_name", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("parent_name"), F.lit(0).cast("long").alias("depth"))
-    return one.unionByName(none)
+    embedded = _types(g, "embedded")
+    one = e.join(_types(g, "type"), F.col("source") == F.col("type_id")).join(embedded, F.col("target") == F.col("embedded_id"))
+    one = one.select("type_id", "type_name", "type_package", "embedded_id", "embedded_name", "embedded_package", F.lit(1).cast("long").alias("depth"))
+    none = _types(g, "type").join(e, F.col("type_id") == F.col("source"), "left_anti")
+    missing = [F.lit(None).cast("string").alias(c) for c in embedded.columns]
+    return one.unionByName(none.select("type_id", "type_name", "type_package", *missing, F.lit(0).cast("long").alias("depth")))
 
 
 def type_method_set(g: Graph) -> DataFrame:
     """Methods of each type with their metrics."""
-    m = g.functions.select(F.col("id").alias("method_id"), F.col("name").alias("method_name")).join(g.metrics, F.col("method_id") == F.col("function_id"), "left")
-    return g.step("has_method").join(_types(g, "type"), F.col("source") == F.col("type")).join(m, F.col("target") == F.col("method_id")).select("type", "type_name", "method_id", "method_name", zero("cyclomatic_complexity").alias("complexity"), zero("loc").alias("loc"))
+    m = g.weighed.select(F.col("id").alias("method_id"), F.col("name").alias("method_name"), F.col("type_info").alias("signature"), zero("cyclomatic_complexity").alias("complexity"), zero("loc").alias("loc"))
+    d = g.step("has_method").join(_types(g, "type"), F.col("source") == F.col("type_id")).join(m, F.col("target") == F.col("method_id"))
+    return d.select("type_id", "type_name", "method_id", "method_name", "signature", "complexity", "loc")
 
 
 def symbol_index(g: Graph) -> DataFrame:
-    """T25."""
-    return g.of("function", "type_decl", "local", "parameter").where("name <> '' and name <> '_'").select("id", "name", "kind", "package", "file", "line")
+    """Named declarations that stand in a file."""
+    d = g.of("function", "type_decl", "local", "parameter").where("name <> '' and name <> '_' and file is not null")
+    return d.select("id", "name", "kind", "package", "file", "line", F.col("type_info").alias("signature"), F.col("parent_function").alias("parent"))
 
 
 def file_outline(g: Graph) -> DataFrame:
-    """Functions (depth 1 if methods) and types by file."""
-    depth = F.when((F.col("kind") == "function") & F.col("name").contains("."), 1).otherwise(0).cast("long")
-    return g.of("function", "type_decl").where("file is not null").select("file", "id", "kind", "name", "line", "end_line", depth.alias("depth"))
+    """Functions and types by file; depth 1 inside a function."""
+    depth = F.when(F.col("parent_function").isNull(), 0).otherwise(1).cast("long")
+    d = g.of("function", "type_decl").where("name <> '' and file is not null")
+    return d.select("file", "id", "name", "kind", "line", "end_line", F.col("type_info").alias("signature"), F.col("parent_function").alias("parent_id"), depth.alias("depth"))
 
 
 def xrefs(g: Graph) -> DataFrame:
-    """Definition and use of every reference."""
-    side = lambda p: {c: f"{p}_{c}" for c in ("name", "file", "line")}
-    d = g.ends(g.step("ref"), side("use"), side("def"))
-    return d.select(F.col("target").alias("def_id"), "def_name", "def_file", "def_line", F.col("source").alias("use_id"), "use_file", "use_line")
+    """Definition and use of every reference between nodes that stand in files."""
+    n = g.nodes.where("file is not null")
+    of = lambda p, *more: n.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("file", "line", *more)])
+    d = g.step("ref").select(F.col("target").alias("def_id"), F.col("source").alias("use_id"))
+    d = d.join(of("def", "name"), "def_id").join(of("use", "kind"), "use_id")
+    return d.select("def_id", "def_name", "def_file", "def_line", "use_id", "use_file", "use_line", "use_kind")
 
 
 def go_patterns(g: Graph) -> DataFrame:
-    """Concurrency and panic patterns by package; panics are counted (the documented intent)."""
+    """Concurrency constructs by package, and interfaces, wrapped errors and context parameters of those packages.
+
+    Panics and type assertions are counted too (the documented intent of their columns).
+    """
     k = F.col("kind")
-    d = g.nodes.where("package is not null").groupBy("package").agg(tally(k == "go").alias("goroutine_count"), tally(k == "send").alias("send_count"), tally(k == "select").alias("select_count"), tally(k == "defer").alias("defer_count"), tally((k == "call") & (F.col("name") == "panic")).alias("panic_count"), tally(k == "type_assert_expr").alias("type_assert_count"))
-    sync = g.nodes.join(g.having("sync_kind", name="sync"), F.col("id") == F.col("node_id")).groupBy("package").agg(tally(like("sync", "%mutex%")).alias("mutex_count"))
-    wraps = g.ends(g.step("error_wrap"), {"package": "package"}, {}).groupBy("package").agg(counted_as("error_wrap_count"))
-    d = d.join(sync, "package", "left").join(wraps, "package", "left").withColumns({c: zero(c) for c in ("mutex_count", "error_wrap_count")})
-    counts = [c for c in d.columns if c != "package"]
-    return d.where(" + ".join(counts) + " > 0")
+    base = {"goroutine_count": "go", "defer_count": "defer", "channel_send_count": "send", "select_count": "select"}
+    d = g.of(*base.values()).where("package is not null").groupBy("package").agg(*[tally(k == kind).alias(c) for c, kind in base.items()])
+    faces = g.of("type_decl").join(g.having("type_kind", "interface"), F.col("id") == F.col("node_id"), "left_semi")
+    wraps = g.step("error_wrap").join(g.nodes.where("package is not null").select(F.col("id").alias("source"), "package"), "source")
+    more = {
+        "panic_count": g.of("call").where("name = 'panic'"), "interface_count": faces, "type_assert_count": g.of("type_assert_expr"),
+        "error_wrap_count": wraps, "context_param_count": g.of("parameter").where(like("type_info", "%context.Context%")),
+    }
+    for name, rows in more.items():
+        d = d.join(rows.groupBy("package").agg(counted_as(name)), "package", "left")
+    return d.select("package", *base, *[zero(c).alias(c) for c in more])
 
 
 def scip_symbols(g: Graph) -> DataFrame:
@@ -76,7 +96,7 @@ def scip_symbols(g: Graph) -> DataFrame:
     owner = F.replace(F.replace(F.substring("name", F.lit(1), dot - 1), F.lit("(*"), F.lit("")), F.lit(")"), F.lit(""))
     tail = F.when(method, F.concat(owner, F.lit("#"), F.substring("name", dot + 1, F.length("name")), F.lit("()."))).when(F.col("kind") == "function", F.concat("name", F.lit("()."))).when(F.col("kind") == "type_decl", F.concat("name", F.lit("#"))).otherwise("")
     kind = F.when(method, "method").when(F.col("kind") == "type_decl", "type").otherwise(F.col("kind"))
-    d = g.of("function", "type_decl", "package").where("package is not null and name <> ''")
+    d = g.of("function", "type_decl", "package").where("package is not null and (name <> '' or kind = 'package')")
     return d.select(F.col("id").alias("node_id"), F.concat(F.lit(SCHEME), path, F.lit("/"), tail).alias("scip_id"), kind.alias("kind"), "package", F.col("name").alias("display_name"))
 
 

@@ -5,20 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sqlcompat import counted_as, like
+from ..functions.sqlcompat import counted_as, like, listed, zero
 from ..graph import Graph
 from ..plans import specs
+from ..schema import TAINTED
 from ..session import checkpointed
 from . import traverse
 
 HOPS = 8
 
 
-def roles(g: Graph) -> DataFrame:
-    """node_id, role, category of calls to functions that the specs name."""
+def _annotated(g: Graph, value: str) -> DataFrame:
+    """node_id and one column of the specs of every call to a function that they name."""
     fn = g.functions.select(F.col("id").alias("target"), "package", F.col("name").alias("func_name"))
-    d = g.step("call_site").join(fn, "target").join(F.broadcast(specs.taints(g.spark)), ["package", "func_name"])
-    return d.select(F.col("source").alias("node_id"), "role", "category").distinct()
+    call = g.of("call").select(F.col("id").alias("source"))
+    d = g.step("call_site").join(fn, "target").join(F.broadcast(specs.taints(g.spark)), ["package", "func_name"]).join(call, "source", "left_semi")
+    return d.select(F.col("source").alias("node_id"), F.col(value).alias("value")).distinct()
+
+
+def annotations(g: Graph) -> DataFrame:
+    """node_id, key, value as rows of the property table."""
+    mark = lambda key, value: _annotated(g, value).select("node_id", F.lit(key).alias("key"), "value")
+    return mark("taint_role", "role").unionByName(mark("taint_category", "category"))
+
+
+def roles(g: Graph, role: str | None = None) -> DataFrame:
+    """node_id and role."""
+    d = _annotated(g, "role").withColumnRenamed("value", "role")
+    return d if role is None else d.where(F.col("role") == role)
+
+
+def categories(g: Graph) -> DataFrame:
+    """node_id and category; a call can have several."""
+    return _annotated(g, "category").withColumnRenamed("value", "category")
+
+
+def meeting(g: Graph) -> DataFrame:
+    """Functions with both a source and a sink call, and the categories of either."""
+    where = g.of("call").select(F.col("id").alias("node_id"), "parent_function").where("parent_function is not null")
+    met = lambda role, name: roles(g, role).join(categories(g), "node_id").join(where, "node_id").groupBy(F.col("parent_function").alias("id")).agg(listed("category").alias(name))
+    d = met("source", "source_categories").join(met("sink", "sink_categories"), "id")
+    return g.functions.select("id", "name", "package", "file", "line").join(d, "id")
 
 
 def flow_state(g: Graph, hops: int = HOPS, edges: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
@@ -26,10 +53,11 @@ def flow_state(g: Graph, hops: int = HOPS, edges: DataFrame | None = None, marks
 
     From every source along dfg edges.  A node met before by the same source leaves the frontier, which keeps the least
     hops and drops nothing.  The label is that of the node's roles in the order source, barrier, sink; barriers are
-    labelled but do not stop a walk.
+    labelled but do not stop a walk.  A source of several categories has the least; ``marks``: node_id, role, category.
     """
-    marks = roles(g) if marks is None else marks
-    source = marks.where("role = 'source'").groupBy(F.col("node_id").alias("source_id")).agg(F.min("category").alias("source_category"))
+    if marks is None:
+        marks = checkpointed(roles(g).join(categories(g), "node_id"))
+    source = marks.where("role = 'source'").groupBy(F.col("node_id").alias("source_id")).agg(F.coalesce(F.min("category"), F.lit("unknown")).alias("source_category"))
     seeds = source.select("source_id", F.col("source_id").alias("id"))
     reached = traverse.nearest(g.step("dfg") if edges is None else edges, seeds, hops, ("source_id",))
     flags = marks.groupBy(F.col("node_id").alias("id")).agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in ("source", "barrier", "sink")])
@@ -38,17 +66,31 @@ def flow_state(g: Graph, hops: int = HOPS, edges: DataFrame | None = None, marks
     return d.select(F.col("id").alias("node_id"), label.alias("label"), "source_id", "source_category", F.col("depth").alias("min_hops"))
 
 
+def state(g: Graph) -> DataFrame:
+    """T30 of a graph."""
+    return g.made("taint", TAINTED, lambda: flow_state(g))
+
+
 def summary(g: Graph) -> DataFrame:
     """V17."""
-    return flow_state(g).groupBy("label", "source_category").agg(counted_as("count"))
+    return state(g).groupBy("label", "source_category").agg(counted_as("node_count"))
+
+
+def sinks_reached(g: Graph) -> DataFrame:
+    """Sinks with the sources that reach them."""
+    d = state(g).where("label = 'sink_reached'").withColumnRenamed("node_id", "sink_id")
+    sink = g.of("call").select(F.col("id").alias("sink_id"), F.col("name").alias("sink_name"), "file", "line")
+    source = g.of("call").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return d.join(sink, "sink_id").join(source, "source_id").select("source_id", "source_name", "source_category", "sink_id", "sink_name", "file", "line", "min_hops")
 
 
 def index_sensitivity(g: Graph) -> DataFrame:
     """Nodes typed as maps or slices, and whether taint reaches them."""
-    d = g.of("local", "parameter", "field", "result").where(like("type_info", "map[%", "[]%"))
-    d = d.select(F.col("id").alias("node_id"), F.when(like("type_info", "map[%"), "map").otherwise("slice").alias("container_kind"), "type_info", F.col("parent_function").alias("function_id"))
-    hit = checkpointed(flow_state(g).select("node_id").distinct()).withColumn("has_taint", F.lit(1).cast("long"))
-    return d.join(hit, "node_id", "left").withColumn("has_taint", F.coalesce("has_taint", F.lit(0).cast("long")))
+    d = g.of("identifier", "local", "parameter", "field", "assign").where(like("type_info", "map[%", "[]%", "*map[%", "*[]%") & F.col("file").isNotNull())
+    kind = F.when(like("type_info", "map[%", "*map[%"), "map").otherwise("slice")
+    hit = state(g).select("node_id").distinct().withColumn("has_taint", F.lit(1).cast("long"))
+    d = d.select(F.col("id").alias("node_id"), "kind", kind.alias("container_kind"), "type_info", "file", "line", F.col("parent_function").alias("function_id"))
+    return d.join(hit, "node_id", "left").withColumn("has_taint", zero("has_taint").cast("long"))
 
 
 def container_summary(g: Graph) -> DataFrame:

@@ -4,65 +4,81 @@ from __future__ import annotations
 
 from ..operators.extract import SYNC
 from ..schema import TABLES
-from .carrier import _split, _values, sql
-from .findings import MEASURED, NEEDS, STAGE1, STAGE2
-from .named import BUSY, FORMAL, _kinds, _walk
-from .tables import DETAIL, SYMBOLS
+from .carrier import sql, values
+from .findings import STAGES
+from .named import BACKWARD, BUSY
+from .tables import DETAIL, SYMBOLS, TREEMAP
 from .views import DEPS
 
-_SLICE = _walk(_kinds("'dfg', 'param_in'", True), FORMAL, 20)
 _NODES = "hit AS (SELECT id, kind, name, file, line, end_line, package, parent_function, type_info FROM nodes WHERE id IN (SELECT id FROM r) ORDER BY file NULLS FIRST, line NULLS FIRST, id LIMIT 200)"
-_NEAR = f"""near AS (SELECT * FROM (SELECT n.id, 'function' AS kind, n.name, n.package, n.file, n.line, 'caller' AS direction FROM calls c JOIN nodes n ON n.id = c.source WHERE c.target = {BUSY}
-  UNION ALL SELECT n.id, 'function', n.name, n.package, n.file, n.line, 'callee' FROM calls c JOIN nodes n ON n.id = c.target WHERE c.source = {BUSY}) ORDER BY direction, name, id LIMIT 200),
-around AS (SELECT id, kind, name, package, file, line, NULL::VARCHAR AS direction FROM nodes WHERE id = {BUSY} UNION ALL SELECT * FROM near)"""
-_TREE = """heavy AS (SELECT source_package AS source, target_package AS target, call_count AS weight FROM deps WHERE call_count >= 2 ORDER BY weight DESC, source, target LIMIT 500),
-tree AS (SELECT package, count(DISTINCT file) AS file_count, count(*) AS function_count, sum(loc)::BIGINT AS total_loc, sum(cc)::BIGINT AS total_complexity, avg(cc) AS avg_complexity, max(cc) AS max_complexity,
-  (SELECT count(*) FROM nodes n WHERE n.kind = 'type_decl' AND n.package = m.package) AS type_count, (SELECT count(*) FROM nodes n WHERE n.kind = 'type_decl' AND n.package = m.package AND n.id LIKE 'i%') AS interface_count FROM measured m GROUP BY package ORDER BY package LIMIT 200)"""
+_NEAR = f"""near AS (SELECT * FROM (SELECT n.id, 'function' AS kind, n.name, n.package, n.file, n.line, 'caller' AS direction FROM e_call c JOIN functions n ON n.id = c.source WHERE c.target = {BUSY}
+  UNION ALL SELECT n.id, 'function', n.name, n.package, n.file, n.line, 'callee' FROM e_call c JOIN functions n ON n.id = c.target WHERE c.source = {BUSY}) ORDER BY direction, name, id LIMIT 200),
+around AS (SELECT id, kind, name, package, file, line, NULL::VARCHAR AS direction FROM functions WHERE id = {BUSY} UNION ALL SELECT * FROM near)"""
+_TREE = """heavy AS (SELECT source_package AS source, target_package AS target, call_count AS weight FROM deps WHERE call_count >= 2 AND NOT regexp_matches(source_package || ' ' || target_package, '(^| )(github.com|golang.org)/') ORDER BY weight DESC, source, target LIMIT 500),
+tree AS (SELECT * FROM treemap ORDER BY package LIMIT 200)"""
 _DOCS = [("table", name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)) for name, schema in TABLES.items()]
+_SYNC = [tuple(p.strip() for p in line.split(";")) for line in SYNC.strip().split("\n")]
+_ESCAPED = "escaped AS (SELECT id, kind, ['leaking_param', 'moved_to_heap', 'inlineable', 'does_not_escape'][1 + line % 4] AS said FROM (SELECT id, kind, line, file FROM functions UNION ALL SELECT id, kind, line, file FROM statements WHERE kind IN ('local', 'parameter')) WHERE file IS NOT NULL)"
+_SAME = "same AS (SELECT DISTINCT n.id, n.kind, e.said FROM escaped e JOIN (SELECT id, kind, file, line FROM functions UNION ALL SELECT id, kind, file, line FROM statements WHERE kind IN ('local', 'parameter')) x ON x.id = e.id JOIN (SELECT id, kind, file, line FROM functions UNION ALL SELECT id, kind, file, line FROM statements WHERE kind IN ('local', 'parameter')) n ON n.file = x.file AND n.line = x.line)"
 
 ORACLE = {
+    "S02_nodes": sql("SELECT * FROM nodes"),
+    "S04_sources": sql("SELECT file, content, package FROM sources"),
+    "S05_metrics": sql("SELECT * FROM metrics"),
+    "S06_null_binding": "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 <> 0 THEN source END AS file, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 5 END AS line FROM documents",
+    "S07_properties": sql("SELECT node_id, '{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}' AS properties FROM props GROUP BY node_id"),
     "S09_escape_log": """SELECT 'src/f' || l_suppkey || '.go' AS file, l_linenumber::BIGINT AS line, l_partkey % 80 AS col, ['leaking_param', 'moved_to_heap', 'escapes_to_heap', 'does_not_escape', 'inlineable'][1 + l_partkey % 6] AS kind,
       ['p', 'v', 'new(T', 'p', 'f'][1 + l_partkey % 6] || l_partkey || CASE WHEN l_partkey % 6 = 2 THEN ')' ELSE '' END AS detail FROM lineitem WHERE l_partkey % 6 < 5 AND l_partkey % 11 <> 0""",
-    "S10_change_log": """SELECT 'src/f' || l_suppkey || '.go' AS file, count(DISTINCT l_orderkey) AS commit_count, count(DISTINCT o_custkey) AS author_count, sum(l_quantity::BIGINT)::BIGINT AS insertions, sum(l_linenumber)::BIGINT AS deletions,
-      (sum(l_quantity::BIGINT) + sum(l_linenumber))::BIGINT AS churn FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 9 <> 0 AND l_partkey % 10 <> 0 GROUP BY l_suppkey""",
-    "S12_scan_by_kind": sql("SELECT id, name, package FROM nodes WHERE kind = 'send'"),
+    "S10_change_log": """SELECT 'src/f' || l_suppkey || '.go' AS file, count(DISTINCT l_orderkey) AS commit_count, count(DISTINCT o_custkey) AS author_count, 'Author ' || arg_min(o_custkey, l_orderkey) AS last_author, '2024-01-01T00:00:00Z' AS last_date, sum(l_quantity::BIGINT)::BIGINT AS insertions,
+      sum(l_linenumber)::BIGINT AS deletions, (sum(l_quantity::BIGINT) + sum(l_linenumber))::BIGINT AS churn FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 9 <> 0 AND l_partkey % 10 <> 0 GROUP BY l_suppkey""",
+    "S11_blame": "SELECT o_custkey::VARCHAR AS log, o_orderkey AS line, 'Author ' || o_orderpriority AS author, (o_orderkey + 5)::VARCHAR AS date, lpad(o_orderkey::VARCHAR, 12, '0') AS \"commit\" FROM orders",
+    "S12_scan_by_kind": sql("SELECT id, name, package FROM statements WHERE kind = 'send'"),
     "S13_full_text": r"""WITH t AS (SELECT 'doc' || doc_id || '.go' AS file, unnest(list_concat(['doc' || doc_id, 'go'], regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), regexp_split_to_array(lower(source), '[^\p{L}\p{N}]+'))) AS token FROM documents)
       SELECT file, count(*) AS hits FROM t WHERE token IN ('the', 'and') GROUP BY file HAVING count(DISTINCT token) = 2""",
+    "S18_subgraph_json": sql("SELECT id, '{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\",\"file\":' || coalesce('\"' || file || '\"', 'null') || ',\"line\":' || coalesce(line::VARCHAR, 'null') || ',\"package\":' || coalesce('\"' || package || '\"', 'null') || '}' AS json FROM functions"),
+    "S19_catalogue": "SELECT * FROM (VALUES ('view', 1::BIGINT, 15::BIGINT), ('view', 2, 11), ('query', 1, 32), ('query', 2, 31)) t(type, stage, n)",
     "G03_siblings": sql("SELECT id AS source, lead(id) OVER (PARTITION BY ok ORDER BY rn) AS target, row_number() OVER (PARTITION BY ok ORDER BY rn) AS rank FROM stmt QUALIFY target IS NOT NULL"),
-    "G04_defer_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM stmt WHERE kind = 'defer' QUALIFY target IS NOT NULL WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC)").replace("QUALIFY target IS NOT NULL WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC)", "WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC) QUALIFY target IS NOT NULL"),
-    "G07_sync_kind": f"""WITH s(package, type, method, sync_kind) AS (VALUES {_values([tuple(x) for x in _split(SYNC)])}),
+    "G04_defer_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM stmt WHERE kind = 'defer' WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC) QUALIFY target IS NOT NULL"),
+    "G05_init_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM functions WHERE name = 'init' WINDOW w AS (PARTITION BY package ORDER BY file, line, id) QUALIFY target IS NOT NULL"),
+    "G06_error_wraps": """SELECT l_orderkey * 10 + l_linenumber AS id, u.unnest AS argument FROM (SELECT *, CASE l_partkey % 5 WHEN 0 THEN [1] WHEN 1 THEN [2] WHEN 2 THEN [1, 2] WHEN 3 THEN [] ELSE [0, 1, 2] END AS hits FROM lineitem) x, unnest(hits) u""",
+    "G07_sync_kind": f"""WITH s(package, type, method, sync_kind) AS (VALUES {values(_SYNC)}),
       c AS (SELECT p_partkey AS id, ['sync', 'context', 'os'][1 + p_partkey % 3] AS package, ['Mutex', 'RWMutex', 'WaitGroup', 'Once'][1 + (p_partkey // 3) % 4] AS type, ['Lock', 'Unlock', 'RLock', 'Add', 'Wait', 'Do', 'Cancel'][1 + (p_partkey // 12) % 7] AS method FROM part)
       SELECT c.*, s.sync_kind FROM c LEFT JOIN s ON s.package = c.package AND s.method = c.method AND s.type IN (c.type, '*')""",
-    "G08_complexity": sql("""SELECT f.id AS function_id, (SELECT count(*) FROM stmt s WHERE s.fid = f.id AND s.kind IN ('if', 'for')) + 1 AS complexity, coalesce(f.end_line - f.line + 1, 0) AS loc, (SELECT count(*) FROM stmt s WHERE s.fid = f.id AND s.kind = 'parameter') AS num_params FROM functions f"""),
+    "G08_complexity": sql("""SELECT f.id AS function_id, 1 + coalesce(n.d, 0) AS complexity, coalesce(f.end_line - f.line + 1, 0) AS loc, coalesce(n.p, 0) AS num_params FROM functions f
+      LEFT JOIN (SELECT fid, count(*) FILTER (kind IN ('if', 'for')) AS d, count(*) FILTER (kind = 'parameter') AS p FROM stmt GROUP BY fid) n ON n.fid = f.id"""),
     "G09_fans": sql("SELECT * FROM metrics"),
-    "G10_recursion": sql("SELECT source AS function_id FROM calls WHERE source = target"),
-    "G12_param_in": sql("""SELECT a.arg AS source, p.id AS target, a.index FROM args a JOIN stmt c ON c.id = a.call JOIN (SELECT id, fid, row_number() OVER (PARTITION BY fid ORDER BY ok * 10 + rn, rn, id) - 1 AS place FROM stmt WHERE kind = 'parameter') p
-      ON p.fid = a.fid2 AND p.place = a.index + CASE WHEN c.pk % 3 = 1 THEN 1 ELSE 0 END"""),
+    "G10_recursion": sql("SELECT source AS function_id FROM e_call WHERE source = target"),
+    "G12_param_in": sql("SELECT a.arg AS source, p.id AS target, a.index FROM args a JOIN stmt c ON c.id = a.call JOIN stmt p ON p.kind = 'parameter' AND p.fid = a.fid2 AND p.place = a.index + CASE WHEN c.pk % 3 = 1 THEN 1 ELSE 0 END"),
     "G13_cfg_ends": sql("""SELECT fid AS source, arg_min(bb, (ok, rn)) AS target, 'entry' AS label FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid
       UNION ALL SELECT arg_max(bb, (ok, rn)), fid, 'exit' FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid"""),
-    "G14_uses": sql("SELECT id AS source, id2 AS target FROM pair"),
-    "G16_pairs": sql("SELECT a.id AS source, b.id AS target FROM stmt a JOIN stmt b ON b.fid = a.fid WHERE a.kind = 'send' AND b.kind = 'select'"),
-    "G17_dominance": sql("""SELECT bb AS source, bb2 AS target, 'dom' AS kind FROM flow WHERE bb2 IS NOT NULL UNION ALL SELECT bb2, bb, 'pdom' FROM flow WHERE bb2 IS NOT NULL"""),
-    "G20_implementations": sql("""SELECT DISTINCT t.owner AS type, i.owner AS interface FROM (SELECT e.source AS owner, min(f.name) AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 'i%' GROUP BY 1) i
-      JOIN (SELECT DISTINCT e.source AS owner, f.name AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND e.source LIKE 't%') t ON t.method = i.method"""),
-    "G20_implementations_whole": sql("""SELECT t.owner AS type, i.owner AS interface FROM types t JOIN asked i ON i.method = t.method GROUP BY 1, 2
-      HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.owner = i.owner)""",
-      "has AS (SELECT DISTINCT e.source AS owner, f.name AS method FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'has_method' AND f.name IS NOT NULL)",
-      "asked AS (SELECT * FROM has WHERE owner LIKE 'i%')",
-      """types AS (SELECT * FROM has WHERE owner LIKE 't%' UNION ALL SELECT 'all:' || owner, method FROM asked
-      UNION ALL SELECT 'few:' || owner, method FROM asked a WHERE EXISTS (SELECT 1 FROM asked b WHERE b.owner = a.owner AND b.method > a.method))"""),
+    "G13_branches": sql("SELECT 's' || ok || '_' || rn AS source, 's' || ok || '_' || rn + k AS target, CASE k WHEN 1 THEN 'true' ELSE 'false' END AS label FROM pair, (VALUES (1), (2)) v(k) WHERE kind = 'if' AND (k = 1 OR (ok, rn + 2) IN (SELECT (ok, rn) FROM stmt))"),
+    "G14_uses": sql("SELECT source, target FROM e_dfg"),
+    "G15_channel_flow": sql("SELECT DISTINCT s.id AS source, r.id AS target FROM stmt m JOIN stmt s ON s.ok = m.ok AND s.rn >= m.rn AND s.kind = 'send' JOIN stmt r ON r.ok = m.ok AND r.rn >= m.rn AND r.kind = 'select' WHERE m.kind = 'call'"),
+    "G16_panic_recover": sql("SELECT a.id AS source, b.id AS target FROM (SELECT id, parent_function, name, kind FROM statements) a JOIN (SELECT id, parent_function, kind FROM statements) b ON b.parent_function = a.parent_function WHERE a.name = 'panic' AND b.kind = 'defer'"),
+    "G17_dominance": sql("SELECT source, target, 'dom' AS kind FROM e_cfg UNION ALL SELECT target, source, 'pdom' FROM e_cfg"),
+    "G20_implementations": sql("""SELECT t.owner AS type, i.owner AS interface FROM havers t JOIN asked i ON i.method = t.method JOIN (SELECT owner, count(*) AS n FROM asked GROUP BY owner) c ON c.owner = i.owner GROUP BY 1, 2 HAVING count(*) = max(c.n)""",
+      "has AS (SELECT DISTINCT e.source AS owner, f.name AS method FROM e_has_method e JOIN functions f ON f.id = e.target WHERE f.name IS NOT NULL)", "asked AS (SELECT * FROM has WHERE owner LIKE 'i%')",
+      """havers AS (SELECT * FROM has WHERE owner LIKE 't%' UNION ALL SELECT 'all:' || owner, method FROM asked
+      UNION ALL SELECT 'few:' || owner, method FROM (SELECT *, max(method) OVER (PARTITION BY owner) AS last FROM asked) WHERE method < last)"""),
+    "G21_satisfied": sql("SELECT DISTINCT m.fid AS source, 'fld' || s.ok || '_' || s.rn AS target FROM e_implements i JOIN e_has_method h ON h.source = i.source JOIN (SELECT DISTINCT fid, pk FROM stmt) m ON m.fid = h.target JOIN stmt s ON 'i' || s.sk = i.target AND s.pk = m.pk"),
+    "G22_embeds_alias": "SELECT 't' || c_custkey AS source, CASE WHEN c_custkey % 7 = 0 THEN 'n' || c_nationkey ELSE 't' || c_custkey // 2 END AS target, CASE WHEN c_custkey % 7 = 0 THEN 'alias_of' ELSE 'embeds' END AS kind FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 3 = 0 AND c_custkey // 2 > 0",
+    "G23_has_method": sql("SELECT t.id AS source, f.id AS target FROM (SELECT 'T' || k AS receiver, 'r' || k AS id FROM range(50) r(k)) t JOIN p_function p ON p.key = 'receiver' AND p.value = t.receiver JOIN functions f ON f.id = p.node_id"),
     "G24_relative_paths": sql("""SELECT DISTINCT 'corp.io/' || package AS path, CASE WHEN package = 'web' THEN 'main' WHEN package = 'web/api' THEN 'api' WHEN package LIKE 'web/api/%' THEN 'api/' || substr(package, 9) WHEN package LIKE 'web/%' THEN substr(package, 5)
       WHEN package = 'storage' THEN 'store' WHEN package LIKE 'storage/%' THEN 'store/' || substr(package, 9) ELSE 'base/' || package END AS relative FROM functions"""),
-    "A1_search": sql("SELECT * FROM symbols WHERE name ILIKE '%serve1%' ORDER BY kind, name, id LIMIT 20", SYMBOLS),
+    "G25_escapes": sql("""SELECT DISTINCT id AS node_id, 'inlineable' AS key, 'true' AS value FROM same WHERE said = 'inlineable' AND kind = 'function' UNION ALL SELECT DISTINCT id, 'heap_escapes', 'true' FROM same WHERE said IN ('leaking_param', 'moved_to_heap')
+      UNION ALL SELECT DISTINCT id, 'heap_escapes', 'false' FROM same WHERE said = 'does_not_escape' AND kind <> 'function' AND id NOT IN (SELECT id FROM same WHERE said IN ('leaking_param', 'moved_to_heap'))""", _ESCAPED, _SAME),
+    "R30_first_of_id": "SELECT p_brand AS id, p_type AS kind, p_name AS name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_name) = 1",
+    "R31_violations": sql("SELECT 'participants.role' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'nodes.id', 0 UNION ALL SELECT 'nodes.name', 0 UNION ALL SELECT 'metrics.function_id', 0 UNION ALL SELECT 'broken.id', (SELECT count(*) FROM (SELECT id FROM (SELECT id FROM functions UNION ALL SELECT id FROM functions WHERE name = 'init') GROUP BY id HAVING count(*) > 1))"),
+    "A1_search": sql("SELECT id, name, kind, package, file, line FROM symbols WHERE name ILIKE '%serve1%' ORDER BY kind, name, id LIMIT 20", SYMBOLS),
     "A2_subgraph_nodes": sql("SELECT * FROM around", _NEAR),
-    "A2_subgraph_edges": sql("SELECT source, target, 'call' AS kind FROM calls WHERE source IN (SELECT id FROM around) AND target IN (SELECT id FROM around) ORDER BY 1, 2 LIMIT 500", _NEAR),
-    "A3_package_graph_nodes": sql("SELECT * FROM tree", MEASURED, DEPS, _TREE),
-    "A3_package_graph_edges": sql("SELECT * FROM heavy WHERE source IN (SELECT package FROM tree) AND target IN (SELECT package FROM tree)", MEASURED, DEPS, _TREE),
-    "A4_package_functions": sql("SELECT * FROM detail WHERE package ILIKE '%brand#1%' ORDER BY name, function_id LIMIT 200", *NEEDS, STAGE1, STAGE2, DETAIL),
-    "A5_source": sql("SELECT * FROM sources WHERE file = (SELECT min(file) FROM sources)"),
-    "A6_slice_nodes": sql("SELECT * FROM hit", _SLICE, _NODES),
-    "A6_slice_edges": sql("SELECT source, target, kind FROM edges WHERE kind IN ('dfg', 'param_in', 'param_out') AND source IN (SELECT id FROM hit) AND target IN (SELECT id FROM hit) ORDER BY 1, 2, 3 LIMIT 1000", _SLICE, _NODES),
-    "A8_slice_lines": sql("SELECT file, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT file, line FROM hit WHERE file IS NOT NULL) GROUP BY file", _SLICE, _NODES),
-    "R20_row_number": sql("SELECT id, row_number() OVER (ORDER BY loc DESC, id) AS rank FROM measured QUALIFY rank <= 50", MEASURED),
-    "T08_schema": sql(f"SELECT * FROM (VALUES {_values(_DOCS)}) t(category, name, description) UNION ALL SELECT 'node_kind', kind, count(*) || ' rows' FROM nodes GROUP BY kind UNION ALL SELECT 'edge_kind', kind, count(*) || ' rows' FROM edges GROUP BY kind"),
+    "A2_subgraph_edges": sql("SELECT source, target, 'call' AS kind FROM e_call WHERE source IN (SELECT id FROM around) AND target IN (SELECT id FROM around) ORDER BY 1, 2 LIMIT 500", _NEAR),
+    "A3_package_graph_nodes": sql("SELECT package AS id, * FROM tree", TREEMAP, DEPS, _TREE),
+    "A3_package_graph_edges": sql("SELECT * FROM heavy WHERE source IN (SELECT package FROM tree) AND target IN (SELECT package FROM tree)", TREEMAP, DEPS, _TREE),
+    "A4_package_functions": sql("SELECT * REPLACE (coalesce(line, 0) AS line, coalesce(end_line, 0) AS end_line) FROM detail WHERE package ILIKE '%brand#1%' ORDER BY name, function_id LIMIT 200", *STAGES, DETAIL),
+    "A5_source": sql("SELECT file, content, package FROM sources WHERE file = (SELECT min(file) FROM sources)"),
+    "A6_slice_nodes": sql("SELECT * FROM hit", BACKWARD, _NODES),
+    "A6_slice_edges": sql("SELECT source, target, kind FROM (SELECT *, 'dfg' AS kind FROM e_dfg UNION ALL SELECT *, 'param_in' FROM e_param_in UNION ALL SELECT *, 'param_out' FROM e_param_out) WHERE source IN (SELECT id FROM hit) AND target IN (SELECT id FROM hit) ORDER BY 1, 2, 3 LIMIT 1000", BACKWARD, _NODES),
+    "A8_slice_lines": sql("SELECT file, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT file, line FROM hit WHERE file IS NOT NULL AND line IS NOT NULL) GROUP BY file", BACKWARD, _NODES),
+    "R20_row_number": sql("SELECT id, row_number() OVER (ORDER BY loc DESC, id) AS rank FROM measured QUALIFY rank <= 50"),
+    "T08_schema": sql(f"SELECT * FROM (VALUES {values(_DOCS)}) t(category, name, description) UNION ALL SELECT 'node_kind', kind, count(*) || ' rows' FROM nodes GROUP BY kind UNION ALL SELECT 'edge_kind', kind, count(*) || ' rows' FROM edges GROUP BY kind"),
 }

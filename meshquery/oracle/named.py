@@ -2,125 +2,135 @@
 
 from __future__ import annotations
 
-from .carrier import sql
-from .findings import MEASURED, NEEDS, ROLES, STAGE1, STAGE2, TAINT, CONTAINERS
-from .protocols import COMM, CYCLES, PATTERNS
-from .tables import DETAIL, HEAT, HIERARCHY, HOT, IMPL, METHODS, OUTLINE, SCIP, SYMBOLS, XREFS
-from .tables import PATTERNS as GO
-from .views import DEPS
+from .carrier import rounded, sql
+from .findings import CONTAINERS, MEETING, ROLES, SINKS, STAGES, TAINT
+from .protocols import CHANNELS, COMM, LOOPS
+from .tables import CHAINS, DETAIL, HEAT, HIERARCHY, HOT, IMPL, METHODS, OUTLINE, PATTERNS, SCIP, SYMBOLS, TOP, XREFS
+from .views import AFFECTED, COHESION, CONCURRENCY, DEPS, PROFILE, REACH, SIZES, STABILITY
 
-FN = "(SELECT min(source) FROM calls)"
-FN2 = "(SELECT max(source) FROM calls)"
-END = "(SELECT min(b.target) FROM calls a JOIN calls b ON b.source = a.target WHERE a.source = (SELECT min(source) FROM calls) AND b.target <> a.source)"
-FLOW = "(SELECT min(source) FROM edges WHERE kind = 'dfg')"
-FLOW_END = "(SELECT max(target) FROM edges WHERE kind = 'dfg')"
-BLOCK = "(SELECT max(source) FROM edges WHERE kind = 'scope')"
-FACE = "(SELECT min(target) FROM edges WHERE kind = 'implements')"
-FACE_NAME = f"(SELECT name FROM nodes WHERE id = {FACE})"
-BUSY = "(SELECT source FROM calls GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
-CALLED = "(SELECT target FROM calls GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
-FORMAL = "(SELECT target FROM edges WHERE kind = 'param_in' GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
-OUT = "(SELECT source FROM edges WHERE kind = 'param_out' GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
-FAILS = "(SELECT source FROM calls JOIN props ON node_id = target AND key = 'returns_error' GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
+FN = "(SELECT min(source) FROM e_call)"
+END = "(SELECT min(b.target) FROM e_call a JOIN e_call b ON b.source = a.target WHERE a.source = (SELECT min(source) FROM e_call) AND b.target <> a.source)"
+FLOW = "(SELECT min(source) FROM e_dfg)"
+FLOW_END = "(SELECT max(target) FROM e_dfg)"
+BLOCK = "(SELECT max(source) FROM e_scope)"
+FACE = "(SELECT min(target) FROM e_implements)"
+FACE_NAME = f"(SELECT name FROM types WHERE id = {FACE})"
+BUSY = "(SELECT source FROM e_call GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
+CALLED = "(SELECT target FROM e_call GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+FORMAL = "(SELECT target FROM e_param_in GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+OUT = "(SELECT source FROM e_param_out GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
+FAILS = "(SELECT source FROM e_call JOIN p_function ON node_id = target AND key = 'returns_error' AND value = '1' GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
 BB_FN = "(SELECT min(fid) FROM flow WHERE bb2 IS NOT NULL)"
 
 
-def _walk(edges: str, start: str, depth: int) -> str:
+def walk(edges: str, start: str, depth: int) -> str:
     return f"r(id, depth) AS (SELECT {start}, 0::BIGINT UNION SELECT e.b, r.depth + 1 FROM r JOIN ({edges}) e ON e.a = r.id WHERE r.depth < {depth})"
 
 
-def _paths(edges: str, start: str, depth: int) -> str:
+def paths(edges: str, start: str, depth: int) -> str:
     return f"r(id, depth, path) AS (SELECT {start}, 0::BIGINT, [{start}] UNION ALL SELECT e.b, r.depth + 1, list_append(r.path, e.b) FROM r JOIN (SELECT DISTINCT a, b FROM ({edges})) e ON e.a = r.id WHERE r.depth < {depth} AND NOT list_contains(r.path, e.b))"
 
 
-_CALL = "SELECT source AS a, target AS b FROM calls"
-_BACK = "SELECT target AS a, source AS b FROM calls"
+def along(*kinds: str, back: bool = False) -> str:
+    a, b = ("target", "source") if back else ("source", "target")
+    return " UNION ALL ".join(f"SELECT {a} AS a, {b} AS b FROM e_{k}" for k in kinds)
 
 
-def _kinds(kinds: str, back: bool = False) -> str:
-    return f"SELECT {'target' if back else 'source'} AS a, {'source' if back else 'target'} AS b FROM edges WHERE kind IN ({kinds})"
-
-
-_COARSE = "coarse AS (SELECT DISTINCT s.pk // 2 AS a, t.pk // 2 AS b FROM calls c JOIN fn s ON s.id = c.source JOIN fn t ON t.id = c.target WHERE s.pk // 2 <> t.pk // 2)"
-_ERR = "SELECT source AS a, target AS b FROM calls WHERE target IN (SELECT node_id FROM props WHERE key = 'returns_error' AND value = '1')"
+BACKWARD = walk(along("dfg", "param_in", back=True), FORMAL, 20)
+FORWARD = walk(along("dfg", "param_out"), OUT, 20)
+CHAIN = paths(along("call"), FN, 10)
+CALLERS = walk(along("call", back=True), CALLED, 5)
+IMPACT = walk(along("call", back=True), CALLED, 8)
+SCOPES = f"r(id) AS (SELECT {BLOCK} UNION SELECT e.target FROM r JOIN e_scope e ON e.source = r.id)"
+ERRORS = walk("SELECT source AS a, target AS b FROM e_call WHERE target IN (SELECT node_id FROM p_function WHERE key = 'returns_error' AND value = '1')", FAILS, 10)
+FLOWS = paths(along("dfg"), FLOW, 15)
+LAYERS = "r(id, depth) AS (SELECT DISTINCT source_package, 0 FROM deps WHERE source_package NOT IN (SELECT target_package FROM deps) UNION SELECT d.target_package, r.depth + 1 FROM r JOIN deps d ON d.source_package = r.id WHERE r.depth < 20)"
+ROUTES = paths(along("call"), FN, 6)
+_HAS = "(SELECT node_id FROM p_function WHERE key = 'has_context' AND value = '1')"
+_PAIR = "SELECT id, name, package, file, line FROM functions WHERE id IN (SELECT {0} FROM e_call WHERE {1} = {2}) AND id IN (SELECT {0} FROM e_call WHERE {1} = {3})"
+_SEEN = "SELECT {0} FROM e_call WHERE {1} = {2}"
 
 ORACLE = {
-    "Q01_backward_slice": sql("SELECT n.id, n.kind, n.name, n.file, n.line, n.package FROM nodes n WHERE id IN (SELECT id FROM r)", _walk(_kinds("'dfg', 'param_in'", True), FORMAL, 20)),
-    "Q02_forward_slice": sql("SELECT n.id, n.kind, n.name, n.file, n.line, n.package FROM nodes n WHERE id IN (SELECT id FROM r)", _walk(_kinds("'dfg', 'param_out'"), OUT, 20)),
-    "Q03_call_chain": sql("SELECT DISTINCT r.id, r.depth, n.name, n.package FROM r JOIN nodes n ON n.id = r.id", _paths(_CALL, FN, 10)),
-    "Q04_callers_of": sql("SELECT r.id, r.depth, n.name, n.package, n.file, n.line FROM r JOIN functions n ON n.id = r.id", _walk(_BACK, CALLED, 5)),
-    "Q05_scope_variables": sql("SELECT n.id, n.kind, n.name, n.type_info, n.line FROM edges e JOIN nodes n ON n.id = e.target AND n.kind IN ('local', 'parameter', 'result') WHERE e.kind = 'ast' AND e.source IN (SELECT id FROM r)", f"r(id) AS (SELECT {BLOCK} UNION SELECT e.target FROM r JOIN edges e ON e.kind = 'scope' AND e.source = r.id)"),
-    "Q06_interface_implementors": sql(f"SELECT n.id, n.name, n.package, n.file, n.line FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'implements' AND e.target = {FACE}"),
-    "Q07_function_cfg": sql(f"SELECT n.name AS block, n.id AS block_id, e.target AS next_id FROM nodes n LEFT JOIN edges e ON e.kind = 'cfg' AND e.source = n.id WHERE n.kind = 'basic_block' AND n.parent_function = {BB_FN}"),
-    "Q08_cross_package_calls": sql("SELECT c.source, c.target, s.name AS caller, s.package AS caller_package, t.name AS callee, t.package AS callee_package FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target WHERE s.package <> t.package"),
-    "Q09_context_propagation": sql("""SELECT f.id, f.name, f.package, CASE WHEN EXISTS (SELECT 1 FROM nodes n JOIN props p ON p.node_id = n.id AND p.key = 'context_derivation' WHERE n.parent_function = f.id) THEN 'propagated' ELSE 'MISSING' END AS status
-      FROM functions f WHERE id IN (SELECT node_id FROM props WHERE key = 'has_context')"""),
-    "Q10_reaching_definitions": sql(f"SELECT n.id, n.kind, n.name, n.line FROM edges e JOIN nodes n ON n.id = e.source WHERE e.kind = 'dfg' AND e.target = {FLOW_END}"),
+    "Q01_backward_slice": sql("SELECT * FROM nodes WHERE id IN (SELECT id FROM r)", BACKWARD),
+    "Q02_forward_slice": sql("SELECT * FROM nodes WHERE id IN (SELECT id FROM r)", FORWARD),
+    "Q03_call_chain": sql("SELECT DISTINCT r.id, n.name, n.package, r.depth FROM r JOIN functions n ON n.id = r.id", CHAIN),
+    "Q04_callers_of": sql("SELECT r.id, n.name, n.package, r.depth FROM r JOIN functions n ON n.id = r.id", CALLERS),
+    "Q05_scope_variables": sql("SELECT n.* FROM e_ast e JOIN statements n ON n.id = e.target AND n.kind IN ('local', 'parameter') WHERE e.source IN (SELECT id FROM r)", SCOPES),
+    "Q06_interface_implementors": sql(f"SELECT n.id, n.name, n.package, n.file, n.line FROM e_implements e JOIN types n ON n.id = e.source WHERE e.target = {FACE}"),
+    "Q07_function_cfg": sql(f"""SELECT b.id AS block_id, b.name AS block_name, b.line AS block_line, f.bb2 AS successor_id, t.name AS successor_name, CASE WHEN f.bb2 IS NULL THEN NULL WHEN f.rn % 3 = 0 THEN 'true' WHEN f.rn % 3 = 1 THEN 'false' END AS branch_label
+      FROM flow f JOIN bbs b ON b.id = f.bb LEFT JOIN bbs t ON t.id = f.bb2 WHERE f.fid = {BB_FN}"""),
+    "Q08_cross_package_calls": sql("SELECT s.package AS caller_pkg, s.name AS caller, t.package AS callee_pkg, t.name AS callee FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.package <> t.package"),
+    "Q09_context_propagation": sql(f"""SELECT s.id AS caller_id, s.name AS caller_name, s.package AS caller_pkg, t.id AS callee_id, t.name AS callee_name, t.package AS callee_pkg, CASE WHEN t.id IN {_HAS} THEN 'propagated' ELSE 'MISSING' END AS ctx_status
+      FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.id IN {_HAS}"""),
+    "Q10_reaching_definitions": sql(f"SELECT n.id, n.name, n.kind, n.file, n.line, n.type_info FROM e_dfg e JOIN statements n ON n.id = e.source WHERE e.target = {FLOW_END}"),
     "Q11_package_dependency_graph": sql("SELECT * FROM deps", DEPS),
-    "Q12_goroutine_analysis": sql("SELECT f.id, f.name, f.package, count(*) AS goroutines, (SELECT string_agg(DISTINCT t.name, ',' ORDER BY t.name) FROM calls c JOIN nodes t ON t.id = c.target WHERE c.source = f.id) AS callees FROM functions f JOIN nodes n ON n.kind = 'go' AND n.parent_function = f.id GROUP BY f.id, f.name, f.package"),
-    "Q13_taint_analysis": sql("SELECT r.node_id, r.role, r.category, n.name, n.file, n.line, f.name AS function_name FROM roles r JOIN nodes n ON n.id = r.node_id LEFT JOIN functions f ON f.id = n.parent_function", ROLES),
-    "Q14_taint_path": sql("""SELECT * FROM (SELECT n.package AS place, string_agg(DISTINCT category, ',' ORDER BY category) FILTER (role = 'source') AS sources, string_agg(DISTINCT category, ',' ORDER BY category) FILTER (role = 'sink') AS sinks
-      FROM roles JOIN nodes n ON n.id = node_id GROUP BY n.package) WHERE sources IS NOT NULL AND sinks IS NOT NULL""", ROLES),
-    "Q15_function_io": sql("SELECT f.id AS function_id, f.name AS function_name, f.package, x.id AS io_id, x.kind AS direction, x.name AS io_name, x.type_info FROM edges e JOIN functions f ON f.id = e.source JOIN nodes x ON x.id = e.target WHERE e.kind = 'ast' AND x.kind IN ('parameter', 'result') AND f.id = (SELECT min(parent_function) FROM nodes WHERE kind IN ('parameter', 'result'))"),
-    "Q16_type_methods": sql("SELECT p.value AS receiver, f.id, f.name, f.package, m.cyclomatic_complexity AS complexity, m.loc FROM functions f JOIN props p ON p.node_id = f.id AND p.key = 'receiver' JOIN metrics m ON m.function_id = f.id WHERE p.value = (SELECT min(value) FROM props WHERE key = 'receiver')"),
-    "Q17_error_chain": sql("SELECT r.id, r.depth, n.name, n.package FROM r JOIN nodes n ON n.id = r.id", _walk(_ERR, FAILS, 10)),
-    "Q18_data_flow_path": sql("SELECT r.id, r.depth, array_to_string(r.path, ' → ') AS path, n.kind, n.name FROM r JOIN nodes n ON n.id = r.id", _paths(_kinds("'dfg'"), FLOW, 15)),
-    "Q19_shared_callers": sql("SELECT id, name, package FROM functions WHERE id IN (SELECT c.source FROM calls c WHERE c.target = (SELECT min(target) FROM calls)) AND id IN (SELECT c.source FROM calls c JOIN calls d ON d.source = c.source WHERE c.target = (SELECT min(target) FROM calls))"),
-    "Q20_impact_analysis": sql("SELECT r.id, r.depth, n.name, n.package FROM r JOIN functions n ON n.id = r.id", _walk(_BACK, CALLED, 8)),
-    "Q21_common_callee": sql(f"SELECT id, name, package FROM functions WHERE id IN (SELECT target FROM calls WHERE source = {FN})"),
-    "Q22_dependency_depth": sql("SELECT id::VARCHAR AS package, max(depth)::BIGINT AS max_depth FROM r GROUP BY id", _COARSE, "r(id, depth) AS (SELECT DISTINCT a, 0 FROM coarse WHERE a NOT IN (SELECT b FROM coarse) UNION SELECT c.b, r.depth + 1 FROM r JOIN coarse c ON c.a = r.id WHERE r.depth < 20)"),
-    "Q23_function_risk_ranking": sql("""SELECT id, name, package, risk AS risk_score FROM (SELECT m.*, 3 * cc / (SELECT max(cc) FROM measured) + 2 * loc / (SELECT max(loc) FROM measured WHERE cc > 0) + fan_in / (SELECT max(fan_in) FROM measured WHERE cc > 0) + fan_out / (SELECT max(fan_out) FROM measured WHERE cc > 0) AS risk FROM measured m WHERE cc > 0)
-      ORDER BY round(risk, 9) DESC, id LIMIT 50""", MEASURED),
-    "Q24_package_stability": sql("SELECT *, abs(instability + abstractness - 1) AS distance FROM (" + """SELECT package, ca, ce, types, interfaces, CASE WHEN ca + ce = 0 THEN 0.5 ELSE ce / (ca + ce) END::DOUBLE AS instability, CASE WHEN types = 0 THEN 0 ELSE interfaces / types END::DOUBLE AS abstractness FROM
-      (SELECT p.package, (SELECT count(*) FROM deps WHERE target_package = p.package) AS ca, (SELECT count(*) FROM deps WHERE source_package = p.package) AS ce,
-        (SELECT count(*) FROM nodes n WHERE n.kind = 'type_decl' AND n.package = p.package) AS types, (SELECT count(*) FROM nodes n WHERE n.kind = 'type_decl' AND n.package = p.package AND n.id LIKE 'i%') AS interfaces
-       FROM (SELECT source_package AS package FROM deps UNION SELECT target_package FROM deps UNION SELECT package FROM nodes WHERE kind = 'type_decl') p))""", DEPS),
-    "Q25_function_control_profile": sql("""SELECT f.id, f.name, f.package, count(*) FILTER (n.kind IN ('if', 'switch', 'select')) AS branches, count(*) FILTER (n.kind = 'for') AS loops, count(*) FILTER (n.kind = 'return') AS returns, count(*) FILTER (n.kind = 'defer') AS defers,
-      count(*) FILTER (n.kind = 'go') AS gos, count(*) FILTER (n.kind = 'call') AS calls, count(*) FILTER (n.kind = 'send') AS sends, count(*) FILTER (n.kind = 'assign') AS assigns FROM functions f JOIN nodes n ON n.parent_function = f.id WHERE f.id = """ + FN + " GROUP BY f.id, f.name, f.package"),
-    "Q26_similar_functions": sql(f"SELECT a.id, a.name, a.package, a.loc, abs(a.loc - b.loc) AS difference FROM measured a JOIN measured b ON a.cc = b.cc AND a.num_params = b.num_params AND abs(a.loc - b.loc) <= 200 AND a.id <> b.id WHERE b.id = {BUSY}", MEASURED),
-    "Q27_package_cohesion": sql("""SELECT package, internal_calls, total_calls, functions, internal_calls / total_calls AS cohesion FROM (SELECT s.package, count(*) FILTER (s.package = t.package) AS internal_calls, count(*) AS total_calls FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target GROUP BY s.package)
-      JOIN (SELECT package, count(*) AS functions FROM functions GROUP BY package) USING (package)"""),
-    "Q30_function_neighborhood": sql(f"""SELECT 'caller' AS direction, n.id, n.name, n.package, n.file, n.line FROM calls c JOIN nodes n ON n.id = c.source WHERE c.target = {BUSY}
-      UNION ALL SELECT 'callee', n.id, n.name, n.package, n.file, n.line FROM calls c JOIN nodes n ON n.id = c.target WHERE c.source = {BUSY}"""),
-    "Q31_file_complexity": sql("SELECT file, count(*) AS functions, sum(cc)::BIGINT AS total_complexity, avg(cc) AS avg_complexity, sum(loc)::BIGINT AS total_loc FROM measured WHERE file IS NOT NULL GROUP BY file", MEASURED),
-    "Q32_type_usage": sql("SELECT id, name, package, type_info FROM functions f WHERE type_info ILIKE '%Type1%' OR EXISTS (SELECT 1 FROM nodes n WHERE n.kind IN ('parameter', 'result') AND n.parent_function = f.id AND n.type_info ILIKE '%Type1%')"),
-    "Q33_hotspot_analysis": sql("SELECT * FROM hot ORDER BY round(score, 9) DESC, id LIMIT 20", *NEEDS, STAGE1, HOT),
+    "Q12_goroutine_analysis": sql("""SELECT g.id AS go_id, g.file, g.ok * 10 + g.rn AS line, f.name AS parent_function, s.v AS sync_primitives, count(*) OVER (PARTITION BY g.fid) AS goroutine_count
+      FROM stmt g JOIN functions f ON f.id = g.fid LEFT JOIN (SELECT fid, string_agg(DISTINCT value, ',' ORDER BY value) AS v FROM p_sync GROUP BY fid) s ON s.fid = g.fid WHERE g.kind = 'go'"""),
+    "Q13_taint_analysis": sql("""SELECT n.id, n.name, n.file, n.line, n.parent_function, r.role AS taint_role, c.category AS taint_category, f.name AS function_name FROM roles r JOIN statements n ON n.id = r.node_id JOIN categories c ON c.node_id = r.node_id LEFT JOIN functions f ON f.id = n.parent_function""", ROLES),
+    "Q14_taint_path": sql("SELECT * FROM meeting", ROLES, MEETING),
+    "Q15_function_io": sql("""SELECT f.id AS function_id, f.name AS function_name, f.package, x.id AS io_node_id, x.name AS io_name, x.kind AS io_kind, x.type_info AS io_type, CASE WHEN x.properties LIKE '%"mutable":true%' THEN 1 END::BIGINT AS is_mutable, CASE WHEN x.properties LIKE '%"nullable":true%' THEN 1 END::BIGINT AS is_nullable
+      FROM functions f JOIN (SELECT * FROM statements WHERE kind = 'parameter' UNION ALL SELECT * FROM results) x ON x.parent_function = f.id WHERE f.id = (SELECT min(fid) FROM stmt WHERE kind IN ('parameter', 'return'))"""),
+    "Q16_type_methods": sql("SELECT id, name, file, line, type_info, cc AS complexity, loc FROM measured JOIN p_function ON node_id = id AND key = 'receiver' WHERE value = (SELECT min(value) FROM p_function WHERE key = 'receiver')"),
+    "Q17_error_chain": sql("SELECT r.id, n.name, n.package AS pkg, r.depth FROM r JOIN functions n ON n.id = r.id", ERRORS),
+    "Q18_data_flow_path": sql("SELECT r.id, n.name, n.kind, n.file, n.line, r.depth FROM r JOIN statements n ON n.id = r.id", FLOWS),
+    "Q19_shared_callers": sql(_PAIR.format("source", "target", f"(SELECT min(target) FROM ({_SEEN.format('target', 'source', BUSY)}))", f"(SELECT max(target) FROM ({_SEEN.format('target', 'source', BUSY)}))")),
+    "Q20_impact_analysis": sql("SELECT r.id, n.name, n.package, n.file, n.line, r.depth FROM r JOIN functions n ON n.id = r.id", IMPACT),
+    "Q21_common_callee": sql(_PAIR.format("target", "source", f"(SELECT min(source) FROM ({_SEEN.format('source', 'target', CALLED)}))", f"(SELECT max(source) FROM ({_SEEN.format('source', 'target', CALLED)}))")),
+    "Q22_dependency_depth": sql("SELECT id AS package, max(depth)::BIGINT AS max_depth FROM r GROUP BY id", DEPS, LAYERS),
+    "Q23_function_risk_ranking": sql("SELECT id AS node_id, file, line, name || ' risk=' || risk_score AS message, risk_score, cc AS complexity, loc, fan_in, fan_out, package FROM risks ORDER BY risk_score DESC, id LIMIT 50", *STAGES),
+    "Q24_package_stability": sql(f"SELECT *, {rounded('abs(instability + abstractness - 1.0::DOUBLE)', 3)} AS distance_from_main_seq FROM stability", DEPS, STABILITY),
+    "Q25_function_control_profile": sql(f"SELECT * FROM profile WHERE function_id = {FN}", PROFILE),
+    "Q26_similar_functions": sql("""SELECT b.id, b.name, b.package, b.file, b.line, b.cc AS complexity, b.loc, b.num_params FROM measured a JOIN measured b ON a.cc = b.cc AND a.num_params = b.num_params AND abs(a.loc - b.loc) <= 5 AND a.id <> b.id
+      WHERE a.id = (SELECT min(a.id) FROM measured a JOIN measured b ON a.cc = b.cc AND a.num_params = b.num_params AND abs(a.loc - b.loc) <= 5 AND a.id < b.id)"""),
+    "Q27_package_cohesion": sql("SELECT * FROM cohesion", COHESION),
+    "Q28_concurrency_profile": sql("SELECT * FROM concurrency", CONCURRENCY),
+    "Q29_package_impact": sql(AFFECTED, DEPS, REACH),
+    "Q30_function_neighborhood": sql(f"""SELECT 'caller' AS direction, n.id, n.name, n.package, n.file, n.line FROM e_call c JOIN functions n ON n.id = c.source WHERE c.target = {BUSY}
+      UNION ALL SELECT 'callee', n.id, n.name, n.package, n.file, n.line FROM e_call c JOIN functions n ON n.id = c.target WHERE c.source = {BUSY}"""),
+    "Q31_file_complexity": sql("SELECT file, function_count, total_complexity, max_complexity, avg_complexity, total_loc FROM file_sizes", SIZES),
+    "Q32_type_usage": sql("SELECT id, name, package, file, line, type_info FROM functions WHERE type_info ILIKE '%map[%' OR id IN (SELECT e.source FROM e_ast e JOIN (SELECT id, type_info FROM statements WHERE kind = 'parameter' UNION ALL SELECT id, type_info FROM results) x ON x.id = e.target WHERE x.type_info ILIKE '%map[%')"),
+    "Q33_hotspot_analysis": sql("SELECT function_id, name, package, complexity, fan_in, finding_count, hotspot_score FROM hot ORDER BY hotspot_score DESC, function_id LIMIT 20", *STAGES, HOT),
     "Q34_package_coupling_matrix": sql("SELECT source_package, target_package, call_count FROM deps ORDER BY call_count DESC, source_package, target_package LIMIT 50", DEPS),
-    "Q35_error_propagation": sql("""SELECT f.id, f.name, f.package, w.n AS wraps, (SELECT count(*) FROM nodes r WHERE r.kind = 'return' AND r.parent_function = f.id) AS returns, 0::BIGINT AS chain_depth
-      FROM functions f JOIN (SELECT s.parent_function AS pf, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source WHERE e.kind = 'error_wrap' GROUP BY 1) w ON w.pf = f.id ORDER BY wraps DESC, returns DESC, f.id LIMIT 30"""),
-    "Q36_top_by_metric": sql("SELECT 'fan_in' AS metric, row_number() OVER (ORDER BY fan_in DESC, id) AS rank, id, name, package, fan_in AS value FROM measured QUALIFY rank <= 50", MEASURED),
-    "Q37_coupling_degree": sql("SELECT source_package, count(*) AS targets, sum(call_count)::BIGINT AS calls FROM deps GROUP BY source_package", DEPS),
-    "Q38_pathfinder": sql(f"SELECT depth, array_to_string(path, ' → ') AS path FROM r WHERE id = {END} AND depth > 0 ORDER BY depth, path LIMIT 10", _paths(_CALL, FN, 6)),
-    "Q39_file_heatmap": sql("SELECT * FROM heat", *NEEDS, STAGE1, STAGE2, HEAT),
-    "Q40_package_graph": sql("SELECT source_package AS source, target_package AS target, call_count AS weight FROM deps WHERE call_count >= 2", DEPS),
-    "Q41_function_detail": sql(f"SELECT * FROM detail WHERE function_id = {BUSY}", *NEEDS, STAGE1, STAGE2, DETAIL),
-    "Q42_interface_map": sql(f"SELECT * FROM impl WHERE interface_name = {FACE_NAME}", IMPL),
-    "Q43_type_hierarchy_tree": sql("SELECT * FROM hierarchy WHERE (SELECT min(parent_name) FROM hierarchy) IN (child_name, parent_name)", HIERARCHY),
-    "Q44_method_set": sql(f"SELECT * FROM method_set WHERE type_name = {FACE_NAME}", METHODS),
-    "Q45_largest_interfaces": sql("SELECT interface, interface_name, count(*) AS implementations FROM impl GROUP BY ALL", IMPL),
-    "Q46_most_implemented": sql("SELECT interface, interface_name, count(*) AS implementations FROM impl GROUP BY ALL ORDER BY implementations DESC, interface LIMIT 20", IMPL),
-    "Q47_symbol_search": sql("SELECT * FROM symbols WHERE name ILIKE '%get1%' ORDER BY kind, name, id LIMIT 50", SYMBOLS),
-    "Q48_file_outline": sql("SELECT * FROM outline WHERE file = (SELECT min(file) FROM nodes)", OUTLINE),
-    "Q49_xref_lookup": sql("SELECT * FROM xrefs WHERE def_id = (SELECT min(def_id) FROM xrefs)", XREFS),
-    "Q50_go_patterns": sql("SELECT * FROM patterns", GO),
-    "Q51_taint_path_to_sink": sql("SELECT t.source_id, s.name AS source_name, t.node_id AS sink_id, n.name AS sink_name, t.source_category, t.min_hops FROM flow_state t JOIN nodes n ON n.id = t.node_id JOIN nodes s ON s.id = t.source_id WHERE t.label = 'sink_reached'", ROLES, TAINT),
-    "Q52_tainted_containers": sql("SELECT c.*, n.name FROM containers c JOIN nodes n ON n.id = c.node_id WHERE has_taint = 1", ROLES, TAINT, CONTAINERS),
-    "Q53_scip_lookup": sql("SELECT * FROM scip WHERE scip_id ILIKE '%#serve1%'", SCIP),
-    "Q55_adapter_flow": sql("SELECT a.source_component, a.target_component, p.name AS protocol, b.source_component AS upstream, q.name AS upstream_protocol FROM links a JOIN protocols p ON p.id = a.protocol_id JOIN links b ON b.target_component = a.source_component JOIN protocols q ON q.id = b.protocol_id WHERE a.source_component = 'adapter'", COMM),
+    "Q35_error_propagation": sql("SELECT * EXCLUDE (chain_depth) FROM chains ORDER BY error_wraps DESC, function_id LIMIT 30", CHAINS),
+    "Q36_top_by_metric": sql("SELECT rank, function_id, name, package, value FROM leaders WHERE metric = 'fan_in'", TOP),
+    "Q37_coupling_degree": sql("SELECT source_package, count(*) AS coupled_to, sum(call_count)::BIGINT AS total_calls FROM deps GROUP BY source_package", DEPS),
+    "Q38_pathfinder": sql(f"SELECT array_to_string(path, ' -> ') AS path, depth FROM r WHERE id = {END} AND depth > 0 ORDER BY depth, path LIMIT 10", ROUTES),
+    "Q39_file_heatmap": sql("SELECT file, package, total_complexity, total_loc, finding_count, hotspot_score FROM heat", *STAGES, HEAT),
+    "Q40_package_graph": sql("SELECT source_package AS source, target_package AS target, call_count AS weight FROM deps WHERE call_count >= 2 AND NOT regexp_matches(source_package || ' ' || target_package, '(^| )(github.com|golang.org)/')", DEPS),
+    "Q41_function_detail": sql(f"SELECT * FROM detail WHERE function_id = {BUSY}", *STAGES, DETAIL),
+    "Q42_interface_map": sql(f"SELECT concrete_name, concrete_package, method_count FROM impl WHERE interface_name = {FACE_NAME}", IMPL),
+    "Q43_type_hierarchy_tree": sql("SELECT type_name, type_package, embedded_name, embedded_package FROM hierarchy WHERE type_name = (SELECT max(type_name) FROM hierarchy WHERE depth = 1)", HIERARCHY),
+    "Q44_method_set": sql(f"SELECT method_name, signature, complexity, loc FROM methods WHERE type_name = {FACE_NAME}", METHODS),
+    "Q45_largest_interfaces": sql("SELECT interface_name, interface_package, count(*) AS impl_count FROM impl GROUP BY interface_id, interface_name, interface_package", IMPL),
+    "Q46_most_implemented": sql("SELECT interface_name, interface_package, count(*) AS impl_count FROM impl GROUP BY interface_id, interface_name, interface_package ORDER BY impl_count DESC, interface_id LIMIT 20", IMPL),
+    "Q47_symbol_search": sql("SELECT id, name, kind, package, file, line FROM symbols WHERE name ILIKE '%get1%' ORDER BY kind, name, id LIMIT 50", SYMBOLS),
+    "Q48_file_outline": sql("SELECT name, kind, line, end_line, signature, depth FROM outline WHERE file = (SELECT min(file) FROM outline)", OUTLINE),
+    "Q49_xref_lookup": sql("SELECT use_file, use_line, use_kind FROM xrefs WHERE def_id = (SELECT min(def_id) FROM xrefs)", XREFS),
+    "Q50_go_patterns": sql("SELECT * FROM patterns", PATTERNS),
+    "Q51_taint_path_to_sink": sql("SELECT * FROM sinks", ROLES, TAINT, SINKS),
+    "Q52_tainted_containers": sql("SELECT c.node_id, c.container_kind, c.type_info, c.file, c.line, n.name FROM containers c JOIN statements n ON n.id = c.node_id WHERE has_taint = 1", ROLES, TAINT, CONTAINERS),
+    "Q53_scip_lookup": sql("SELECT scip_id, kind, display_name, file, line FROM scip WHERE display_name ILIKE '%serve1%'", SCIP),
+    "Q54_full_topology": sql("SELECT source_component, ' ' || direction || ' ' || target_component AS flow, name AS protocol_name, transport, encoding, session_type_client FROM comm_graph JOIN protocols ON id = protocol_id", COMM),
+    "Q55_adapter_flow": sql("SELECT a.source_component, a.target_component, p.name, b.source_component AS upstream, b.target_component AS downstream, q.name AS upstream_protocol FROM comm_graph a JOIN protocols p ON p.id = a.protocol_id JOIN comm_graph b ON b.target_component = a.source_component JOIN protocols q ON q.id = b.protocol_id WHERE a.source_component = 'adapter'", COMM),
     "Q56_protocol_endpoints": sql("SELECT protocol_id, component, role, function_name, package, file || ':' || line AS location, url_path FROM endpoints", COMM),
-    "Q58_deadlock_check": sql("SELECT 'IO → IO' AS causality_chain, a.source AS start, a.target AS via, b.target AS stop FROM c a JOIN c b ON b.source = a.target WHERE a.source <> b.target", CYCLES),
-    "Q59_channel_patterns": sql("SELECT * FROM patterns_", PATTERNS),
-    "Q60_association_report": sql("SELECT protocol_id, CASE is_associated WHEN 1 THEN '✓ ASSOCIATED' ELSE '✗ NOT ASSOCIATED' END AS verdict FROM assoc", COMM),
-    "Q61_subtype_violations": sql("SELECT * FROM subtype WHERE is_conforming = 0", COMM),
-    "Q62_deadlock_detection": sql("SELECT * FROM cyc", CYCLES),
-    "Q63_errata_summary": sql("SELECT protocol_id, s_safe, s_deadlock_free, s_live FROM assoc WHERE is_associated = 1", COMM),
+    "Q57_conformance_report": sql("SELECT protocol_id, component, status, endpoints_found, details FROM conformance", COMM),
+    "Q58_deadlock_check": sql("SELECT a.kind || ' → ' || b.kind AS causality_chain, a.description, b.description AS next_description FROM causality a JOIN causality b ON b.source_endpoint = a.target_endpoint WHERE a.source_endpoint <> b.target_endpoint", COMM),
+    "Q59_channel_patterns": sql("SELECT pattern, channel_type, sender_package, receiver_package, goroutine_count, description FROM channels", CHANNELS),
+    "Q60_association_report": sql("SELECT * EXCLUDE (protocol_name, errata_reference) FROM verdicts", COMM),
+    "Q61_subtype_violations": sql("SELECT protocol_id, component, projected_type, actual_behavior, relation, explanation FROM subtype WHERE is_conforming = 0", COMM),
+    "Q62_deadlock_detection": sql("SELECT cycle_path, cycle_length, severity, scalas_yoshida_class, description FROM loops WHERE severity <> 'benign'", COMM, LOOPS),
+    "Q63_errata_summary": sql("SELECT protocol_id, errata_reference, s_safe, s_deadlock_free, s_live FROM assoc WHERE is_associated = 1", COMM),
+    # the walks beneath, with what the queries leave out
+    "RG01_backward_depths": sql("SELECT id, min(depth) AS depth FROM r GROUP BY id", BACKWARD),
+    "RG02_forward_depths": sql("SELECT id, min(depth) AS depth FROM r GROUP BY id", FORWARD),
+    "RG03_call_paths": sql("SELECT depth, count(*) AS paths, count(DISTINCT id) AS ends FROM r GROUP BY depth", CHAIN),
+    "RG04_caller_levels": sql("SELECT depth, count(*) AS functions FROM r GROUP BY depth", CALLERS),
+    "RG05_scope_chain": sql("SELECT id FROM r", SCOPES),
+    "RG06_error_levels": sql("SELECT depth, count(*) AS functions FROM r GROUP BY depth", ERRORS),
+    "RG07_flow_paths": sql("SELECT array_to_string(path, ' -> ') AS path, depth FROM r", FLOWS),
+    "RG08_impact_levels": sql("SELECT depth, count(*) AS functions FROM r GROUP BY depth", IMPACT),
+    "RG09_dependency_layers": sql("SELECT id AS package, depth::BIGINT AS depth FROM r", DEPS, LAYERS),
+    "RG10_package_reach": sql("SELECT package, id, min(depth)::BIGINT AS depth FROM reach GROUP BY package, id", DEPS, REACH),
+    "RG11_all_routes": sql(f"SELECT array_to_string(path, ' -> ') AS path, depth FROM r WHERE id = {END} AND depth > 0", ROUTES),
+    "RG12_taint_reach": sql("SELECT source_id, node_id, min_hops FROM flow_state", ROLES, TAINT),
 }
-ORACLE["Q28_concurrency_profile"] = sql("""SELECT f.id, f.name, f.package, gos, sends, selects, defers, syncs FROM functions f JOIN (SELECT parent_function, count(*) FILTER (kind = 'go') AS gos, count(*) FILTER (kind = 'send') AS sends, count(*) FILTER (kind = 'select') AS selects,
-      count(*) FILTER (kind = 'defer') AS defers, count(*) FILTER (id IN (SELECT node_id FROM props WHERE key = 'sync_kind')) AS syncs FROM nodes GROUP BY parent_function) x ON x.parent_function = f.id WHERE gos + sends + selects + syncs > 0""")
-ORACLE["Q29_package_impact"] = sql("SELECT package, count(*) AS packages_affected, max(d) AS max_depth FROM (SELECT package, id, min(depth)::BIGINT AS d FROM reach WHERE id <> package GROUP BY package, id) GROUP BY package", DEPS, "reach(package, id, depth) AS (SELECT DISTINCT target_package, target_package, 0 FROM deps UNION SELECT r.package, d.source_package, r.depth + 1 FROM reach r JOIN deps d ON d.target_package = r.id WHERE r.depth < 10)")
-ORACLE["Q54_full_topology"] = sql("SELECT source_component, target_component, protocol_id, name AS protocol_name, transport, encoding, session_type_client, translate(session_type_client, '!?', '?!') AS session_type_server, label, '→' AS direction FROM links JOIN protocols ON id = protocol_id", COMM)
-ORACLE["Q57_conformance_report"] = sql("SELECT * FROM conformance", COMM)
-for _rg, _q in (("RG01", "Q01_backward_slice"), ("RG02", "Q02_forward_slice"), ("RG03", "Q03_call_chain"), ("RG04", "Q04_callers_of"), ("RG05", "Q05_scope_variables"), ("RG06", "Q17_error_chain"), ("RG07", "Q18_data_flow_path"), ("RG08", "Q20_impact_analysis"), ("RG09", "Q22_dependency_depth"), ("RG11", "Q38_pathfinder")):
-    ORACLE[f"{_rg}{_q[3:]}"] = ORACLE[_q]
-ORACLE["RG10_package_impact"] = ORACLE["Q29_package_impact"]
-ORACLE["RG12_taint_reach"] = sql("SELECT source_id, node_id, min_hops FROM flow_state", ROLES, TAINT)

@@ -2,63 +2,69 @@
 
 from __future__ import annotations
 
-from .carrier import sql
+from .carrier import EDGES, rounded, sql
 
-DEPS = """deps AS (SELECT s.package AS source_package, t.package AS target_package, count(*) AS call_count, count(DISTINCT c.source) AS callers, count(DISTINCT c.target) AS callees
-  FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target WHERE s.package <> t.package GROUP BY ALL)"""
-OUTSIDE = """outside AS (SELECT e.source AS call, f.package, f.name AS func_name FROM edges e JOIN functions f ON f.id = e.target WHERE e.kind = 'call_site' AND f.id LIKE 'ext::%')"""
+DEPS = """deps AS (SELECT s.package AS source_package, t.package AS target_package, count(*) AS call_count, count(DISTINCT c.source) AS distinct_callers, count(DISTINCT c.target) AS distinct_callees
+  FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.package <> t.package GROUP BY ALL)"""
+OUTSIDE = """outer_calls AS (SELECT e.source AS call, f.package, f.name AS func_name FROM e_call_site e JOIN functions f ON f.id = e.target WHERE f.id LIKE 'ext::%')"""
+STABILITY = f"""stability AS (SELECT package, coalesce(ca, 0) AS afferent_coupling, coalesce(ce, 0) AS efferent_coupling, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) = 0 THEN 0.5 ELSE {rounded("coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0))", 3)} END::DOUBLE AS instability,
+    coalesce(n, 0) AS total_types, coalesce(i, 0) AS interface_count, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE {rounded("i / n", 3)} END::DOUBLE AS abstractness
+  FROM (SELECT package, count(*) AS n, count(*) FILTER (value = 'interface') AS i FROM types LEFT JOIN p_type ON node_id = id GROUP BY package)
+  FULL JOIN (SELECT target_package AS package, count(*) AS ca FROM deps GROUP BY 1) USING (package) FULL JOIN (SELECT source_package AS package, count(*) AS ce FROM deps GROUP BY 1) USING (package))"""
+PROFILE = f"""profile AS (SELECT s.parent_function AS function_id, f.name AS function_name, f.package, {", ".join(f"count(*) FILTER (s.kind = '{k}') AS {k}_count" for k in "if for switch select return defer go".split())}, count(*) AS total_statements
+  FROM statements s JOIN functions f ON f.id = s.parent_function WHERE s.kind IN ('if', 'for', 'switch', 'select', 'return', 'defer', 'go', 'assign', 'call', 'send', 'branch') GROUP BY ALL)"""
+COHESION = f"""cohesion AS (SELECT package, func_count, total_calls, internal_calls, external_calls, {rounded("internal_calls / greatest(total_calls, 1)", 3)} AS cohesion_ratio FROM (SELECT s.package, count(*) AS total_calls, count(*) FILTER (s.package = t.package) AS internal_calls,
+    count(*) FILTER (s.package <> t.package) AS external_calls FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target GROUP BY s.package) JOIN (SELECT package, count(*) AS func_count FROM functions GROUP BY package) USING (package))"""
+CONCURRENCY = """concurrency AS (SELECT package, gos AS goroutine_launches, sends AS channel_sends, selects AS select_stmts, coalesce(n, 0) AS sync_primitives, defers AS defer_stmts
+  FROM (SELECT package, count(*) FILTER (kind = 'go') AS gos, count(*) FILTER (kind = 'send') AS sends, count(*) FILTER (kind = 'select') AS selects, count(*) FILTER (kind = 'defer') AS defers FROM stmt GROUP BY package)
+  LEFT JOIN (SELECT package, count(*) AS n FROM p_sync GROUP BY package) USING (package) WHERE gos + sends + selects > 0)"""
+REACH = """reach(package, id, depth) AS (SELECT DISTINCT target_package, target_package, 0 FROM deps UNION SELECT r.package, d.source_package, r.depth + 1 FROM reach r JOIN deps d ON d.target_package = r.id WHERE r.depth < 10)"""
+AFFECTED = "SELECT package, count(*) AS packages_affected, max(d) AS max_impact_depth FROM (SELECT package, id, min(depth)::BIGINT AS d FROM reach WHERE id <> package GROUP BY package, id) GROUP BY package"
+SIZES = f"""file_sizes AS (SELECT file, count(*) AS function_count, sum(loc)::BIGINT AS total_loc, sum(cc)::BIGINT AS total_complexity, max(cc) AS max_complexity, {rounded("avg(cc)", 1)} AS avg_complexity FROM measured WHERE file IS NOT NULL GROUP BY file)"""
+RISK = f"""file_risk AS (SELECT s.file, n.n AS node_count, function_count, total_complexity, avg_complexity, max_complexity, commit_count, author_count, churn, last_author, last_date,
+    {rounded("0.3::DOUBLE * avg_complexity + 0.2::DOUBLE * max_complexity + 0.3::DOUBLE * coalesce(commit_count, 1) + 0.2::DOUBLE * coalesce(author_count, 1)", 2)} AS change_risk_score
+  FROM file_sizes s JOIN (SELECT file, count(*) AS n FROM nodes WHERE file IS NOT NULL GROUP BY file) n ON n.file = s.file LEFT JOIN history h ON h.file = s.file)"""
+_EOG = "'{\"final\":true}'"
 
 ORACLE = {
-    "V01_call_graph": sql("""SELECT c.source, c.target, s.name AS source_name, s.package AS source_package, s.file AS source_file, t.name AS target_name, t.package AS target_package, t.file AS target_file,
-      CASE WHEN EXISTS (SELECT 1 FROM dynamic_calls d WHERE d.source = c.source AND d.target = c.target) THEN 1 ELSE 0 END::BIGINT AS is_dynamic
-      FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target"""),
-    "V02_data_flow": sql("""SELECT e.source, e.target, s.kind AS source_kind, s.name AS source_name, s.parent_function AS source_function, t.kind AS target_kind, t.name AS target_name, t.parent_function AS target_function
-      FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind = 'dfg'"""),
-    "V03_function_summary": sql("""SELECT f.id, f.name, f.package, f.file, f.line, coalesce(m.cyclomatic_complexity, 0) AS complexity, coalesce(m.loc, f.end_line - f.line + 1, 0) AS loc, coalesce(m.num_params, 0) AS num_params,
-      (SELECT count(*) FROM calls c WHERE c.target = f.id) AS calls_in, (SELECT count(*) FROM calls c WHERE c.source = f.id) AS calls_out FROM functions f LEFT JOIN metrics m ON m.function_id = f.id"""),
-    "V04_type_relations": sql("""SELECT e.source, e.target, e.kind, s.name AS source_name, s.package AS source_package, t.name AS target_name, t.package AS target_package
-      FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target WHERE e.kind IN ('implements', 'embeds', 'alias_of')"""),
+    "V01_call_graph": sql("""SELECT c.source AS caller_id, s.name AS caller_name, s.package AS caller_package, c.target AS callee_id, t.name AS callee_name, t.package AS callee_package, CASE WHEN d.source IS NULL THEN 0 ELSE 1 END::BIGINT AS is_dynamic
+      FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target LEFT JOIN dynamic_calls d ON d.source = c.source AND d.target = c.target"""),
+    "V02_data_flow": sql("""SELECT e.source AS def_id, s.name AS def_name, s.kind AS def_kind, s.file AS def_file, s.line AS def_line, e.target AS use_id, t.name AS use_name, t.kind AS use_kind, t.file AS use_file, t.line AS use_line
+      FROM e_dfg e JOIN statements s ON s.id = e.source JOIN statements t ON t.id = e.target"""),
+    "V03_function_summary": sql("""SELECT id, name, package, file, line, end_line, cc AS complexity, fan_in, fan_out, loc, num_params, coalesce(o.n, 0) AS calls_out, coalesce(i.n, 0) AS calls_in FROM measured
+      LEFT JOIN (SELECT source, count(*) AS n FROM e_call GROUP BY source) o ON o.source = id LEFT JOIN (SELECT target, count(*) AS n FROM e_call GROUP BY target) i ON i.target = id"""),
+    "V04_type_relations": sql("""SELECT e.source AS type_id, s.name AS type_name, s.package AS type_package, e.relationship, e.target AS target_id, t.name AS target_name, t.package AS target_package
+      FROM (SELECT *, 'implements' AS relationship FROM e_implements UNION ALL SELECT *, 'embeds' FROM e_embeds) e JOIN types s ON s.id = e.source JOIN types t ON t.id = e.target"""),
     "V05_package_deps": sql("SELECT * FROM deps", DEPS),
-    "V06_file_deps": sql("SELECT s.file AS source_file, t.file AS target_file, count(*) AS call_count FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target WHERE s.file <> t.file GROUP BY ALL"),
-    "V07_function_io": sql("""SELECT f.id AS function_id, f.name AS function_name, f.package, x.id AS io_id, x.kind AS direction, x.name AS io_name, x.type_info
-      FROM edges e JOIN functions f ON f.id = e.source JOIN nodes x ON x.id = e.target WHERE e.kind = 'ast' AND x.kind IN ('parameter', 'result')"""),
-    "V08_api_surface": sql("SELECT id, kind, name, package, file, line, type_info FROM nodes WHERE kind IN ('function', 'type_decl') AND name GLOB '[A-Z]*'"),
-    "V09_method_sets": sql("SELECT p.value AS receiver, f.id, f.name, f.package, m.cyclomatic_complexity AS complexity, m.loc FROM functions f JOIN props p ON p.node_id = f.id AND p.key = 'receiver' JOIN metrics m ON m.function_id = f.id"),
-    "V10_error_handling": sql("""SELECT f.id, f.name, f.package, m.cyclomatic_complexity AS complexity, m.fan_in, (SELECT count(*) FROM edges e JOIN nodes s ON s.id = e.source WHERE e.kind = 'error_wrap' AND s.parent_function = f.id) AS wraps
-      FROM functions f JOIN props p ON p.node_id = f.id AND p.key = 'returns_error' AND p.value = '1' JOIN metrics m ON m.function_id = f.id"""),
-    "V11_package_stability": sql("""SELECT package, ca, ce, types, interfaces, CASE WHEN ca + ce = 0 THEN 0.5 ELSE ce / (ca + ce) END::DOUBLE AS instability, CASE WHEN types = 0 THEN 0 ELSE interfaces / types END::DOUBLE AS abstractness FROM
-      (SELECT p.package, (SELECT count(*) FROM deps WHERE target_package = p.package) AS ca, (SELECT count(*) FROM deps WHERE source_package = p.package) AS ce,
-        (SELECT count(*) FROM nodes n WHERE n.kind = 'type_decl' AND n.package = p.package) AS types,
-        (SELECT count(*) FROM nodes n JOIN props x ON x.node_id = n.id AND x.key = 'type_kind' AND x.value = 'interface' WHERE n.kind = 'type_decl' AND n.package = p.package) AS interfaces
-       FROM (SELECT source_package AS package FROM deps UNION SELECT target_package FROM deps UNION SELECT package FROM nodes WHERE kind = 'type_decl') p)""", DEPS),
-    "V12_control_flow_profile": sql("""SELECT f.id, f.name, f.package, count(*) FILTER (n.kind IN ('if', 'switch', 'select')) AS branches, count(*) FILTER (n.kind = 'for') AS loops, count(*) FILTER (n.kind = 'return') AS returns,
-      count(*) FILTER (n.kind = 'defer') AS defers, count(*) FILTER (n.kind = 'go') AS gos, count(*) FILTER (n.kind = 'call') AS calls, count(*) FILTER (n.kind = 'send') AS sends, count(*) FILTER (n.kind = 'assign') AS assigns
-      FROM functions f JOIN nodes n ON n.parent_function = f.id GROUP BY f.id, f.name, f.package"""),
-    "V13_package_cohesion": sql("""SELECT package, internal_calls, total_calls, functions, internal_calls / greatest(total_calls, 1) AS cohesion FROM (SELECT s.package, count(*) FILTER (s.package = t.package) AS internal_calls, count(*) AS total_calls
-      FROM calls c JOIN nodes s ON s.id = c.source JOIN nodes t ON t.id = c.target GROUP BY s.package) JOIN (SELECT package, count(*) AS functions FROM functions GROUP BY package) USING (package)"""),
-    "V14_concurrency_profile": sql("""SELECT f.id, f.name, f.package, gos, sends, selects, defers, syncs FROM functions f JOIN (SELECT parent_function, count(*) FILTER (kind = 'go') AS gos, count(*) FILTER (kind = 'send') AS sends, count(*) FILTER (kind = 'select') AS selects,
-      count(*) FILTER (kind = 'defer') AS defers, count(*) FILTER (id IN (SELECT node_id FROM props WHERE key = 'sync_kind')) AS syncs FROM nodes GROUP BY parent_function) x ON x.parent_function = f.id WHERE gos + sends + selects + syncs > 0"""),
-    "V15_package_reach": sql("""SELECT package, count(*) AS packages_affected, max(d) AS max_depth FROM (SELECT package, id, min(depth)::BIGINT AS d FROM reach WHERE id <> package GROUP BY package, id) GROUP BY package""", DEPS,
-      "reach(package, id, depth) AS (SELECT DISTINCT target_package, target_package, 0 FROM deps UNION SELECT r.package, d.source_package, r.depth + 1 FROM reach r JOIN deps d ON d.target_package = r.id WHERE r.depth < 10)"),
-    "V16_file_risk": sql("""SELECT f.file, count(*) AS function_count, avg(m.cyclomatic_complexity) AS avg_complexity, max(m.cyclomatic_complexity) AS max_complexity, any_value(h.commit_count) AS commit_count, any_value(h.author_count) AS author_count, any_value(h.churn) AS churn,
-      0.3::DOUBLE * avg(m.cyclomatic_complexity) + 0.2::DOUBLE * max(m.cyclomatic_complexity) + 0.3::DOUBLE * coalesce(any_value(h.commit_count), 1) + 0.2::DOUBLE * coalesce(any_value(h.author_count), 1) AS change_risk
-      FROM functions f JOIN metrics m ON m.function_id = f.id LEFT JOIN history h ON h.file = f.file WHERE f.file IS NOT NULL GROUP BY f.file"""),
+    "V06_file_deps": sql("SELECT s.file AS source_file, t.file AS target_file, count(*) AS call_count FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.file <> t.file GROUP BY ALL"),
+    "V07_function_io": sql("""SELECT f.id AS function_id, f.name AS function_name, f.package, x.id AS io_node_id, x.name AS io_name, x.kind AS io_kind, x.type_info AS io_type,
+      CASE json_extract_string(x.properties, 'mutable') WHEN 'true' THEN 1 WHEN 'false' THEN 0 END::BIGINT AS is_mutable, CASE json_extract_string(x.properties, 'nullable') WHEN 'true' THEN 1 WHEN 'false' THEN 0 END::BIGINT AS is_nullable
+      FROM e_ast e JOIN functions f ON f.id = e.source JOIN (SELECT * FROM statements WHERE kind = 'parameter' UNION ALL SELECT * FROM results) x ON x.id = e.target"""),
+    "V08_api_surface": sql("SELECT package, kind, id, name, type_info, file, line FROM (SELECT * FROM functions UNION ALL SELECT * FROM types) WHERE name GLOB '[A-Z]*' AND package IS NOT NULL"),
+    "V09_method_sets": sql("SELECT value AS receiver_type, package, id, name, type_info, file, line, cc AS complexity, loc FROM measured JOIN p_function ON node_id = id AND key = 'receiver' WHERE value IS NOT NULL"),
+    "V10_error_handling": sql("SELECT id, name, package, file, line, fan_in AS callers, fan_out AS callees, cc AS complexity FROM measured JOIN p_function ON node_id = id AND key = 'returns_error' AND value = '1'"),
+    "V11_package_stability": sql("SELECT * FROM stability", DEPS, STABILITY),
+    "V12_control_flow_profile": sql("SELECT * FROM profile", PROFILE),
+    "V13_package_cohesion": sql("SELECT * FROM cohesion", COHESION),
+    "V14_concurrency_profile": sql("SELECT * FROM concurrency", CONCURRENCY),
+    "V15_package_reach": sql(AFFECTED, DEPS, REACH),
+    "V16_file_risk": sql("SELECT * EXCLUDE (total_complexity) FROM file_risk", SIZES, RISK),
     "T01_node_kinds": sql("SELECT kind, count(*) AS count FROM nodes GROUP BY kind"),
-    "T01_edge_kinds": sql("SELECT kind, count(*) AS count FROM edges GROUP BY kind"),
-    "T02_package_stats": sql("""SELECT package, count(DISTINCT file) AS files, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'type_decl') AS types,
+    "T01_edge_kinds": sql(" UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS count FROM e_{k}" for k in EDGES)),
+    "T02_package_stats": sql("""SELECT package, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'type_decl') AS types,
       sum(CASE WHEN kind = 'function' THEN end_line - line + 1 ELSE 0 END)::BIGINT AS loc FROM nodes WHERE package IS NOT NULL GROUP BY package"""),
-    "T03_overview": sql("""SELECT count(*) AS nodes, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'type_decl') AS types, count(DISTINCT package) AS packages, count(DISTINCT file) AS files,
-      (SELECT count(*) FROM edges) AS edges, (SELECT avg(cyclomatic_complexity) FROM metrics) AS avg_complexity FROM nodes"""),
+    "T03_overview": sql("""SELECT count(*) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM documents) AS total_files, count(DISTINCT package) AS total_packages, count(*) FILTER (kind = 'function') AS total_functions,
+      count(*) FILTER (kind = 'type_decl') AS total_types, (SELECT count(*) FROM metrics) AS total_metrics FROM nodes"""),
     "T04_node_properties": sql("SELECT node_id, key, value FROM props"),
-    "T04_edge_properties": sql("""SELECT call AS source, arg AS target, 'argument' AS edge_kind, 'index' AS key, index::VARCHAR AS value FROM args UNION ALL SELECT source, target, 'call', 'dynamic', '1' FROM dynamic_calls
-      UNION ALL SELECT id, id2, 'dfg', 'var_name', 'v' || rn FROM pair"""),
-    "D01_flows_to_result": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outside o ON o.call = a.call JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name AND s.flow_to LIKE 'return:%' AND s.flow_from IN ('arg:*', 'arg:' || a.index)", OUTSIDE),
-    "D02_flows_to_argument": sql("""SELECT DISTINCT a.arg AS source, b.arg AS target FROM outside o JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name AND s.flow_to LIKE 'arg:%'
+    "T04_edge_properties": sql("SELECT * FROM edge_props"),
+    "T05_flow_semantics": sql("SELECT * FROM flow_specs"),
+    "T06_taint_specs": sql("SELECT package, func_name, role, category, description FROM taint_specs"),
+    "D01_flows_to_result": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outer_calls o ON o.call = a.call JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name WHERE s.flow_to LIKE 'return:%' AND s.flow_from IN ('arg:*', 'arg:' || a.index)", OUTSIDE),
+    "D02_flows_to_argument": sql("""SELECT DISTINCT a.arg AS source, b.arg AS target FROM outer_calls o JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name AND s.flow_to LIKE 'arg:%'
       JOIN args a ON a.call = o.call AND s.flow_from = 'arg:' || a.index JOIN args b ON b.call = o.call AND s.flow_to = 'arg:' || b.index""", OUTSIDE),
-    "D03_flows_by_default": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outside o ON o.call = a.call WHERE NOT EXISTS (SELECT 1 FROM flow_specs s WHERE s.package = o.package AND s.func_name = o.func_name)", OUTSIDE),
-    "D04_without_orphans": sql("SELECT source, target, kind FROM edges WHERE kind IN ('scope', 'embeds', 'call')"),
-    "D04_without_orphans_whole": sql("SELECT source, target, kind FROM edges"),
-    "D05_evaluation_order": sql("""SELECT a.arg AS source, b.arg AS target, 0::BIGINT AS final FROM args a JOIN args b ON b.call = a.call AND b.index = a.index + 1
-      UNION SELECT arg, call, 1 FROM args a WHERE index = (SELECT max(index) FROM args b WHERE b.call = a.call)"""),
-    "S21_validate": sql("SELECT 'orphan_edges' AS \"check\", NULL::VARCHAR AS kind, 0::BIGINT AS n UNION ALL SELECT 'nodes', kind, count(*) FROM nodes GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind"),
+    "D03_flows_by_default": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outer_calls o ON o.call = a.call WHERE (o.package, o.func_name) NOT IN (SELECT (s.package, s.func_name) FROM flow_specs s)", OUTSIDE),
+    "D04_without_orphans": sql("SELECT source, target, kind FROM edges"),
+    "D05_argument_order": sql("SELECT DISTINCT a.arg AS source, b.arg AS target, NULL::VARCHAR AS properties FROM args a JOIN args b ON b.call = a.call AND b.index = a.index + 1"),
+    "D06_last_argument": sql(f"SELECT DISTINCT arg AS source, call AS target, {_EOG} AS properties FROM args QUALIFY index = max(index) OVER (PARTITION BY call)"),
+    "S21_validate": sql("SELECT 'orphan_edges' AS \"check\", NULL::VARCHAR AS kind, 0::BIGINT AS n UNION ALL SELECT 'nodes', kind, count(*) FROM nodes GROUP BY kind" + "".join(f" UNION ALL SELECT 'edges', '{k}', count(*) FROM e_{k}" for k in EDGES)),
 }

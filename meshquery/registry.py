@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import registry_more
+from .functions.sqlcompat import counted_as
 from .graph import Graph
-from .operators import dashboards, named, navigation, protocols, taint, views
+from .operators import dashboards, named, navigation, protocols, taint, traverse, views
 from .operators import findings as f
 from .oracle import findings as findings_sql
 from .oracle import more as more_sql
@@ -44,14 +45,17 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T03_overview": views.overview,
     "T04_node_properties": lambda g: g.node_properties,
     "T04_edge_properties": lambda g: g.edge_properties,
+    "T05_flow_semantics": lambda g: specs.flows(g.spark),
+    "T06_taint_specs": lambda g: specs.taints(g.spark),
     "D01_flows_to_result": views.flows_to_result,
     "D02_flows_to_argument": views.flows_to_argument,
     "D03_flows_by_default": views.flows_by_default,
-    "D05_evaluation_order": views.evaluation_order,
+    "D05_argument_order": views.argument_order,
+    "D06_last_argument": views.last_arguments,
     "S21_validate": lambda g: g.validate(),
-    "T07_taint_roles": taint.roles,
+    "T07_taint_annotations": taint.annotations,
     "T11_findings_summary": f.summary,
-    "T30_flow_state": taint.flow_state,
+    "T30_flow_state": taint.state,
     "T31_index_sensitivity": taint.index_sensitivity,
     "V17_taint_summary": taint.summary,
     "V18_container_summary": taint.container_summary,
@@ -60,7 +64,7 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T12_edge_distribution": dashboards.edge_distribution,
     "T12_node_distribution": dashboards.node_distribution,
     "T13_complexity_vs_loc": dashboards.complexity_vs_loc,
-    "T14_totals": lambda g: dashboards.totals(g, 32, 15),  # as many queries and views as there are at that point
+    "T14_totals": dashboards.totals,
     "T15_top_functions": dashboards.top_functions,
     "T16_hotspots": dashboards.hotspots,
     "T17_package_coupling": dashboards.package_coupling,
@@ -75,15 +79,12 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T26_file_outline": navigation.file_outline,
     "T27_xrefs": navigation.xrefs,
     "T28_go_patterns": navigation.go_patterns,
-    "T29_file_history": lambda g: g.history.drop("last_author", "last_date"),
+    "T29_file_history": lambda g: g.history,
     "T32_scip_symbols": navigation.scip_symbols,
-}
-
-FINDINGS: dict[str, Callable[[Graph], DataFrame]] = {
     "F01_complexity": f.complexity,
     "F02_size": f.size,
     "F03_nesting": f.nesting,
-    "F04_hub": lambda g: f.hub(g, 3, 3),  # the carrier's functions have few callers
+    "F04_hub": f.hub,
     "F05_dead_store": f.dead_store,
     "F06_unused_param": f.unused_param,
     "F07_circular_dep": f.circular_dep,
@@ -91,17 +92,17 @@ FINDINGS: dict[str, Callable[[Graph], DataFrame]] = {
     "F09_unused_export": f.unused_export,
     "F10_long_param_list": f.long_param_list,
     "F10b_many_params": f.many_params,
-    "F11_god_function": lambda g: f.god_function(g, 3),
+    "F11_god_function": f.god_function,
     "F12_interface_coupling": f.interface_coupling,
     "F13_concurrency_risk": f.concurrency_risk,
     "F14_recursive": f.recursive,
-    "F15_taint_hotspot": lambda g: f.taint_hotspot(g, "package"),  # its functions hold one call at most
+    "F15_taint_hotspot": f.taint_hotspot,
     "F16_risk_score": f.risk_score,
     "F17_dead_code": f.dead_code,
     "F18_interface_bloat": f.interface_bloat,
     "F19_similar_function": f.similar_function,
     "F20_missing_context_first": f.missing_context_first,
-    "F21_large_return": lambda g: f.large_return(g, 2),
+    "F21_large_return": f.large_return,
     "F22_bool_params": f.bool_params,
     "F23_panic_call": f.panic_call,
     "F24_god_package": f.god_package,
@@ -111,21 +112,16 @@ FINDINGS: dict[str, Callable[[Graph], DataFrame]] = {
     "F28_high_churn_complexity": f.high_churn_complexity,
     "F29_unsanitized_sink": f.unsanitized_sink,
     "F30_tainted_container": f.tainted_container,
-}
-# JSON texts differ between engines in spacing: details are tested apart
-ANALYSES |= {name: (lambda g, rule=rule: rule(g).drop("details")) for name, rule in FINDINGS.items()}
-
-ANALYSES |= {
     "T33_protocols": lambda g: specs.protocols(g.spark),
     "T33_participants": lambda g: specs.participants(g.spark),
     "T33_session_steps": lambda g: specs.session_steps(g.spark),
-    "T33_links": lambda g: specs.links(g.spark),
+    "T33_graph": lambda g: specs.links(g.spark),
     "T34_endpoints": protocols.endpoints,
     "T35_channel_patterns": protocols.channel_patterns,
     "T36_causality": protocols.causality,
     "T37_conformance": protocols.conformance,
     "T38_subtype_check": protocols.subtype_check,
-    "T39_dependency_cycles": protocols.mutual_cycles,
+    "T39_dependency_cycles": lambda g: protocols.dependency_cycles(protocols.causality(g)),
     "T40_association": protocols.association,
     "V19_comm_topology": protocols.topology,
     "V20_protocol_coverage": protocols.coverage,
@@ -134,25 +130,38 @@ ANALYSES |= {
     "V23_causality_summary": protocols.causality_summary,
     "V24_association_summary": protocols.association_summary,
     "V25_subtype_detail": protocols.subtype_detail,
-    "V26_dependency_cycles": lambda g: protocols.mutual_cycles(g).drop("involved_protocols"),
+    "V26_dependency_cycles": protocols.cycles,
 }
 
 
+# --- seeds of the named queries, chosen from the data ----------------------------------------------------------
+
+
 def _value(d: DataFrame) -> str:
     return d.first()[0]
 
 
+def _most(edges: DataFrame, end: str) -> str:
+    """The node with the most of some edges at one end."""
+    return _value(edges.groupBy(end).count().orderBy(F.desc("count"), end).select(end).limit(1))
+
+
 def _caller(g: Graph) -> str:
     return _value(g.step("call").agg(F.min("source")))
 
 
-def _most(g: Graph, edges: DataFrame, end: str) -> str:
-    """The node with the most of some edges at one end."""
-    return _value(edges.groupBy(end).count().orderBy(F.desc("count"), end).select(end).limit(1))
+def _busiest(g: Graph) -> str:
+    return _most(g.step("call"), "source")
 
 
-def _busiest(g: Graph) -> str:
-    return _most(g, g.step("call"), "source")
+def _called(g: Graph) -> str:
+    return _most(g.step("call"), "target")
+
+
+def _beside(g: Graph, near: str, far: str, node: str) -> tuple[str, str]:
+    """The least and the greatest neighbour of a node by calls."""
+    row = g.step("call").where(F.col(far) == node).agg(F.min(near), F.max(near)).first()
+    return row[0], row[1]
 
 
 def _end(g: Graph) -> str:
@@ -161,92 +170,150 @@ def _end(g: Graph) -> str:
     return _value(g.step("call").join(via, F.col("source") == F.col("via")).where(F.col("target") != first).agg(F.min("target")))
 
 
-def _first(g: Graph, *kinds: str, end: str = "source", last: bool = False) -> str:
-    return _value(g.step(*kinds).agg((F.max if last else F.min)(end)))
-
-
-def _name(g: Graph, node_id: str) -> str:
-    return _value(g.nodes.where(F.col("id") == node_id).select("name"))
-
-
-def _coarse(g: Graph) -> DataFrame:
-    """Dependencies of pairs of functions: with few packages none would be a root."""
-    half = lambda c: F.floor(F.regexp_extract(c, "([0-9]+)$", 1).cast("long") / 2).cast("string").alias(c)
-    return g.step("call").select(half("source"), half("target")).where("source <> target").distinct()
-
-
-NAMED: dict[str, Callable[[Graph], DataFrame]] = {
-    "Q01_backward_slice": lambda g: named.backward_slice(g, _most(g, g.step("param_in"), "target")),
-    "Q02_forward_slice": lambda g: named.forward_slice(g, _most(g, g.step("param_out"), "source")),
-    "Q03_call_chain": lambda g: named.call_chain(g, _caller(g)),
-    "Q04_callers_of": lambda g: named.callers_of(g, _most(g, g.step("call"), "target")),
-    "Q05_scope_variables": lambda g: named.scope_variables(g, _first(g, "scope", last=True)),
-    "Q06_interface_implementors": lambda g: named.interface_implementors(g, _first(g, "implements", end="target")),
-    "Q07_function_cfg": lambda g: named.function_cfg(g, _value(g.of("basic_block").join(g.step("cfg"), F.col("id") == F.col("source"), "left_semi").agg(F.min("parent_function")))),
-    "Q08_cross_package_calls": named.cross_package_calls,
-    "Q09_context_propagation": named.context_propagation,
-    "Q10_reaching_definitions": lambda g: named.reaching_definitions(g, _first(g, "dfg", end="target", last=True)),
-    "Q11_package_dependency_graph": views.package_deps,
-    "Q12_goroutine_analysis": named.goroutine_analysis,
-    "Q13_taint_analysis": named.taint_analysis,
-    "Q14_taint_path": lambda g: named.taint_path(g, "package"),
-    "Q15_function_io": lambda g: named.function_io(g, _value(g.of("parameter", "result").agg(F.min("parent_function")))),
-    "Q16_type_methods": lambda g: named.type_methods(g, _value(g.having("receiver").agg(F.min("value")))),
-    "Q17_error_chain": lambda g: named.error_chain(g, _most(g, g.step("call").join(g.having("returns_error", "1"), F.col("target") == F.col("node_id"), "left_semi"), "source")),
-    "Q18_data_flow_path": lambda g: named.data_flow_path(g, _first(g, "dfg")),
-    "Q19_shared_callers": lambda g: named.shared_callers(g, _first(g, "call", end="target"), _first(g, "call", end="target")),
-    "Q20_impact_analysis": lambda g: named.impact_analysis(g, _most(g, g.step("call"), "target")),
-    "Q21_common_callee": lambda g: named.common_callee(g, _caller(g), _caller(g)),
-    "Q22_dependency_depth": lambda g: named.dependency_depth(g, deps=_coarse(g)),
-    "Q23_function_risk_ranking": named.risk_ranking,
-    "Q24_package_stability": named.package_stability,
-    "Q25_function_control_profile": lambda g: named.control_profile(g, _caller(g)),
-    "Q26_similar_functions": lambda g: named.similar_functions(g, _busiest(g), 200),
-    "Q27_package_cohesion": views.package_cohesion,
-    "Q28_concurrency_profile": views.concurrency_profile,
-    "Q29_package_impact": views.package_reach,
-    "Q30_function_neighborhood": lambda g: named.neighborhood(g, _busiest(g)),
-    "Q31_file_complexity": named.file_complexity,
-    "Q32_type_usage": lambda g: named.type_usage(g, "Type1"),
-    "Q33_hotspot_analysis": lambda g: dashboards.hotspots(g, 20),
-    "Q34_package_coupling_matrix": named.coupling_matrix,
-    "Q35_error_propagation": named.error_propagation,
-    "Q36_top_by_metric": lambda g: named.top_by_metric(g, "fan_in"),
-    "Q37_coupling_degree": named.coupling_degree,
-    "Q38_pathfinder": lambda g: named.pathfinder(g, _caller(g), _end(g)),
-    "Q39_file_heatmap": dashboards.file_heatmap,
-    "Q40_package_graph": dashboards.package_graph,
-    "Q41_function_detail": lambda g: named.run(g, "function_detail", function_id=_busiest(g)),
-    "Q42_interface_map": lambda g: named.run(g, "interface_map", name=_name(g, _first(g, "implements", end="target"))),
-    "Q43_type_hierarchy_tree": lambda g: named.run(g, "type_hierarchy_tree", name=_value(navigation.type_hierarchy(g).agg(F.min("parent_name")))),
-    "Q44_method_set": lambda g: named.run(g, "method_set", name=_name(g, _first(g, "implements", end="target"))),
-    "Q45_largest_interfaces": named.largest_interfaces,
-    "Q46_most_implemented": named.most_implemented,
-    "Q47_symbol_search": lambda g: named.symbol_search(g, "get1"),
-    "Q48_file_outline": lambda g: named.run(g, "file_outline_query", file=_value(g.nodes.agg(F.min("file")))),
-    "Q49_xref_lookup": lambda g: named.run(g, "xref_lookup", id=_value(navigation.xrefs(g).agg(F.min("def_id")))),
-    "Q50_go_patterns": navigation.go_patterns,
-    "Q51_taint_path_to_sink": named.taint_path_to_sink,
-    "Q52_tainted_containers": named.tainted_containers,
-    "Q53_scip_lookup": lambda g: named.run(g, "scip_lookup", pattern="#serve1"),
-    "Q54_full_topology": protocols.topology,
-    "Q55_adapter_flow": named.adapter_flow,
-    "Q56_protocol_endpoints": named.protocol_endpoints,
-    "Q57_conformance_report": protocols.conformance,
-    "Q58_deadlock_check": lambda g: named.deadlock_check(g, protocols.calls_as_pairs(g)),
-    "Q59_channel_patterns": protocols.channel_patterns,
-    "Q60_association_report": lambda g: protocols.association_summary(g).select("protocol_id", "verdict"),
-    "Q61_subtype_violations": lambda g: named.run(g, "honda_subtype_violations"),
-    "Q62_deadlock_detection": lambda g: protocols.mutual_cycles(g).where("severity <> 'benign'"),
-    "Q63_errata_summary": named.errata,
+def _first(g: Graph, kind: str, end: str = "source", last: bool = False) -> str:
+    return _value(g.step(kind).agg((F.max if last else F.min)(end)))
+
+
+def _formal(g: Graph) -> str:
+    return _most(g.step("param_in"), "target")
+
+
+def _returning(g: Graph) -> str:
+    return _most(g.step("param_out"), "source")
+
+
+def _failing(g: Graph) -> str:
+    can = g.having("returns_error", "1")
+    return _most(g.step("call").join(can, F.col("target") == F.col("node_id"), "left_semi"), "source")
+
+
+def _face(g: Graph) -> str:
+    """The name of the least interface that is implemented."""
+    return _value(g.of("type_decl").where(F.col("id") == _first(g, "implements", "target")).select("name"))
+
+
+def _with_blocks(g: Graph) -> str:
+    return _value(g.of("basic_block").join(g.step("cfg"), F.col("id") == F.col("source"), "left_semi").agg(F.min("parent_function")))
+
+
+NAMED: dict[str, tuple[str, Callable[[Graph], dict[str, str]]]] = {
+    "Q01_backward_slice": ("backward_slice", lambda g: {"node_id": _formal(g)}),
+    "Q02_forward_slice": ("forward_slice", lambda g: {"node_id": _returning(g)}),
+    "Q03_call_chain": ("call_chain", lambda g: {"function_id": _caller(g)}),
+    "Q04_callers_of": ("callers_of", lambda g: {"function_id": _called(g)}),
+    "Q05_scope_variables": ("scope_variables", lambda g: {"block_id": _first(g, "scope", last=True)}),
+    "Q06_interface_implementors": ("interface_implementors", lambda g: {"interface_id": _first(g, "implements", "target")}),
+    "Q07_function_cfg": ("function_cfg", lambda g: {"function_id": _with_blocks(g)}),
+    "Q08_cross_package_calls": ("cross_package_calls", lambda g: {}),
+    "Q09_context_propagation": ("context_propagation", lambda g: {}),
+    "Q10_reaching_definitions": ("reaching_definitions", lambda g: {"node_id": _first(g, "dfg", "target", last=True)}),
+    "Q11_package_dependency_graph": ("package_dependency_graph", lambda g: {}),
+    "Q12_goroutine_analysis": ("goroutine_analysis", lambda g: {}),
+    "Q13_taint_analysis": ("taint_analysis", lambda g: {}),
+    "Q14_taint_path": ("taint_path", lambda g: {}),
+    "Q15_function_io": ("function_io", lambda g: {"function_id": _value(g.of("parameter", "result").agg(F.min("parent_function")))}),
+    "Q16_type_methods": ("type_methods", lambda g: {"receiver_type": _value(g.having("receiver").agg(F.min("value")))}),
+    "Q17_error_chain": ("error_chain", lambda g: {"function_id": _failing(g)}),
+    "Q18_data_flow_path": ("data_flow_path", lambda g: {"source_id": _first(g, "dfg")}),
+    "Q19_shared_callers": ("shared_callers", lambda g: dict(zip(("function_a", "function_b"), _beside(g, "target", "source", _busiest(g))))),
+    "Q20_impact_analysis": ("impact_analysis", lambda g: {"function_id": _called(g)}),
+    "Q21_common_callee": ("common_callee", lambda g: dict(zip(("function_a", "function_b"), _beside(g, "source", "target", _called(g))))),
+    "Q22_dependency_depth": ("dependency_depth", lambda g: {}),
+    "Q23_function_risk_ranking": ("function_risk_ranking", lambda g: {}),
+    "Q24_package_stability": ("package_stability", lambda g: {}),
+    "Q25_function_control_profile": ("function_control_profile", lambda g: {"function_id": _caller(g)}),
+    "Q26_similar_functions": ("similar_functions", lambda g: {"function_id": _value(f.twins(g, 5).agg(F.min("id")))}),
+    "Q27_package_cohesion": ("package_cohesion", lambda g: {}),
+    "Q28_concurrency_profile": ("concurrency_profile", lambda g: {}),
+    "Q29_package_impact": ("package_impact", lambda g: {}),
+    "Q30_function_neighborhood": ("function_neighborhood", lambda g: {"function_id": _busiest(g)}),
+    "Q31_file_complexity": ("file_complexity_heatmap", lambda g: {}),
+    "Q32_type_usage": ("type_usage", lambda g: {"type_name": "map["}),
+    "Q33_hotspot_analysis": ("hotspot_analysis", lambda g: {}),
+    "Q34_package_coupling_matrix": ("package_coupling_matrix", lambda g: {}),
+    "Q35_error_propagation": ("error_propagation", lambda g: {}),
+    "Q36_top_by_metric": ("top_functions_by_metric", lambda g: {"metric": "fan_in"}),
+    "Q37_coupling_degree": ("package_coupling_degree", lambda g: {}),
+    "Q38_pathfinder": ("call_chain_pathfinder", lambda g: {"start": _caller(g), "end": _end(g)}),
+    "Q39_file_heatmap": ("file_heatmap", lambda g: {}),
+    "Q40_package_graph": ("package_graph", lambda g: {}),
+    "Q41_function_detail": ("function_detail", lambda g: {"id": _busiest(g)}),
+    "Q42_interface_map": ("interface_map", lambda g: {"name": _face(g)}),
+    "Q43_type_hierarchy_tree": ("type_hierarchy_tree", lambda g: {"name": _value(navigation.type_hierarchy(g).where("depth = 1").agg(F.max("type_name")))}),
+    "Q44_method_set": ("method_set", lambda g: {"name": _face(g)}),
+    "Q45_largest_interfaces": ("largest_interfaces", lambda g: {}),
+    "Q46_most_implemented": ("most_implemented", lambda g: {}),
+    "Q47_symbol_search": ("symbol_search", lambda g: {"pattern": "%get1%"}),
+    "Q48_file_outline": ("file_outline_query", lambda g: {"file": _value(navigation.file_outline(g).agg(F.min("file")))}),
+    "Q49_xref_lookup": ("xref_lookup", lambda g: {"id": _value(navigation.xrefs(g).agg(F.min("def_id")))}),
+    "Q50_go_patterns": ("go_patterns", lambda g: {}),
+    "Q51_taint_path_to_sink": ("taint_path_to_sink", lambda g: {}),
+    "Q52_tainted_containers": ("tainted_containers", lambda g: {}),
+    "Q53_scip_lookup": ("scip_lookup", lambda g: {"pattern": "%serve1%"}),
+    "Q54_full_topology": ("comm_full_topology", lambda g: {}),
+    "Q55_adapter_flow": ("comm_adapter_flow", lambda g: {}),
+    "Q56_protocol_endpoints": ("comm_protocol_endpoints", lambda g: {}),
+    "Q57_conformance_report": ("comm_conformance_report", lambda g: {}),
+    "Q58_deadlock_check": ("comm_deadlock_check", lambda g: {}),
+    "Q59_channel_patterns": ("comm_channel_patterns", lambda g: {}),
+    "Q60_association_report": ("honda_association_report", lambda g: {}),
+    "Q61_subtype_violations": ("honda_subtype_violations", lambda g: {}),
+    "Q62_deadlock_detection": ("honda_deadlock_detection", lambda g: {}),
+    "Q63_errata_summary": ("honda_errata_summary", lambda g: {}),
 }
-ANALYSES |= NAMED
-RECURSIVE = {"RG01": "Q01_backward_slice", "RG02": "Q02_forward_slice", "RG03": "Q03_call_chain", "RG04": "Q04_callers_of", "RG05": "Q05_scope_variables", "RG06": "Q17_error_chain", "RG07": "Q18_data_flow_path", "RG08": "Q20_impact_analysis", "RG09": "Q22_dependency_depth", "RG11": "Q38_pathfinder"}
-ANALYSES |= {rg + q[3:]: NAMED[q] for rg, q in RECURSIVE.items()}
+ANALYSES |= {key: (lambda g, name=name, seeds=seeds: named.run(g, name, **seeds(g))) for key, (name, seeds) in NAMED.items()}
+
+
+# --- the walks beneath them ------------------------------------------------------------------------------------
+
+
+def _levels(walked: DataFrame) -> DataFrame:
+    return walked.groupBy("depth").agg(counted_as("functions"))
+
+
+def _path_counts(g: Graph) -> DataFrame:
+    d = traverse.simple_paths(g.step("call"), named.seed(g, _caller(g)), 10)
+    return d.groupBy("depth").agg(counted_as("paths"), F.count_distinct("id").alias("ends"))
+
+
+def _errors(g: Graph) -> DataFrame:
+    can = g.having("returns_error", "1").select("node_id")
+    return traverse.walk(g.step("call").join(can, F.col("target") == F.col("node_id"), "left_semi"), named.seed(g, _failing(g)), 10)
+
+
+def _text(paths: DataFrame) -> DataFrame:
+    return paths.select(F.array_join("path", named.ARROW).alias("path"), "depth")
+
+
+def _packages(g: Graph) -> DataFrame:
+    return views.package_deps(g).select(F.col("source_package").alias("source"), F.col("target_package").alias("target"))
+
+
+def _layers(g: Graph) -> DataFrame:
+    deps = _packages(g)
+    roots = deps.select(F.col("source").alias("id")).distinct().join(deps, F.col("id") == F.col("target"), "left_anti")
+    return traverse.walk(deps, roots, 20).select(F.col("id").alias("package"), "depth")
+
+
+def _reach(g: Graph) -> DataFrame:
+    deps = _packages(g)
+    return traverse.nearest(traverse.back(deps), deps.select(F.col("target").alias("package"), F.col("target").alias("id")).distinct(), 10, ("package",))
+
+
 ANALYSES |= {
-    "RG10_package_impact": views.package_reach,
-    "RG12_taint_reach": lambda g: taint.flow_state(g).select("source_id", "node_id", "min_hops"),
-    "RG13_cycles": lambda g: protocols.mutual_cycles(g).select("cycle_path", "cycle_length"),
+    "RG01_backward_depths": lambda g: traverse.nearest(traverse.back(g.step("dfg", "param_in")), named.seed(g, _formal(g)), 20),
+    "RG02_forward_depths": lambda g: traverse.nearest(g.step("dfg", "param_out"), named.seed(g, _returning(g)), 20),
+    "RG03_call_paths": _path_counts,
+    "RG04_caller_levels": lambda g: _levels(traverse.walk(traverse.back(g.step("call")), named.seed(g, _called(g)), 5)),
+    "RG05_scope_chain": lambda g: traverse.closure(g.step("scope"), named.seed(g, _first(g, "scope", last=True))),
+    "RG06_error_levels": lambda g: _levels(_errors(g)),
+    "RG07_flow_paths": lambda g: _text(traverse.simple_paths(g.step("dfg"), named.seed(g, _first(g, "dfg")), 15)),
+    "RG08_impact_levels": lambda g: _levels(traverse.walk(traverse.back(g.step("call")), named.seed(g, _called(g)), 8)),
+    "RG09_dependency_layers": _layers,
+    "RG10_package_reach": _reach,
+    "RG11_all_routes": lambda g: _text(traverse.paths_between(g.step("call"), named.seed(g, _caller(g)), named.seed(g, _end(g)), 6)),
+    "RG12_taint_reach": lambda g: taint.state(g).select("source_id", "node_id", "min_hops"),
+    "RG13_cycles": protocols.mutual_cycles,
 }
 
 ORACLES: list[dict[str, str]] = [views_sql.ORACLE, findings_sql.ORACLE, tables_sql.ORACLE, protocols_sql.ORACLE, named_sql.ORACLE, more_sql.ORACLE]
@@ -266,9 +333,8 @@ def _without_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: _query(f) for name, f in ANALYSES.items()}
-    found["D04_without_orphans"] = lambda spark, sf_dir: build(ship(spark), sf_dir).without_orphans().along("scope", "embeds", "call")
-    found["D04_without_orphans_whole"] = _without_orphans
+    found = {name: _query(analysis) for name, analysis in ANALYSES.items()}
+    found["D04_without_orphans"] = _without_orphans
     return found | registry_more.queries()
 
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import api
+from .functions.sqlcompat import counted_as, encoded
 from .graph import Graph
 from .operators import extract, navigation
+from .plans import catalogue, specs
 from .plans.carrier import stored
+from .schema import EDGES, null_defaults, violations
 from .session import ship
 from .sources import ingest, search
 
@@ -39,7 +43,50 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items.groupBy("l_orderkey").agg(F.collect_list(row).alias("rows")).join(orders, "l_orderkey")
     head = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("0" * 28), F.lit(" 2024-01-01T00:00:00Z Author "), "o_custkey")
     lines = d.select(F.col("l_orderkey").alias("log"), F.posexplode(F.concat(F.array(head), F.array(F.lit("")), "rows")).alias("at", "line"))
-    return ingest.file_history(lines).drop("last_author", "last_date")
+    return ingest.file_history(lines)
+
+
+def blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Porcelain output made from orders (a file for each customer, a line for each order), parsed."""
+    k = F.col("o_orderkey").cast("string")
+    head = F.concat(F.lpad(k, 12, "0"), F.lit("0" * 28), F.lit(" 1 "), k, F.lit(" 1"))
+    lines = F.array(head, F.concat(F.lit("author Author "), "o_orderpriority"), F.concat(F.lit("author-time "), F.col("o_orderkey") + 5), F.concat(F.lit("\tline "), k))
+    orders = ship(spark).read.parquet(f"{sf_dir}/orders.parquet")
+    d = orders.select(F.col("o_custkey").cast("string").alias("log"), "o_orderkey", F.posexplode(lines).alias("part", "line"))
+    return ingest.blame(d.select("log", F.struct("o_orderkey", "part").alias("at"), "line"))
+
+
+def wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls made from items: formats with and without %w, and joins."""
+    k = F.col("l_partkey") % 5
+    made = F.when(k == 0, "failed: %w").when(k == 1, "%d: %w").when(k == 2, "%w and %+5.2w of 100%%").when(k == 3, "%v and %%w")
+    callee = F.when(k == 4, "errors.Join").otherwise("fmt.Errorf")
+    calls = _lineitem(spark, sf_dir).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), callee.alias("callee"), made.alias("format"), F.lit(3).alias("args"))
+    return extract.error_wraps(calls)
+
+
+def null_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty texts and zeros of documents become null."""
+    d = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    file = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source"))
+    return null_defaults(d.select(F.col("doc_id").cast("string").alias("id"), file.alias("file"), (F.col("doc_id") % 5).alias("line")), ("id",))
+
+
+def first_of_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes named by their brand: the first row of each stays."""
+    part = ship(spark).read.parquet(f"{sf_dir}/part.parquet")
+    nodes = part.select(F.col("p_brand").alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"))
+    return Graph.ingest(nodes, spark.createDataFrame([], EDGES)).nodes.select("id", "kind", "name")
+
+
+def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types made from customers: some are aliases of nations, some embed another."""
+    k = F.col("c_custkey")
+    half = F.floor(k / 2)
+    alias = F.when(k % 7 == 0, F.concat(F.lit("n"), "c_nationkey"))
+    inner = F.when((k % 3 == 0) & (half > 0), F.array(F.concat(F.lit("t"), half)))
+    d = ship(spark).read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("t"), k).alias("id"), alias.alias("alias_of"), inner.alias("embedded"))
+    return extract.type_edges(d)
 
 
 def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +97,6 @@ def _sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _implementations(g: Graph) -> DataFrame:
-    """Types that have the first method name (by text) of an interface; ``_implementations_whole`` asks for all."""
-    m = g.ends(g.step("has_method"), {}, {"name": "method"}).select(F.col("source").alias("owner"), "method").distinct()
-    first = Window.partitionBy("owner").orderBy("method")
-    few = m.where("owner like 'i%'").withColumn("k", F.row_number().over(first)).where("k <= 1").select(F.col("owner").alias("interface"), "method")
-    return extract.implementations(m.where("owner like 't%'").select(F.col("owner").alias("type"), "method"), few)
-
-
-def _implementations_whole(g: Graph) -> DataFrame:
     """Types that have all method names of an interface.
 
     Beside the graph's types each interface gets two: ``all:`` has its methods, ``few:`` all but the last by text.
@@ -70,6 +109,65 @@ def _implementations_whole(g: Graph) -> DataFrame:
     return extract.implementations(m.where("owner like 't%'").select(F.col("owner").alias("type"), "method").union(made), asked)
 
 
+def _satisfied(g: Graph) -> DataFrame:
+    """Functions of types beside the fields of the interfaces that the types implement; one name has one part's key."""
+    name = F.concat(F.lit("M"), F.regexp_extract("target", "([0-9]+)$", 1))
+    methods = g.step("has_method").where("source like 't%'").select(F.col("source").alias("type"), name.alias("method"), F.col("target").alias("id"))
+    fields = g.of("field").select(F.col("id").alias("target"), F.col("name").alias("method"))
+    faces = g.step("ast").join(fields, "target").select(F.col("source").alias("interface"), "method", F.col("target").alias("id"))
+    impl = g.step("implements").select(F.col("source").alias("type"), F.col("target").alias("interface"))
+    return extract.satisfied(impl, methods, faces).distinct()
+
+
+def _methods(g: Graph) -> DataFrame:
+    types = g.spark.range(50).select(F.concat(F.lit("r"), "id").alias("id"), F.concat(F.lit("T"), "id").alias("name"))
+    methods = g.functions.join(g.having("receiver", name="receiver"), F.col("id") == F.col("node_id")).select("id", "receiver")
+    return extract.has_method(types, methods)
+
+
+def _ways(g: Graph) -> DataFrame:
+    """Statements as blocks: an if goes on to the next or to the one after it."""
+    s = g.of("if").select(F.col("id").alias("source"), F.split("id", "_").alias("at")).select("source", F.col("at")[0].alias("block"), F.col("at")[1].cast("int").alias("rn"))
+    to = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.concat_ws("_", "block", F.col("rn") + k + 1).alias("target")) for k in (0, 1)]))
+    d = s.select("source", to.alias("t")).select("source", "t.target", "t.place", F.lit(True).alias("branches"))
+    return extract.branches(d.join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi"))
+
+
+def _channels(g: Graph) -> DataFrame:
+    """Calls as what makes channels: sends and selects that their data reach."""
+    ends = g.of("send").select("id", F.lit("send").alias("kind")).union(g.of("select").select("id", F.lit("receive")))
+    return extract.channel_flow(g.step("dfg"), g.of("call").select("id"), ends)
+
+
+def _panics(g: Graph) -> DataFrame:
+    """Panics with the defers of their function, which stand for those that recover."""
+    d = g.of("call").where("name = 'panic'").select("id", F.lit("panic").alias("kind"), "parent_function")
+    return extract.pairs(d.union(g.of("defer").select("id", F.lit("recover"), "parent_function")), "parent_function", "panic", "recover")
+
+
+def _escapes(g: Graph) -> DataFrame:
+    """A log that says something of every function, local and parameter, held against the nodes at its places."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ("leaking_param", "moved_to_heap", "inlineable", "does_not_escape")]), (F.col("line") % 4 + 1).cast("int"))
+    found = g.of("function", "local", "parameter").where("file is not null").select("file", "line", said.alias("kind"))
+    return ingest.escape_properties(g, found)
+
+
+def _properties(g: Graph) -> DataFrame:
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    return g.node_properties.groupBy("node_id").agg(entries.alias("p")).select("node_id", encoded("p").alias("properties"))
+
+
+def _violations(g: Graph) -> DataFrame:
+    """The constraints of stored tables, and one that is broken."""
+    who = specs.participants(g.spark)
+    twice = g.functions.select("id").union(g.functions.where("name = 'init'").select("id"))
+    checks = [
+        violations("participants", who, allowed=("role", ["client", "server", "contract"])), violations("nodes", g.nodes, unique="id"), violations("nodes", g.nodes, required="name"),
+        violations("metrics", g.metrics, unique="function_id"), violations("broken", twice, unique="id"),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def _modules(g: Graph) -> DataFrame:
     d = g.functions.where("package is not null").select(F.concat(F.lit("corp.io/"), "package").alias("path")).distinct()
     return extract.relative(d, [("corp.io/web", ""), ("corp.io/web/api", "api"), ("corp.io/storage", "store"), ("corp.io", "base")])
@@ -88,35 +186,56 @@ def _first_file(g: Graph) -> str:
 
 
 GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
+    "S02_nodes": lambda g: g.nodes,
+    "S04_sources": lambda g: g.sources,
+    "S05_metrics": lambda g: g.metrics,
+    "S07_properties": _properties,
     "S12_scan_by_kind": lambda g: g.of("send").select("id", "name", "package"),
     "S13_full_text": lambda g: search.match(search.inverted_index(g), "THE and"),
+    "S18_subgraph_json": lambda g: api.node_json(g.functions),
+    "S19_catalogue": lambda g: catalogue.listing(g.spark).groupBy("type", "stage").agg(counted_as("n")),
     "G03_siblings": extract.siblings,
     "G04_defer_order": extract.defer_order,
+    "G05_init_order": extract.init_order,
     "G08_complexity": extract.complexity,
     "G09_fans": extract.fans,
     "G10_recursion": extract.recursion,
     "G12_param_in": extract.param_in,
     "G13_cfg_ends": extract.cfg_ends,
+    "G13_branches": _ways,
     "G14_uses": extract.uses,
-    "G16_pairs": lambda g: extract.pairs(g.of("send", "select").select("id", "kind", "parent_function"), "parent_function", "send", "select"),
+    "G15_channel_flow": _channels,
+    "G16_panic_recover": _panics,
     "G17_dominance": extract.dominance,
     "G20_implementations": _implementations,
-    "G20_implementations_whole": _implementations_whole,
+    "G21_satisfied": _satisfied,
+    "G23_has_method": _methods,
     "G24_relative_paths": _modules,
+    "G25_escapes": _escapes,
+    "R20_row_number": lambda g: g.measured.select("id", "loc").orderBy(F.desc("loc"), "id").limit(50).select("id", F.row_number().over(Window.orderBy(F.desc("loc"), "id")).cast("long").alias("rank")),
+    "R31_violations": _violations,
     "A1_search": lambda g: api.search(g, "serve1", 20),
     "A2_subgraph_nodes": lambda g: api.subgraph(g, _busiest(g)).nodes,
     "A2_subgraph_edges": lambda g: api.subgraph(g, _busiest(g)).edges,
     "A3_package_graph_nodes": lambda g: api.package_graph(g).nodes,
     "A3_package_graph_edges": lambda g: api.package_graph(g).edges,
     "A4_package_functions": lambda g: api.package_functions(g, "brand#1"),
-    "A5_source": lambda g: g.sources.where(F.col("file") == _first_file(g)),
+    "A5_source": lambda g: api.source_row(g, _first_file(g)),
     "A6_slice_nodes": lambda g: api.slice_(g, _flow(g)).nodes,
     "A6_slice_edges": lambda g: api.slice_(g, _flow(g)).edges,
     "A8_slice_lines": lambda g: api.slice_lines(api.slice_(g, _flow(g))).withColumn("lines", F.array_join("lines", ",")),
-    "R20_row_number": lambda g: g.measured.select("id", "loc").orderBy(F.desc("loc"), "id").limit(50).select("id", F.row_number().over(Window.orderBy(F.desc("loc"), "id")).cast("long").alias("rank")),
-    "T08_schema": lambda g: navigation.schema_docs(g),
+    "T08_schema": navigation.schema_docs,
+}
+TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "S06_null_binding": null_binding,
+    "S09_escape_log": escape_log,
+    "S10_change_log": change_log,
+    "S11_blame": blame,
+    "G06_error_wraps": wraps,
+    "G07_sync_kind": _sync,
+    "G22_embeds_alias": declared_types,
+    "R30_first_of_id": first_of_id,
 }
-TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"S09_escape_log": escape_log, "S10_change_log": change_log, "G07_sync_kind": _sync}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def _struct(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, {"s": T.StringType(), "l": T.LongType()}[k]) for n, k in (f.split(":") for f in text.split())])
+    return T.StructType([T.StructField(n, {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType()}[k]) for n, k in (f.split(":") for f in text.split())])
 
 
 NODES = _struct("id:s kind:s name:s file:s line:l col:l end_line:l package:s parent_function:s type_info:s properties:s")
@@ -18,6 +18,8 @@ METRICS = _struct("function_id:s cyclomatic_complexity:l fan_in:l fan_out:l loc:
 HISTORY = _struct("file:s commit_count:l author_count:l last_author:s last_date:s insertions:l deletions:l churn:l")
 ESCAPES = _struct("file:s line:l col:l kind:s detail:s")
 FINDINGS = _struct("category:s severity:s node_id:s file:s line:l message:s details:s")
+TAINTED = _struct("node_id:s label:s source_id:s source_category:s min_hops:l")
+ENDPOINTS = _struct("id:s protocol_id:s component:s role:s endpoint_type:s function_id:s function_name:s package:s file:s line:l url_path:s http_method:s confidence:d")
 TABLES = {"nodes": NODES, "edges": EDGES, "sources": SOURCES, "metrics": METRICS, "history": HISTORY}
 
 
@@ -35,3 +37,14 @@ def null_defaults(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
         else:
             out.append(F.nullif(F.col(name), F.lit("" if kind == "string" else 0)).alias(name))
     return df.select(*out)
+
+
+def violations(name: str, df: DataFrame, unique: str | None = None, required: str | None = None, allowed: tuple[str, list[str]] | None = None) -> DataFrame:
+    """Check and n, how many values break a constraint: repeated keys, missing values, values that aren't allowed."""
+    if unique:
+        column, bad = unique, df.groupBy(unique).count().where("count > 1")
+    elif required:
+        column, bad = required, df.where(F.col(required).isNull() | (F.col(required) == ""))
+    else:
+        column, bad = allowed[0], df.where(~F.coalesce(F.col(allowed[0]).isin(*allowed[1]), F.lit(False)))
+    return bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"{name}.{column}").alias("check"), "n")

@@ -4,7 +4,7 @@ import pytest
 
 from meshquery.graph import Graph
 from meshquery.operators import extract, findings, named, protocols, traverse, views
-from meshquery.schema import EDGES, NODES
+from meshquery.schema import EDGES, NODES, violations
 
 
 def graph(spark, nodes, edges, **tables):
@@ -28,12 +28,12 @@ def test_chain_and_diamond(spark):
     assert pairs(named.callers_of(g, "d", 1), "id", "depth") == [("c", 1), ("d", 0)]
     g = functions(spark, ["ab", "ac", "bd", "cd"])
     assert pairs(traverse.walk(g.step("call"), named.seed(g, "a"), 5), "id", "depth") == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
-    assert pairs(named.pathfinder(g, "a", "d"), "path") == [("a → b → d",), ("a → c → d",)]
+    assert pairs(named.pathfinder(g, "a", "d"), "path") == [("a -> b -> d",), ("a -> c -> d",)]
 
 
 def test_cycle_comes_again_at_each_level(spark):
     g = functions(spark, ["ab", "bc", "ca", "cd"])
-    got = pairs(traverse.walk(g.step("call"), named.seed(g, "a"), 4), "id", "depth")
+    got = pairs(traverse.walk(g.step("call"), named.seed(g, "a"), 4, every=2), "id", "depth")
     assert got == [("a", 0), ("a", 3), ("b", 1), ("b", 4), ("c", 2), ("d", 3)]
     assert pairs(traverse.nearest(g.step("call"), named.seed(g, "a"), 9), "id", "depth") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
     assert pairs(traverse.closure(g.step("call"), named.seed(g, "b")), "id") == [("a",), ("b",), ("c",), ("d",)]
@@ -63,8 +63,8 @@ def test_ingestion_and_orphans(spark):
 
 
 def test_properties_and_saving(spark, tmp_path):
-    g = graph(spark, [("a", "function", "a", {"properties": '{"exported":true,"n":5,"s":"x"}'})], [])
-    assert pairs(g.node_properties, "key", "value") == [("exported", "1"), ("n", "5"), ("s", "x")]
+    g = graph(spark, [("a", "function", "a", {"properties": '{"exported":true,"n":5,"s":"true","z":null}'})], [])
+    assert pairs(g.node_properties, "key", "value") == [("exported", "1"), ("n", "5"), ("s", "true")]
     again = g.save(str(tmp_path / "g"))
     assert pairs(again.nodes, "id", "kind") == [("a", "function")]
     assert Graph.load(spark, str(tmp_path / "nothing")).nodes.count() == 0
@@ -81,7 +81,9 @@ def test_flows_of_outside_calls(spark):
     assert views.flows_to_result(g).count() == 0 and views.flows_by_default(g).count() == 0
     assert pairs(views.flows_to_result(args_graph(spark, ("fmt", "Sprintf"))), "source", "target") == [("x", "c"), ("y", "c")]
     assert pairs(views.flows_by_default(args_graph(spark, ("who", "Knows"))), "source", "target") == [("x", "c"), ("y", "c")]
-    assert pairs(views.evaluation_order(g), "source", "target", "final") == [("x", "y", 0), ("y", "c", 1)]
+    assert pairs(views.argument_order(g), "source", "target") == [("x", "y")]
+    assert pairs(views.last_arguments(g), "source", "target", "properties") == [("y", "c", '{"final":true}')]
+    assert views.evaluation_order(g).count() == 2
     assert views.with_flows(g).step("dfg").count() == 1
 
 
@@ -107,20 +109,97 @@ def test_dominators_and_control_dependence(spark):
     assert pairs(extract.cfg_ends(blocks(spark, ["ab"], "ab")), "source", "target", "label") == [("b", "f", "exit"), ("f", "a", "entry")]
 
 
+def causes(spark, rows):
+    return spark.createDataFrame([(*r, "why") for r in rows], "source_endpoint string, target_endpoint string, kind string, protocol_id string, description string")
+
+
 def test_causal_cycles(spark):
-    c = lambda rows: spark.createDataFrame(rows, "source string, target string, kind string, protocol_id string")
-    two = protocols.dependency_cycles(c([("a", "b", "IO", "p"), ("b", "a", "IO", "q"), ("b", "c", "II", "p"), ("c", "b", "IO", "p")]))
+    two = protocols.dependency_cycles(causes(spark, [("a", "b", "IO", "p"), ("b", "a", "IO", "q"), ("b", "c", "II", "p"), ("c", "b", "IO", "p")]))
     assert pairs(two, "cycle_length", "severity") == [(2, "benign"), (2, "deadlock_risk")]
-    three = protocols.dependency_cycles(c([("a", "b", "IO", "p"), ("b", "c", "OO", "q"), ("c", "a", "II", "r")]))
-    assert pairs(three, "cycle_path", "severity") == [("a → b → c → a", "deadlock_risk")]
+    three = causes(spark, [("a", "b", "IO", "p"), ("b", "c", "OO", "q"), ("c", "a", "II", "r")])
+    assert pairs(protocols.dependency_cycles(three), "cycle_path", "severity") == [("a → b → c → a", "deadlock_risk")]
     g = functions(spark, [])
-    a = {r.protocol_id: r for r in protocols.association(g, three).collect()}
-    assert a["scrape"].is_associated == 0
-    risky = protocols.association(g, spark.createDataFrame([("x", 2, "adapter_query_range, scrape", "deadlock_risk")], "cycle_path string, cycle_length long, involved_protocols string, severity string"))
-    got = {r.protocol_id: r.cycle_count for r in risky.collect()}
+    assert named.deadlock_detection(g, three).first().scalas_yoshida_class == protocols.TRIANGLE
+    assert pairs(named.deadlock_check(g, three), "causality_chain") == [("II → IO",), ("IO → OO",), ("OO → II",)]
+    a = {r.protocol_id: r for r in protocols.association(g, protocols.dependency_cycles(three)).collect()}
+    assert a["scrape"].is_associated == 0 and a["scrape"].errata_reference == protocols.ERRATA
+    risky = spark.createDataFrame([("x", 2, "adapter_query_range, scrape", "deadlock_risk")], "cycle_path string, cycle_length long, involved_protocols string, severity string")
+    got = {r.protocol_id: r.cycle_count for r in protocols.association(g, risky).collect()}
     assert got["adapter_query_range"] == 1 and got["scrape"] == 1 and got["adapter_query"] == 0
 
 
+def test_cycles_of_calls_either_way_round(spark):
+    g = functions(spark, ["ab", "bc", "ca", "ac", "cb", "ba", "da", "ad"])
+    got = pairs(protocols.mutual_cycles(g), "cycle_path", "cycle_length")
+    assert got == [("a → b → a", 2), ("a → b → c → a", 3), ("a → c → a", 2), ("a → c → b → a", 3), ("a → d → a", 2), ("b → c → b", 2)]
+
+
+def test_endpoints_and_causes_of_a_small_project(spark):
+    of = lambda package, **more: {"package": package, "file": "f.go", "line": 3, **more}
+    adapter = {"properties": '{"project":"adapter"}'}
+    nodes = [
+        ("s", "function", "*queryClient.Series", of("c", **adapter)), ("q", "function", "*queryClient.Query", of("c", **adapter)), ("d", "function", "*httpAPIClient.Do", of("c", **adapter)),
+        ("r", "function", "*scrapeLoop.run", of("scrape")), ("x", "function", "*API.query", of("web/api/v1")), ("y", "function", "*API.queryRange", of("web/api/v1")), ("z", "function", "*API.other", of("web/api/v1")),
+    ]
+    g = graph(spark, nodes, [])
+    e = {(r.protocol_id, r.function_id): r.url_path for r in protocols.endpoints(g).collect()}
+    assert e[("scrape", "r")] is None and e[("promql_api", "y")] == "/api/v1/query_range" and e[("adapter_query", "x")] == "/api/v1/query"
+    assert ("promql_api", "z") not in e and e[("adapter_series", "s")] == "/api/v1/series"
+    assert pairs(protocols.causality_summary(g), "kind", "source_function", "target_function") == [("IO", "*queryClient.Series", "*httpAPIClient.Do"), ("IO", "*queryClient.Series", "*queryClient.Query")]
+    checked = {(r.protocol_id, r.component): r for r in protocols.subtype_check(g).collect()}
+    assert checked[("adapter_query", "adapter")].relation == "subtype" and checked[("adapter_series", "adapter")].relation == "equal"
+    assert checked[("scrape", "target")].relation == "assumed_subtype" and checked[("federation", "prometheus")].explanation == protocols.UNSEEN
+
+
+def test_findings_say_what_clients_read(spark):
+    m = spark.createDataFrame([("a", 20, 12, 11, 120, 6), ("b", 20, 0, 0, 119, 6)], "function_id string, cyclomatic_complexity long, fan_in long, fan_out long, loc long, num_params long")
+    g = graph(spark, [("a", "function", "A", {"package": "p", "file": "f", "line": 7}), ("b", "function", "b", {"package": "q"}), ("v", "local", "v", {"parent_function": "a"})], [("a", "b", "call")], metrics=m)
+    got = {r.category: r for r in findings.stage(g, 1).where("node_id in ('a', 'v')").collect()}
+    assert got["complexity"].message == "A has cyclomatic complexity 20" and got["complexity"].details == '{"complexity":20,"package":"p"}'
+    assert got["god_function"].message == "A (complexity=20, loc=120, fan_out=11)"
+    assert got["similar_function"].message == "A is structurally similar to b (cc=20, loc≈120/119)"
+    assert got["risk_score"].message == "A risk=7.0" and got["dead_store"].message == "unused variable 'v' in a"
+    assert got["hub"].details == '{"fan_in":12,"fan_out":11,"package":"p"}'
+    dead = findings.dead_code(g).first()
+    assert dead.message == "unreachable function b (zero callers)" and dead.line is None
+
+
+def test_chains_of_scopes_of_any_length(spark):
+    n = 300
+    g = graph(spark, [(f"s{i}", "block", "x") for i in range(n)], [(f"s{i}", f"s{i + 1}", "scope") for i in range(n - 1)])
+    assert traverse.closure(g.step("scope"), named.seed(g, "s0")).count() == n
+    assert traverse.closure(g.step("scope"), named.seed(g, "s299")).count() == 1
+    far = traverse.nearest(g.step("scope"), named.seed(g, "s0"), 20)
+    assert pairs(far, "depth")[-1] == (20,) and far.count() == 21
+
+
+def test_errors_wrapped_by_calls(spark):
+    rows = [(1, "fmt.Errorf", "x %w", 2), (2, "fmt.Errorf", "%d: %+5.2w 100%% %w", 4), (3, "fmt.Errorf", "%%w", 2), (4, "errors.Join", None, 2), (5, "fmt.Errorf", "%w %w", 2), (6, "other", "%w", 2), (7, "fmt.Errorf", None, 1), (8, "errors.Join", None, 0)]
+    calls = spark.createDataFrame(rows, "id int, callee string, format string, args int")
+    assert pairs(extract.error_wraps(calls), "id", "argument") == [(1, 1), (2, 2), (2, 3), (4, 0), (4, 1), (5, 1)]
+
+
+def test_declared_types_and_their_methods(spark):
+    d = spark.createDataFrame([("a", None, ["b", None]), ("c", "a", ["b"]), ("e", None, None)], "id string, alias_of string, embedded array<string>")
+    assert pairs(extract.type_edges(d), "source", "target", "kind") == [("a", "b", "embeds"), ("c", "a", "alias_of")]
+    t = spark.createDataFrame([("t1", "T", "p"), ("t2", "T", "q")], "id string, name string, package string")
+    m = spark.createDataFrame([("m", "*T", "p"), ("n", "T", "q"), ("o", "U", "p")], "id string, receiver string, package string")
+    assert pairs(extract.has_method(t, m), "source", "target") == [("t1", "m"), ("t2", "n")]
+
+
+def test_constraints(spark):
+    d = spark.createDataFrame([("a", "x"), ("a", ""), ("b", None)], "id string, role string")
+    of = lambda **k: violations("t", d, **k).first()
+    assert of(unique="id") == ("t.id", 1) and of(required="role") == ("t.role", 2) and of(allowed=("role", ["x"])) == ("t.role", 2)
+
+
+def test_derived_tables_are_stored_once(spark, tmp_path):
+    g = functions(spark, ["ab", "ba"]).save(str(tmp_path / "g"))
+    assert findings.stage(g, 2).count() == findings.stage(g, 2).count()
+    assert (tmp_path / "g/derived-findings-1/_SUCCESS").exists() and (tmp_path / "g/derived-findings-2/_SUCCESS").exists()
+    assert g.but(nodes=g.nodes).path is None
+
+
 def test_implementations_need_every_method(spark):
     m = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "type string, method string")
     i = spark.createDataFrame([("i", "a"), ("i", "b"), ("j", "a")], "interface string, method string")

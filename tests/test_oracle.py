@@ -43,14 +43,23 @@ def test_query_matches_its_sql(spark, duck, name):
     assert mine == normal([d[0] for d in found.description], found.fetchall())
 
 
-def test_whole_division_and_orphans(spark):
-    found = entry.queries()["G20_implementations_whole"](spark, DIR).collect()
+def test_division_and_orphans(spark):
+    found = entry.queries()["G20_implementations"](spark, DIR).collect()
     made = {(r.type[:4], r.type[4:] == r.interface) for r in found if r.type[0] != "t"}
     assert ("all:", True) in made and ("few:", True) not in made
-    rows = entry.queries()["D04_without_orphans_whole"](spark, DIR)
+    rows = entry.queries()["D04_without_orphans"](spark, DIR)
     assert rows.select("kind").distinct().count() > 3 and rows.where("'nowhere' in (source, target)").isEmpty()
 
 
+def test_sql_carries_only_what_it_needs():
+    from meshquery.oracle.carrier import sql
+
+    assert sql("SELECT 1") == "SELECT 1"
+    text = sql("SELECT * FROM item")
+    assert "lineitem" in text and "ext_names" not in text and "RECURSIVE" not in text
+    assert "RECURSIVE" in sql("SELECT * FROM r", "r(n) AS (SELECT 1 UNION SELECT n + 1 FROM r WHERE n < 3)")
+
+
 def test_every_query_without_sql_runs(spark):
     for name, f in entry.queries().items():
         if name not in ORACLE and not name.startswith("op") and name != "pipeline":
