@@ -1,15 +1,19 @@
 """Quality rules under weak supervision, with DataFrame functions only.
 
-Rules vote good (1) or bad (-1) or abstain (0).  Expectation maximisation estimates from the agreement of the rules
-alone how each rule votes on good and on bad texts (Dawid and Skene's model, with abstaining as a third answer); the
-posterior probability of being good replaces the demand that all rules pass.  EM needs only how many texts have each
-pattern of votes: at most 3 ** (number of rules) counts, got by one aggregation over all texts.
+Rules vote good (1) or bad (-1) or abstain (0).  The model: a text is good with some probability; a rule that votes says
+"good" with one probability of good texts and with another of bad ones, independently of the other rules; whether it
+votes says nothing.  Expectation maximisation estimates these accuracies from the agreement of the rules alone, each
+with a weak prior (one vote of either kind), and the posterior probability of being good replaces the demand that all
+rules pass.  Which of the two groups is the good one is settled by the starting values only.  EM needs only how many
+texts have each pattern of votes: at most 3 ** (number of rules) counts, got by one aggregation over all texts.
 
 Words are runs of characters other than ASCII white space.  ``n_repeat_words`` counts the words inside 8-word windows
 that a text holds twice or more; windows are told apart by 64-bit hashes.
 
-Nulls: a null text has no words and fails the base rule.  Repeated rows are judged one by one.  :func:`keep_good` keeps
-every column of its input whatever the names.  An empty table gives an empty result (the starting estimates stand).
+Nulls: a null text has no words and fails the base rule; a null doc_id is carried along.  Repeated rows are judged one
+by one.  Texts of any length are judged whole; a task holds one text's windows at a time.  A posterior of exactly the
+bound is kept.  :func:`keep_good` keeps every column of its input whatever the names.  An empty table gives an empty
+result (the starting estimates stand).
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def rules() -> dict[str, Column]:
     n, c = F.col("n_words"), F.col
     letters = c("n_upper") + c("n_lower")
     return {
-        "length": _vote((n >= 40) & (n <= 100_000), n < 20),
+        "length": _vote(n >= 40, n < 20),
         "repeats": _vote((n >= 20) & (20 * c("n_repeat_words") <= n), 10 * c("n_repeat_words") > 3 * n),
         "symbols": _vote(50 * c("n_symbols") <= n, 10 * c("n_symbols") > n),
         "symbol_share": _vote(200 * c("n_symbols") <= c("word_chars"), 30 * c("n_symbols") > c("word_chars")),
@@ -83,43 +87,64 @@ def rules() -> dict[str, Column]:
 
 
 class Votes:
-    """What EM has found: the share of good texts and how each rule answers on good and on bad ones."""
+    """What EM has found: the share of good texts and how often each rule that votes says good of good and of bad ones."""
 
     def __init__(self, names: list[str]):
         self.names = names
         self.good = 0.8
         # most bad texts break few rules, so to start with a good vote says little and a bad one much
-        self.answers = {k: {1: {1: 0.8, 0: 0.18, -1: 0.02}, 0: {1: 0.6, 0: 0.15, -1: 0.25}} for k in names}
+        self.says_good = {k: {1: 0.975, 0: 0.7} for k in names}
+        self.trace: list[float] = []  # log likelihood and prior before each step; it never falls
+
+    def _logs(self, pattern: tuple[int, ...]) -> tuple[float, float]:
+        """Log probability of a pattern's votes together with being good, and with being bad."""
+        out = []
+        for label, share in ((1, self.good), (0, 1 - self.good)):
+            log = math.log(share)
+            for name, vote in zip(self.names, pattern):
+                if vote:
+                    p = self.says_good[name][label]
+                    log += math.log(p if vote == 1 else 1 - p)
+            out.append(log)
+        return out[0], out[1]
 
-    def fit(self, patterns: dict[tuple[int, ...], int], most: int = 200, close: float = 1e-7) -> Votes:
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        good, bad = self._logs(pattern)
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, bad - good))))
+
+    def _objective(self, patterns: dict[tuple[int, ...], int]) -> float:
+        total = sum(math.log(p) + math.log(1 - p) for of in self.says_good.values() for p in of.values())
+        total += math.log(self.good) + math.log(1 - self.good)
+        for pattern, n in patterns.items():
+            good, bad = self._logs(pattern)
+            high = max(good, bad)
+            total += n * (high + math.log(math.exp(good - high) + math.exp(bad - high)))
+        return total
+
+    def fit(self, patterns: dict[tuple[int, ...], int], most: int = 500, close: float = 1e-9) -> Votes:
         total = sum(patterns.values())
         for _ in range(most if total else 0):
+            self.trace.append(self._objective(patterns))
+            if len(self.trace) > 1 and self.trace[-1] - self.trace[-2] <= close * abs(self.trace[-1]):
+                break
             post = {p: self.posterior(p) for p in patterns}
-            mass = {1: sum(n * post[p] for p, n in patterns.items())}
-            mass[0] = total - mass[1]
-            was, self.good = self.good, min(0.999, max(0.001, mass[1] / total))
+            mass = sum(n * post[p] for p, n in patterns.items())
+            self.good = (mass + 1) / (total + 2)
             for k, name in enumerate(self.names):
                 for label in (1, 0):
-                    seen = {v: sum(n * (post[p] if label else 1 - post[p]) for p, n in patterns.items() if p[k] == v) for v in (1, 0, -1)}
-                    self.answers[name][label] = {v: (seen[v] + 1) / (mass[label] + 3) for v in seen}
-            if abs(self.good - was) < close:
-                break
+                    of = {v: sum(n * (post[p] if label else 1 - post[p]) for p, n in patterns.items() if p[k] == v) for v in (1, -1)}
+                    self.says_good[name][label] = (of[1] + 1) / (of[1] + of[-1] + 2)
         return self
 
     def weight(self, name: str, vote: int) -> float:
-        """Log odds that an answer adds.  A rule's answer never speaks for the other side."""
-        of = self.answers[name]
-        w = math.log(of[1][vote] / of[0][vote])
-        return max(w, 0.0) if vote == 1 else min(w, 0.0) if vote == -1 else 0.0
-
-    def posterior(self, pattern: tuple[int, ...]) -> float:
-        odds = math.log(self.good / (1 - self.good)) + sum(self.weight(n, v) for n, v in zip(self.names, pattern))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+        """Log odds that an answer adds."""
+        good, bad = self.says_good[name][1], self.says_good[name][0]
+        return math.log(good / bad) if vote == 1 else math.log((1 - good) / (1 - bad)) if vote == -1 else 0.0
 
     def column(self) -> Column:
         odds = F.lit(math.log(self.good / (1 - self.good)))
         for name, vote in rules().items():
-            odds = odds + F.when(vote == 1, self.weight(name, 1)).when(vote == -1, self.weight(name, -1)).otherwise(self.weight(name, 0))
+            odds = odds + F.when(vote == 1, self.weight(name, 1)).when(vote == -1, self.weight(name, -1)).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
@@ -144,8 +169,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.  Texts are read twice and never shuffled."""
-    votes = fit(counted(docs.select(F.lit(None).alias("row"), "text")))
-    # a row number that the filter needs keeps it above the counts: pushed below, it would hold each of them many times
-    counts = counted(docs.select(F.struct("*").alias("row"), "text")).withColumn("apart", F.monotonically_increasing_id())
-    return judged(counts, votes).where(F.col("kept") & (F.col("apart") >= 0)).select("row.*")
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Rows are written once with their counts, so that texts are counted once; they are never shuffled.
+    """
+    counts = stash(counted(docs.select(F.struct("*").alias("row"), "text")), "quality")
+    return judged(counts, fit(counts)).where("kept").select("row.*")

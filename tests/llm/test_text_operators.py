@@ -199,7 +199,39 @@ def test_keep_good_drops_junk_and_keeps_columns(spark):
     assert quality.keep_good(docs(spark, [])).count() == 0
 
 
+def plain_em(patterns, rules):
+    """The same model with arrays: share of good, and each rule's chance to say good of good and bad texts."""
+    votes, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    good, a = 0.8, np.array([[0.7] * rules, [0.975] * rules])
+    for _ in range(2000):
+        log = np.log([1 - good, good])[:, None] + np.array([((votes == 1) * np.log(a[k]) + (votes == -1) * np.log(1 - a[k])).sum(axis=1) for k in (0, 1)])
+        post = 1 / (1 + np.exp(log[0] - log[1]))
+        good = ((n * post).sum() + 1) / (n.sum() + 2)
+        a = np.array([(((n * w)[:, None] * (votes == 1)).sum(axis=0) + 1) / (((n * w)[:, None] * (votes != 0)).sum(axis=0) + 2) for w in (1 - post, post)])
+    return dict(zip(patterns, post))
+
+
 def test_em_learns_from_agreement():
-    votes = quality.Votes(["a", "b", "c"]).fit({(1, 1, 1): 900, (-1, -1, 1): 60, (-1, -1, -1): 30, (1, 1, -1): 10})
+    patterns = {(1, 1, 1): 900, (-1, -1, 1): 60, (-1, -1, -1): 30, (1, 1, -1): 10, (0, 1, 1): 40, (0, -1, 0): 9, (0, 0, 0): 5}
+    votes = quality.Votes(["a", "b", "c"]).fit(patterns)
     assert votes.posterior((1, 1, 1)) > 0.9 and votes.posterior((-1, -1, 1)) < 0.1
     assert abs(votes.weight("a", -1)) > abs(votes.weight("c", -1))
+    assert all(y >= x - 1e-9 * abs(x) for x, y in zip(votes.trace, votes.trace[1:])) and len(votes.trace) > 3
+    for p, want in plain_em(patterns, 3).items():
+        assert votes.posterior(p) == pytest.approx(want, abs=1e-3)
+    assert votes.posterior((0, 0, 0)) == pytest.approx(votes.good)
+
+
+def test_verdicts_are_the_posteriors_of_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["the", "of", "w1", "w2", "x9", "$$", "UP"], size=int(rng.integers(5, 120)))) for _ in range(150)]
+    d = docs(spark, [*AWKWARD, *((100 + i, t) for i, t in enumerate(texts))])
+    counts = quality.counted(d.selectExpr("doc_id as row", "text"))
+    rows = counts.select("row", "n_words", "n_repeat_words", *[v.alias(k) for k, v in quality.rules().items()]).collect()
+    patterns = {}
+    for r in rows:
+        patterns[tuple(r)[3:]] = patterns.get(tuple(r)[3:], 0) + 1
+    post = plain_em(patterns, len(quality.rules()))
+    got = sorted((r.doc_id or 0, r.kept, round(r.p_good, 2)) for r in quality.judge(d).collect())
+    assert got == sorted((r.row or 0, bool(not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and post[tuple(r)[3:]] >= 0.5), round(float(post[tuple(r)[3:]]), 2)) for r in rows)
+    assert quality.judge(docs(spark, [])).count() == 0
