@@ -105,6 +105,14 @@ def test_urls_against_all_rules(spark, most_bytes):
     assert got == {i: plain_judge(u) for i, u in enumerate(URLS)}
 
 
+def test_rules_of_two_queries_are_not_mixed_up(spark):
+    pages = spark.createDataFrame([(1, "http://a/x"), (1, "http://a/x"), (None, "http://a/" + "x" * 100_000)], "page_id long, url string")
+    for rules, want in (([("a/x", False)], "block"), ([("a/x", True)], "allow"), ([("a/x", False)], "block"), ([], "allow")):
+        assert [r.verdict for r in urlfilter.judge_urls(pages, rules).collect()] == [want] * 3
+    assert urlfilter.judge_urls(spark.createDataFrame([], pages.schema), RULES).count() == 0
+    assert [r.verdict for r in urlfilter.judge_urls(pages, [("a/x", False), ("a/x", True)]).collect()] == ["allow"] * 3
+
+
 def test_colliding_keys_are_told_apart(monkeypatch):
     monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda b: 5)
     found = urlfilter.DigestArray(urlfilter.image([("a/x", True), ("b/x", False)]))
@@ -133,6 +141,58 @@ def test_neighbours_decide_short_blocks_outside_an_article():
     assert htmltext.main_text(f"<p>{long}</p><p>Short.</p><p>More.</p>{links}<p>Tiny</p>{links}") == f"{long} Short."
 
 
+LONG = "This is a long block of text that has the words which are of use to us and it is here for the test."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post no-comments", "entry with-share", "td-main related-layout", "widget", "page-sidebar wide"])
+def test_named_containers_do_not_overrule_their_article(name):
+    assert htmltext.main_text(f'<div class="{name}"><article><p>{LONG}</p><div class="share"><p>{LONG}</p></div></article></div>') == LONG
+    assert htmltext.main_text(f'<div class="{name}"><main><p>Short.</p></main></div>') == "Short."
+
+
+def test_comments_and_adverts_stay_out():
+    assert htmltext.main_text(f'<article><p>One.</p></article><div id="comments"><article><p>{LONG}</p></article></div>') == "One."
+    assert htmltext.main_text(f'<article><p>One.</p><article class="comment"><p>{LONG}</p></article></article>') == "One."
+    assert htmltext.main_text(f'<p>{LONG} <span class="advert">Buy <b>now</b></span> more <span class="name">text</span></p>') == f"{LONG} more text"
+    assert htmltext.main_text(f'<div class="sidebar"><p>{LONG}</p></div><div class="no-comments"><p>{LONG}</p></div>') == LONG
+
+
+def test_text_that_looks_like_tags_is_kept():
+    assert htmltext.main_text(f"<3 {LONG}") == f"<3 {LONG}" and htmltext.main_text(f"<article>1 < 2 and <{LONG}") == "1 < 2 and"
+    assert htmltext.main_text(f'<article><p title="a>b">{LONG}</p><p title=">x</p><p>y</p></article>') == f"{LONG} x y"
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', '<p class="' * 90_000, "<div><b class=x>" * 30_000 + "</i></u>" * 60_000, "<!--" * 200_000, "<script>" * 120_000, '<div class="ad">' * 30_000 + "<article>" * 50_000, "<" * 900_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - begin < 2
+
+
+def test_generated_pages_give_the_article_that_was_put_in(spark):
+    rng = np.random.default_rng(5)
+    words = "the of and to in is that for it was with house river stone light paper music garden winter".split()
+    prose = lambda n: " ".join(rng.choice(words, n)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(120):
+        paragraphs = [prose(int(n)) for n in rng.integers(2, 60, int(rng.integers(1, 7)))]
+        body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<h2>{}</h2>"]).format(p.replace(" of ", " <i>of</i> ").replace(" and ", "\n\t &#97;nd ")) for p in paragraphs)
+        junk = [
+            f"<nav><ul><li><a href=/>{prose(3)}</a><li>{prose(30)}</ul></nav>", f"<aside>{prose(40)}</aside>", f'<div class="cookie-notice"><p>{prose(40)}</p></div>', f"<script>var a = '<p>{prose(20)}</p>';</script>",
+            f"<form>{prose(30)}</form>", f"<!-- {prose(20)} -->", f'<section id="comments"><p>{prose(50)}</p></section>', f"<footer><p>{prose(30)}</p></footer>", f'<div class="ads">{prose(30)}</div>',
+        ]
+        some = [junk[k] for k in rng.permutation(len(junk))]
+        k, m = sorted(rng.integers(0, len(junk) + 1, 2).tolist())
+        tag = rng.choice(["article", "main"])
+        rows.append((i, f"http://x/{i}", f"<html><head><title>{prose(8)}</title></head><body>{''.join(some[:k])}<{tag}>{body}{some[k] if k < m else ''}</{tag}>{''.join(some[m:])}"))
+        want[i] = " ".join(paragraphs)
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_extract_keeps_every_page(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<article><p>hi</p></article>"), (2, "u", "<article><p>hi</p></article>")], "page_id long, url string, html string").selectExpr("*", "1 as text")
     rows = sorted(map(tuple, htmltext.extract(pages).collect()), key=str)
