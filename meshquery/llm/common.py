@@ -1,8 +1,9 @@
 """What several operators share: the shared folder, Arrow columns as numpy arrays, word hashes, components.
 
 Words here are maximal runs of bytes other than ASCII white space (0x09-0x0D, 0x20); A-Z are lower-cased.  As
-white space is ASCII, UTF-8 texts can be cut at the byte level without decoding them.  A word, a shingle and a
-set of shingles are each stood for by 64 bits; two different ones are taken for equal with probability 2**-64 a pair.
+white space is ASCII, UTF-8 texts can be cut at the byte level without decoding them.  A word and a shingle are each
+stood for by 64 bits; two different ones of one comparison are taken for equal with probability 2**-64.  What is told
+apart over a whole corpus has more bits, or is confirmed (see the operators).
 """
 
 from __future__ import annotations
@@ -37,7 +38,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshquery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stash"] = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables that :func:`stash` made, once nothing reads them any more."""
+    for df in stashed:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df.__dict__["_stash"])
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def checked(df: DataFrame, *texts: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, to be broadcast if its rows and the texts in it take no more than ``most_bytes``; else joined by key."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(64))
+    total = df.agg(F.sum(size).alias("n")).first().n or 0
+    return F.broadcast(df) if total <= most_bytes else df
 
 
 def text_or_empty(df: DataFrame) -> DataFrame:
@@ -104,11 +122,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+SEGMENT = 1 << 22
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of some rows' bytes: each word's row, start, end (bytes) and 64-bit hash, in order.
 
-    A word's hash is a polynomial over its bytes, got for all words at once from one running sum.
+    A very long text is read in segments that end at white space, so memory for work hangs on a segment, not on the text
+    (a word of many megabytes is one segment).
     """
+    if len(raw) <= SEGMENT:
+        return _segment_hashes(raw, offsets)
+    parts, at = [], 0
+    while at < len(raw):
+        stop = min(at + SEGMENT, len(raw))
+        while stop < len(raw) and not _SPACE[raw[stop - 1]]:
+            space = np.flatnonzero(_SPACE[raw[stop : stop + SEGMENT]])
+            stop = stop + int(space[0]) + 1 if len(space) else min(stop + SEGMENT, len(raw))
+        low, high = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, stop)
+        own = np.clip(offsets[low : high + 1], at, stop) - at
+        rows, starts, stops, hashes = _segment_hashes(raw[at:stop], own)
+        parts.append((rows + low, starts + at, stops + at, hashes))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _segment_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A word's hash is a polynomial over its bytes, got for all words at once from one running sum."""
     size = len(raw)
     if not size:
         none = np.zeros(0, np.int64)
@@ -158,8 +198,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b): component is the smallest node reachable.
 
     Large-star and small-star steps in turn: each hangs every node's neighbours on the smallest one.  The number
-    of rounds grows with the logarithm of the longest path.  Edges stay in the shared folder between rounds and
-    only their number and checksum come to the driver.
+    of rounds grows with the logarithm of the longest path.  Edges stay in the shared folder between rounds, one round's
+    at a time, and only their number and checksum come to the driver.  A hub's neighbours are one key of a join, which
+    adaptive execution splits where they are many.
     """
 
     def sign(e: DataFrame) -> tuple:
@@ -176,7 +217,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, stash(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = sign(e)
         if now == was:
             break

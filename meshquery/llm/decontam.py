@@ -12,10 +12,14 @@ a document and a position.  Only terms of the test items are stored, and of thes
 :func:`phrases` returns exact matches (item, document, start, length) and :func:`proximity` near ones: all terms of a
 window within ``slack`` more words, in any order.  :func:`contamination` gives every document's hit words.
 
-Skew: postings are counted by term with partial sums; a term in all documents spreads by term and document.  The test
-side is broadcast by Spark where its size allows and joined by key elsewhere.  Nulls: null texts have no words.  Rows
-that repeat a doc_id are each confirmed by their own words.  Extra columns are ignored or (``keep_clean``) kept.  Empty
-tables give empty or clean results.
+Skew: the test side's terms and windows are counted first; up to a size they are broadcast, so the texts' words stay
+where they are and only partial counts by term move.  Beyond it words are counted by term before they are joined, and
+postings are joined by term, where adaptive execution splits frequent ones; starts always spread by document, window
+and place.  Of equally rare terms the one that is less as text goes first.
+
+Nulls: null texts have no words; a null doc_id or item_id is an id of its own.  Rows that repeat a doc_id are each
+confirmed by their own words.  Texts of any length are searched whole.  Extra columns are ignored or (``keep_clean``)
+kept.  Empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import checked, stash
 
 WIDTH = 10
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,16 +49,25 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term, pos (from 0) of the given distinct terms: the index's lists."""
     d = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return d.join(terms.select("term"), "term", "left_semi")
+    return d.join(checked(terms.select("term"), "term"), "term", "left_semi")
+
+
+def count_terms(docs: DataFrame, vocabulary: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """term, n: how often the texts have each of the given distinct terms that they have."""
+    every = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    wanted = checked(vocabulary, "term", most_bytes=most_bytes)
+    n = F.count(F.lit(1)).alias("n")
+    if wanted is vocabulary:  # too many to send: words are counted before they meet them
+        return every.groupBy("term").agg(n).join(vocabulary, "term", "left_semi")
+    return every.join(wanted, "term", "left_semi").groupBy("term").agg(n)
 
 
 def _ranked(docs: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(windows: wid, terms, the two rarest terms and their offsets; items of each window: wid, item_id)."""
     of = stash(windows(items, width).withColumn("wid", F.xxhash64("terms")), "windows")
     once = of.select("wid", "terms").distinct()
-    vocabulary = of.select(F.explode("terms").alias("term")).distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    counts = stash(counts, "terms")
+    vocabulary = stash(of.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    counts = stash(count_terms(docs, vocabulary), "terms")
     each = once.select("wid", F.posexplode("terms").alias("offset", "term")).join(counts, "term")  # a window with an unseen term can't occur
     best = each.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("by"))
     best = once.join(best, "wid").where(F.size("by") == F.size("terms"))
@@ -69,8 +82,11 @@ def _starts(docs: DataFrame, rarest: DataFrame) -> DataFrame:
     """doc_id, wid, start: where the two rarest terms stand as they should."""
     terms = rarest.select(F.col("a").alias("term")).union(rarest.where("b is not null").select(F.col("b").alias("term"))).distinct()
     index = stash(postings(docs, terms), "postings")
-    a = index.join(rarest.select(F.col("a").alias("term"), "wid", "a_at"), "term").select("doc_id", "wid", (F.col("pos") - F.col("a_at")).alias("start")).where("start >= 0")
-    b = index.join(rarest.where("b is not null").select(F.col("b").alias("term"), "wid", "b_at"), "term").select("doc_id", "wid", (F.col("pos") - F.col("b_at")).alias("start"))
+    def moved(side: str) -> DataFrame:
+        of = rarest.where(F.col(side).isNotNull()).select(F.col(side).alias("term"), "wid", F.col(f"{side}_at").alias("at"))
+        return index.join(checked(of, "term"), "term").select("doc_id", "wid", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0")
+
+    a, b = moved("a"), moved("b")
     sole = rarest.where("b is null").select("wid")
     alike = a.doc_id.eqNullSafe(b.doc_id) & (a.wid == b.wid) & (a.start == b.start)
     return a.join(b, alike, "left_semi").union(a.join(sole, "wid", "left_semi").select("doc_id", "wid", "start")).distinct()
@@ -104,12 +120,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     """doc_id, n_words, n_hit, n_items, items (sorted ids as strings) of every document."""
     d, of = located(docs.select("doc_id", "text"), items, width)
     d = stash(d.select("doc_id", "n_words", _hit().alias("n_hit"), F.array_distinct(F.transform("found", lambda m: m["wid"])).alias("wids")), "hits")
-    marked = d.where(F.size("wids") > 0).select(F.sort_array("wids").alias("wids")).distinct()
-    named = marked.select("wids", F.explode("wids").alias("wid")).join(of, "wid")
+    hit = d.where(F.size("wids") > 0).withColumn("wids", F.sort_array("wids"))
+    named = hit.select("wids").distinct().select("wids", F.explode("wids").alias("wid")).join(of, "wid")
     named = named.groupBy("wids").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    d = d.withColumn("wids", F.sort_array("wids")).join(named, "wids", "left")
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return d.select("doc_id", "n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
+    none = F.array().cast("array<string>").alias("items")
+    cols = ("doc_id", "n_words", "n_hit")
+    # documents without any match, most of them, join nothing
+    found = d.where(F.size("wids") == 0).select(*cols, none).unionByName(hit.join(named, "wids").select(*cols, "items"))
+    return found.select(*cols, F.size("items").cast("long").alias("n_items"), "items")
 
 
 def phrases(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:

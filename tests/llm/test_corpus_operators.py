@@ -73,8 +73,10 @@ def test_components_against_all_pairs(spark, seed):
     assert got == plain_components(rows)
 
 
-def test_large_tiles_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 20, 1 << 17])
+def test_large_tiles_in_blocks_and_parts(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "HOT_TILE", hot)
     rng = random.Random(9)
     base = prose(rng, 100).split()
     rows = [(i, mutated(rng, base, 0.03)) for i in range(70)]
@@ -100,6 +102,46 @@ def test_all_links_of_large_groups(spark, monkeypatch, block):
     assert pairs == sorted({tuple(sorted((key[i], key[j]))) for i, j in near if key[i] != key[j]})
 
 
+def test_sets_of_one_digest_are_told_apart(spark, monkeypatch):
+    plain = jaccard.digest
+    monkeypatch.setattr(jaccard, "digest", lambda s: (plain(s)[0] % 3, plain(s)[1]))  # first digests clash all the time
+    rng = random.Random(21)
+    rows = [*AWKWARD, *((100 + i, prose(rng, 30)) for i in range(12))]
+    rows += [(200 + i, rows[-1 - i][1] + " ka") for i in range(5)] + [(300, rows[12][1])]
+    # functions that go to workers by name are looked up there, so all rows are described here
+    def local(self, f, schema):
+        import pyarrow as pa
+
+        table = self.toArrow()
+        out = list(f(iter(table.to_batches())))
+        names = [c.split()[0] for c in schema.split(", ")] if isinstance(schema, str) else schema.names
+        rows = pa.Table.from_batches(out).to_pylist() if out else []
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", local)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows)).collect())
+    assert got == plain_components(rows)
+
+
+def test_long_texts_are_read_in_segments(monkeypatch):
+    texts = ["", "one", "a b  c\nd" * 40, "x" * 300, " " * 100, "é à " * 90, "end"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    whole = common.word_hashes(raw, offsets)
+    for size in (7, 50, 299, 1000):
+        monkeypatch.setattr(common, "SEGMENT", size)
+        assert all((a == b).all() for a, b in zip(whole, common.word_hashes(raw, offsets)))
+
+
+def test_term_counts_without_a_broadcast(spark):
+    d = docs(spark, [(1, "the cat the dog"), (2, "The end"), (3, None)])
+    v = spark.createDataFrame([("the",), ("cat",), ("none",)], "term string")
+    for most in (1 << 20, 1):
+        assert sorted(map(tuple, decontam.count_terms(d, v, most).collect())) == [("cat", 1), ("the", 3)]
+
+
 def test_keep_one_keeps_columns(spark):
     d = docs(spark, [*AWKWARD, (11, "x " * 3000)])
     out = jaccard.keep_one(d)
