@@ -4,8 +4,8 @@ A text is cut into sentences after words that end in ``.``, ``!`` or ``?`` and a
 says so (one in ``CUT_ONE_IN``).  Whether a text is cut after a word hangs on that word and the line end alone, so a
 passage falls apart at the same words wherever it stands.  A span has ``SENTENCES`` sentences and ``LEAST_WORDS`` words
 at least: from every sentence the shortest run that begins there and the shortest that ends there are taken, so runs
-reach both edges of a repeated passage.  A text with less than one span is taken whole.  Spans are hashed (64 bits, over
-folded words) and brought together over all texts.  The first place of a span, by doc_id and position, stays; sentences
+reach both edges of a repeated passage.  A text with less than one span is taken whole.  Spans are hashed (80 bits, over
+folded words: among 10**12 spans less than one pair is taken for equal wrongly) and brought together over all texts.  The first place of a span, by doc_id and position, stays; sentences
 covered by any later place go.
 
 Spans go to ``BUCKETS`` buckets by hash as packed records, sorted and met once; a bucket is held in memory, one at a time.
@@ -14,7 +14,8 @@ sends one record a block of ``SPAN_BLOCK`` spans to its bucket.  A text's marks
 
 Nulls: a null text is empty and stays null; a null doc_id is an id of its own that comes first.  Rows that repeat a
 doc_id are taken for one document at the same place: neither is a later place of the other, both are cut alike.  A text
-may lose everything, then it is empty.  Extra columns are ignored.  An empty table gives an empty result.
+may lose everything, then it is empty.  Texts of any length are read whole.  Places are never tied, as those of one
+document differ in position.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +33,20 @@ CUT_ONE_IN = 5
 BUCKETS = 4096
 SPAN_BLOCK = 1 << 19  # spans a task holds before it passes them on
 
-_STEP = 0xD1342543DE82EF95
+_STEPS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _steps: list[np.ndarray] = []
 
 
 def _step_tables(n: int) -> list[np.ndarray]:
+    """Powers of each step and of its inverse."""
     if not _steps or len(_steps[0]) < n + 1:
         size = 2 * n + 2
         _steps[:] = []
-        for base in (_STEP, pow(_STEP, -1, 1 << 64)):
-            powers = np.full(size, np.uint64(base))
-            powers[0] = 1
-            _steps.append(np.cumprod(powers, dtype=np.uint64))
+        for step in _STEPS:
+            for base in (step, pow(step, -1, 1 << 64)):
+                powers = np.full(size, np.uint64(base))
+                powers[0] = 1
+                _steps.append(np.cumprod(powers, dtype=np.uint64))
     return _steps
 
 
@@ -59,17 +62,17 @@ class Sentences:
             self.first = np.zeros(n_rows + 1, np.int64)
             self.begin = np.zeros(0, np.int64)
             return
-        breaks = np.cumsum(raw == 10)
+        breaks = np.flatnonzero(raw == 10)
         last = np.r_[rows[1:] != rows[:-1], True]
-        newline = np.r_[breaks[starts[1:]] > breaks[stops[:-1] - 1], False]
+        newline = np.r_[np.searchsorted(breaks, starts[1:]) > np.searchsorted(breaks, stops[:-1]), False]
         ends = last | newline | np.isin(raw[stops - 1], np.frombuffer(b".!?", np.uint8))
         ends |= mix(hashes) % np.uint64(CUT_ONE_IN) == 0
         self.word = np.r_[0, np.flatnonzero(ends) + 1]  # sentence k has words word[k] .. word[k + 1] - 1
         self.first = runs_of_rows(rows[self.word[:-1]], n_rows)
         self.begin = starts[self.word[:-1]]
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, sentences, hash) of every span, within rows."""
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first sentence, sentences, hash, 16 more bits) of every span, within rows."""
         n = len(self.word) - 1
         row_begin, row_end = (np.repeat(x, np.diff(self.first)) for x in (self.first[:-1], self.first[1:]))
         k = np.arange(n)
@@ -80,13 +83,14 @@ class Sentences:
         ends[ends] = stop[back[ends]] != k[ends] + 1  # else met from its beginning
         short = (k == row_begin) & ~fits
         k, stop = np.r_[k[fits], back[ends], k[short]], np.r_[stop[fits], k[ends] + 1, row_end[short]]
-        up, down = _step_tables(len(self.hashes))
-        sums = np.r_[np.uint64(0), np.cumsum(self.hashes * up[: len(self.hashes)], dtype=np.uint64)]
-        h = mix((sums[self.word[stop]] - sums[self.word[k]]) * down[self.word[k]] + (self.word[stop] - self.word[k]).astype(np.uint64))
-        return k, stop - k, h
+        tables, out = _step_tables(len(self.hashes)), []
+        for up, down in (tables[:2], tables[2:]):
+            sums = np.r_[np.uint64(0), np.cumsum(self.hashes * up[: len(self.hashes)], dtype=np.uint64)]
+            out.append(mix((sums[self.word[stop]] - sums[self.word[k]]) * down[self.word[k]] + (self.word[stop] - self.word[k]).astype(np.uint64)))
+        return k, stop - k, out[0], (out[1] >> np.uint64(48)).astype(np.uint16)
 
 
-_FIELDS = (np.uint64, np.int64, np.int32, np.int32)  # span, doc_id (0 for null), at, sentences (negative for a null doc_id)
+_FIELDS = (np.uint64, np.uint16, np.int64, np.int32, np.int32)  # span, more of it, doc_id (0 for null), at, sentences (negative for a null doc_id)
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -107,15 +111,15 @@ def _unpack(packed: bytes, rows: int) -> list[np.ndarray]:
 
 def _first_places(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct records by span and place, and which of them stand at a later place than their span's first."""
-    span, doc, at, n = columns
-    o = np.lexsort((n, at, doc, n > 0, span))
-    span, doc, at, n = (x[o] for x in (span, doc, at, n))
-    new = np.r_[True, span[1:] != span[:-1]]
+    span, more, doc, at, n = columns
+    o = np.lexsort((n, at, doc, n > 0, more, span))
+    span, more, doc, at, n = (x[o] for x in (span, more, doc, at, n))
+    new = np.r_[True, (span[1:] != span[:-1]) | (more[1:] != more[:-1])]
     moved = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | ((n[1:] > 0) != (n[:-1] > 0))]
     place = np.cumsum(new | moved)
     later = place != place[np.flatnonzero(new)[np.cumsum(new) - 1]]
     once = new | moved | np.r_[True, n[1:] != n[:-1]]
-    return [x[once] for x in (span, doc, at, n)], later[once]
+    return [x[once] for x in (span, more, doc, at, n)], later[once]
 
 
 def _spans(batches):
@@ -140,9 +144,9 @@ def _spans(batches):
         ids = batch.column("doc_id").fill_null(0).to_numpy()
         for lo, hi in chunks(offsets):
             found = Sentences(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            k, n, h = found.spans()
+            k, n, h, more = found.spans()
             row = np.searchsorted(found.first, k, "right") - 1
-            parts.append((h, ids[row + lo], (k - found.first[row]).astype(np.int32), np.where(null[row + lo], -n, n).astype(np.int32)))
+            parts.append((h, more, ids[row + lo], (k - found.first[row]).astype(np.int32), np.where(null[row + lo], -n, n).astype(np.int32)))
             size += len(k)
             if size > SPAN_BLOCK:
                 yield passed(parts)
@@ -155,7 +159,7 @@ def _later(batches):
     """doc_id, mark (first sentence << 32 | sentences) of the later places of a partition's buckets, sorted by bucket."""
 
     def marks(columns):
-        _, doc, at, n = columns
+        _, _, doc, at, n = columns
         return pa.RecordBatch.from_arrays([pa.array(doc, mask=n < 0), pa.array(at.astype(np.int64) << 32 | np.abs(n))], ["doc_id", "mark"])
 
     def settled(parts):
@@ -218,5 +222,5 @@ def later_places(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (their places) and the text left of every document."""
-    marks = later_places(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("mark").alias("marks"))
+    marks = later_places(docs).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("mark").alias("marks"))
     return text_or_empty(docs).join(marks, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id").mapInArrow(_rebuild, "doc_id long, n_sentences long, n_removed long, removed array<long>, text string")

@@ -218,11 +218,67 @@ def test_base_spans_and_novel_ones(spark):
     assert out[1].spans == "" and len(out) == len({i for i, _ in AWKWARD}) + 1
 
 
-def test_words_are_not_reported():
-    for t in ("the secret is implementationdetailsarehidden1 here", "password rules: configurationconfiguration1 twice", "token " + "ab1" * 20):
+def plain_base(text):
+    """Each pattern tried at each place, the first that fits taken whole."""
+    out = []
+    for kind, pattern, least in (("assign", secrets.ASSIGN, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24)):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m and len(m[2] if kind == "assign" else m[0]) >= least:
+                out.append((m.start(), m.end(), kind))
+            at = m.end() if m else at + 1
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+def test_base_spans_against_every_place():
+    rng = np.random.default_rng(4)
+    bits = ["password", "PASSWD", "secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abc", "abcdef012", "AKIA", "Q" * 16, "0123456789abcdef" * 2, "é", "\n", ".", "K"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits, int(rng.integers(1, 25))))
+        assert secrets.base_spans(text) == plain_base(text), text
+
+
+def test_keys_of_any_kind_are_found_on_both_sides_and_words_are_not():
+    rng = np.random.default_rng(6)
+    prose = "this is how the service is called by all who have it and the others wait for the answer of the server"
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    hit = total = 0
+    for alphabet in alphabets:
+        for size in (16, 24, 40, 88):
+            for _ in range(20):
+                key = "".join(rng.choice(list(alphabet), size))
+                for text in (f"{prose} the api key is {key} {prose}", f"{prose} use {key} as your secret {prose}"):
+                    base, every = secrets.spans_of(text)
+                    total += 1
+                    hit += any(text[a:b] == key for a, b, _ in every)
+    assert hit >= 0.95 * total, hit / total
+    for t in ("the secret is in abcdefghijklmnopqrstuvwxyz here", "password rules: configurationimplementation twice", "token " + "ab1" * 20, f"secret {prose.replace(' ', '_')} {prose}", "token aaaaaaaaaaaaaaaaaaaaaaaa"):
         assert not [s for s in secrets.spans_of(t)[1] if s[2] == "novel"], t
 
 
+def test_identifiers_are_learned_but_not_copied_keys(spark):
+    key, name = "kJ8sQz0pLm3xVt7RwYb2", "zorkelblattifier_factory"
+    rows = [(i, f"word{i} {name} the token is here {key} in all the copies") for i in range(30)]
+    learned = secrets.learn(docs(spark, [*AWKWARD, *rows])).decode().split()
+    assert name in learned and key not in learned
+    assert secrets.learn(docs(spark, [])) == b"" and len(secrets.learn(docs(spark, rows), most_bytes=30)) <= 30
+    text = f"the secret {name} is {key} now"
+    assert [text[a:b] for a, b, k in secrets.spans_of(text, name.encode())[1] if k == "novel"] == [key]
+
+
+def test_long_texts_are_scanned_in_linear_time(spark):
+    import time
+
+    for text in ("token" * 60_000, "secret " + "Zk3" * 100_000, "password = " * 30_000, "a token " * 40_000, ("x" * 15 + " ") * 20_000 + "token"):
+        begin = time.process_time()
+        secrets.spans_of(text)
+        assert time.process_time() - begin < 5, text[:20]
+    rows = [(1, "the secret is Zx93kQmPq0LrT7vBn2Ws8Yd1 ok")] * 2
+    assert len({r.spans for r in secrets.scan(docs(spark, rows)).collect()}) == 1
+    assert secrets.scan(docs(spark, [])).count() == 0 and secrets.redact(docs(spark, [])).count() == 0
+
+
 def test_redact_keeps_columns(spark):
     d = docs(spark, [*AWKWARD, (9, "x password=hunter22 y")])
     out = secrets.redact(d)
