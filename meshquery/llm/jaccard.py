@@ -80,7 +80,10 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 def name(s: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
     """A set's name: its first digest, or both where that stands for several sets."""
-    key, check = digest(s)
+    return named_by(*digest(s), clashing)
+
+
+def named_by(key: int, check: int, clashing: frozenset[int]) -> int:
     return int(mix(np.array([key ^ check], np.uint64))[0]) if key in clashing else key
 
 
@@ -143,11 +146,12 @@ def _describe(width: int, percent: int, bits: int, known: np.ndarray, rank: np.n
         for batch in batches:
             keys, checks, sizes, maps, heads = [], [], [], [], []
             for s in each_set(batch.column("text"), width):
-                d = name(s, clashing)
+                key, check = digest(s)
+                d = named_by(key, check, clashing)
                 new = len(s) > 0 and d not in seen
                 seen.add(d)
                 keys.append(d)
-                checks.append(digest(s)[1])
+                checks.append(check)
                 sizes.append(len(s))
                 maps.append(bitmap(s, bits) if new else None)
                 heads.append(signed(in_order(s, known, rank)[: probe_length(len(s), percent)]) if new else None)
@@ -377,15 +381,21 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
     least = F.slice(F.sort_array(F.collect_list("tile")), 1, LEAST_TILES)  # a class has no more tiles than shingles
     least = large.groupBy("key").agg(F.slice(F.concat(least, F.array_repeat(F.lit(int(_NO_TILE)), LEAST_TILES)), 1, LEAST_TILES).alias("least"))
     of = least.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = large.join(of, "key")
-    sizes = members.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("size"))
+    members = large.join(of.join(classes.select("key", "n"), "key"), "key")
+    sizes = members.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     mixed = sizes.groupBy("tile").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several"))
     if every:  # all members stand outside
         mixed = mixed.select("tile", F.lit(None).cast("long").alias("most"), F.lit(0).alias("k_in"), F.ceil(F.col("size") / BLOCK).cast("int").alias("k_out"))
+        mixed = mixed.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
     else:
         outside = F.col("size") - F.col("most.size")
         mixed = mixed.where("several > 1").select("tile", F.col("most.component").alias("most"), F.ceil(F.col("most.size") / BLOCK).cast("int").alias("k_in"), F.ceil(outside / BLOCK).cast("int").alias("k_out"))
-    rest = members.join(mixed, "tile").join(classes.select("key", "n", "bitmap"), "key").withColumn("inside", F.coalesce(F.col("component") == F.col("most"), F.lit(False)))
+        around = sizes.join(mixed.select("tile", "most"), "tile").where("component <> most").groupBy("tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        mixed = mixed.join(around, "tile")
+    rest = members.join(mixed, "tile").withColumn("inside", F.coalesce(F.col("component") == F.col("most"), F.lit(False)))
+    # a member of the largest component only goes on if its size can link with one from outside
+    rest = rest.where(~F.col("inside") | ((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))))
+    rest = rest.drop("low", "high").join(classes.select("key", "bitmap"), "key")
     own = F.pmod(F.xxhash64("key"), F.when(F.col("inside"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int")
     # a task holds two blocks from outside the largest component, or one of them and one from inside (numbered below 0)
     at = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
