@@ -324,6 +324,11 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
         made.append(stash(df, what))
         return made[-1]
 
+    def done_with(*tables: DataFrame) -> None:
+        for t in tables:
+            discard(t)
+            made[:] = [m for m in made if m is not t]
+
     order = texts.mapInArrow(_frequent(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     order = order.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).collect()  # at most FREQUENT_MOST rows
     known = np.array([r.shingle for r in order], np.int64).view(np.uint64)
@@ -338,12 +343,14 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
         return d, kept(c, "classes")
 
     clashing: frozenset[int] = frozenset()
-    described, classes = describe(clashing)
+    described, whole = describe(clashing)
+    classes = whole
     clashes = [r.key for r in classes.where("low <> high").select("key").collect()]  # one pair of sets in 2**64
     if clashes:
         clashing = frozenset(np.array(clashes, np.int64).view(np.uint64).tolist())
-        described, classes = describe(clashing)
-    classes = classes.drop("low", "high")
+        done_with(described, whole)
+        described, whole = describe(clashing)
+    classes = whole.drop("low", "high")
 
     tokens = described.where("head is not null").select("key", "n", F.posexplode("head").alias("place", "token"))
     total = described.agg(F.sum(F.size("head")).alias("n")).first().n or 0
@@ -352,6 +359,9 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
     part = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(-1)).alias("part")
     dealt = tokens.join(F.broadcast(hot), "token", "left").select("token", part, "key", "n", "place")
     tiles = kept(dealt.repartition(parts, "token", "part").mapInArrow(_tiles(percent), TILED), "tiles")
+    slim = kept(described.select("doc_id", "key", "n"), "rows")
+    done_with(described)
+    described = slim
     leaders = tiles.where(F.col("kind") == LEADER).select(F.col("a").alias("token"), F.lit(-1).cast("long").alias("part"), F.col("b").alias("key"), "n", "place")
     led = leaders.repartition("token").mapInArrow(_tiles(percent), TILED).where(F.col("kind") == PAIR)
 
@@ -360,7 +370,7 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
         held = pairs.join(side("a"), "a").join(side("b"), "b")
         differ = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(bits // 64)), F.lit(0))
         near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        held = kept(held.where(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b"), f"near-{what}")
+        held = near_pairs = kept(held.where(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b"), f"near-{what}")
         sieve = bloom(held.select(F.col("rep_a").alias("id")).union(held.select(F.col("rep_b").alias("id"))), 2 * held.count())
         # rows that share a doc_id all pass; the one whose set is the class's is found by its key
         of = kept(texts.mapInArrow(_keyed(width, sieve, clashing), "key long, text string, fine binary").dropDuplicates(["key"]), f"texts-{what}")
@@ -372,7 +382,9 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
 
         held = beside(held.select("a", "b", "n_a", "n_b"), "fine").mapInArrow(_close(percent), "a long, b long")
         held = beside(held, "text").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
-        return stash(held, f"links-{what}")
+        found = stash(held, f"links-{what}")
+        done_with(near_pairs, of)
+        return found
 
     pairs = tiles.where(F.col("kind") == PAIR).union(led) if any(r.n > HOT_TILE for r in order) else tiles.where(F.col("kind") == PAIR)
     links = verified(pairs.select("a", "b").distinct(), "first")
@@ -381,21 +393,15 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
     least = F.slice(F.sort_array(F.collect_list("tile")), 1, LEAST_TILES)  # a class has no more tiles than shingles
     least = large.groupBy("key").agg(F.slice(F.concat(least, F.array_repeat(F.lit(int(_NO_TILE)), LEAST_TILES)), 1, LEAST_TILES).alias("least"))
     of = least.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = large.join(of.join(classes.select("key", "n"), "key"), "key")
-    sizes = members.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    members = large.join(of, "key")
+    sizes = members.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("tile").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several"))
     if every:  # all members stand outside
         mixed = mixed.select("tile", F.lit(None).cast("long").alias("most"), F.lit(0).alias("k_in"), F.ceil(F.col("size") / BLOCK).cast("int").alias("k_out"))
-        mixed = mixed.withColumns({"low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")})
     else:
         outside = F.col("size") - F.col("most.size")
         mixed = mixed.where("several > 1").select("tile", F.col("most.component").alias("most"), F.ceil(F.col("most.size") / BLOCK).cast("int").alias("k_in"), F.ceil(outside / BLOCK).cast("int").alias("k_out"))
-        around = sizes.join(mixed.select("tile", "most"), "tile").where("component <> most").groupBy("tile").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        mixed = mixed.join(around, "tile")
-    rest = members.join(mixed, "tile").withColumn("inside", F.coalesce(F.col("component") == F.col("most"), F.lit(False)))
-    # a member of the largest component only goes on if its size can link with one from outside
-    rest = rest.where(~F.col("inside") | ((100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))))
-    rest = rest.drop("low", "high").join(classes.select("key", "bitmap"), "key")
+    rest = members.join(mixed, "tile").join(classes.select("key", "n", "bitmap"), "key").withColumn("inside", F.coalesce(F.col("component") == F.col("most"), F.lit(False)))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("inside"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int")
     # a task holds two blocks from outside the largest component, or one of them and one from inside (numbered below 0)
     at = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
