@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import audit, decontam, htmltext, jaccard, langid, lm, packing, quality, secrets, spandedup, urlfilter
+from . import audit, decontam, gam, htmltext, jaccard, langid, lm, packing, quality, secrets, spandedup, urlfilter
 
 #: host + path prefix, True to allow
 URL_RULES = [("com/en/", False), ("example.com/en/7", True), ("net/de/", True), ("example.net/de/8", False), ("org/es/", False)]
@@ -69,10 +69,17 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = gam.score(docs, gam.train(docs, _table(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_best_fit_packing, op2_url_filters, op3_html_extraction, op4_secret_scans, op5_lm_scoring, op6_language_id,
-        op7_ngram_jaccard_join, op8_substring_dedup, op9_quality_rules, op10_benchmark_decontamination, op11_filter_interaction_audit,
+        op7_ngram_jaccard_join, op8_substring_dedup, op9_quality_rules, op10_benchmark_decontamination, op11_filter_interaction_audit, op12_quality_classifier,
     )
     return {f.__name__: f for f in found}
 
