@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import NODES, TABLES, conform, null_defaults
+from .schema import EDGES, NODES, PROPERTIES, TABLES, conform, null_defaults
 
 MAP = "map<string,variant>"
 
@@ -28,7 +28,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 class Graph:
-    """Tables are plans until an action needs them; :meth:`save` stores them with edges and nodes partitioned by kind."""
+    """Tables are plans until an action needs them; :meth:`save` stores them with edges and nodes partitioned by kind.
+
+    A stored graph grows by stages (:meth:`put`): the edges and node properties of each stand in partitions of their own
+    beside those loaded, so that a stage which runs again takes the place of what it had made and of nothing else.
+    """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, metrics: DataFrame | None = None, history: DataFrame | None = None, properties: DataFrame | None = None):
         spark = nodes.sparkSession
@@ -40,6 +44,7 @@ class Graph:
         self.metrics = metrics if metrics is not None else empty("metrics")
         self.history = history if history is not None else empty("history")
         self._extra = properties
+        self._kept: DataFrame | None = None  # all node properties, if they are stored
         self.path: str | None = None  # where the tables are stored, if they are
 
     # --- construction and storage --------------------------------------------------------------------------
@@ -65,6 +70,8 @@ class Graph:
                 found[name] = spark.createDataFrame([], schema)
         g = cls(**found)
         g.path = path
+        if exists(spark, f"{path}/properties"):
+            g._kept = conform(spark.read.schema(PROPERTIES).parquet(f"{path}/properties"), PROPERTIES)
         return g
 
     def save(self, path: str, *tables: str) -> Graph:
@@ -76,11 +83,24 @@ class Graph:
             if tables and name not in tables:
                 continue
             d = conform(getattr(self, name), schema)
-            by_kind = "kind" in schema.names
-            w = (d.hint("rebalance", F.col("kind")) if by_kind else d).write.mode("overwrite")
-            (w.partitionBy("kind") if by_kind else w).parquet(f"{path}/{name}")
+            by = {"nodes": ["kind"], "edges": ["stage", "kind"]}.get(name)
+            d = d.withColumn("stage", F.lit("loaded")) if name == "edges" else d
+            w = (d.hint("rebalance", F.col("kind")) if by else d).write.mode("overwrite")
+            (w.partitionBy(*by) if by else w).parquet(f"{path}/{name}")
         return Graph.load(self.spark, path)
 
+    def put(self, stage: str, edges: DataFrame | None = None, properties: DataFrame | None = None) -> Graph:
+        """Add a stage's edges and node properties to a stored graph, in place of those that it made before.
+
+        Only the stage's own folder is written; one that finds nothing leaves it empty.  Derived tables (:meth:`made`) are those of the stages before them.
+        """
+        if self.path is None:
+            raise ValueError("only a stored graph has stages")
+        for name, df, schema, by in (("edges", edges, EDGES, "kind"), ("properties", properties, PROPERTIES, "key")):
+            if df is not None:
+                conform(df, schema).hint("rebalance", F.col(by)).write.mode("overwrite").partitionBy(by).parquet(f"{self.path}/{name}/stage={stage}")
+        return Graph.load(self.spark, self.path)
+
     def made(self, name: str, schema: T.StructType, make: Callable[[], DataFrame]) -> DataFrame:
         """A derived table that several analyses read: for a stored graph it is stored beside it and made once."""
         if self.path is None:
@@ -104,10 +124,17 @@ class Graph:
         """source and target only."""
         return self.along(*kinds).drop("kind")
 
+    @cached_property
+    def own_properties(self) -> DataFrame:
+        """node_id, key, value of what the nodes came with."""
+        return _spread(self.nodes, [F.col("id").alias("node_id")])
+
     @cached_property
     def node_properties(self) -> DataFrame:
-        rows = _spread(self.nodes, [F.col("id").alias("node_id")])
-        return rows if self._extra is None else rows.unionByName(self._extra)
+        """node_id, key, value of all; where they are stored, those of one key are one folder."""
+        if self._kept is not None:
+            return self._kept
+        return self.own_properties if self._extra is None else self.own_properties.unionByName(self._extra)
 
     @cached_property
     def edge_properties(self) -> DataFrame:
@@ -162,7 +189,10 @@ class Graph:
     def but(self, **tables: DataFrame) -> Graph:
         """The same graph with other tables."""
         now = {"nodes": self.nodes, "edges": self.edges, "sources": self.sources, "metrics": self.metrics, "history": self.history, "properties": self._extra}
-        return Graph(**(now | tables))
+        g = Graph(**(now | tables))
+        if not {"nodes", "properties"} & tables.keys():
+            g._kept = self._kept
+        return g
 
     def validate(self) -> DataFrame:
         """check, kind, n: orphan edges, and nodes and edges by kind."""

@@ -187,6 +187,10 @@ def overview(g: Graph) -> DataFrame:
 
 # --- derived edges -------------------------------------------------------------------------------------------
 
+# Properties of edges that are guessed from what is known about a callee
+HEURISTIC = '{"heuristic":true}'
+SIDE_EFFECT = '{"heuristic":true,"side_effect":true}'
+
 
 def _sites(g: Graph) -> tuple[DataFrame, DataFrame]:
     """(call, arg, index of every argument; call, package and name of every callee outside)."""
@@ -197,29 +201,29 @@ def _sites(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def flows_to_result(g: Graph) -> DataFrame:
-    """Argument to call where the callee's outside and its result depends on that argument."""
+    """Argument to call where the callee's outside and its result depends on that argument; each with its properties, as D2 and D3."""
     args, outside = _sites(g)
     spec = F.broadcast(specs.flows(g.spark).drop("description").where("flow_to like 'return:%'"))
     d = outside.join(spec, ["package", "func_name"]).join(args, "call")
     hit = (F.col("flow_from") == "arg:*") | (F.col("flow_from") == F.concat(F.lit("arg:"), "index"))
-    return d.where(hit).select(F.col("arg").alias("source"), F.col("call").alias("target")).distinct()
+    return d.where(hit).select(F.col("arg").alias("source"), F.col("call").alias("target"), F.lit(HEURISTIC).alias("properties")).distinct()
 
 
 def flows_to_argument(g: Graph) -> DataFrame:
-    """Argument to argument where the callee writes one from the other."""
+    """Argument to argument where the callee writes one from the other, or from all."""
     args, outside = _sites(g)
-    spec = F.broadcast(specs.flows(g.spark).drop("description").where("flow_to like 'arg:%'"))
+    spec = F.broadcast(specs.flows(g.spark).drop("description").where("flow_from like 'arg:%' and flow_to like 'arg:%'"))
     d = outside.join(spec, ["package", "func_name"])
-    from_ = args.select("call", F.col("arg").alias("source"), F.concat(F.lit("arg:"), "index").alias("flow_from"))
+    from_ = args.select("call", F.col("arg").alias("source"), F.explode(F.array(F.concat(F.lit("arg:"), "index"), F.lit("arg:*"))).alias("flow_from"))
     to = args.select("call", F.col("arg").alias("target"), F.concat(F.lit("arg:"), "index").alias("flow_to"))
-    return d.join(from_, ["call", "flow_from"]).join(to, ["call", "flow_to"]).select("source", "target").distinct()
+    return d.join(from_, ["call", "flow_from"]).join(to, ["call", "flow_to"]).select("source", "target", F.lit(SIDE_EFFECT).alias("properties")).distinct()
 
 
 def flows_by_default(g: Graph) -> DataFrame:
     """D3: every argument to the call where nothing is known about the callee."""
     args, outside = _sites(g)
     known = F.broadcast(specs.flows(g.spark).select("package", "func_name").distinct())
-    return outside.join(known, ["package", "func_name"], "left_anti").join(args, "call").select(F.col("arg").alias("source"), F.col("call").alias("target")).distinct()
+    return outside.join(known, ["package", "func_name"], "left_anti").join(args, "call").select(F.col("arg").alias("source"), F.col("call").alias("target"), F.lit(HEURISTIC).alias("properties")).distinct()
 
 
 def argument_order(g: Graph) -> DataFrame:
@@ -241,8 +245,11 @@ def evaluation_order(g: Graph) -> DataFrame:
     return argument_order(g).unionByName(last_arguments(g)).withColumn("kind", F.lit("eog"))
 
 
+def flows(g: Graph) -> DataFrame:
+    """The derived dfg edges."""
+    return flows_to_result(g).unionByName(flows_to_argument(g)).unionByName(flows_by_default(g)).withColumn("kind", F.lit("dfg"))
+
+
 def with_flows(g: Graph) -> Graph:
     """The graph with the derived dfg edges."""
-    more = flows_to_result(g).unionByName(flows_to_argument(g)).unionByName(flows_by_default(g))
-    more = more.select("source", "target", F.lit("dfg").alias("kind"), F.lit(None).cast("string").alias("properties"))
-    return g.but(edges=g.edges.unionByName(more))
+    return g.but(edges=g.edges.unionByName(flows(g)))

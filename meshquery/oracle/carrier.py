@@ -72,7 +72,8 @@ _CALLED = "(kind = 'call' OR pk % 421 = 199 OR pk2 % 421 = 199) AND pk2 % 89 <>
 
 EDGES = {
     "call": "SELECT DISTINCT fid AS source, fid2 AS target FROM pair WHERE " + _CALLED,
-    "dfg": "SELECT id AS source, id2 AS target FROM pair",
+    "dfg": "SELECT id AS source, id2 AS target FROM pair UNION ALL SELECT source, target FROM d1 UNION ALL SELECT source, target FROM d2 UNION ALL SELECT source, target FROM d3",
+    "eog": "SELECT source, target FROM d5 UNION ALL SELECT source, target FROM d6",
     "call_site": "SELECT id AS source, fid2 AS target FROM pair WHERE kind = 'call'",
     "param_out": "SELECT fid2 AS source, id AS target FROM pair WHERE kind = 'call'",
     "argument": "SELECT call AS source, arg AS target FROM args",
@@ -142,11 +143,22 @@ pair AS (SELECT * FROM (SELECT *, lead(fid) OVER w AS fid2, lead(pk) OVER w AS p
 args AS (SELECT c.id AS call, c.fid2, s.id AS arg, s.rn - c.rn - 1 AS index FROM pair c JOIN stmt s ON s.ok = c.ok AND s.rn > c.rn AND s.rn <= c.rn + 3 WHERE c.kind = 'call'),
 flow AS (SELECT fid, rn, 'bb' || ok || '_' || rn AS bb, lead('bb' || ok || '_' || rn) OVER (PARTITION BY fid ORDER BY ok, rn) AS bb2 FROM stmt),
 made AS (SELECT o.ck, o.sk, fn.id AS fid FROM owners o JOIN fn ON fn.pk = o.pk WHERE flag = 'R'),
+outer_calls AS (SELECT c.id AS call, f.package, f.name AS func_name FROM pair c JOIN functions f ON f.id = c.fid2 WHERE c.kind = 'call' AND f.id LIKE 'ext::%'),
+d1 AS (SELECT DISTINCT a.arg AS source, a.call AS target, '{{"heuristic":true}}' AS properties FROM args a JOIN outer_calls o ON o.call = a.call JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name
+  WHERE s.flow_to LIKE 'return:%' AND s.flow_from IN ('arg:*', 'arg:' || a.index)),
+d2 AS (SELECT DISTINCT a.arg AS source, b.arg AS target, '{{"heuristic":true,"side_effect":true}}' AS properties FROM outer_calls o JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name AND s.flow_to LIKE 'arg:%'
+  JOIN args a ON a.call = o.call AND s.flow_from IN ('arg:*', 'arg:' || a.index) JOIN args b ON b.call = o.call AND s.flow_to = 'arg:' || b.index),
+d3 AS (SELECT DISTINCT a.arg AS source, a.call AS target, '{{"heuristic":true}}' AS properties FROM args a JOIN outer_calls o ON o.call = a.call WHERE (o.package, o.func_name) NOT IN (SELECT (s.package, s.func_name) FROM flow_specs s)),
+d5 AS (SELECT DISTINCT a.arg AS source, b.arg AS target, NULL::VARCHAR AS properties FROM args a JOIN args b ON b.call = a.call AND b.index = a.index + 1),
+d6 AS (SELECT DISTINCT arg AS source, call AS target, '{{"final":true}}' AS properties FROM args QUALIFY index = max(index) OVER (PARTITION BY call)),
 {", ".join(f"e_{kind} AS ({text})" for kind, text in EDGES.items())},
+raw_edges AS (SELECT id AS source, id2 AS target, 'dfg' AS kind FROM pair UNION ALL {" UNION ALL ".join(f"SELECT source, target, '{kind}' AS kind FROM e_{kind}" for kind in EDGES if kind not in ("dfg", "eog"))}),
 edges AS ({" UNION ALL ".join(f"SELECT source, target, '{kind}' AS kind FROM e_{kind}" for kind in EDGES)}),
 dynamic_calls AS (SELECT fid AS source, fid2 AS target FROM pair WHERE {_CALLED} GROUP BY fid, fid2 HAVING max(pk + pk2) % 5 = 0),
 edge_props AS (SELECT call AS source, arg AS target, 'argument' AS edge_kind, 'index' AS key, index::VARCHAR AS value FROM args UNION ALL SELECT source, target, 'call', 'dynamic', '1' FROM dynamic_calls
-  UNION ALL SELECT id, id2, 'dfg', 'var_name', 'v' || rn FROM pair UNION ALL SELECT bb, bb2, 'cfg', 'label', {_LABEL} FROM flow WHERE bb2 IS NOT NULL AND rn % 3 < 2),
+  UNION ALL SELECT id, id2, 'dfg', 'var_name', 'v' || rn FROM pair UNION ALL SELECT bb, bb2, 'cfg', 'label', {_LABEL} FROM flow WHERE bb2 IS NOT NULL AND rn % 3 < 2
+  UNION ALL SELECT source, target, 'dfg', unnest(['heuristic', 'side_effect']), '1' FROM d2 UNION ALL SELECT source, target, 'dfg', 'heuristic', '1' FROM d1 UNION ALL SELECT source, target, 'dfg', 'heuristic', '1' FROM d3
+  UNION ALL SELECT source, target, 'eog', 'final', '1' FROM d6),
 metrics AS (SELECT fn.id AS function_id, CASE WHEN outside THEN 0 ELSE 1 + p_size % 25 END::BIGINT AS cyclomatic_complexity, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out,
     CASE WHEN outside THEN 0 ELSE 10 + pk % 140 END::BIGINT AS loc, (pk % 8)::BIGINT AS num_params
   FROM fn LEFT JOIN (SELECT target, count(*) AS n FROM e_call GROUP BY target) i ON i.target = fn.id LEFT JOIN (SELECT source, count(*) AS n FROM e_call GROUP BY source) o ON o.source = fn.id),

@@ -85,8 +85,10 @@ def union(names: list[str]) -> str:
 
 STAGE1 = "stage1 AS (" + union([k for k in RULES if k != "F10b_many_params" and int(k[1:3]) <= 23]) + ")"
 STAGE2 = "stage2 AS (SELECT * FROM stage1 UNION ALL " + union(["F10b_many_params", "F24_god_package", "F25_high_coupling"]) + ")"
+STAGE3 = "stage3 AS (SELECT * FROM stage2 UNION ALL " + union(["F26_large_interface", "F27_orphan_type", "F28_high_churn_complexity", "F29_unsanitized_sink", "F30_tainted_container"]) + ")"
 STAGES = (*NEEDS, STAGE1, STAGE2)
 ORACLE |= {
+    "T04_node_properties": sql("SELECT node_id, key, value FROM props UNION ALL SELECT node_id, 'taint_role', role FROM roles UNION ALL SELECT node_id, 'taint_category', category FROM categories", ROLES),
     "T07_taint_annotations": sql("SELECT node_id, 'taint_role' AS key, role AS value FROM roles UNION ALL SELECT node_id, 'taint_category', category FROM categories", ROLES),
     "T11_findings_summary": sql("SELECT category, max(severity) AS severity, count(*) AS count FROM stage1 GROUP BY category", *STAGES),
     "T30_flow_state": sql("SELECT * FROM flow_state", ROLES, TAINT),

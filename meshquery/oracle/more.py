@@ -21,6 +21,9 @@ _SYNC = [tuple(p.strip() for p in line.split(";")) for line in SYNC.strip().spli
 _ESCAPED = "escaped AS (SELECT id, kind, ['leaking_param', 'moved_to_heap', 'inlineable', 'does_not_escape'][1 + line % 4] AS said FROM (SELECT id, kind, line, file FROM functions UNION ALL SELECT id, kind, line, file FROM statements WHERE kind IN ('local', 'parameter')) WHERE file IS NOT NULL)"
 _SAME = "same AS (SELECT DISTINCT n.id, n.kind, e.said FROM escaped e JOIN (SELECT id, kind, file, line FROM functions UNION ALL SELECT id, kind, file, line FROM statements WHERE kind IN ('local', 'parameter')) x ON x.id = e.id JOIN (SELECT id, kind, file, line FROM functions UNION ALL SELECT id, kind, file, line FROM statements WHERE kind IN ('local', 'parameter')) n ON n.file = x.file AND n.line = x.line)"
 
+_WORDS = r"""WITH f AS (SELECT 'doc' || doc_id || '.go' AS file, unnest(['file', 'content', 'package']) AS field, unnest(['doc' || doc_id || '.go', coalesce(text, ''), coalesce(source, '')]) AS body FROM documents),
+  w AS (SELECT file, field, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM f), p AS (SELECT file, field, unnest(ws) AS term, unnest(range(len(ws))) AS at FROM w) """
+
 ORACLE = {
     "S02_nodes": sql("SELECT * FROM nodes"),
     "S04_sources": sql("SELECT file, content, package FROM sources"),
@@ -35,8 +38,16 @@ ORACLE = {
     "S12_scan_by_kind": sql("SELECT id, name, package FROM statements WHERE kind = 'send'"),
     "S13_full_text": r"""WITH t AS (SELECT 'doc' || doc_id || '.go' AS file, unnest(list_concat(['doc' || doc_id, 'go'], regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), regexp_split_to_array(lower(source), '[^\p{L}\p{N}]+'))) AS token FROM documents)
       SELECT file, count(*) AS hits FROM t WHERE token IN ('the', 'and') GROUP BY file HAVING count(DISTINCT token) = 2""",
+    "S13_phrase": _WORDS + "SELECT a.file, count(*) AS hits FROM p a JOIN p b ON b.file = a.file AND b.field = a.field AND b.at = a.at + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.file",
+    "S13_prefix": _WORDS + "SELECT file, count(*) AS hits FROM p WHERE term LIKE 'thb%' GROUP BY file",
+    "S13_boolean": _WORDS + """SELECT file, count(*) FILTER (term IN ('the', 'of', 'idiot', 'moron', 'worthless')) AS hits FROM p GROUP BY file
+      HAVING bool_or(term = 'the') AND bool_or(term = 'of') AND bool_or(term IN ('idiot', 'moron', 'worthless')) AND NOT bool_or(term IN ('you', 'za'))""",
+    "S13_ranked": _WORDS + """, n AS (SELECT count(*) AS n, avg(k) AS mean FROM (SELECT file, count(*) AS k FROM p GROUP BY file)),
+      tf AS (SELECT term, file, count(*) AS tf FROM p WHERE term IN ('worthless', 'moron', 'of', 'the') GROUP BY term, file),
+      idf AS (SELECT term, greatest(ln((max(n.n) - count(*) + 0.5) / (count(*) + 0.5)), 0.000001) AS idf FROM tf, n GROUP BY term)
+      SELECT tf.file, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.k / n.mean))), 6) AS score FROM tf JOIN idf ON idf.term = tf.term JOIN (SELECT file, count(*) AS k FROM p GROUP BY file) len ON len.file = tf.file, n
+      GROUP BY tf.file ORDER BY score DESC, tf.file LIMIT 50""",
     "S18_subgraph_json": sql("SELECT id, '{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\",\"file\":' || coalesce('\"' || file || '\"', 'null') || ',\"line\":' || coalesce(line::VARCHAR, 'null') || ',\"package\":' || coalesce('\"' || package || '\"', 'null') || '}' AS json FROM functions"),
-    "S19_catalogue": "SELECT * FROM (VALUES ('view', 1::BIGINT, 15::BIGINT), ('view', 2, 11), ('query', 1, 32), ('query', 2, 31)) t(type, stage, n)",
     "G03_siblings": sql("SELECT id AS source, lead(id) OVER (PARTITION BY ok ORDER BY rn) AS target, row_number() OVER (PARTITION BY ok ORDER BY rn) AS rank FROM stmt QUALIFY target IS NOT NULL"),
     "G04_defer_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM stmt WHERE kind = 'defer' WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC) QUALIFY target IS NOT NULL"),
     "G05_init_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM functions WHERE name = 'init' WINDOW w AS (PARTITION BY package ORDER BY file, line, id) QUALIFY target IS NOT NULL"),
@@ -52,7 +63,7 @@ ORACLE = {
     "G13_cfg_ends": sql("""SELECT fid AS source, arg_min(bb, (ok, rn)) AS target, 'entry' AS label FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid
       UNION ALL SELECT arg_max(bb, (ok, rn)), fid, 'exit' FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid"""),
     "G13_branches": sql("SELECT 's' || ok || '_' || rn AS source, 's' || ok || '_' || rn + k AS target, CASE k WHEN 1 THEN 'true' ELSE 'false' END AS label FROM pair, (VALUES (1), (2)) v(k) WHERE kind = 'if' AND (k = 1 OR (ok, rn + 2) IN (SELECT (ok, rn) FROM stmt))"),
-    "G14_uses": sql("SELECT source, target FROM e_dfg"),
+    "G14_uses": sql("SELECT DISTINCT source, target FROM e_dfg WHERE source <> target"),
     "G15_channel_flow": sql("SELECT DISTINCT s.id AS source, r.id AS target FROM stmt m JOIN stmt s ON s.ok = m.ok AND s.rn >= m.rn AND s.kind = 'send' JOIN stmt r ON r.ok = m.ok AND r.rn >= m.rn AND r.kind = 'select' WHERE m.kind = 'call'"),
     "G16_panic_recover": sql("SELECT a.id AS source, b.id AS target FROM (SELECT id, parent_function, name, kind FROM statements) a JOIN (SELECT id, parent_function, kind FROM statements) b ON b.parent_function = a.parent_function WHERE a.name = 'panic' AND b.kind = 'defer'"),
     "G17_dominance": sql("SELECT source, target, 'dom' AS kind FROM e_cfg UNION ALL SELECT target, source, 'pdom' FROM e_cfg"),

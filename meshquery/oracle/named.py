@@ -110,8 +110,6 @@ ORACLE = {
     "Q51_taint_path_to_sink": sql("SELECT * FROM sinks", ROLES, TAINT, SINKS),
     "Q52_tainted_containers": sql("SELECT c.node_id, c.container_kind, c.type_info, c.file, c.line, n.name FROM containers c JOIN statements n ON n.id = c.node_id WHERE has_taint = 1", ROLES, TAINT, CONTAINERS),
     "Q53_scip_lookup": sql("SELECT scip_id, kind, display_name, file, line FROM scip WHERE display_name ILIKE '%serve1%'", SCIP),
-    "Q54_full_topology": sql("SELECT source_component, ' ' || direction || ' ' || target_component AS flow, name AS protocol_name, transport, encoding, session_type_client FROM comm_graph JOIN protocols ON id = protocol_id", COMM),
-    "Q55_adapter_flow": sql("SELECT a.source_component, a.target_component, p.name, b.source_component AS upstream, b.target_component AS downstream, q.name AS upstream_protocol FROM comm_graph a JOIN protocols p ON p.id = a.protocol_id JOIN comm_graph b ON b.target_component = a.source_component JOIN protocols q ON q.id = b.protocol_id WHERE a.source_component = 'adapter'", COMM),
     "Q56_protocol_endpoints": sql("SELECT protocol_id, component, role, function_name, package, file || ':' || line AS location, url_path FROM endpoints", COMM),
     "Q57_conformance_report": sql("SELECT protocol_id, component, status, endpoints_found, details FROM conformance", COMM),
     "Q58_deadlock_check": sql("SELECT a.kind || ' → ' || b.kind AS causality_chain, a.description, b.description AS next_description FROM causality a JOIN causality b ON b.source_endpoint = a.target_endpoint WHERE a.source_endpoint <> b.target_endpoint", COMM),

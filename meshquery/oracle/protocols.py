@@ -67,10 +67,6 @@ LOOPS = """loops AS (SELECT a.source_endpoint || ' → ' || a.target_endpoint ||
     '' AS scalas_yoshida_class, '' AS description FROM causality a JOIN causality b ON a.target_endpoint = b.source_endpoint AND a.source_endpoint = b.target_endpoint AND (a.source_endpoint, a.kind) < (b.source_endpoint, b.kind))"""
 
 ORACLE = {
-    "T33_protocols": sql("SELECT *, 1::BIGINT AS is_dual FROM protocols", COMM),
-    "T33_participants": sql("SELECT * FROM participants", COMM),
-    "T33_session_steps": sql(f"SELECT protocol_id, step_order::BIGINT AS step_order, participant, direction, message_type, payload_encoding, description FROM (VALUES {values(specs.STEPS)}) s(protocol_id, step_order, participant, direction, message_type, payload_encoding, description)"),
-    "T33_graph": sql("SELECT * FROM comm_graph", COMM),
     "T34_endpoints": sql("SELECT * FROM endpoints", COMM),
     "T35_channel_patterns": sql("SELECT * FROM channels", CHANNELS),
     "T36_causality": sql("SELECT * FROM causality", COMM),
@@ -79,12 +75,10 @@ ORACLE = {
     "T39_dependency_cycles": sql("SELECT * FROM loops", COMM, LOOPS),
     "RG13_cycles": sql("SELECT * FROM cyc", CYCLES),
     "T40_association": sql("SELECT * FROM assoc", COMM),
-    "V19_comm_topology": sql("SELECT source_component, target_component, protocol_id, name AS protocol_name, transport, encoding, session_type_client, session_type_server, label, direction FROM comm_graph JOIN protocols ON id = protocol_id", COMM),
     "V20_protocol_coverage": sql("""SELECT p.id AS protocol_id, p.name, p.transport, s.participants, s.conforming_count, s.missing_count, coalesce(e.n, 0) AS total_endpoints, CASE WHEN missing_count = 0 THEN 'fully_covered' WHEN conforming_count > 0 THEN 'partially_covered' ELSE 'no_coverage' END AS coverage_status
       FROM protocols p JOIN (SELECT protocol_id, string_agg(component || '(' || role || ')', ',' ORDER BY component || '(' || role || ')') AS participants, count(*) FILTER (cnt >= 1) AS conforming_count, count(*) FILTER (cnt = 0) AS missing_count FROM covered GROUP BY protocol_id) s ON s.protocol_id = p.id
       LEFT JOIN (SELECT protocol_id, count(*) AS n FROM endpoints GROUP BY protocol_id) e ON e.protocol_id = p.id""", COMM),
     "V21_comm_endpoint_detail": sql("SELECT e.id, e.protocol_id, p.name AS protocol_name, component, role, endpoint_type, function_name, package, file, line, url_path, confidence FROM endpoints e JOIN protocols p ON p.id = e.protocol_id", COMM),
-    "V22_session_duality": sql("SELECT id AS protocol_id, name, session_type_client, session_type_server, 1::BIGINT AS is_dual, 'VERIFIED: client and server types are proper duals' AS duality_status, 'Honda 1998 Theorem: dual(dual(S)) = S' AS theorem_reference FROM protocols", COMM),
     "V23_causality_summary": sql("SELECT c.kind, c.protocol_id, c.description, s.function_name AS source_function, t.function_name AS target_function FROM causality c JOIN endpoints s ON s.id = c.source_endpoint JOIN endpoints t ON t.id = c.target_endpoint", COMM),
     "V24_association_summary": sql("SELECT * FROM verdicts", COMM),
     "V25_subtype_detail": sql("SELECT protocol_id, p.name AS protocol_name, component, projected_type, actual_behavior, relation, CASE is_conforming WHEN 1 THEN '≤ (subtype holds)' ELSE '⊄ (not a subtype)' END AS conformance, subtype_direction, explanation FROM subtype JOIN protocols p ON p.id = protocol_id", COMM),

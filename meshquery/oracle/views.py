@@ -6,7 +6,6 @@ from .carrier import EDGES, rounded, sql
 
 DEPS = """deps AS (SELECT s.package AS source_package, t.package AS target_package, count(*) AS call_count, count(DISTINCT c.source) AS distinct_callers, count(DISTINCT c.target) AS distinct_callees
   FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.package <> t.package GROUP BY ALL)"""
-OUTSIDE = """outer_calls AS (SELECT e.source AS call, f.package, f.name AS func_name FROM e_call_site e JOIN functions f ON f.id = e.target WHERE f.id LIKE 'ext::%')"""
 STABILITY = f"""stability AS (SELECT package, coalesce(ca, 0) AS afferent_coupling, coalesce(ce, 0) AS efferent_coupling, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) = 0 THEN 0.5 ELSE {rounded("coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0))", 3)} END::DOUBLE AS instability,
     coalesce(n, 0) AS total_types, coalesce(i, 0) AS interface_count, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE {rounded("i / n", 3)} END::DOUBLE AS abstractness
   FROM (SELECT package, count(*) AS n, count(*) FILTER (value = 'interface') AS i FROM types LEFT JOIN p_type ON node_id = id GROUP BY package)
@@ -24,7 +23,6 @@ SIZES = f"""file_sizes AS (SELECT file, count(*) AS function_count, sum(loc)::BI
 RISK = f"""file_risk AS (SELECT s.file, n.n AS node_count, function_count, total_complexity, avg_complexity, max_complexity, commit_count, author_count, churn, last_author, last_date,
     {rounded("0.3::DOUBLE * avg_complexity + 0.2::DOUBLE * max_complexity + 0.3::DOUBLE * coalesce(commit_count, 1) + 0.2::DOUBLE * coalesce(author_count, 1)", 2)} AS change_risk_score
   FROM file_sizes s JOIN (SELECT file, count(*) AS n FROM nodes WHERE file IS NOT NULL GROUP BY file) n ON n.file = s.file LEFT JOIN history h ON h.file = s.file)"""
-_EOG = "'{\"final\":true}'"
 
 ORACLE = {
     "V01_call_graph": sql("""SELECT c.source AS caller_id, s.name AS caller_name, s.package AS caller_package, c.target AS callee_id, t.name AS callee_name, t.package AS callee_package, CASE WHEN d.source IS NULL THEN 0 ELSE 1 END::BIGINT AS is_dynamic
@@ -55,16 +53,12 @@ ORACLE = {
       sum(CASE WHEN kind = 'function' THEN end_line - line + 1 ELSE 0 END)::BIGINT AS loc FROM nodes WHERE package IS NOT NULL GROUP BY package"""),
     "T03_overview": sql("""SELECT count(*) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM documents) AS total_files, count(DISTINCT package) AS total_packages, count(*) FILTER (kind = 'function') AS total_functions,
       count(*) FILTER (kind = 'type_decl') AS total_types, (SELECT count(*) FROM metrics) AS total_metrics FROM nodes"""),
-    "T04_node_properties": sql("SELECT node_id, key, value FROM props"),
     "T04_edge_properties": sql("SELECT * FROM edge_props"),
-    "T05_flow_semantics": sql("SELECT * FROM flow_specs"),
-    "T06_taint_specs": sql("SELECT package, func_name, role, category, description FROM taint_specs"),
-    "D01_flows_to_result": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outer_calls o ON o.call = a.call JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name WHERE s.flow_to LIKE 'return:%' AND s.flow_from IN ('arg:*', 'arg:' || a.index)", OUTSIDE),
-    "D02_flows_to_argument": sql("""SELECT DISTINCT a.arg AS source, b.arg AS target FROM outer_calls o JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name AND s.flow_to LIKE 'arg:%'
-      JOIN args a ON a.call = o.call AND s.flow_from = 'arg:' || a.index JOIN args b ON b.call = o.call AND s.flow_to = 'arg:' || b.index""", OUTSIDE),
-    "D03_flows_by_default": sql("SELECT DISTINCT a.arg AS source, a.call AS target FROM args a JOIN outer_calls o ON o.call = a.call WHERE (o.package, o.func_name) NOT IN (SELECT (s.package, s.func_name) FROM flow_specs s)", OUTSIDE),
-    "D04_without_orphans": sql("SELECT source, target, kind FROM edges"),
-    "D05_argument_order": sql("SELECT DISTINCT a.arg AS source, b.arg AS target, NULL::VARCHAR AS properties FROM args a JOIN args b ON b.call = a.call AND b.index = a.index + 1"),
-    "D06_last_argument": sql(f"SELECT DISTINCT arg AS source, call AS target, {_EOG} AS properties FROM args QUALIFY index = max(index) OVER (PARTITION BY call)"),
+    "D01_flows_to_result": sql("SELECT * FROM d1"),
+    "D02_flows_to_argument": sql("SELECT * FROM d2"),
+    "D03_flows_by_default": sql("SELECT * FROM d3"),
+    "D04_without_orphans": sql("SELECT source, target, kind FROM raw_edges"),
+    "D05_argument_order": sql("SELECT * FROM d5"),
+    "D06_last_argument": sql("SELECT * FROM d6"),
     "S21_validate": sql("SELECT 'orphan_edges' AS \"check\", NULL::VARCHAR AS kind, 0::BIGINT AS n UNION ALL SELECT 'nodes', kind, count(*) FROM nodes GROUP BY kind" + "".join(f" UNION ALL SELECT 'edges', '{k}', count(*) FROM e_{k}" for k in EDGES)),
 }

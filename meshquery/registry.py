@@ -45,8 +45,6 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T03_overview": views.overview,
     "T04_node_properties": lambda g: g.node_properties,
     "T04_edge_properties": lambda g: g.edge_properties,
-    "T05_flow_semantics": lambda g: specs.flows(g.spark),
-    "T06_taint_specs": lambda g: specs.taints(g.spark),
     "D01_flows_to_result": views.flows_to_result,
     "D02_flows_to_argument": views.flows_to_argument,
     "D03_flows_by_default": views.flows_by_default,
@@ -112,10 +110,6 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "F28_high_churn_complexity": f.high_churn_complexity,
     "F29_unsanitized_sink": f.unsanitized_sink,
     "F30_tainted_container": f.tainted_container,
-    "T33_protocols": lambda g: specs.protocols(g.spark),
-    "T33_participants": lambda g: specs.participants(g.spark),
-    "T33_session_steps": lambda g: specs.session_steps(g.spark),
-    "T33_graph": lambda g: specs.links(g.spark),
     "T34_endpoints": protocols.endpoints,
     "T35_channel_patterns": protocols.channel_patterns,
     "T36_causality": protocols.causality,
@@ -123,10 +117,8 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T38_subtype_check": protocols.subtype_check,
     "T39_dependency_cycles": lambda g: protocols.dependency_cycles(protocols.causality(g)),
     "T40_association": protocols.association,
-    "V19_comm_topology": protocols.topology,
     "V20_protocol_coverage": protocols.coverage,
     "V21_comm_endpoint_detail": protocols.endpoint_detail,
-    "V22_session_duality": protocols.duality,
     "V23_causality_summary": protocols.causality_summary,
     "V24_association_summary": protocols.association_summary,
     "V25_subtype_detail": protocols.subtype_detail,
@@ -250,8 +242,6 @@ NAMED: dict[str, tuple[str, Callable[[Graph], dict[str, str]]]] = {
     "Q51_taint_path_to_sink": ("taint_path_to_sink", lambda g: {}),
     "Q52_tainted_containers": ("tainted_containers", lambda g: {}),
     "Q53_scip_lookup": ("scip_lookup", lambda g: {"pattern": "%serve1%"}),
-    "Q54_full_topology": ("comm_full_topology", lambda g: {}),
-    "Q55_adapter_flow": ("comm_adapter_flow", lambda g: {}),
     "Q56_protocol_endpoints": ("comm_protocol_endpoints", lambda g: {}),
     "Q57_conformance_report": ("comm_conformance_report", lambda g: {}),
     "Q58_deadlock_check": ("comm_deadlock_check", lambda g: {}),

@@ -12,7 +12,7 @@ from . import api
 from .functions.sqlcompat import counted_as, encoded
 from .graph import Graph
 from .operators import extract, navigation
-from .plans import catalogue, specs
+from .plans import specs
 from .plans.carrier import stored
 from .schema import EDGES, null_defaults, violations
 from .session import ship
@@ -154,7 +154,7 @@ def _escapes(g: Graph) -> DataFrame:
 
 def _properties(g: Graph) -> DataFrame:
     entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-    return g.node_properties.groupBy("node_id").agg(entries.alias("p")).select("node_id", encoded("p").alias("properties"))
+    return g.own_properties.groupBy("node_id").agg(entries.alias("p")).select("node_id", encoded("p").alias("properties"))
 
 
 def _violations(g: Graph) -> DataFrame:
@@ -191,9 +191,12 @@ GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "S05_metrics": lambda g: g.metrics,
     "S07_properties": _properties,
     "S12_scan_by_kind": lambda g: g.of("send").select("id", "name", "package"),
-    "S13_full_text": lambda g: search.match(search.inverted_index(g), "THE and"),
+    "S13_full_text": lambda g: search.Index.of(g).every("THE and"),
+    "S13_phrase": lambda g: search.Index.of(g).phrase("of The"),
+    "S13_prefix": lambda g: search.Index.of(g).prefix("thb"),
+    "S13_boolean": lambda g: search.Index.of(g).some(every="the of", some="idiot moron worthless", none="you za"),
+    "S13_ranked": lambda g: search.Index.of(g).ranked("worthless moron of the", 50),
     "S18_subgraph_json": lambda g: api.node_json(g.functions),
-    "S19_catalogue": lambda g: catalogue.listing(g.spark).groupBy("type", "stage").agg(counted_as("n")),
     "G03_siblings": extract.siblings,
     "G04_defer_order": extract.defer_order,
     "G05_init_order": extract.init_order,

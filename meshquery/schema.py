@@ -20,6 +20,7 @@ ESCAPES = _struct("file:s line:l col:l kind:s detail:s")
 FINDINGS = _struct("category:s severity:s node_id:s file:s line:l message:s details:s")
 TAINTED = _struct("node_id:s label:s source_id:s source_category:s min_hops:l")
 ENDPOINTS = _struct("id:s protocol_id:s component:s role:s endpoint_type:s function_id:s function_name:s package:s file:s line:l url_path:s http_method:s confidence:d")
+PROPERTIES = _struct("node_id:s key:s value:s")
 TABLES = {"nodes": NODES, "edges": EDGES, "sources": SOURCES, "metrics": METRICS, "history": HISTORY}
 
 
