@@ -223,22 +223,25 @@ def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
     start, stop = "\0entry", "\0exit"
     forward = dict(succ) | {start: entry}
     out += [(a, b, "dom") for b, a in immediate(nodes, forward, start).items() if a != b and a != start]
-    if leave:
-        post = immediate(nodes, dict(pred) | {stop: leave}, stop)
-        out += [(a, b, "pdom") for b, a in post.items() if a != b and a != stop]
-        for u in nodes:
-            if len(set(succ[u])) < 2 or u not in post:
-                continue
-            for v in set(succ[u]):
-                at = v
-                while at in post and at not in (post[u], stop):
-                    out.append((u, at, "cdg"))
-                    at = post[at]
+    # where nothing leaves a region, its blocks have no post-dominator and depend on every branch that leads to them
+    post = {b: a for b, a in immediate(nodes, dict(pred) | {stop: leave}, stop).items() if a != stop}
+    out += [(a, b, "pdom") for b, a in post.items()]
+    for u in nodes:
+        for v in set(succ[u]) if len(succ[u]) > 1 else ():
+            at = v
+            while at is not None and at != post.get(u):
+                out.append((u, at, "cdg"))
+                at = post.get(at)
     return pd.DataFrame(sorted(set(out)), columns=["source", "target", "kind"])
 
 
 def dominance(g: Graph) -> DataFrame:
-    """Dom, pdom and cdg edges of every function's blocks.  Functions are independent and small."""
+    """Dom, pdom and cdg edges of every function's blocks.
+
+    Functions are independent, and one function's blocks are read by one task.  Blocks that lead nowhere are exits; several
+    entries or exits hang on one of no name, which is in no edge.  Blocks that can't reach an exit have no post-dominator, so
+    a branch above them decides on them alone.
+    """
     b = g.of("basic_block").select(F.col("id").alias("source"), "parent_function")
     d = b.join(g.step("cfg"), "source", "left")
     return d.groupBy("parent_function").applyInPandas(_trees, "source string, target string, kind string")

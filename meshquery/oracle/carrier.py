@@ -84,7 +84,7 @@ EDGES = {
     "ast": """SELECT 'b' || ok AS source, id AS target FROM stmt UNION ALL SELECT 'i' || sk, 'fld' || ok || '_' || rn FROM stmt
       UNION ALL SELECT fid, id FROM stmt WHERE kind IN ('local', 'parameter') UNION ALL SELECT fid, 'res' || ok || '_' || rn FROM stmt WHERE kind = 'return'""",
     "scope": "SELECT DISTINCT 'b' || ok AS source, 'b' || ok // 2 AS target FROM item WHERE ok // 2 IN (SELECT ok FROM item)",
-    "cfg": "SELECT bb AS source, bb2 AS target FROM flow WHERE bb2 IS NOT NULL",
+    "cfg": "SELECT bb AS source, bb2 AS target FROM ways",
     "satisfies_method": "SELECT DISTINCT fid AS source, fid2 AS target FROM pair WHERE flag = 'R'",
     "implements": "SELECT DISTINCT 't' || ck AS source, 'i' || sk AS target FROM made",
     "has_method": "SELECT DISTINCT 't' || ck AS source, fid AS target FROM made UNION ALL SELECT DISTINCT 'i' || sk, fid FROM stmt",
@@ -141,7 +141,9 @@ props AS (SELECT * FROM p_function WHERE value IS NOT NULL UNION ALL SELECT node
   UNION ALL SELECT node_id, 'type_kind', value FROM p_type),
 pair AS (SELECT * FROM (SELECT *, lead(fid) OVER w AS fid2, lead(pk) OVER w AS pk2, lead(kind) OVER w AS kind2, lead(id) OVER w AS id2 FROM stmt WINDOW w AS (PARTITION BY ok ORDER BY rn)) WHERE id2 IS NOT NULL),
 args AS (SELECT c.id AS call, c.fid2, s.id AS arg, s.rn - c.rn - 1 AS index FROM pair c JOIN stmt s ON s.ok = c.ok AND s.rn > c.rn AND s.rn <= c.rn + 3 WHERE c.kind = 'call'),
-flow AS (SELECT fid, rn, 'bb' || ok || '_' || rn AS bb, lead('bb' || ok || '_' || rn) OVER (PARTITION BY fid ORDER BY ok, rn) AS bb2 FROM stmt),
+flow AS (SELECT fid, pk % 11 = 4 AS endless, kind, rn, 'bb' || ok || '_' || rn AS bb, row_number() OVER (PARTITION BY fid ORDER BY ok, rn) AS pos, count(*) OVER (PARTITION BY fid) AS n FROM stmt),
+ways AS (SELECT f.fid, f.bb, t.bb AS bb2, f.label FROM (SELECT fid, bb, pos + 1 AS to_pos, {_LABEL} AS label FROM flow WHERE pos < n AND (kind <> 'return' OR endless) UNION ALL SELECT fid, bb, pos + 3, 'false' FROM flow WHERE kind IN ('if', 'switch') AND pos + 3 <= n
+    UNION ALL SELECT fid, bb, pos - 2, NULL FROM flow WHERE kind = 'for' AND pos > 3 UNION ALL SELECT fid, bb, 2, NULL FROM flow WHERE endless AND pos = n AND n >= 3 AND kind <> 'for') f JOIN flow t ON t.fid = f.fid AND t.pos = f.to_pos),
 made AS (SELECT o.ck, o.sk, fn.id AS fid FROM owners o JOIN fn ON fn.pk = o.pk WHERE flag = 'R'),
 outer_calls AS (SELECT c.id AS call, f.package, f.name AS func_name FROM pair c JOIN functions f ON f.id = c.fid2 WHERE c.kind = 'call' AND f.id LIKE 'ext::%'),
 d1 AS (SELECT DISTINCT a.arg AS source, a.call AS target, '{{"heuristic":true}}' AS properties FROM args a JOIN outer_calls o ON o.call = a.call JOIN flow_specs s ON s.package = o.package AND s.func_name = o.func_name
@@ -156,7 +158,7 @@ raw_edges AS (SELECT id AS source, id2 AS target, 'dfg' AS kind FROM pair UNION
 edges AS ({" UNION ALL ".join(f"SELECT source, target, '{kind}' AS kind FROM e_{kind}" for kind in EDGES)}),
 dynamic_calls AS (SELECT fid AS source, fid2 AS target FROM pair WHERE {_CALLED} GROUP BY fid, fid2 HAVING max(pk + pk2) % 5 = 0),
 edge_props AS (SELECT call AS source, arg AS target, 'argument' AS edge_kind, 'index' AS key, index::VARCHAR AS value FROM args UNION ALL SELECT source, target, 'call', 'dynamic', '1' FROM dynamic_calls
-  UNION ALL SELECT id, id2, 'dfg', 'var_name', 'v' || rn FROM pair UNION ALL SELECT bb, bb2, 'cfg', 'label', {_LABEL} FROM flow WHERE bb2 IS NOT NULL AND rn % 3 < 2
+  UNION ALL SELECT id, id2, 'dfg', 'var_name', 'v' || rn FROM pair UNION ALL SELECT bb, bb2, 'cfg', 'label', label FROM ways WHERE label IS NOT NULL
   UNION ALL SELECT source, target, 'dfg', unnest(['heuristic', 'side_effect']), '1' FROM d2 UNION ALL SELECT source, target, 'dfg', 'heuristic', '1' FROM d1 UNION ALL SELECT source, target, 'dfg', 'heuristic', '1' FROM d3
   UNION ALL SELECT source, target, 'eog', 'final', '1' FROM d6),
 metrics AS (SELECT fn.id AS function_id, CASE WHEN outside THEN 0 ELSE 1 + p_size % 25 END::BIGINT AS cyclomatic_complexity, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out,

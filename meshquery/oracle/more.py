@@ -24,6 +24,22 @@ _SAME = "same AS (SELECT DISTINCT n.id, n.kind, e.said FROM escaped e JOIN (SELE
 _WORDS = r"""WITH f AS (SELECT 'doc' || doc_id || '.go' AS file, unnest(['file', 'content', 'package']) AS field, unnest(['doc' || doc_id || '.go', coalesce(text, ''), coalesce(source, '')]) AS body FROM documents),
   w AS (SELECT file, field, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM f), p AS (SELECT file, field, unnest(ws) AS term, unnest(range(len(ws))) AS at FROM w) """
 
+
+_VALUES = """passes AS (SELECT source, target FROM e_dfg UNION SELECT source, target FROM e_param_in),
+made_with AS (SELECT s.id AS value, 't' || o_custkey AS type FROM stmt s JOIN orders ON o_orderkey = s.ok WHERE s.kind = 'local' UNION SELECT id, 'func:' || fid FROM stmt WHERE kind = 'defer'),
+typed(value, type) AS (SELECT * FROM made_with UNION SELECT e.target, t.type FROM typed t JOIN passes e ON e.source = t.value)"""
+
+
+def _dominance(name: str, near: str, far: str) -> str:
+    """Dominators by definition: whoever can't be reached any more when one block is taken away is dominated by it."""
+    return f"""{name}_roots AS (SELECT id, parent_function AS fid FROM bbs WHERE id NOT IN (SELECT {far} FROM e_cfg)),
+      {name}_met(id) AS (SELECT id FROM {name}_roots UNION SELECT e.{far} FROM {name}_met m JOIN e_cfg e ON e.{near} = m.id),
+      {name}_without(gone, id) AS (SELECT b.id, r.id FROM bbs b JOIN {name}_roots r ON r.fid = b.parent_function AND r.id <> b.id UNION SELECT w.gone, e.{far} FROM {name}_without w JOIN e_cfg e ON e.{near} = w.id WHERE e.{far} <> w.gone),
+      {name}_over AS (SELECT x.id AS a, y.id AS b FROM bbs x JOIN bbs y ON y.parent_function = x.parent_function AND y.id <> x.id WHERE x.id IN (SELECT id FROM {name}_met) AND y.id IN (SELECT id FROM {name}_met)
+        AND NOT EXISTS (SELECT 1 FROM {name}_without w WHERE w.gone = x.id AND w.id = y.id)),
+      {name}_tree AS (SELECT arg_max(o.a, coalesce(n.n, 0)) AS source, o.b AS target FROM {name}_over o LEFT JOIN (SELECT b, count(*) AS n FROM {name}_over GROUP BY b) n ON n.b = o.a GROUP BY o.b)"""
+
+
 ORACLE = {
     "S02_nodes": sql("SELECT * FROM nodes"),
     "S04_sources": sql("SELECT file, content, package FROM sources"),
@@ -59,14 +75,25 @@ ORACLE = {
       LEFT JOIN (SELECT fid, count(*) FILTER (kind IN ('if', 'for')) AS d, count(*) FILTER (kind = 'parameter') AS p FROM stmt GROUP BY fid) n ON n.fid = f.id"""),
     "G09_fans": sql("SELECT * FROM metrics"),
     "G10_recursion": sql("SELECT source AS function_id FROM e_call WHERE source = target"),
+    "G11_value_cycles": sql("SELECT id, min(other) AS component FROM (SELECT a.id, b.id AS other FROM near a JOIN near b ON b.id = a.other AND b.other = a.id) GROUP BY id HAVING count(DISTINCT other) > 1", _VALUES, "near(id, other) AS (SELECT source, target FROM passes UNION SELECT n.id, e.target FROM near n JOIN passes e ON e.source = n.other)"),
+    "G11_type_reach": sql("SELECT type, count(*) AS reached FROM typed JOIN statements s ON s.id = typed.value WHERE s.kind IN ('call', 'local', 'parameter', 'go', 'defer') GROUP BY type", _VALUES),
+    "G11_call_graph": sql("""SELECT caller AS source, callee AS target, 'call' AS kind, bool_or(dynamic) AS dynamic FROM resolved GROUP BY ALL
+      UNION ALL SELECT site, callee, CASE WHEN callee LIKE 'ext::%' THEN 'stub' ELSE 'call_site' END, bool_or(dynamic) FROM resolved GROUP BY ALL UNION ALL SELECT caller, site, 'call_to_return', bool_or(dynamic) FROM resolved GROUP BY ALL""", _VALUES,
+      """sites AS (SELECT p.id AS site, p.fid AS caller, p.fid2 AS fn, p.pk % 3 AS how, p.id2 AS receiver, regexp_extract(f.name, '^[^0-9]*') AS method FROM pair p JOIN functions f ON f.id = p.fid2 WHERE p.kind = 'call'),
+      able AS (SELECT DISTINCT h.source AS type, regexp_extract(f.name, '^[^0-9]*') AS method, f.id AS fn FROM e_has_method h JOIN functions f ON f.id = h.target),
+      every AS (SELECT site, caller, fn AS callee, false AS dynamic FROM sites WHERE how = 0 UNION ALL SELECT s.site, s.caller, a.fn, true FROM sites s JOIN typed t ON t.value = s.receiver JOIN able a ON a.type = t.type AND a.method = s.method WHERE how = 1
+        UNION ALL SELECT s.site, s.caller, substr(t.type, 6), true FROM sites s JOIN typed t ON t.value = s.receiver WHERE how = 2 AND t.type LIKE 'func:%'),
+      resolved AS (SELECT * FROM every WHERE caller NOT LIKE 'ext::%' OR callee NOT LIKE 'ext::%')"""),
     "G12_param_in": sql("SELECT a.arg AS source, p.id AS target, a.index FROM args a JOIN stmt c ON c.id = a.call JOIN stmt p ON p.kind = 'parameter' AND p.fid = a.fid2 AND p.place = a.index + CASE WHEN c.pk % 3 = 1 THEN 1 ELSE 0 END"),
-    "G13_cfg_ends": sql("""SELECT fid AS source, arg_min(bb, (ok, rn)) AS target, 'entry' AS label FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid
-      UNION ALL SELECT arg_max(bb, (ok, rn)), fid, 'exit' FROM (SELECT fid, ok, rn, 'bb' || ok || '_' || rn AS bb FROM stmt) GROUP BY fid"""),
+    "G13_cfg_ends": sql("SELECT parent_function AS source, id AS target, 'entry' AS label FROM bbs WHERE id NOT IN (SELECT target FROM e_cfg) UNION ALL SELECT id, parent_function, 'exit' FROM bbs WHERE id NOT IN (SELECT source FROM e_cfg)"),
     "G13_branches": sql("SELECT 's' || ok || '_' || rn AS source, 's' || ok || '_' || rn + k AS target, CASE k WHEN 1 THEN 'true' ELSE 'false' END AS label FROM pair, (VALUES (1), (2)) v(k) WHERE kind = 'if' AND (k = 1 OR (ok, rn + 2) IN (SELECT (ok, rn) FROM stmt))"),
     "G14_uses": sql("SELECT DISTINCT source, target FROM e_dfg WHERE source <> target"),
     "G15_channel_flow": sql("SELECT DISTINCT s.id AS source, r.id AS target FROM stmt m JOIN stmt s ON s.ok = m.ok AND s.rn >= m.rn AND s.kind = 'send' JOIN stmt r ON r.ok = m.ok AND r.rn >= m.rn AND r.kind = 'select' WHERE m.kind = 'call'"),
     "G16_panic_recover": sql("SELECT a.id AS source, b.id AS target FROM (SELECT id, parent_function, name, kind FROM statements) a JOIN (SELECT id, parent_function, kind FROM statements) b ON b.parent_function = a.parent_function WHERE a.name = 'panic' AND b.kind = 'defer'"),
-    "G17_dominance": sql("SELECT source, target, 'dom' AS kind FROM e_cfg UNION ALL SELECT target, source, 'pdom' FROM e_cfg"),
+    "G17_dominance": sql("""SELECT source, target, 'dom' AS kind FROM dom_tree UNION ALL SELECT source, target, 'pdom' FROM pdom_tree
+      UNION ALL SELECT DISTINCT u, w, 'cdg' FROM (SELECT f.u, f.v AS w, f.stop FROM forks f UNION ALL SELECT f.u, s.a, f.stop FROM forks f JOIN pdom_over s ON s.b = f.v) x
+        WHERE w IS DISTINCT FROM stop AND NOT EXISTS (SELECT 1 FROM pdom_over s WHERE s.b = x.stop AND s.a = x.w)""", _dominance("dom", "source", "target"), _dominance("pdom", "target", "source"),
+      "forks AS (SELECT e.source AS u, e.target AS v, p.source AS stop FROM e_cfg e LEFT JOIN pdom_tree p ON p.target = e.source WHERE e.source IN (SELECT source FROM e_cfg GROUP BY source HAVING count(*) > 1))"),
     "G20_implementations": sql("""SELECT t.owner AS type, i.owner AS interface FROM havers t JOIN asked i ON i.method = t.method JOIN (SELECT owner, count(*) AS n FROM asked GROUP BY owner) c ON c.owner = i.owner GROUP BY 1, 2 HAVING count(*) = max(c.n)""",
       "has AS (SELECT DISTINCT e.source AS owner, f.name AS method FROM e_has_method e JOIN functions f ON f.id = e.target WHERE f.name IS NOT NULL)", "asked AS (SELECT * FROM has WHERE owner LIKE 'i%')",
       """havers AS (SELECT * FROM has WHERE owner LIKE 't%' UNION ALL SELECT 'all:' || owner, method FROM asked

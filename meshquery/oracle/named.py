@@ -20,7 +20,7 @@ CALLED = "(SELECT target FROM e_call GROUP BY target ORDER BY count(*) DESC, tar
 FORMAL = "(SELECT target FROM e_param_in GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
 OUT = "(SELECT source FROM e_param_out GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
 FAILS = "(SELECT source FROM e_call JOIN p_function ON node_id = target AND key = 'returns_error' AND value = '1' GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
-BB_FN = "(SELECT min(fid) FROM flow WHERE bb2 IS NOT NULL)"
+BB_FN = "(SELECT min(fid) FROM ways)"
 
 
 def walk(edges: str, start: str, depth: int) -> str:
@@ -57,8 +57,8 @@ ORACLE = {
     "Q04_callers_of": sql("SELECT r.id, n.name, n.package, r.depth FROM r JOIN functions n ON n.id = r.id", CALLERS),
     "Q05_scope_variables": sql("SELECT n.* FROM e_ast e JOIN statements n ON n.id = e.target AND n.kind IN ('local', 'parameter') WHERE e.source IN (SELECT id FROM r)", SCOPES),
     "Q06_interface_implementors": sql(f"SELECT n.id, n.name, n.package, n.file, n.line FROM e_implements e JOIN types n ON n.id = e.source WHERE e.target = {FACE}"),
-    "Q07_function_cfg": sql(f"""SELECT b.id AS block_id, b.name AS block_name, b.line AS block_line, f.bb2 AS successor_id, t.name AS successor_name, CASE WHEN f.bb2 IS NULL THEN NULL WHEN f.rn % 3 = 0 THEN 'true' WHEN f.rn % 3 = 1 THEN 'false' END AS branch_label
-      FROM flow f JOIN bbs b ON b.id = f.bb LEFT JOIN bbs t ON t.id = f.bb2 WHERE f.fid = {BB_FN}"""),
+    "Q07_function_cfg": sql(f"""SELECT b.id AS block_id, b.name AS block_name, b.line AS block_line, f.bb2 AS successor_id, t.name AS successor_name, f.label AS branch_label
+      FROM bbs b LEFT JOIN ways f ON b.id = f.bb LEFT JOIN bbs t ON t.id = f.bb2 WHERE b.parent_function = {BB_FN}"""),
     "Q08_cross_package_calls": sql("SELECT s.package AS caller_pkg, s.name AS caller, t.package AS callee_pkg, t.name AS callee FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.package <> t.package"),
     "Q09_context_propagation": sql(f"""SELECT s.id AS caller_id, s.name AS caller_name, s.package AS caller_pkg, t.id AS callee_id, t.name AS callee_name, t.package AS callee_pkg, CASE WHEN t.id IN {_HAS} THEN 'propagated' ELSE 'MISSING' END AS ctx_status
       FROM e_call c JOIN functions s ON s.id = c.source JOIN functions t ON t.id = c.target WHERE s.id IN {_HAS}"""),

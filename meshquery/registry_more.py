@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import api
 from .functions.sqlcompat import counted_as, encoded
 from .graph import Graph
-from .operators import extract, navigation
+from .operators import callgraph, extract, navigation
 from .plans import specs
 from .plans.carrier import stored
 from .schema import EDGES, null_defaults, violations
@@ -185,6 +185,40 @@ def _first_file(g: Graph) -> str:
     return g.sources.agg(F.min("file")).first()[0]
 
 
+def _value_flow(g: Graph) -> DataFrame:
+    """How values pass types on: data flow, and arguments to parameters."""
+    return g.step("dfg", "param_in")
+
+
+def _types(spark: SparkSession, sf_dir: str) -> callgraph.Types:
+    """Locals are made with the type of their order's customer, defers are functions as values."""
+    g = stored(ship(spark), sf_dir)
+    owner = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ok"), F.concat(F.lit("t"), "o_custkey").alias("type"))
+    made = g.of("local").select(F.col("id").alias("value"), F.regexp_extract("id", "^s([0-9]+)_", 1).cast("long").alias("ok")).join(owner, "ok").select("value", "type")
+    values = g.of("defer").select(F.col("id").alias("value"), F.concat(F.lit(callgraph.FUNCTION), "parent_function").alias("type"))
+    return callgraph.Types(_value_flow(g), made.union(values))
+
+
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls by their dispatch: plain ones as they are, others by what reaches their first argument."""
+    g = stored(ship(spark), sf_dir)
+    stem = lambda name: F.regexp_extract(name, "^[^0-9]*", 0)
+    fn = g.functions.select(F.col("id").alias("function"), stem("name").alias("method"))
+    methods = g.step("has_method").join(fn, F.col("target") == F.col("function")).select(F.col("source").alias("type"), "method", "function")
+    first = g.edge_properties.where("edge_kind = 'argument' and key = 'index' and value = '0'").select(F.col("source").alias("site"), F.col("target").alias("receiver"))
+    calls = g.step("call_site").select(F.col("source").alias("site"), F.col("target").alias("function")).join(fn, "function")
+    calls = calls.join(g.of("call").select(F.col("id").alias("site"), F.col("parent_function").alias("caller"), g.property("dispatch_type").alias("how")), "site").join(first, "site", "left")
+    sites = calls.select("site", "caller", "receiver", F.when(F.col("how") == "static", F.col("function")).alias("callee"), F.when(F.col("how") == "interface", F.col("method")).alias("method"))
+    return callgraph.call_graph(callgraph.resolve(_types(spark, sf_dir), sites, methods), g.functions.where("id NOT LIKE 'ext::%'"))
+
+
+def _reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values each type reaches."""
+    types = _types(spark, sf_dir)
+    values = stored(spark, sf_dir).of("call", "local", "parameter", "go", "defer").select(F.col("id").alias("value"))
+    return types.at(values).groupBy("type").agg(counted_as("reached"))
+
+
 GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "S02_nodes": lambda g: g.nodes,
     "S04_sources": lambda g: g.sources,
@@ -203,6 +237,7 @@ GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "G08_complexity": extract.complexity,
     "G09_fans": extract.fans,
     "G10_recursion": extract.recursion,
+    "G11_value_cycles": lambda g: callgraph.strong_components(_value_flow(g)),
     "G12_param_in": extract.param_in,
     "G13_cfg_ends": extract.cfg_ends,
     "G13_branches": _ways,
@@ -235,6 +270,8 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S10_change_log": change_log,
     "S11_blame": blame,
     "G06_error_wraps": wraps,
+    "G11_call_graph": _called,
+    "G11_type_reach": _reaching,
     "G07_sync_kind": _sync,
     "G22_embeds_alias": declared_types,
     "R30_first_of_id": first_of_id,

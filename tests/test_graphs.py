@@ -3,7 +3,7 @@
 import pytest
 
 from meshquery.graph import Graph
-from meshquery.operators import extract, findings, named, protocols, traverse, views
+from meshquery.operators import callgraph, extract, findings, named, protocols, traverse, views
 from meshquery.schema import EDGES, NODES, violations
 
 
@@ -106,6 +106,11 @@ def test_dominators_and_control_dependence(spark):
     assert pairs(loop.where("kind = 'cdg'"), "source", "target") == [("b", "b"), ("b", "c")]
     endless = extract.dominance(blocks(spark, ["ab", "ba"], "ab"))
     assert endless.where("kind <> 'dom'").count() == 0
+    ring = extract.dominance(blocks(spark, ["ab", "ac", "ba", "ca"], "abc"))
+    assert pairs(ring.where("kind = 'cdg'"), "source", "target") == [("a", "b"), ("a", "c")] and ring.where("kind = 'pdom'").count() == 0
+    trap = extract.dominance(blocks(spark, ["ab", "ac", "bb", "cd", "ce", "df", "ef"], "abcdef"))  # b is never left
+    assert pairs(trap.where("kind = 'cdg'"), "source", "target") == [("a", "b"), ("c", "d"), ("c", "e")]
+    assert pairs(trap.where("kind = 'pdom'"), "source", "target") == [("c", "a"), ("f", "c"), ("f", "d"), ("f", "e")]
     assert pairs(extract.cfg_ends(blocks(spark, ["ab"], "ab")), "source", "target", "label") == [("b", "f", "exit"), ("f", "a", "entry")]
 
 
@@ -231,3 +236,38 @@ class _nothing:
 
     def __exit__(self, *a):
         return False
+
+
+def edge_list(spark, *edges):
+    return spark.createDataFrame([tuple(e) for e in edges], "source string, target string")
+
+
+def test_strong_components(spark):
+    e = edge_list(spark, "ab", "bc", "ca", "cd", "de", "ed", "ef", "fg", "hh", "xa", *[("hub", f"n{i}") for i in range(30)], *[(f"n{i}", "hub") for i in range(0, 30, 2)])
+    e = e.union(edge_list(spark, "ab", (None, "a"), ("a", None)))
+    got = pairs(callgraph.strong_components(e), "id", "component")
+    hub = [("hub", "hub"), *[(f"n{i}", "hub") for i in range(0, 30, 2)]]
+    assert got == sorted([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d"), *hub])
+    assert callgraph.strong_components(edge_list(spark, "ab", "bc")).count() == 0 and callgraph.strong_components(e.limit(0)).count() == 0
+    nested = edge_list(spark, "ba", "ac", "cb", "cd", "da", "xy", "yz", "zx", "ax")  # two cycles through a, and one further on
+    assert {r.component for r in callgraph.strong_components(nested).where("id in ('x', 'y', 'z')").collect()} == {"x"}
+
+
+def test_types_flow_to_receivers(spark):
+    flows = edge_list(spark, "ab", "bc", "ca", "cr", "dr", "re")
+    made = spark.createDataFrame([("a", "T"), ("d", "U"), ("d", "func:g"), ("d", None), ("d", "U")], "value string, type string")
+    types = callgraph.Types(flows, made)
+    at = types.at(spark.createDataFrame([("b",), ("e",), ("nowhere",)], "value string"))
+    assert pairs(at, "value", "type") == [("b", "T"), ("e", "T"), ("e", "U"), ("e", "func:g")]
+    sites = spark.createDataFrame(
+        [("1", "f", None, "e", "Run"), ("2", "f", None, "b", "Run"), ("3", "f", None, "e", None), ("4", "f", "ext::p", None, None), ("5", "h", "ext::p", None, None), ("6", "f", None, "nowhere", "Run"), ("7", "f", "g", "e", "Run"), ("8", "f", None, None, "Run")],
+        "site string, caller string, callee string, receiver string, method string",
+    )
+    methods = spark.createDataFrame([("T", "Run", "T.Run"), ("U", "Run", "U.Run"), ("U", "Stop", "U.Stop")], "type string, method string, function string")
+    calls = callgraph.resolve(types, sites, methods)
+    assert pairs(calls, "site", "callee", "dynamic") == [("1", "T.Run", True), ("1", "U.Run", True), ("2", "T.Run", True), ("3", "g", True), ("4", "ext::p", False), ("5", "ext::p", False), ("7", "g", False)]
+    known = spark.createDataFrame([(x,) for x in ("f", "g", "T.Run")], "id string")
+    edges = callgraph.call_graph(calls, known)
+    assert pairs(edges.where("kind = 'call'"), "source", "target", "dynamic") == [("f", "T.Run", True), ("f", "U.Run", True), ("f", "ext::p", False), ("f", "g", True)]
+    assert pairs(edges.where("kind = 'stub'"), "source", "target") == [("1", "U.Run"), ("4", "ext::p")]
+    assert edges.where("source = 'h' or target = '5'").count() == 0 and edges.where("kind = 'call_to_return'").count() == 5
