@@ -90,10 +90,13 @@ def _merged(df: DataFrame, component: DataFrame, *columns: str) -> DataFrame:
 
 
 class Types:
-    """The types that reach every value.  ``flows``: source, target; ``made``: value, type."""
+    """The types that reach every value.
 
-    def __init__(self, flows: DataFrame, made: DataFrame):
-        self.component = checkpointed(strong_components(flows))
+    ``flows``: source, target; ``made``: value, type; ``component``: what :func:`strong_components` has found of the flows, if it's known.
+    """
+
+    def __init__(self, flows: DataFrame, made: DataFrame, component: DataFrame | None = None):
+        self.component = component if component is not None else checkpointed(strong_components(flows))
         ends = _merged(flows.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target"), self.component, "source", "target").where("source <> target")
         seeds = _merged(made.where("value IS NOT NULL AND type IS NOT NULL").select("value", "type"), self.component, "value").select("type", F.col("value").alias("id"))
         self.reach = traverse.nearest(ends, seeds, 1 << 30, ("type",)).select("type", "id")

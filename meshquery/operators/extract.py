@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqlcompat import counted_as, tally, zero
 from ..graph import Graph
+from . import callgraph, sweep
 
 # Package; type; method; kind of synchronisation (* stands for any type)
 SYNC = """
@@ -38,6 +39,34 @@ def chain(df: DataFrame, group: str, *order: str | Column, reverse: bool = False
     return d.where("target is not null")
 
 
+def enclosing_scopes(scopes: DataFrame, nodes: DataFrame, width: int = sweep.WIDTH) -> DataFrame:
+    """Source, target from every scope and node to the nearest scope around it; those without one are left out.
+
+    ``scopes``: id, file, start, end; ``nodes``: id, file, at.  A scope holds the places from start up to before end, and the scopes
+    of a file lie in one another or apart; of equal scopes the lesser id is the outer one, and empty scopes hold nothing.  Rows
+    with nulls are left out.
+
+    A file is swept once: the depth at a place is what has been opened less what has been closed, and the scope around it is the
+    last one that was opened at that depth.  A file of any length is swept in pieces (:mod:`sweep`).
+    """
+    s = scopes.where("id IS NOT NULL AND start < end").select("id", "file", "start", "end")
+    null = F.lit(None).cast("long")
+    events = [
+        s.select("file", F.col("end").alias("at"), F.lit(0).alias("turn"), F.col("start").alias("rank"), "id", F.lit(-1).alias("step")),
+        s.select("file", F.col("start").alias("at"), F.lit(1), (-F.col("end")).alias("rank"), "id", F.lit(1)),
+        nodes.where("id IS NOT NULL AND at IS NOT NULL").select("file", "at", F.lit(2), null, "id", F.lit(0)),
+        scopes.where("id IS NOT NULL AND start >= end").select("file", F.col("start"), F.lit(2), null, "id", F.lit(0)),
+    ]
+    d = events[0].union(events[1]).union(events[2]).union(events[3]).where("file IS NOT NULL")
+    ties = ("turn", "rank", "id", "step")
+    d = sweep.running_total(d, ["file"], "at", F.col("step"), "depth", ties, width).where("turn > 0")
+    opened = d.where("turn = 1").withColumn("opened", F.col("id"))
+    asked = d.withColumn("depth", F.col("depth") - F.col("step")).withColumn("opened", F.lit(None).cast("string")).where("depth > 0")
+    asked = asked.withColumn("step", F.lit(2)).unionByName(opened)  # a scope is asked about at the depth around it, and answers at its own
+    d = sweep.latest(asked, ["file", "depth"], "at", {"scope": F.col("opened")}, ties, width)
+    return d.where("step = 2").select(F.col("id").alias("source"), F.col("scope").alias("target"))
+
+
 def siblings(g: Graph) -> DataFrame:
     """Each statement of a block to the next."""
     s = g.step("ast").join(g.of("block").select(F.col("id").alias("source")), "source").join(g.nodes.select(F.col("id").alias("target"), "line", "col"), "target")
@@ -150,17 +179,27 @@ def pairs(df: DataFrame, site: str, from_kind: str, to_kind: str) -> DataFrame:
     return a.join(b, site).select("source", "target").distinct()
 
 
-def channel_flow(flows: DataFrame, makes: DataFrame, ends: DataFrame, depth: int = 20) -> DataFrame:
-    """Sends to receives of one channel.  ``makes``: id of channel creations; ``ends``: id, kind of uses; ``flows``: how channels pass on."""
-    from .traverse import nearest
+def channel_ends(flows: DataFrame, makes: DataFrame, ends: DataFrame, component: DataFrame | None = None) -> DataFrame:
+    """Channel, id, kind: the uses that each channel reaches, however far.
+
+    ``makes``: id of channel creations; ``ends``: id, kind of uses; ``flows``: how channels pass on: assignments, merges, stores and
+    loads, captures of closures, arguments.  Values that pass a channel round in a cycle are one value.
+    """
+    types = callgraph.Types(flows, makes.select(F.col("id").alias("value"), F.col("id").alias("type")), component)
+    return types.at(ends.withColumnRenamed("id", "value")).select(F.col("type").alias("channel"), F.col("value").alias("id"), "kind").distinct()
+
 
-    reach = nearest(flows, makes.select(F.col("id").alias("site"), "id"), depth, ("site",))
-    return pairs(reach.join(ends, "id").select("site", "id", "kind"), "site", "send", "receive")
+def channel_flow(flows: DataFrame, makes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Sends to receives of one channel, a row for each pair; :func:`channel_ends` says the same without pairs."""
+    return pairs(channel_ends(flows, makes, ends), "channel", "send", "receive")
 
 
-def panic_recover(g: Graph) -> DataFrame:
-    """Panics to recovers of one function."""
+def panic_recover(g: Graph, deferred: DataFrame | None = None) -> DataFrame:
+    """Panics to recovers of one function, and to those of functions that it defers (``deferred``: function, literal)."""
     d = g.of("call").where(F.col("name").isin("panic", "recover")).select("id", F.col("name").alias("kind"), "parent_function")
+    if deferred is not None:
+        inner = d.where("kind = 'recover'").join(deferred, F.col("parent_function") == F.col("literal")).select("id", "kind", F.col("function").alias("parent_function"))
+        d = d.union(inner)
     return pairs(d, "parent_function", "panic", "recover")
 
 

@@ -66,6 +66,24 @@ def flow_state(g: Graph, hops: int = HOPS, edges: DataFrame | None = None, marks
     return d.select(F.col("id").alias("node_id"), label.alias("label"), "source_id", "source_category", F.col("depth").alias("min_hops"))
 
 
+def clean_hops(g: Graph, hops: int = HOPS) -> DataFrame:
+    """node_id, source_id, hops: what a source reaches on a way that no barrier cuts, by the least such way.
+
+    A walk may end at a barrier but doesn't go on from it; a source that is a barrier too is where its walk ends.
+    """
+    marks = checkpointed(roles(g))
+    barrier = marks.where("role = 'barrier'").select(F.col("node_id").alias("source"))
+    seeds = marks.where("role = 'source'").select(F.col("node_id").alias("source_id"), F.col("node_id").alias("id")).distinct()
+    reached = traverse.nearest(g.step("dfg").join(barrier, "source", "left_anti"), seeds, hops, ("source_id",))
+    return reached.select(F.col("id").alias("node_id"), "source_id", F.col("depth").alias("hops"))
+
+
+def unsanitized(g: Graph) -> DataFrame:
+    """Q51 as it says: sinks that a source reaches at all, with the hops of the least way and of the least that no barrier cuts (null: all are cut)."""
+    d = sinks_reached(g).join(clean_hops(g).select(F.col("node_id").alias("sink_id"), "source_id", F.col("hops").alias("clean_hops")), ["sink_id", "source_id"], "left")
+    return d.select("source_id", "source_category", "sink_id", "min_hops", "clean_hops")
+
+
 def state(g: Graph) -> DataFrame:
     """T30 of a graph."""
     return g.made("taint", TAINTED, lambda: flow_state(g))

@@ -116,7 +116,7 @@ stmt AS (SELECT s.*, row_number() OVER (PARTITION BY fid, kind ORDER BY ok, rn)
 functions AS (SELECT id, 'function' AS kind, name, file, line, CASE WHEN NOT outside THEN 1 END::BIGINT AS col, end_line, package, NULL::VARCHAR AS parent_function,
     CASE WHEN pk % 2 = 0 THEN 'func(Type' || pk % 20 || ') error' END AS type_info, {_FUNCTION} AS properties FROM fn),
 statements AS (SELECT id, kind, CASE WHEN kind = 'local' THEN CASE WHEN rn % 7 = 0 THEN '_' ELSE 'v' || rn END WHEN kind = 'parameter' THEN 'p' || rn
-      WHEN kind = 'call' AND pk % 17 = 0 THEN 'panic' ELSE kind END AS name, file, ok * 10 + rn AS line, rn AS col, NULL::BIGINT AS end_line, package, fid AS parent_function,
+      WHEN kind = 'call' AND pk % 17 = 0 THEN 'panic' WHEN kind = 'call' AND pk % 17 = 1 THEN 'recover' WHEN kind = 'call' AND pk % 17 = 2 THEN CASE WHEN rn % 2 = 0 THEN 'panic' ELSE 'recover' END ELSE kind END AS name, file, ok * 10 + rn AS line, rn AS col, NULL::BIGINT AS end_line, package, fid AS parent_function,
     CASE WHEN kind IN ('local', 'parameter') THEN {_TYPE} END AS type_info, {_STATEMENT} AS properties FROM stmt),
 bbs AS (SELECT 'bb' || ok || '_' || rn AS id, 'basic_block' AS kind, 'bb' || rn AS name, file, ok * 10 + rn AS line, NULL::BIGINT AS col, NULL::BIGINT AS end_line, package, fid AS parent_function, NULL::VARCHAR AS type_info, NULL::VARCHAR AS properties FROM stmt),
 results AS (SELECT 'res' || ok || '_' || rn AS id, 'result' AS kind, 'r' AS name, file, NULL::BIGINT AS line, NULL::BIGINT AS col, NULL::BIGINT AS end_line, package, fid AS parent_function, {_TYPE} AS type_info, NULL::VARCHAR AS properties FROM stmt WHERE kind = 'return'),

@@ -92,6 +92,8 @@ ORACLE |= {
     "T07_taint_annotations": sql("SELECT node_id, 'taint_role' AS key, role AS value FROM roles UNION ALL SELECT node_id, 'taint_category', category FROM categories", ROLES),
     "T11_findings_summary": sql("SELECT category, max(severity) AS severity, count(*) AS count FROM stage1 GROUP BY category", *STAGES),
     "T30_flow_state": sql("SELECT * FROM flow_state", ROLES, TAINT),
+    "T30_unsanitized": sql("SELECT s.source_id, s.source_category, s.sink_id, s.min_hops, c.hops AS clean_hops FROM sinks s LEFT JOIN (SELECT source_id, id, min(hop)::BIGINT AS hops FROM clean GROUP BY ALL) c ON c.source_id = s.source_id AND c.id = s.sink_id", ROLES, TAINT, SINKS,
+      "clean(source_id, id, hop) AS (SELECT source_id, source_id, 0 FROM starts UNION SELECT r.source_id, e.target, r.hop + 1 FROM clean r JOIN e_dfg e ON e.source = r.id WHERE r.hop < 8 AND r.id NOT IN (SELECT node_id FROM roles WHERE role = 'barrier'))"),
     "T31_index_sensitivity": sql("SELECT * FROM containers", ROLES, TAINT, CONTAINERS),
     "V17_taint_summary": sql("SELECT label, source_category, count(*) AS node_count FROM flow_state GROUP BY ALL", ROLES, TAINT),
     "V18_container_summary": sql("SELECT container_kind, has_taint, count(*) AS count FROM containers GROUP BY ALL", ROLES, TAINT, CONTAINERS),

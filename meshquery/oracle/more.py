@@ -29,6 +29,9 @@ _VALUES = """passes AS (SELECT source, target FROM e_dfg UNION SELECT source, ta
 made_with AS (SELECT s.id AS value, 't' || o_custkey AS type FROM stmt s JOIN orders ON o_orderkey = s.ok WHERE s.kind = 'local' UNION SELECT id, 'func:' || fid FROM stmt WHERE kind = 'defer'),
 typed(value, type) AS (SELECT * FROM made_with UNION SELECT e.target, t.type FROM typed t JOIN passes e ON e.source = t.value)"""
 
+_CHANNELS = """carries(channel, value) AS (SELECT id, id FROM stmt WHERE kind = 'go' UNION SELECT c.channel, e.target FROM carries c JOIN passes e ON e.source = c.value),
+chan AS (SELECT c.channel, s.id, CASE s.kind WHEN 'send' THEN 'send' ELSE 'receive' END AS kind FROM carries c JOIN stmt s ON s.id = c.value WHERE s.kind IN ('send', 'select'))"""
+
 
 def _dominance(name: str, near: str, far: str) -> str:
     """Dominators by definition: whoever can't be reached any more when one block is taken away is dominated by it."""
@@ -64,6 +67,10 @@ ORACLE = {
       SELECT tf.file, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.k / n.mean))), 6) AS score FROM tf JOIN idf ON idf.term = tf.term JOIN (SELECT file, count(*) AS k FROM p GROUP BY file) len ON len.file = tf.file, n
       GROUP BY tf.file ORDER BY score DESC, tf.file LIMIT 50""",
     "S18_subgraph_json": sql("SELECT id, '{\"id\":\"' || id || '\",\"kind\":\"' || kind || '\",\"name\":\"' || name || '\",\"file\":' || coalesce('\"' || file || '\"', 'null') || ',\"line\":' || coalesce(line::VARCHAR, 'null') || ',\"package\":' || coalesce('\"' || package || '\"', 'null') || '}' AS json FROM functions"),
+    "G02_scopes": """WITH i AS (SELECT l_orderkey AS ok, l_partkey AS pk, 'f' || l_orderkey // 64 AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) AS rn FROM lineitem),
+      s AS (SELECT DISTINCT 'g' || ok // 8 AS id, file, ok // 8 * 80000 AS a, ok // 8 * 80000 + 80000 AS b FROM i UNION ALL SELECT DISTINCT 'o' || ok, file, ok * 10000, ok * 10000 + 9000 FROM i UNION ALL SELECT 'l' || ok || '_' || rn, file, ok * 10000 + rn * 100, ok * 10000 + rn * 100 + pk % 3 * 40 FROM i),
+      p AS (SELECT id, file, a, b FROM s UNION ALL SELECT 'n' || ok || '_' || rn, file, ok * 10000 + pk * 7 % 10000, NULL FROM i)
+      SELECT p.id AS source, arg_min(s.id, s.b - s.a) AS target FROM p JOIN s ON s.file = p.file AND s.a <= p.a AND p.a < s.b AND s.id <> p.id AND (p.b IS NULL OR p.b <= s.b AND s.b - s.a > p.b - p.a) GROUP BY p.id""",
     "G03_siblings": sql("SELECT id AS source, lead(id) OVER (PARTITION BY ok ORDER BY rn) AS target, row_number() OVER (PARTITION BY ok ORDER BY rn) AS rank FROM stmt QUALIFY target IS NOT NULL"),
     "G04_defer_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM stmt WHERE kind = 'defer' WINDOW w AS (PARTITION BY fid ORDER BY ok * 10 + rn DESC, rn DESC, id DESC) QUALIFY target IS NOT NULL"),
     "G05_init_order": sql("SELECT id AS source, lead(id) OVER w AS target, row_number() OVER w AS rank FROM functions WHERE name = 'init' WINDOW w AS (PARTITION BY package ORDER BY file, line, id) QUALIFY target IS NOT NULL"),
@@ -88,8 +95,9 @@ ORACLE = {
     "G13_cfg_ends": sql("SELECT parent_function AS source, id AS target, 'entry' AS label FROM bbs WHERE id NOT IN (SELECT target FROM e_cfg) UNION ALL SELECT id, parent_function, 'exit' FROM bbs WHERE id NOT IN (SELECT source FROM e_cfg)"),
     "G13_branches": sql("SELECT 's' || ok || '_' || rn AS source, 's' || ok || '_' || rn + k AS target, CASE k WHEN 1 THEN 'true' ELSE 'false' END AS label FROM pair, (VALUES (1), (2)) v(k) WHERE kind = 'if' AND (k = 1 OR (ok, rn + 2) IN (SELECT (ok, rn) FROM stmt))"),
     "G14_uses": sql("SELECT DISTINCT source, target FROM e_dfg WHERE source <> target"),
-    "G15_channel_flow": sql("SELECT DISTINCT s.id AS source, r.id AS target FROM stmt m JOIN stmt s ON s.ok = m.ok AND s.rn >= m.rn AND s.kind = 'send' JOIN stmt r ON r.ok = m.ok AND r.rn >= m.rn AND r.kind = 'select' WHERE m.kind = 'call'"),
-    "G16_panic_recover": sql("SELECT a.id AS source, b.id AS target FROM (SELECT id, parent_function, name, kind FROM statements) a JOIN (SELECT id, parent_function, kind FROM statements) b ON b.parent_function = a.parent_function WHERE a.name = 'panic' AND b.kind = 'defer'"),
+    "G15_channel_ends": sql("SELECT channel, id, kind FROM chan", _VALUES, _CHANNELS),
+    "G15_channel_flow": sql("SELECT DISTINCT s.id AS source, r.id AS target FROM chan s JOIN chan r ON r.channel = s.channel AND s.kind = 'send' AND r.kind = 'receive'", _VALUES, _CHANNELS),
+    "G16_panic_recover": sql("SELECT a.id AS source, b.id AS target FROM statements a JOIN statements b ON b.parent_function = a.parent_function WHERE a.name = 'panic' AND b.name = 'recover'"),
     "G17_dominance": sql("""SELECT source, target, 'dom' AS kind FROM dom_tree UNION ALL SELECT source, target, 'pdom' FROM pdom_tree
       UNION ALL SELECT DISTINCT u, w, 'cdg' FROM (SELECT f.u, f.v AS w, f.stop FROM forks f UNION ALL SELECT f.u, s.a, f.stop FROM forks f JOIN pdom_over s ON s.b = f.v) x
         WHERE w IS DISTINCT FROM stop AND NOT EXISTS (SELECT 1 FROM pdom_over s WHERE s.b = x.stop AND s.a = x.w)""", _dominance("dom", "source", "target"), _dominance("pdom", "target", "source"),

@@ -54,6 +54,7 @@ ANALYSES: dict[str, Callable[[Graph], DataFrame]] = {
     "T07_taint_annotations": taint.annotations,
     "T11_findings_summary": f.summary,
     "T30_flow_state": taint.state,
+    "T30_unsanitized": taint.unsanitized,
     "T31_index_sensitivity": taint.index_sensitivity,
     "V17_taint_summary": taint.summary,
     "V18_container_summary": taint.container_summary,

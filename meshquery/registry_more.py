@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import api
 from .functions.sqlcompat import counted_as, encoded
@@ -53,7 +54,7 @@ def blame(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(head, F.concat(F.lit("author Author "), "o_orderpriority"), F.concat(F.lit("author-time "), F.col("o_orderkey") + 5), F.concat(F.lit("\tline "), k))
     orders = ship(spark).read.parquet(f"{sf_dir}/orders.parquet")
     d = orders.select(F.col("o_custkey").cast("string").alias("log"), "o_orderkey", F.posexplode(lines).alias("part", "line"))
-    return ingest.blame(d.select("log", F.struct("o_orderkey", "part").alias("at"), "line"))
+    return ingest.blame(d.select("log", (F.col("o_orderkey") * 4 + F.col("part")).alias("at"), "line"))
 
 
 def wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,15 +135,23 @@ def _ways(g: Graph) -> DataFrame:
 
 
 def _channels(g: Graph) -> DataFrame:
-    """Calls as what makes channels: sends and selects that their data reach."""
+    """Go statements as what makes channels: sends and selects that their values reach."""
     ends = g.of("send").select("id", F.lit("send").alias("kind")).union(g.of("select").select("id", F.lit("receive")))
-    return extract.channel_flow(g.step("dfg"), g.of("call").select("id"), ends)
+    return extract.channel_ends(_value_flow(g), g.of("go").select("id"), ends, _value_cycles(g))
 
 
-def _panics(g: Graph) -> DataFrame:
-    """Panics with the defers of their function, which stand for those that recover."""
-    d = g.of("call").where("name = 'panic'").select("id", F.lit("panic").alias("kind"), "parent_function")
-    return extract.pairs(d.union(g.of("defer").select("id", F.lit("recover"), "parent_function")), "parent_function", "panic", "recover")
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their items as scopes, eight orders in a larger one, and places inside them."""
+    d = _lineitem(spark, sf_dir)
+    ok, item = F.col("l_orderkey"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag"))
+    file = F.concat(F.lit("f"), F.floor(ok / 64)).alias("file")
+    items = d.select(ok.alias("ok"), file, item.alias("rn"), F.col("l_partkey").alias("pk"))
+    scope = lambda df, id_, start, length: df.select(id_.alias("id"), "file", start.cast("long").alias("start"), (start + length).cast("long").alias("end")).distinct()
+    ok, rn = F.col("ok"), F.col("rn")
+    all_ = scope(items, F.concat(F.lit("g"), F.floor(ok / 8)), F.floor(ok / 8) * 80_000, 80_000)
+    all_ = all_.union(scope(items, F.concat(F.lit("o"), ok), ok * 10_000, 9_000)).union(scope(items, F.concat_ws("_", F.concat(F.lit("l"), ok), rn), ok * 10_000 + rn * 100, F.col("pk") % 3 * 40))
+    places = items.select(F.concat_ws("_", F.concat(F.lit("n"), "ok"), "rn").alias("id"), "file", (ok * 10_000 + F.col("pk") * 7 % 10_000).alias("at"))
+    return extract.enclosing_scopes(all_, places)
 
 
 def _escapes(g: Graph) -> DataFrame:
@@ -190,13 +199,17 @@ def _value_flow(g: Graph) -> DataFrame:
     return g.step("dfg", "param_in")
 
 
+def _value_cycles(g: Graph) -> DataFrame:
+    return g.made("value-cycles", T.StructType().add("id", "string").add("component", "string"), lambda: callgraph.strong_components(_value_flow(g)))
+
+
 def _types(spark: SparkSession, sf_dir: str) -> callgraph.Types:
     """Locals are made with the type of their order's customer, defers are functions as values."""
     g = stored(ship(spark), sf_dir)
     owner = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ok"), F.concat(F.lit("t"), "o_custkey").alias("type"))
     made = g.of("local").select(F.col("id").alias("value"), F.regexp_extract("id", "^s([0-9]+)_", 1).cast("long").alias("ok")).join(owner, "ok").select("value", "type")
     values = g.of("defer").select(F.col("id").alias("value"), F.concat(F.lit(callgraph.FUNCTION), "parent_function").alias("type"))
-    return callgraph.Types(_value_flow(g), made.union(values))
+    return callgraph.Types(_value_flow(g), made.union(values), _value_cycles(g))
 
 
 def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +250,14 @@ GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "G08_complexity": extract.complexity,
     "G09_fans": extract.fans,
     "G10_recursion": extract.recursion,
-    "G11_value_cycles": lambda g: callgraph.strong_components(_value_flow(g)),
+    "G11_value_cycles": _value_cycles,
     "G12_param_in": extract.param_in,
     "G13_cfg_ends": extract.cfg_ends,
     "G13_branches": _ways,
     "G14_uses": extract.uses,
-    "G15_channel_flow": _channels,
-    "G16_panic_recover": _panics,
+    "G15_channel_ends": _channels,
+    "G15_channel_flow": lambda g: extract.pairs(_channels(g), "channel", "send", "receive"),
+    "G16_panic_recover": extract.panic_recover,
     "G17_dominance": extract.dominance,
     "G20_implementations": _implementations,
     "G21_satisfied": _satisfied,
@@ -269,6 +283,7 @@ TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S09_escape_log": escape_log,
     "S10_change_log": change_log,
     "S11_blame": blame,
+    "G02_scopes": scopes,
     "G06_error_wraps": wraps,
     "G11_call_graph": _called,
     "G11_type_reach": _reaching,

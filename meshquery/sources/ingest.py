@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators import sweep
 
 
 def directory(file: Column) -> Column:
@@ -22,9 +23,14 @@ def source_texts(spark: SparkSession, path: str, root: str = "", skip: str = r"(
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and an order inside it.  Files are not split, so the order is that of the text."""
-    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return d
+    """log, at, line: the lines of text files with their file and a place that grows through it.
+
+    Long files are read in splits.  A split's lines come in order and are fewer than its bytes, so where the split begins
+    and how many lines of it went before make places in the order of the text.
+    """
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
+    first = d.groupBy("log", "block").agg(F.min("k").alias("first"))
+    return d.join(first, ["log", "block"]).select("log", (F.col("block") + F.col("k") - F.col("first")).alias("at"), "line")
 
 
 _ESCAPE = r"^(?:\./)?([^:]+):(\d+):(\d+): (.+)$"
@@ -69,19 +75,17 @@ def escape_properties(g: Graph, found: DataFrame) -> DataFrame:
     return inline.unionByName(heap).unionByName(stay)
 
 
-def file_history(lines: DataFrame, prefix: str = "", suffix: str = ".go") -> DataFrame:
+def file_history(lines: DataFrame, prefix: str = "", suffix: str = ".go", width: int = sweep.WIDTH) -> DataFrame:
     """Per file: commits, authors, the latest author and date, insertions, deletions, churn.
 
     ``lines``: log, at, line of a log in which a header (hash, date, author) stands over tab-separated counts, newest
-    first.  The header is carried down with a window over each log; binary files and other suffixes are skipped.
+    first.  The header is carried down each log, ``width`` lines at a time; binary files and other suffixes are skipped.
     """
     line = F.trim("line")
     d = lines.select("log", "at", line.alias("line")).where("line <> ''")
     head = (F.length("line") > 40) & (F.substring("line", 41, 1) == " ")
     parts = F.split("line", " ", 3)
-    d = d.withColumn("header", F.when(head & (F.size(parts) == 3), parts))
-    down = Window.partitionBy("log").orderBy("at")
-    d = d.withColumn("header", F.last("header", ignorenulls=True).over(down)).where(~head)
+    d = sweep.latest(d, ["log"], "at", {"header": F.when(head & (F.size(parts) == 3), parts)}, width=width).where(~head)
     cols = F.split("line", "\t", 3)
     d = d.where(F.size(cols) == 3).select(
         cols[2].alias("file"), cols[0].try_cast("long").alias("ins"), cols[1].try_cast("long").alias("del"), "log", "at",
@@ -93,13 +97,11 @@ def file_history(lines: DataFrame, prefix: str = "", suffix: str = ".go") -> Dat
     return d.withColumn("churn", F.col("insertions") + F.col("deletions"))
 
 
-def blame(lines: DataFrame) -> DataFrame:
-    """Log, line, author, date, commit for every content line of porcelain output."""
+def blame(lines: DataFrame, width: int = sweep.WIDTH) -> DataFrame:
+    """Log, line, author, date, commit for every content line of porcelain output (log, at, line), ``width`` lines at a time."""
     header = F.col("line").rlike(r"^[0-9a-f^]{40} [0-9]+ [0-9]+")
     word = F.split("line", r"\s+")
     value = lambda key: F.when(F.col("line").startswith(f"{key} "), F.substring("line", len(key) + 2, 1 << 30))
-    d = lines.select("log", "at", "line", F.when(header, word[0]).alias("commit"), F.when(header, word[2].try_cast("long")).alias("nr"), value("author").alias("author"), value("author-time").alias("date"))
-    down = Window.partitionBy("log").orderBy("at")
-    carried = {c: F.last(c, ignorenulls=True).over(down) for c in ("commit", "nr", "author", "date")}
-    d = d.withColumns(carried).where(F.col("line").startswith("\t"))
+    carried = {"commit": F.when(header, word[0]), "nr": F.when(header, word[2].try_cast("long")), "author": value("author"), "date": value("author-time")}
+    d = sweep.latest(lines.select("log", "at", "line"), ["log"], "at", carried, width=width).where(F.col("line").startswith("\t"))
     return d.select("log", F.col("nr").alias("line"), "author", "date", F.substring("commit", 1, 12).alias("commit"))
