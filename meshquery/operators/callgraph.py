@@ -35,7 +35,10 @@ def _trimmed(e: DataFrame) -> DataFrame:
     """Edges left when those that lie on no cycle for want of an edge before or after have been taken away, again and again."""
     size = e.count()
     while size:
-        e = checkpointed(_both_ways(_both_ways(e)))
+        left = e
+        for _ in range(traverse.EVERY):
+            left = _both_ways(left)
+        e = checkpointed(left)
         now = e.count()
         if now == size:
             break
@@ -44,15 +47,16 @@ def _trimmed(e: DataFrame) -> DataFrame:
 
 
 def _least_before(e: DataFrame) -> DataFrame:
-    """(id, color): the least id from which a node can be reached, itself included.  Only nodes whose color fell pass it on."""
+    """(id, color): the least id from which a node can be reached, itself included; some hops are taken at once."""
     color = checkpointed(e.select(F.col("u").alias("id")).union(e.select("v")).distinct().withColumn("color", F.col("id")))
-    news = color
     while True:
-        told = news.join(e, F.col("id") == F.col("u")).groupBy(F.col("v").alias("id")).agg(F.min("color").alias("told"))
-        news = checkpointed(told.join(color, "id").where("told < color").select("id", F.col("told").alias("color")))
-        if news.isEmpty():
-            return color
-        color = checkpointed(color.join(news.withColumnRenamed("color", "new"), "id", "left").select("id", F.coalesce("new", "color").alias("color")))
+        now = color
+        for _ in range(traverse.EVERY):
+            now = now.union(now.join(e, F.col("id") == F.col("u")).select("v", "color")).groupBy("id").agg(F.min("color").alias("color"))
+        now = checkpointed(now)
+        if now.join(color.withColumnRenamed("color", "old"), "id").where("color < old").isEmpty():
+            return now
+        color = now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -68,13 +72,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         color = _least_before(e)
         of = color.select(F.col("id").alias("u"), F.col("color").alias("cu")), color.select(F.col("id").alias("v"), F.col("color").alias("cv"))
-        inside = checkpointed(e.join(of[0], "u").join(of[1], "v").where("cu = cv").select("u", "v", F.col("cu").alias("color")))
-        met = news = checkpointed(color.where("id = color"))
-        while not news.isEmpty():
-            news = news.select(F.col("id").alias("v")).join(inside, "v").select(F.col("u").alias("id"), "color").distinct()
-            news = checkpointed(news.join(met.select("id"), "id", "left_anti"))
-            met = met.union(news)
-        met = checkpointed(met)
+        inside = e.join(of[0], "u").join(of[1], "v").where("cu = cv")  # its edges join nodes of one color, so a walk stays in it
+        met = traverse.nearest(inside.select(F.col("v").alias("source"), F.col("u").alias("target")), color.where("id = color").select("id"), 1 << 30)
+        met = checkpointed(met.select("id").join(color, "id"))
         found = found.union(met.select("id", F.col("color").alias("component")))
         gone = met.select(F.col("id").alias("u")), met.select(F.col("id").alias("v"))
         e = _trimmed(checkpointed(e.join(gone[0], "u", "left_anti").join(gone[1], "v", "left_anti").select("u", "v")))
