@@ -10,8 +10,11 @@ repeated strings cost little, and a key costs a byte a character.  Candidates wh
 their length are reported, if no base span overlaps them.
 
 The dictionary is learned from all texts (:func:`learn`): identifiers in the surroundings of sensitive words, by the
-number of different words that stand before them, so that a key in thousands of copies of one text is none.  The
-``DICTIONARY_BYTES`` of those met in most contexts follow a few common ones.
+number of different words that stand before them, so that a key in thousands of copies of one text is none.  What could be
+a candidate itself (a run of ``least`` characters or more) only enters if the shorter ones make it small by the same measure or
+if it reads like words (:func:`like_words`), and no part of it is taken for a shorter one, so a key doesn't hide itself,
+however often and wherever it stands.  The ``DICTIONARY_BYTES`` of
+those met in most contexts follow a few common ones.
 
 Offsets are code points, ends exclusive.  Nulls: a null text is empty, a null doc_id is carried along.  Texts of any
 length are scanned whole, in time linear in them.  Repeated rows are scanned one by one and give the same spans.  Spans
@@ -143,8 +146,17 @@ def _may_hold(text: Column) -> Column:
     return F.coalesce(reduce(Column.__or__, [low.contains(sign) for sign in SIGNS], text.rlike("[0-9a-f]{24}")), F.lit(False))
 
 
+def like_words(run: str) -> bool:
+    """Letters only, joined by signs; a quarter of them vowels, never six consonants in a row, and few changes of case."""
+    letters = re.sub(r"[/_=+-]", "", run)
+    return (
+        letters.isalpha() and 4 * len(re.findall("[aeiouy]", letters, re.I)) >= len(letters) and not re.search("[b-df-hj-np-tv-xz]{6}", letters, re.I)
+        and 5 * len(re.findall("(?=[a-z][A-Z])", run)) <= len(letters)
+    )
+
+
 def _identifiers(batches):
-    """Distinct (identifier, hash of the word before it) in the surroundings of sensitive words."""
+    """Distinct (identifier, hash of the word before it) in the surroundings of sensitive words; long runs stand whole."""
     for batch in batches:
         found: set[tuple[str, int]] = set()
         for text in batch.column("text").to_pylist():
@@ -152,9 +164,13 @@ def _identifiers(batches):
             for m in SENSITIVE.finditer(text):
                 low, high = max(upto, m.start() - AROUND), m.end() + AROUND
                 last = ""
-                for word in IDENTIFIER.finditer(text, low, high):
-                    found.add((word[0], zlib.crc32(last.encode())))
-                    last = word[0]
+                for run in RUN.finditer(text, low, high):
+                    start, end = run.span()
+                    if start == low > 0 and RUN.match(text[low - 1]) or end == high < len(text) and RUN.match(text[high]):
+                        continue  # a part of a run that goes on outside could be one of a key
+                    for word in (run[0],) if end - start >= LEAST else IDENTIFIER.findall(run[0]):
+                        found.add((word, zlib.crc32(last.encode())))
+                        last = word
                 upto = max(upto, high)
         rows = sorted(found)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], ["identifier", "before"])
@@ -168,14 +184,22 @@ def learn(docs: DataFrame, contexts: int = CONTEXTS, most_bytes: int = DICTIONAR
     texts = docs.where(_may_hold(F.col("text"))).select("text")
     met = texts.mapInArrow(_identifiers, "identifier string, before long").distinct()
     met = met.groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= contexts)
-    rows = met.orderBy(F.desc("n"), "identifier").limit(MOST_IDENTIFIERS).collect()  # at most so many rows
-    out, size = [], 0
-    for r in rows:
-        size += len(r.identifier) + 1
-        if size > most_bytes:
-            break
-        out.append(r.identifier)
-    return " ".join(reversed(out)).encode()
+    short, long = (met.where(c).orderBy(F.desc("n"), "identifier").limit(MOST_IDENTIFIERS).collect() for c in (F.length("identifier") < LEAST, F.length("identifier").between(LEAST, AROUND)))  # at most so many rows each
+
+    def fitting(rows: list) -> list:
+        out, size = [], 0
+        for r in rows:
+            size += len(r.identifier) + 1
+            if size > most_bytes:
+                break
+            out.append(r)
+        return out
+
+    short = fitting(short)
+    primed = Novelty(" ".join(r.identifier for r in reversed(short)).encode())
+    known = [r for r in long if like_words(r.identifier) or primed.of(r.identifier, 0, len(r.identifier)) < RATIO]
+    out = fitting(sorted(short + known, key=lambda r: (-r.n, r.identifier)))
+    return " ".join(r.identifier for r in reversed(out)).encode()
 
 
 _SPANS = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_spans string, spans string"

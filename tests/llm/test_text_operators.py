@@ -351,3 +351,15 @@ def test_verdicts_are_the_posteriors_of_a_plain_version(spark):
     got = sorted((r.doc_id or 0, r.kept, round(r.p_good, 2)) for r in quality.judge(d).collect())
     assert got == sorted((r.row or 0, bool(not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and post[tuple(r)[3:]] >= 0.5), round(float(post[tuple(r)[3:]]), 2)) for r in rows)
     assert quality.judge(docs(spark, [])).count() == 0
+
+
+def test_a_key_that_stands_everywhere_is_still_reported(spark):
+    key, parts = "q7Zp2Wk9Xv4Rt8Lm3Bn6", "q7Zp2Wk9/Xv4Rt8Lm+3Bn6Ys5D"
+    texts = [f"{word} {k} is the credential of {word}" for word in ("alpha", "beta", "gamma", "delta", "omega") for k in (key, parts, "configuration_environment_value")]
+    learned = secrets.learn(docs(spark, list(enumerate(texts)))).decode().split()
+    assert not {key, parts, "q7Zp2Wk9", "Xv4Rt8Lm"} & set(learned) and "credential" in learned
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert ("novel:" in spans[i]) == (key in text or parts in text)
+    edge = "x" * 195 + " secret " + "y" * 185 + " " + key  # cut where the surroundings end
+    assert not any(key.startswith(w) for w in secrets.learn(docs(spark, [(i, f"{w}{edge}") for i, w in enumerate("abcdef")])).decode().split())
