@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .schema import EDGES, NODES, PROPERTIES, TABLES, conform, null_defaults
+from .schema import EDGES, NODES, PROPERTIES, TABLES, conform, gate, null_defaults
 
 MAP = "map<string,variant>"
 
@@ -89,6 +89,23 @@ class Graph:
             (w.partitionBy(*by) if by else w).parquet(f"{path}/{name}")
         return Graph.load(self.spark, path)
 
+    def add(self, name: str, rows: DataFrame, ignore: bool = False) -> Graph:
+        """Add rows to a table of a stored graph.
+
+        If any breaks a constraint (:func:`schema.gate`) nothing is written and ValueError says what; with ``ignore`` such rows are
+        left out, so the same rows can be added again.  Edges have no key and are added as often as they are given.
+        """
+        if self.path is None:
+            raise ValueError("only a stored graph takes rows")
+        fit, broken = gate(name, conform(rows, TABLES[name]), getattr(self, name))
+        if not ignore and (found := {r["check"]: r.n for r in broken.where("n > 0").collect()}):  # a row for each check
+            raise ValueError(f"rows that break constraints: {found}")
+        fit = fit.withColumn("stage", F.lit("loaded")) if name == "edges" else fit
+        by = {"nodes": ["kind"], "edges": ["stage", "kind"]}.get(name)
+        w = (fit.hint("rebalance", F.col("kind")) if by else fit).write.mode("append")
+        (w.partitionBy(*by) if by else w).parquet(f"{self.path}/{name}")
+        return Graph.load(self.spark, self.path)
+
     def put(self, stage: str, edges: DataFrame | None = None, properties: DataFrame | None = None) -> Graph:
         """Add a stage's edges and node properties to a stored graph, in place of those that it made before.
 

@@ -114,6 +114,8 @@ ORACLE = {
     "G25_escapes": sql("""SELECT DISTINCT id AS node_id, 'inlineable' AS key, 'true' AS value FROM same WHERE said = 'inlineable' AND kind = 'function' UNION ALL SELECT DISTINCT id, 'heap_escapes', 'true' FROM same WHERE said IN ('leaking_param', 'moved_to_heap')
       UNION ALL SELECT DISTINCT id, 'heap_escapes', 'false' FROM same WHERE said = 'does_not_escape' AND kind <> 'function' AND id NOT IN (SELECT id FROM same WHERE said IN ('leaking_param', 'moved_to_heap'))""", _ESCAPED, _SAME),
     "R30_first_of_id": "SELECT p_brand AS id, p_type AS kind, p_name AS name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_name) = 1",
+    "R31_gate": sql("""SELECT 'nodes.missing' AS "check", count(*) AS n FROM fn WHERE pk % 7 = 1 UNION ALL SELECT 'nodes.repeated', count(*) FROM fn WHERE pk % 3 = 1 UNION ALL SELECT 'nodes.stored', count(*) FROM fn WHERE pk % 2 = 0
+      UNION ALL SELECT 'added ' || package, count(*) FROM fn WHERE pk % 2 = 1 GROUP BY package"""),
     "R31_violations": sql("SELECT 'participants.role' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'nodes.id', 0 UNION ALL SELECT 'nodes.name', 0 UNION ALL SELECT 'metrics.function_id', 0 UNION ALL SELECT 'broken.id', (SELECT count(*) FROM (SELECT id FROM (SELECT id FROM functions UNION ALL SELECT id FROM functions WHERE name = 'init') GROUP BY id HAVING count(*) > 1))"),
     "A1_search": sql("SELECT id, name, kind, package, file, line FROM symbols WHERE name ILIKE '%serve1%' ORDER BY kind, name, id LIMIT 20", SYMBOLS),
     "A2_subgraph_nodes": sql("SELECT * FROM around", _NEAR),

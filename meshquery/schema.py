@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,39 @@ def null_defaults(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return df.select(*out)
 
 
+#: Of each table: its key, if it has one, and the columns that must have a value
+CONSTRAINTS: dict[str, tuple[str | None, tuple[str, ...]]] = {
+    "nodes": ("id", ("id", "kind", "name")),
+    "edges": (None, ("source", "target", "kind")),
+    "sources": ("file", ("file", "content")),
+    "metrics": ("function_id", ("function_id",)),
+    "history": ("file", ("file",)),
+}
+
+
+def gate(name: str, rows: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that can be added to a table, and check and n of what keeps the others out.
+
+    Rows without a required value (null, or an empty text) are out; of the others with one key the least row by its columns in order
+    stays, nulls first, and none whose key is ``stored``.  Keys are counted with partial sums, so one key can have any
+    number of rows.  A check that nothing breaks has n 0.
+    """
+    key, required = CONSTRAINTS[name]
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c).cast("string") == "") for c in required])
+    count = lambda check, n: n.select(F.lit(f"{name}.{check}").alias("check"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    broken = count("missing", rows.where(missing).agg(F.count(F.lit(1)).alias("n")))
+    good = rows.where(~missing)
+    if key is None:
+        return good, broken
+    first = good.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*rows.columns)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    broken = broken.union(count("repeated", first.agg(F.sum(F.col("_n") - 1).alias("n"))))
+    if stored is not None:
+        keys = stored.select(F.col(key).alias("_key"))
+        broken = broken.union(count("stored", first.join(keys, "_key", "left_semi").agg(F.count(F.lit(1)).alias("n"))))
+        first = first.join(keys, "_key", "left_anti")
+    return first.select("_row.*"), broken
+
+
 def violations(name: str, df: DataFrame, unique: str | None = None, required: str | None = None, allowed: tuple[str, list[str]] | None = None) -> DataFrame:
     """Check and n, how many values break a constraint: repeated keys, missing values, values that aren't allowed."""
     if unique:

@@ -271,3 +271,20 @@ def test_types_flow_to_receivers(spark):
     assert pairs(edges.where("kind = 'call'"), "source", "target", "dynamic") == [("f", "T.Run", True), ("f", "U.Run", True), ("f", "ext::p", False), ("f", "g", True)]
     assert pairs(edges.where("kind = 'stub'"), "source", "target") == [("1", "U.Run"), ("4", "ext::p")]
     assert edges.where("source = 'h' or target = '5'").count() == 0 and edges.where("kind = 'call_to_return'").count() == 5
+
+
+def test_rows_that_break_constraints_stay_out(spark, tmp_path):
+    g = graph(spark, [("a", "function", "A"), ("b", "local", "B")], [("a", "b", "ast")]).save(str(tmp_path))
+    rows = [("b", "local", "other"), ("c", "local", "C2"), ("c", "local", "C1"), (None, "local", "x"), ("d", "local", ""), ("e", "call", "E")]
+    new = spark.createDataFrame([(*r, *[None] * (len(NODES) - 3)) for r in rows], NODES)
+    with pytest.raises(ValueError, match="missing': 2.*repeated': 1.*stored': 1"):
+        g.add("nodes", new)
+    assert Graph.load(spark, str(tmp_path)).nodes.count() == 2
+    for _ in range(2):
+        g = g.add("nodes", new, ignore=True)
+        assert pairs(g.nodes, "id", "name") == [("a", "A"), ("b", "B"), ("c", "C1"), ("e", "E")]
+    g = g.add("edges", graph(spark, [], [("a", "c", "ast")]).edges)
+    assert pairs(g.edges, "source", "target", "kind") == [("a", "b", "ast"), ("a", "c", "ast")]
+    with pytest.raises(ValueError, match="missing"):
+        g.add("edges", spark.createDataFrame([("a", None, "ast", None)], EDGES))
+    assert g.add("sources", g.sources).sources.count() == 0
