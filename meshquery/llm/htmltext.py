@@ -3,12 +3,15 @@
 A page is read once, from left to right, and cut into blocks at block-level tags.  Markup, comments, scripts, styles and
 forms carry no text; blocks in navigation, headers, footers, asides and containers whose class or id names such a part,
 an advert, a notice or reader comments are decided as boilerplate by their place.  A name counts by its words, and not
-where it only says that a part is there or not (``has-sidebar``, ``no-comments``).  An article or main element inside a
-named container overrules the container, unless both belong to reader comments: then it is a comment.  Inline elements
-named as adverts are left out of their block.
+where it only says that a part is there or not (``has-sidebar``, ``no-comments``) or where a word of several meanings
+stands beside a word of the page's subject (``market-share``).  An article or main element inside a named container or a
+form overrules it, unless both belong to reader comments: then it is a comment.  Inline elements named as adverts are
+left out of their block.
 
 Pass 1 decides the other blocks by stop-word density, length and link density: many links make boilerplate; long
-blocks with enough stop words are content; short blocks, and long ones with few stop words, stay undecided.
+blocks with enough stop words are content; short blocks, and long ones with few stop words, stay undecided.  Inside an
+article long linked blocks with enough stop words are content too, and linked headings stay undecided.  On a page whose
+long blocks hold hardly any stop word that is listed, so in another language, long blocks with a sentence's end are content.
 Pass 2 gives undecided blocks the label of the nearest decided neighbour.  Inside an article or main element the
 neighbours are those of the element, and such an element counts as content on both its sides: its short paragraphs and
 headings are part of the article.  Elsewhere a tie between two neighbours goes to boilerplate.
@@ -36,7 +39,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style textarea noscript iframe template svg math object".split())
-APART = frozenset("nav header footer aside form head menu dialog button select fieldset".split())
+APART = frozenset("nav header footer aside head menu dialog button select fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
 ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
@@ -44,6 +47,10 @@ ROLE = frozenset("navigation banner contentinfo complementary search form menu m
 ADVERT = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banners?")
 COMMENT = re.compile(r"comments?|commentlist|respond|disqus")
 HINT = re.compile(r"cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|nav\w*|menus?|breadcrumbs?|sidebars?|footer|header|masthead|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|login|signup|copyright|legal")
+# words that name a part of a page alone or beside words of the second list, but not beside others
+AMBIGUOUS = frozenset("share header legal related social notice notices alert alerts".split())
+PART_WORDS = frozenset("site page main top bottom left right box block bar container wrap wrapper inner outer section area list link links button buttons icon icons post posts article articles stories content contents primary secondary col column row item items text media global info panel title fixed sticky mobile desktop".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ONLY_SAYS = frozenset("has have with without no not is hide hidden show".split())
 STOP_WORDS = frozenset(
     """a an and are as at be by for from had has have he her his in is it its not of on or she that the their they this to was we were which will with you
@@ -55,10 +62,12 @@ NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 BETWEEN = re.compile(r"[-_]+")
+SENTENCE_END = re.compile(r"[.!?…؟।](?=\s|$)|[。！？]")
 
 HIGH_LINKS = 0.5
 LONG = 60
 STOP_SHARE = 0.2
+FEW_STOP_WORDS = 0.05
 
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -75,12 +84,12 @@ class Block:
 
 
 class Named:
-    """A container whose class or id names a part that isn't content."""
+    """A form, or a container whose class or id names a part that isn't content."""
 
-    __slots__ = ("comments", "overruled")
+    __slots__ = ("overruled",)
 
-    def __init__(self, comments: bool):
-        self.comments, self.overruled = comments, False
+    def __init__(self):
+        self.overruled = False
 
 
 class Place:
@@ -102,9 +111,12 @@ def hint(names: str) -> str | None:
         words = [w for w in BETWEEN.split(name) if w]
         if not words or words[0] in ONLY_SAYS or words[-1] == "layout":
             continue
-        for kind, pattern in (("advert", ADVERT), ("comments", COMMENT), ("other", HINT)):
+        for kind, pattern in (("advert", ADVERT), ("comments", COMMENT)):
             if any(pattern.fullmatch(w) for w in words):
                 return kind
+        hints = [w for w in words if HINT.fullmatch(w)]
+        if hints and (not AMBIGUOUS.issuperset(hints) or all(w in hints or w in PART_WORDS or w.isdigit() for w in words)):
+            return "other"
     return None
 
 
@@ -128,7 +140,7 @@ class Reader:
         self.blocks: list[Block] = []
         self.stack: list[Place] = []
         self.open: Counter[str] = Counter()
-        self.waiting: list[Named] = []  # named containers around this place that no article has overruled
+        self.waiting: list[Named] = []  # forms and named containers around this place that no article has overruled
         self.parts: list[str] = []
         self.linked = self.links = self.articles = 0
         self.last_quote = {q: page.rfind(q) for q in "\"'"}
@@ -224,18 +236,18 @@ class Reader:
             if said == "comments":
                 place.apart = True
             elif not place.apart and not place.article:
-                kept = [w for w in self.waiting if w.comments]
                 for w in self.waiting:
-                    w.overruled = not w.comments
-                self.waiting = kept
+                    w.overruled = True
+                self.waiting = []
             self.articles += 1
             place.article = place.article or self.articles
         elif name in APART or apart and not whole and name in BLOCK:
             place.apart = True
-        elif said and not whole:
+        elif (said or name == "form") and not whole:
             if name in BLOCK:
-                place.named = Named(said == "comments")
-                self.waiting.append(place.named)
+                place.named = Named()
+                if said != "comments":  # no article overrules those
+                    self.waiting.append(place.named)
             elif said == "advert":
                 place.left_out = True
         self.stack.append(place)
@@ -247,13 +259,29 @@ def blocks(page: str) -> list[Block]:
     return Reader(page).blocks
 
 
-def first_pass(b: Block) -> int:
-    if b.apart or b.linked > HIGH_LINKS * len(b.text):
-        return BAD
-    if len(b.text) < LONG:
-        return OPEN
-    words = [w.strip(".,;:!?()[]\"'*#$%&|<>").lower() for w in b.text.split()]
-    return GOOD if sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words) else OPEN
+def stop_share(text: str) -> float:
+    words = [w.strip(".,;:!?()[]\"'*#$%&|<>").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(found: list[Block]) -> list[int]:
+    labels, candidates = [], []  # candidates: (place, share of stop words) of the long blocks outside links
+    for i, b in enumerate(found):
+        linked, long = b.linked > HIGH_LINKS * len(b.text), len(b.text) >= LONG
+        if b.apart or linked and not (b.article and (long or b.place.name in HEADINGS)):
+            labels.append(BAD)
+        elif not long:
+            labels.append(OPEN)
+        else:
+            share = stop_share(b.text)
+            labels.append(GOOD if share >= STOP_SHARE else BAD if linked else OPEN)
+            if not linked:
+                candidates.append((i, share))
+    if candidates and sum(share for _, share in candidates) < FEW_STOP_WORDS * len(candidates):
+        for i, _ in candidates:
+            if SENTENCE_END.search(found[i].text):
+                labels[i] = GOOD
+    return labels
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
@@ -281,7 +309,7 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    labels = second_pass(found, [first_pass(b) for b in found])
+    labels = second_pass(found, first_pass(found))
     return " ".join(b.text for b, x in zip(found, labels) if x == GOOD)
 
 

@@ -162,7 +162,32 @@ def test_text_that_looks_like_tags_is_kept():
     assert htmltext.main_text(f'<article><p title="a>b">{LONG}</p><p title=">x</p><p>y</p></article>') == f"{LONG} x y"
 
 
-@pytest.mark.parametrize("page", ["<a " * 300_000 + '"', '<p class="' * 90_000, "<div><b class=x>" * 30_000 + "</i></u>" * 60_000, "<!--" * 200_000, "<script>" * 120_000, '<div class="ad">' * 30_000 + "<article>" * 50_000, "<" * 900_000])
+RUSSIAN = "Вода в реке была холодной, и мы долго стояли на берегу. Потом он сказал, что пора идти домой."
+
+
+def test_articles_in_forms_and_beside_names_of_other_meaning():
+    assert htmltext.main_text(f"<form><label>Search the site</label><article><p>{LONG}</p><p>Short.</p></article></form>") == f"{LONG} Short."
+    assert htmltext.main_text(f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article><form><p>{LONG}</p></form>") == LONG
+    for name in ("market-share", "legal-news", "header-story", "notice-2-everyone"):
+        assert htmltext.main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG
+    for name in ("share", "share-buttons", "site-header", "legal-notice", "related-posts", "cookie-story", "social-share-2"):
+        assert htmltext.main_text(f'<div class="{name}"><p>{LONG}</p></div><p>{LONG}!</p>') == f"{LONG}!"
+
+
+def test_linked_paragraphs_and_headings_of_an_article():
+    assert htmltext.main_text(f'<article><h1><a href="/x">Title</a></h1><p><a href="/">{LONG}</a></p><p>Short.</p><p><a href="/">More</a></p></article>') == f"Title {LONG} Short."
+    assert htmltext.main_text(f'<h2><a href="/x">Title</a></h2><p><a href="/">{LONG}</a></p><p>{LONG}!</p>') == f"{LONG}!"
+
+
+def test_languages_without_listed_stop_words():
+    assert htmltext.main_text(f'<div><a href="/">Домой</a></div><p>{RUSSIAN}</p><div class="sidebar"><p>{RUSSIAN}</p></div><p><a href="/">{RUSSIAN}</a></p>') == RUSSIAN
+    chinese = "我们在河边站了很久。" * 8
+    assert htmltext.main_text(f"<p>{chinese}</p>") == chinese
+    assert htmltext.main_text(f"<p>{LONG}</p><div><a href='/'>x</a></div><p>{'Item 123, ' * 20}</p><div><a href='/'>x</a></div>") == LONG
+    assert htmltext.main_text(f"<p>{'Item 123, ' * 20}</p>") == ""
+
+
+@pytest.mark.parametrize("page", ['<div class="comments">' * 30_000 + "<article></article>" * 30_000, "<a " * 300_000 + '"', '<p class="' * 90_000, "<div><b class=x>" * 30_000 + "</i></u>" * 60_000, "<!--" * 200_000, "<script>" * 120_000, '<div class="ad">' * 30_000 + "<article>" * 50_000, "<" * 900_000])
 def test_hostile_pages_take_linear_time(page):
     import time
 
