@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sqlcompat import counted_as, like, listed, rounded
 from ..graph import Graph
 from ..session import checkpointed
-from . import dashboards, navigation, protocols, taint, traverse, views
+from . import dashboards, navigation, paths, protocols, taint, traverse, views
 from .traverse import back, walk
 
 CALLS = ("call",)
@@ -42,8 +42,8 @@ def forward_slice(g: Graph, node_id: str, depth: int = 20) -> DataFrame:
 
 def call_chain(g: Graph, function_id: str, depth: int = 10) -> DataFrame:
     """Q3, RG3: functions on call paths without repeats, at each depth."""
-    d = traverse.simple_paths(g.step(*CALLS), seed(g, function_id), depth)
-    d = d.select("id", "depth").distinct().join(g.functions.select("id", "name", "package"), "id")
+    d = paths.ends(g.step(*CALLS), seed(g, function_id), depth)
+    d = d.join(g.functions.select("id", "name", "package"), "id")
     return d.select("id", "name", "package", "depth").orderBy("depth", "name", "id")
 
 
@@ -68,9 +68,18 @@ def error_chain(g: Graph, function_id: str, depth: int = 10) -> DataFrame:
     return d.select("id", "name", "pkg", "depth").orderBy("depth", "name", "id")
 
 
+def data_flow_ends(g: Graph, source_id: str, depth: int = 15) -> DataFrame:
+    """RG7: the ends of dfg paths without repeats by length, and how many paths lead there."""
+    d = _described(g, paths.ends(g.step("dfg"), seed(g, source_id), depth), "name", "kind", "file", "line")
+    return d.select("id", "name", "kind", "file", "line", "depth", "paths").orderBy("depth", "file", "line")
+
+
 def data_flow_path(g: Graph, source_id: str, depth: int = 15) -> DataFrame:
-    """Q18, RG7: the end of every dfg path without repeats; one row for each path."""
-    d = _described(g, traverse.simple_paths(g.step("dfg"), seed(g, source_id), depth), "name", "kind", "file", "line")
+    """Q18, RG7: the end of every dfg path without repeats; one row for each path.
+
+    Paths are counted first, so only the result has a row for each; :func:`data_flow_ends` has one for each end and length.
+    """
+    d = _described(g, paths.repeated(paths.ends(g.step("dfg"), seed(g, source_id), depth), "paths"), "name", "kind", "file", "line")
     return d.select("id", "name", "kind", "file", "line", "depth").orderBy("depth", "file", "line")
 
 
@@ -90,8 +99,7 @@ def dependency_depth(g: Graph, depth: int = 20) -> DataFrame:
 
 def pathfinder(g: Graph, start: str, end: str, hops: int = 6, n: int = 10) -> DataFrame:
     """Q38, RG11: call paths without repeats from one function to another, the shortest ``n``."""
-    d = traverse.paths_between(g.step(*CALLS), seed(g, start), seed(g, end), hops)
-    return d.select(F.array_join("path", ARROW).alias("path"), "depth").orderBy("depth", "path").limit(n)
+    return paths.shortest(g.step(*CALLS), seed(g, start), seed(g, end), hops, n, ARROW)
 
 
 # --- lookups -------------------------------------------------------------------------------------------------

@@ -126,6 +126,7 @@ ORACLE = {
     "RG05_scope_chain": sql("SELECT id FROM r", SCOPES),
     "RG06_error_levels": sql("SELECT depth, count(*) AS functions FROM r GROUP BY depth", ERRORS),
     "RG07_flow_paths": sql("SELECT array_to_string(path, ' -> ') AS path, depth FROM r", FLOWS),
+    "RG07_flow_ends": sql("SELECT r.id, n.name, n.kind, n.file, n.line, r.depth, count(*) AS paths FROM r JOIN statements n ON n.id = r.id GROUP BY ALL", FLOWS),
     "RG08_impact_levels": sql("SELECT depth, count(*) AS functions FROM r GROUP BY depth", IMPACT),
     "RG09_dependency_layers": sql("SELECT id AS package, depth::BIGINT AS depth FROM r", DEPS, LAYERS),
     "RG10_package_reach": sql("SELECT package, id, min(depth)::BIGINT AS depth FROM reach GROUP BY package, id", DEPS, REACH),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import registry_more
 from .functions.sqlcompat import counted_as
 from .graph import Graph
-from .operators import dashboards, named, navigation, protocols, taint, traverse, views
+from .operators import dashboards, named, navigation, paths, protocols, taint, traverse, views
 from .operators import findings as f
 from .oracle import findings as findings_sql
 from .oracle import more as more_sql
@@ -263,8 +263,8 @@ def _levels(walked: DataFrame) -> DataFrame:
 
 
 def _path_counts(g: Graph) -> DataFrame:
-    d = traverse.simple_paths(g.step("call"), named.seed(g, _caller(g)), 10)
-    return d.groupBy("depth").agg(counted_as("paths"), F.count_distinct("id").alias("ends"))
+    d = paths.ends(g.step("call"), named.seed(g, _caller(g)), 10)
+    return d.groupBy("depth").agg(F.sum("paths").cast("long").alias("paths"), counted_as("ends"))
 
 
 def _errors(g: Graph) -> DataFrame:
@@ -272,8 +272,8 @@ def _errors(g: Graph) -> DataFrame:
     return traverse.walk(g.step("call").join(can, F.col("target") == F.col("node_id"), "left_semi"), named.seed(g, _failing(g)), 10)
 
 
-def _text(paths: DataFrame) -> DataFrame:
-    return paths.select(F.array_join("path", named.ARROW).alias("path"), "depth")
+def _text(walked: DataFrame) -> DataFrame:
+    return walked.select(F.array_join("path", named.ARROW).alias("path"), "depth")
 
 
 def _packages(g: Graph) -> DataFrame:
@@ -299,6 +299,7 @@ ANALYSES |= {
     "RG05_scope_chain": lambda g: traverse.closure(g.step("scope"), named.seed(g, _first(g, "scope", last=True))),
     "RG06_error_levels": lambda g: _levels(_errors(g)),
     "RG07_flow_paths": lambda g: _text(traverse.simple_paths(g.step("dfg"), named.seed(g, _first(g, "dfg")), 15)),
+    "RG07_flow_ends": lambda g: named.data_flow_ends(g, _first(g, "dfg")).withColumn("paths", F.col("paths").cast("long")),
     "RG08_impact_levels": lambda g: _levels(traverse.walk(traverse.back(g.step("call")), named.seed(g, _called(g)), 8)),
     "RG09_dependency_layers": _layers,
     "RG10_package_reach": _reach,
