@@ -26,11 +26,19 @@ NUMBER = "decimal(38,0)"
 PART = 1 << 16
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    """(id, next, inside): the distinct steps, and whether both ends are of one strong component."""
-    cycle = checkpointed(callgraph.strong_components(edges))
+def _steps(plain: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, next, inside): the steps among nodes with their least depth, and whether both ends are of one strong component.
+
+    Every cycle has a step that comes no deeper; where there is none, components needn't be looked for.
+    """
+    a, b = near.select(F.col("id").alias("source"), F.col("depth").alias("a")), near.select(F.col("id").alias("target"), F.col("depth").alias("b"))
+    e = checkpointed(plain.join(a, "source").join(b, "target"))
+    d = e.select(F.col("source").alias("id"), F.col("target").alias("next"))
+    if e.where("b <= a").isEmpty():
+        return d.withColumn("inside", F.lit(False))
+    cycle = checkpointed(callgraph.strong_components(e))
     here, there = cycle.select("id", F.col("component").alias("a")), cycle.select(F.col("id").alias("next"), F.col("component").alias("b"))
-    d = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).join(here, "id", "left").join(there, "next", "left")
+    d = d.join(here, "id", "left").join(there, "next", "left")
     return checkpointed(d.select("id", "next", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("inside")))
 
 
@@ -59,8 +67,7 @@ def ends(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     ``paths`` is decimal(38,0), null where the number has more digits.
     """
     plain = _plain(edges)
-    near = traverse.nearest(plain, seeds.where("id IS NOT NULL"), depth).select("id")
-    step = _steps(checkpointed(traverse.induced(plain, near)))
+    step = _steps(plain, traverse.nearest(plain, seeds.where("id IS NOT NULL"), depth))
     level = seeds.where("id IS NOT NULL").select("id").distinct().select("id", F.array("id").alias("met"), F.lit(1).cast(NUMBER).alias("paths"))
     levels = [level.withColumn("depth", F.lit(0).cast("long"))]
     for d in range(1, depth + 1):
@@ -87,8 +94,8 @@ def shortest(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int, n: i
     """
     plain = _plain(edges)
     left = traverse.nearest(traverse.back(plain), end, hops).select(F.col("id").alias("next"), F.col("depth").alias("left"))
-    near = traverse.nearest(plain, start, hops).join(left.withColumnsRenamed({"next": "id"}), "id").where(F.col("depth") + F.col("left") <= hops).select("id")
-    step = checkpointed(_steps(checkpointed(traverse.induced(plain, near))).join(left, "next"))
+    near = traverse.nearest(plain, start, hops).join(left.withColumnsRenamed({"next": "id"}), "id").where(F.col("depth") + F.col("left") <= hops)
+    step = checkpointed(_steps(plain, near).join(left, "next"))
     stop = F.broadcast(end.select("id").distinct())  # one row
     level = start.select("id").distinct().select("id", F.array("id").alias("met"), F.col("id").alias("path"))
     least = Window.partitionBy("id", "met").orderBy("path")
