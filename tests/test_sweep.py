@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meshquery import session
 from meshquery.operators import extract, sweep, taint
 from meshquery.sources import ingest
 from tests.test_graphs import edge_list, graph, pairs
@@ -98,3 +99,15 @@ def test_barriers_cut_walks(spark):
         assert pairs(taint.clean_hops(g), "node_id", "source_id", "hops") == [("a", "a", 0), ("b", "a", 1), ("e", "a", 1), ("f", "a", 2)]
     finally:
         taint.roles = real
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        master = "spark://somewhere:7077"
+        conf = property(lambda self: self)
+        sparkContext = property(lambda self: self)
+        get = staticmethod(lambda key, default: default)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Unset())
