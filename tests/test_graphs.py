@@ -288,3 +288,30 @@ def test_rows_that_break_constraints_stay_out(spark, tmp_path):
     with pytest.raises(ValueError, match="missing"):
         g.add("edges", spark.createDataFrame([("a", None, "ast", None)], EDGES))
     assert g.add("sources", g.sources).sources.count() == 0
+
+
+def test_build_shuffles_items_a_few_times(spark):
+    """Statements, blocks and their edges had a shuffle of the items for nearly each kind."""
+    from meshquery import session
+    from meshquery.plans import carrier
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    g = carrier.build(spark, "/root/testdata/sf0.001")
+    assert shuffles(g.of("if", "call", "basic_block", "field")) == 0
+    assert shuffles(g.along("dfg", "argument", "param_in", "cfg", "ast")) == 0
+    before = spark.conf.get(session.WRITERS, None)
+    with session.open_writers(spark, 3):
+        assert spark.conf.get(session.WRITERS) == "3"
+    assert spark.conf.get(session.WRITERS, None) == before
+
+
+def test_orphans_are_found_from_ids_alone(spark, monkeypatch):
+    edges = [("a", "b", "k", "x"), ("a", "c", "k", None), ("c", "a", "k", None), (None, "a", "k", None), ("a", None, "k", None), ("b", "b", "k", None), ("a", "b", "k", "x")]
+    g = Graph(spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string"), spark.createDataFrame(edges, "source string, target string, kind string, properties string"))
+    stored = []
+    monkeypatch.setattr("meshquery.graph.kept", lambda df: stored.append(df) or df)
+    kept = sorted((r.source, r.target) for r in g.without_orphans().edges.collect())
+    assert kept == [("a", "b"), ("a", "b"), ("b", "b")]
+    assert [(d.columns, [r.id for r in d.collect()]) for d in stored] == [(["id"], ["c"])]
