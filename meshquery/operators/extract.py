@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqlcompat import counted_as, tally, zero
 from ..graph import Graph
+from ..session import kept
 from . import callgraph, sweep
 
 # Package; type; method; kind of synchronisation (* stands for any type)
@@ -289,15 +290,31 @@ def dominance(g: Graph) -> DataFrame:
 # --- types ---------------------------------------------------------------------------------------------------
 
 
+FIRST = 8
+
+
 def implementations(methods: DataFrame, interfaces: DataFrame) -> DataFrame:
     """Type, interface where the type has all of a non-empty interface's methods: relational division.
 
     ``methods``: type, method; ``interfaces``: interface, method.
+
+    A type must have the method of the interface that the fewest types have, so only those types are asked for more: first for
+    the ``FIRST`` scarcest, then for all.  Methods that nearly all types share make no pairs.  Rows with nulls are left out.
     """
-    m, i = methods.select("type", "method").distinct(), interfaces.select("interface", "method").distinct()
-    need = i.groupBy("interface").agg(counted_as("need"))
-    got = i.join(m, "method").groupBy("type", "interface").agg(counted_as("got"))
-    return got.join(need, "interface").where("got = need").select("type", "interface")
+    m = kept(methods.where("type IS NOT NULL AND method IS NOT NULL").select("type", "method").distinct())
+    owners = m.groupBy("method").agg(counted_as("owners"))
+    i = interfaces.where("interface IS NOT NULL").select("interface", "method").distinct().join(owners, "method", "left")
+    scarce = Window.partitionBy("interface").orderBy(F.asc_nulls_first("owners"), "method")
+    i = kept(i.select("interface", "method", F.row_number().over(scarce).alias("rank")))
+
+    def having_all(found: DataFrame, asked: DataFrame) -> DataFrame:
+        need = asked.groupBy("interface").agg(counted_as("need"))
+        got = found.join(asked, "interface").join(m, ["type", "method"], "left_semi").groupBy("interface", "type").agg(counted_as("got"))
+        return got.join(need, "interface").where("got = need").select("interface", "type")
+
+    found = kept(i.where("rank = 1").join(m, "method").select("interface", "type"))
+    found = kept(having_all(found, i.where(F.col("rank") <= FIRST).drop("rank")))
+    return having_all(found, i.drop("rank")).select("type", "interface")
 
 
 def satisfied(implements: DataFrame, methods: DataFrame, interfaces: DataFrame) -> DataFrame:

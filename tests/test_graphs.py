@@ -315,3 +315,17 @@ def test_orphans_are_found_from_ids_alone(spark, monkeypatch):
     kept = sorted((r.source, r.target) for r in g.without_orphans().edges.collect())
     assert kept == [("a", "b"), ("a", "b"), ("b", "b")]
     assert [(d.columns, [r.id for r in d.collect()]) for d in stored] == [(["id"], ["c"])]
+
+
+def test_methods_that_all_types_share_make_no_pairs(spark, monkeypatch):
+    """60 methods that 200 types and 50 interfaces share would be 600,000 pairs; each interface has one more that a type has."""
+    shared = spark.range(60).selectExpr("concat('s', id) AS method")
+    t, i = spark.range(200).selectExpr("concat('t', id) AS type"), spark.range(50).selectExpr("concat('i', id) AS interface")
+    own = t.selectExpr("type", "replace(type, 't', 'own') AS method")
+    m = t.crossJoin(shared).union(own).union(own).union(spark.createDataFrame([(None, "s1"), ("t1", None)], "type string, method string"))
+    faces = i.crossJoin(shared).union(i.selectExpr("interface", "replace(interface, 'i', 'own')")).union(spark.createDataFrame([("none", "s1"), ("none", "unknown")], "interface string, method string"))
+    sizes, kept = [], extract.kept
+    monkeypatch.setattr(extract, "kept", lambda df: sizes.append((df.columns, df.count())) or kept(df))
+    found = {(r.type, r.interface) for r in extract.implementations(m, faces).collect()}
+    assert found == {(f"t{k}", f"i{k}") for k in range(50)}
+    assert [n for columns, n in sizes if columns == ["interface", "type"]] == [50, 50]
