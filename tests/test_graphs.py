@@ -4,7 +4,9 @@ import pytest
 
 from meshquery.graph import Graph
 from meshquery.operators import callgraph, extract, findings, named, protocols, traverse, views
+from meshquery.plans.carrier import build
 from meshquery.schema import EDGES, NODES, violations
+from meshquery.session import kept
 
 
 def graph(spark, nodes, edges, **tables):
@@ -329,3 +331,15 @@ def test_methods_that_all_types_share_make_no_pairs(spark, monkeypatch):
     found = {(r.type, r.interface) for r in extract.implementations(m, faces).collect()}
     assert found == {(f"t{k}", f"i{k}") for k in range(50)}
     assert [n for columns, n in sizes if columns == ["interface", "type"]] == [50, 50]
+
+
+def test_build_shuffles_only_keys_to_functions(spark, monkeypatch):
+    """What items came with, and names of functions, are not sent along when statements are dealt by function."""
+    plans = []
+    monkeypatch.setattr("meshquery.plans.carrier.kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    build(spark, "/root/testdata/sf0.001")
+    items, statements, _ = plans
+    assert items.count("Exchange hashpartitioning(ok") == 2  # items and their orders, each once
+    assert statements.count("Exchange") - statements.count("BroadcastExchange") == 1
+    below = statements.split("Exchange hashpartitioning(pk")[1]
+    assert "fpkg" not in below.split("BroadcastExchange")[0] and "buyers" not in below
