@@ -1,6 +1,7 @@
 """Running values over long orders, and what stands on them: scopes, logs; channels and taint past barriers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def test_pieces_give_what_one_window_gives(spark, width):
     assert sorted(tuple(r) for r in got.select("k", "at", "tie", "total", "last").collect()) == want if all(x[4] is not None for x in want) else {tuple(r) for r in got.select("k", "at", "tie", "total", "last").collect()} == set(want)
 
 
+def test_rows_are_stored_once_and_dealt_by_their_number(spark, monkeypatch):
+    """What makes the rows ran once for the totals and again for the sweep, and a task's rows grew with the table."""
+    monkeypatch.setattr(sweep, "ROWS", 20)
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: (runs.add(1), v)[1], "long").asNondeterministic()
+    d = spark.range(200).select(F.lit("a").alias("k"), F.col("id").alias("at"), seen("id").alias("v"))
+    got = sweep.running_total(d, ["k"], "at", F.col("v"), "total", (), 5)
+    assert "hashpartitioning(k, _piece, 10)" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    assert [r.total for r in got.orderBy("at").collect()] == [k * (k + 1) // 2 for k in range(200)]
+    assert runs.value == 200
+
+
 def nested(rng, lo, hi, depth, out):
     """Random scopes inside [lo, hi), nested or apart."""
     while lo < hi and depth:
