@@ -50,15 +50,13 @@ def enclosing_scopes(scopes: DataFrame, nodes: DataFrame, width: int = sweep.WID
     A file is swept once: the depth at a place is what has been opened less what has been closed, and the scope around it is the
     last one that was opened at that depth.  A file of any length is swept in pieces (:mod:`sweep`).
     """
-    s = scopes.where("id IS NOT NULL AND start < end").select("id", "file", "start", "end")
     null = F.lit(None).cast("long")
-    events = [
-        s.select("file", F.col("end").alias("at"), F.lit(0).alias("turn"), F.col("start").alias("rank"), "id", F.lit(-1).alias("step")),
-        s.select("file", F.col("start").alias("at"), F.lit(1), (-F.col("end")).alias("rank"), "id", F.lit(1)),
-        nodes.where("id IS NOT NULL AND at IS NOT NULL").select("file", "at", F.lit(2), null, "id", F.lit(0)),
-        scopes.where("id IS NOT NULL AND start >= end").select("file", F.col("start"), F.lit(2), null, "id", F.lit(0)),
-    ]
-    d = events[0].union(events[1]).union(events[2]).union(events[3]).where("file IS NOT NULL")
+    event = lambda at, turn, rank, step: F.struct(at.alias("at"), F.lit(turn).alias("turn"), rank.alias("rank"), F.lit(step).alias("step"))
+    start, end = F.col("start"), F.col("end")
+    holds = F.array(event(end, 0, start, -1), event(start, 1, -end, 1))
+    s = scopes.where("id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL").select("file", "id", F.inline(F.when(start < end, holds).otherwise(F.array(event(start, 2, null, 0)))))
+    n = nodes.where("id IS NOT NULL AND at IS NOT NULL").select("file", "id", F.inline(F.array(event(F.col("at"), 2, null, 0))))
+    d = s.unionByName(n).where("file IS NOT NULL")
     ties = ("turn", "rank", "id", "step")
     d = sweep.running_total(d, ["file"], "at", F.col("step"), "depth", ties, width).where("turn > 0")
     opened = d.where("turn = 1").withColumn("opened", F.col("id"))
