@@ -57,13 +57,18 @@ def listed_files(sources: DataFrame, batch: int = 0) -> DataFrame:
     return sources.groupBy("file").agg(F.max("package").alias("package"), F.sum(n).alias("n_tokens")).select("file", "package", "n_tokens", F.lit(batch).cast("long").alias("batch"))
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Postings by shard and word in the tasks that grouped them: they aren't shuffled by shard again, and each task writes its part of a shard."""
+    return rows.sortWithinPartitions("batch", "shard", "term")
+
+
 def write_batch(sources: DataFrame, path: str, batch: int = 0, digits: int = SHARD_DIGITS) -> None:
     """Add a batch to the index in ``path``; written again, it takes the place of its own partitions only."""
 
     def put(df: DataFrame, name: str, *by: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
 
-    put(postings(sources, batch, digits).hint("rebalance", F.col("shard")).sortWithinPartitions("shard", "term"), "postings", "batch", "shard")
+    put(ordered(postings(sources, batch, digits)), "postings", "batch", "shard")
     put(listed_files(sources, batch), "files", "batch")
 
 

@@ -156,3 +156,10 @@ def test_command_lines(spark, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read" in done.stderr and "wrote" in done.stderr
     assert list(Path(out).rglob("*.parquet"))
+
+
+def test_postings_are_shuffled_once(spark):
+    d = spark.createDataFrame([("a.go", "one two one", "p"), ("b.go", "two", None)], "file string, content string, package string")
+    rows = search.ordered(search.postings(d))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.term, tuple(r.positions)) for r in rows.where("file = 'a.go' AND field = 'content'").collect()} == {("one", (0, 2)), ("two", (1,))}
