@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+EDGES_A_TASK = 10_000
 
 
 # --- tables in the shared folder -------------------------------------------------------------------------------
@@ -200,8 +201,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star steps in turn: each hangs every node's neighbours on the smallest one.  The number
     of rounds grows with the logarithm of the longest path.  Edges stay in the shared folder between rounds, one round's
     at a time, and only their number and checksum come to the driver.  A hub's neighbours are one key of a join, which
-    adaptive execution splits where they are many.
+    adaptive execution splits where they are many.  Few edges are written by few tasks, whatever the shuffle partitions.
     """
+    least_tasks = edges.sparkSession.sparkContext.defaultParallelism
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -217,7 +219,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, stash(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = small.union(least.select("u", F.col("m").alias("v"))).distinct()  # no more than there were
+        before, e = e, stash(after.coalesce(max(least_tasks, was[0] // EDGES_A_TASK)), "edges")
         discard(before)
         now = sign(e)
         if now == was:

@@ -289,7 +289,7 @@ def _close(percent: int):
             a, b = (column_bytes(batch.column(c).cast(pa.binary()).view(pa.string()))[0].reshape(batch.num_rows, -1) for c in ("fine_a", "fine_b"))
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             differ = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * n))
+            yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * n))
 
     return run
 
@@ -372,16 +372,20 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
         near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
         held = near_pairs = kept(held.where(near).select("a", "b", "rep_a", "rep_b", "n_a", "n_b"), f"near-{what}")
         sieve = bloom(held.select(F.col("rep_a").alias("id")).union(held.select(F.col("rep_b").alias("id"))), 2 * held.count())
-        # rows that share a doc_id all pass; the one whose set is the class's is found by its key
-        of = kept(texts.mapInArrow(_keyed(width, sieve, clashing), "key long, text string, fine binary").dropDuplicates(["key"]), f"texts-{what}")
+        # rows that share a doc_id all pass; those whose set is the class's are found by its key, and one of them stands for it:
+        # it is chosen by keys and row numbers alone, so texts are shuffled only to stand beside each other
+        of = kept(texts.mapInArrow(_keyed(width, sieve, clashing), "key long, text string, fine binary").withColumn("row", F.monotonically_increasing_id()), f"texts-{what}")
+        one = of.groupBy("key").agg(F.min("row").alias("row"))
 
-        def beside(pairs: DataFrame, column: str) -> DataFrame:
+        def beside(pairs: DataFrame, column: str, by: str, rows: DataFrame) -> DataFrame:
             for k in ("a", "b"):
-                pairs = pairs.join(of.select(F.col("key").alias(k), F.col(column).alias(f"{column}_{k}")), k)
+                at = f"row_{k}" if by == "row" else k
+                pairs = pairs.join(rows.select(F.col(by).alias(at), F.col(column).alias(f"{column}_{k}")), at)
             return pairs
 
-        held = beside(held.select("a", "b", "n_a", "n_b"), "fine").mapInArrow(_close(percent), "a long, b long")
-        held = beside(held, "text").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
+        held = beside(held.select("a", "b", "n_a", "n_b"), "row", "key", one)
+        held = beside(held, "fine", "row", of).mapInArrow(_close(percent), "a long, b long, row_a long, row_b long")
+        held = beside(held, "text", "row", of).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, width), "a long, b long")
         found = stash(held, f"links-{what}")
         done_with(near_pairs, of)
         return found
@@ -410,7 +414,9 @@ def _classes(docs: DataFrame, width: int, percent: int, bits: int, every: bool)
     beside = F.transform(upto(F.col("k_out")), lambda j: at(F.least(mine, j), F.greatest(mine, j), F.when(mine == j, 3).when(mine < j, 1).otherwise(2)))
     within = F.transform(upto(F.col("k_in")), lambda p: at(mine, -1 - p, F.lit(1)))
     across = F.transform(upto(F.col("k_out")), lambda j: at(j, -1 - mine, F.lit(2)))
-    rest = rest.withColumn("own", own).withColumn("t", F.explode(F.when(F.col("inside"), across).otherwise(F.concat(beside, within))))
+    # with one block each, one task holds both: members of the largest component aren't compared with each other, being of one
+    both = F.when((F.col("k_in") == 1) & (F.col("k_out") == 1), F.array(at(F.lit(0), F.lit(0), F.lit(3))))
+    rest = rest.withColumn("own", own).withColumn("t", F.explode(F.coalesce(both, F.when(F.col("inside"), across).otherwise(F.concat(beside, within)))))
     rest = rest.select(F.xxhash64("tile", "t.low", "t.high").alias("tile"), F.col("tile").alias("token"), "key", "component", "n", "bitmap", "least", "t.side")
     more = kept(rest.repartition("tile").mapInArrow(_across(percent, bits, every), "a long, b long").distinct(), "across")
     if not more.isEmpty():

@@ -84,6 +84,19 @@ def test_large_tiles_in_blocks_and_parts(spark, monkeypatch, hot):
     assert got == plain_components(rows)
 
 
+def test_texts_are_shuffled_only_beside_each_other(spark, monkeypatch):
+    """One row is chosen for a set by keys and row numbers, also where rows share a doc_id and a set."""
+    plans, stash = {}, jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, what: plans.update({what: df._jdf.queryExecution().executedPlan().toString()}) or stash(df, what))
+    rng = random.Random(11)
+    base = prose(rng, 100).split()
+    rows = [(i % 9, mutated(rng, base, 0.01)) for i in range(30)]
+    rows += rows[:12] + [(50 + i, rows[0][1]) for i in range(5)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, rows).repartition(5)).collect())
+    assert got == plain_components(rows)
+    assert "MapInArrow" in plans["texts-first"] and "hashpartitioning(key" not in plans["texts-first"]
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_all_links_of_large_groups(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
@@ -166,6 +179,22 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)}
 
 
+def test_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    files, stash = [], common.stash
+    monkeypatch.setattr(common, "stash", lambda df, what: files.append(len((out := stash(df, what)).inputFiles())) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+        got = common.components(edges).select("component").distinct().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.component for r in got] == [0]
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
 # --- decontamination -----------------------------------------------------------------------------------------
 
 
