@@ -343,3 +343,19 @@ def test_build_shuffles_only_keys_to_functions(spark, monkeypatch):
     assert statements.count("Exchange") - statements.count("BroadcastExchange") == 1
     below = statements.split("Exchange hashpartitioning(pk")[1]
     assert "fpkg" not in below.split("BroadcastExchange")[0] and "buyers" not in below
+
+
+def test_build_leaves_only_the_graph(spark, monkeypatch):
+    """What the build keeps on its way is removed; the stored graph, and folders of other work, stay."""
+    from pathlib import Path
+
+    from meshquery.plans import carrier
+    from meshquery.session import shared_folder
+
+    monkeypatch.setattr(carrier, "_stored", {})
+    folders = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("kept-*")}
+    other = kept(spark.range(3).toDF("id"))
+    before = folders()
+    g = carrier.stored(spark, "/root/testdata/sf0.001")
+    assert before and folders() == before and other.count() == 3
+    assert all(getattr(g, t).count() for t in ("nodes", "edges", "sources", "metrics", "history", "node_properties"))
