@@ -42,6 +42,14 @@ def test_cycle_comes_again_at_each_level(spark):
     assert pairs(named.call_chain(g, "a"), "id", "depth") == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
+def test_a_small_slice_shuffles_no_nodes(spark):
+    g = graph(spark, [(x, "local", x) for x in "abcd"], [(a, b, "dfg") for a, b in ("ab", "ab", "bc", "ca", "cd")])
+    d = named.forward_slice(g, "b")
+    assert [r.id for r in d.collect()] == ["a", "b", "c", "d"]
+    plan = d._jdf.queryExecution().sparkPlan().toString()  # as planned, before anything of it has run
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_ids_inside_ids_do_not_block_paths(spark):
     g = functions(spark, [("f1", "f10"), ("f10", "f100"), ("f100", "f1")], ["f1", "f10", "f100"])
     assert pairs(traverse.simple_paths(g.step("call"), named.seed(g, "f1"), 5), "id", "depth") == [("f1", 0), ("f10", 1), ("f100", 2)]
