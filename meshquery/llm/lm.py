@@ -8,11 +8,12 @@ among its bin's words, after the same two tokens; for another word (c + 1) / (N_
 shape's training words are N_k tokens of V_k kinds, so words never met have a share too.  All sums are 1.
 
 Every vocabulary word and shape has an embedding as context.  The model predicts an embedding by a linear map of each
-of the two contexts; its product with the embedding of a class, or of a word, plus a bias is that one's score.  Training
-begins in one task, on ``SAMPLE`` documents, and goes on over all training texts where they are: every task draws from
-each part of its texts in proportion to the part's tokens, tells the tokens from noise, and sends on its model; the mean
-of all, weighed by tokens, is the model.  So counts and steps grow with the input, and the model's size is bounded by
-``MOST_WORDS`` (0.8 MB).  Batched products then give normalised log-probabilities.
+of the two contexts; its product with the embedding of a class, or of a word, plus a bias is that one's score.  Every
+token of every training text is learned from, where the texts are: documents are dealt to ``ROUNDS`` by a hash of their
+ids, and in each round every task goes through all tokens of its texts of the round once, in mixed order, tells them
+from noise, and sends on its model; the mean of all, weighed by tokens, is what the next round begins with.  Tasks of
+few tokens draw theirs again (``STEPS``).  So counts and steps grow with the input, and the model's size is
+bounded by ``MOST_WORDS`` (1.6 MB with what sets the pace).  Batched products then give normalised log-probabilities.
 
 Word counts stay distributed.  The ``hot`` most frequent words' counts go to every task (12 bytes each); other words of
 a text are joined with their counts by hash.  Words are told apart by 64-bit hashes.
@@ -42,15 +43,14 @@ LEAST_COUNT = 5
 HOT = 100_000
 WIDTH = 24
 NOISE = 32  # noise classes a step
-NOISE_WORDS = 8  # noise words a token
+NOISE_WORDS = 16  # noise words of a bin a step
 COUNT_BLOCK = 1 << 21  # counts a task holds before it passes their sums on
-BATCH = 1024
-SAMPLE = 4000  # documents, first by a hash of their ids, that one task begins with
-LEAST_STEPS = 1500  # over them: few tokens are drawn more often
-DRAWN = 16  # of so many tokens one is drawn by the tasks that go on
+BATCH = 2048
+ROUNDS = 1, 2, 5  # of eight parts of the documents those that each round learns from; the first end while models are alike
+STEPS = 100, 500  # least steps of a task in a round: few tokens are drawn more often
+FEW_TOKENS = 4_000_000  # up to so many tokens in all the larger of these counts, beyond fewer in proportion
 PARTS = 64  # a model travels in so many rows
 AT_ONCE = 1 << 16
-SETTLED = 100.0  # a model that is gone on with moves in smaller steps
 
 
 def held_out(doc_id: int | None, of: int, which: int) -> bool:
@@ -176,7 +176,7 @@ def _add_rows(into: np.ndarray, past: np.ndarray, at: np.ndarray, grads: np.ndar
     """One AdaGrad step for the rows at some places; a place may come several times."""
     if not len(at):
         return
-    o = np.argsort(at, kind="stable")
+    o = np.argsort(at.astype(np.min_scalar_type(len(into))), kind="stable")  # numbers of 16 bits are sorted by radix
     begin = np.flatnonzero(np.r_[True, at[o][1:] != at[o][:-1]])
     g, rows = np.add.reduceat(grads[o], begin), at[o][begin]
     past[rows] += g * g
@@ -188,8 +188,7 @@ class LogBilinear:
 
     NAMES = ("context", "near", "far", "target", "bias", "word", "word_bias")
 
-    def __init__(self, lexicon: Lexicon, width: int = WIDTH, seed: int = 11, settled: float = 1.0):
-        """``settled``: how little a first step moves."""
+    def __init__(self, lexicon: Lexicon, width: int = WIDTH, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.lexicon = lexicon
         random = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -197,50 +196,71 @@ class LogBilinear:
         self.far, self.near = (np.eye(width, dtype=np.float32) * s for s in (0.3, 0.7))
         self.bias = np.log(lexicon.unigram).astype(np.float32)
         self.word_bias = np.zeros(lexicon.words, np.float32)
-        self.past = {k: np.full_like(getattr(self, k), settled) for k in self.NAMES}
+        self.past = {k: np.ones_like(getattr(self, k)) for k in self.NAMES}
         self.steps = 0
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+        """All values, their past and the number of steps: what another task needs to go on."""
+        return np.concatenate([*(getattr(self, k).ravel() for k in self.NAMES), *(self.past[k].ravel() for k in self.NAMES), [np.float32(self.steps)]])
 
     def set(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for k in self.NAMES:
-            was = getattr(self, k)
-            setattr(self, k, flat[at : at + was.size].reshape(was.shape).astype(np.float32))
-            at += was.size
+        for into in (self.__dict__, self.past):
+            for k in self.NAMES:
+                was = into[k]
+                into[k] = flat[at : at + was.size].reshape(was.shape).astype(np.float32)
+                at += was.size
+        self.steps = int(flat[at])
         return self
 
     def step(self, two: np.ndarray, one: np.ndarray, cls: np.ndarray, word: np.ndarray, rng: np.random.Generator, rate: float = 0.15) -> None:
-        """Noise-contrastive estimation on some tokens: classes against noise classes, words against others of their bin."""
-        lex, rows = self.lexicon, np.arange(len(cls))
-        pace = rate / np.sqrt(1 + self.steps / 400)
+        """Noise-contrastive estimation on some tokens: classes against noise classes, words against others of their bin.
+
+        The noise is drawn anew at every step, for all of the step's tokens, and for all of a bin.
+        """
+        lex = self.lexicon
+        pace = rate / (1 + self.steps / 400) ** 0.5  # a plain number, so that values stay of 32 bits
         self.steps += 1
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        two, one, cls, word = two[order], one[order], cls[order], word[order]
         q = self.context[two] @ self.far + self.context[one] @ self.near
+        edge = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        met = cls[edge]
         drawn = np.searchsorted(np.cumsum(lex.unigram), rng.random(NOISE)).clip(max=lex.classes - 1)
         log_noise = np.log(NOISE * lex.unigram).astype(np.float32)
         # the share of belief that a data class is noise, and a noise class data
         d_data = 1 / (1 + np.exp((q * self.target[cls]).sum(axis=1) + self.bias[cls] - log_noise[cls]))
         d_noise = -1 / (1 + np.exp(-(q @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn])))
         g_q = d_data[:, None] * self.target[cls] + d_noise @ self.target[drawn]
-        pick = np.zeros((len(cls), lex.classes), np.float32)
-        pick[rows, cls] = d_data
-        np.add.at(pick.T, drawn, d_noise.T)
-        grads = {"target": pick.T @ q, "bias": pick.sum(axis=0)}
-        own = np.flatnonzero(word >= 0)
-        if len(own):
-            w, bin_ = word[own], cls[own] - 1 - SHAPES
-            start, size = lex.start[bin_], lex.start[bin_ + 1] - lex.start[bin_]
-            other = start[:, None] + (rng.random((len(own), NOISE_WORDS)) * size[:, None]).astype(np.int64)
+        grads = {"target": np.zeros_like(self.target), "bias": np.zeros_like(self.bias)}
+        grads["target"][met] = np.add.reduceat(d_data[:, None] * q, edge)
+        grads["bias"][met] = np.add.reduceat(d_data, edge)
+        np.add.at(grads["target"], drawn, d_noise.T @ q)
+        np.add.at(grads["bias"], drawn, d_noise.sum(axis=0))
+        at = np.searchsorted(cls, 1 + SHAPES)  # words of the vocabulary stand last, by bin
+        if at < len(cls):
+            bins, first = met[met > SHAPES] - 1 - SHAPES, edge[met > SHAPES]
+            runs = list(zip(first.tolist(), [*first[1:].tolist(), len(cls)]))
+            size = lex.start[bins + 1] - lex.start[bins]
+            other = lex.start[bins][:, None] + (rng.random((len(bins), NOISE_WORDS)) * size[:, None]).astype(np.int64)
+            noise = self.word[other]
             log_noise = np.log(NOISE_WORDS / size).astype(np.float32)
-            mine = q[own]
-            d = 1 / (1 + np.exp((mine * self.word[w]).sum(axis=1) + self.word_bias[w] - log_noise))
-            e = -1 / (1 + np.exp(-(np.einsum("nd,nkd->nk", mine, self.word[other]) + self.word_bias[other] - log_noise[:, None])))
-            g_q[own] += d[:, None] * self.word[w] + np.einsum("nk,nkd->nd", e, self.word[other])
-            at, weight = np.concatenate([w, other.ravel()]), np.concatenate([d, e.ravel()])
-            from_ = np.concatenate([mine, np.repeat(mine, NOISE_WORDS, axis=0)])
-            _add_rows(self.word_bias, self.past["word_bias"], at, weight, pace)
-            _add_rows(self.word, self.past["word"], at, weight[:, None] * from_, pace)
+            each = np.repeat(np.arange(len(bins)), np.diff(np.r_[first, len(cls)]))
+            w, mine, own = word[at:], q[at:], self.word[word[at:]]
+            d = 1 / (1 + np.exp((mine * own).sum(axis=1) + self.word_bias[w] - log_noise[each]))
+            n = np.empty((len(w), NOISE_WORDS), np.float32)
+            for (s, e), x in zip(runs, noise):
+                np.matmul(q[s:e], x.T, out=n[s - at : e - at])
+            n += (self.word_bias[other] - log_noise[:, None])[each]
+            n = -1 / (1 + np.exp(-n))
+            g_q[at:] += d[:, None] * own
+            moves = np.empty((len(bins), NOISE_WORDS, q.shape[1]), np.float32)
+            for (s, e), x, into in zip(runs, noise, moves):
+                g_q[s:e] += n[s - at : e - at] @ x
+                np.matmul(n[s - at : e - at].T, q[s:e], out=into)
+            places = np.concatenate([w, other.ravel()])
+            _add_rows(self.word_bias, self.past["word_bias"], places, np.concatenate([d, np.add.reduceat(n, first - at).ravel()]), pace)
+            _add_rows(self.word, self.past["word"], places, np.concatenate([d[:, None] * mine, moves.reshape(-1, q.shape[1])]), pace)
         back = np.concatenate([g_q @ self.far.T, g_q @ self.near.T])
         grads["far"], grads["near"] = self.context[two].T @ g_q, self.context[one].T @ g_q
         _add_rows(self.context, self.past["context"], np.concatenate([two, one]), back, pace)
@@ -282,12 +302,15 @@ class LogBilinear:
         return out
 
 
-def _train(lexicon: Lexicon, of: int, which: int, begun: np.ndarray | None = None, drawn: int = DRAWN, least: int = 0):
-    """A model of a task's training tokens, in ``PARTS`` rows, and the number of tokens it is worth."""
+def _train(lexicon: Lexicon, of: int, which: int, begun: np.ndarray | None = None):
+    """A model of all training tokens of a task, in ``PARTS`` rows, and the number of these tokens."""
 
     def run(batches):
-        model = LogBilinear(lexicon) if begun is None else LogBilinear(lexicon, settled=SETTLED).set(begun)
-        rng, worth, last = np.random.default_rng(12), 0, []
+        model = LogBilinear(lexicon)
+        if begun is not None:
+            model.set(begun)
+        least = max(STEPS[0], min(STEPS[1], STEPS[1] * FEW_TOKENS // max(lexicon.tokens, 1)))
+        rng, worth, last, goal = np.random.default_rng(12), 0, [], model.steps + least
         for batch in batches:
             raw, offsets = column_bytes(batch.column("text"))
             learn = ~np.array([held_out(d, of, which) for d in batch.column("doc_id").to_pylist()], bool)
@@ -300,12 +323,11 @@ def _train(lexicon: Lexicon, of: int, which: int, begun: np.ndarray | None = Non
                 some = [x[known] for x in (*lexicon.contexts(t, word), cls, word)]
                 worth += len(known)
                 last = (last + [some])[-4:]
-                for _ in range(-(-len(known) // (drawn * BATCH))):
-                    i = rng.integers(0, len(known), min(BATCH, len(known)))
+                for i in np.array_split(rng.permutation(len(known)), -(-len(known) // BATCH)):
                     model.step(*(x[i] for x in some), rng)
         if not worth:
             return
-        while model.steps < least:
+        while model.steps < goal:
             some = last[int(rng.integers(len(last)))]
             i = rng.integers(0, len(some[0]), min(BATCH, len(some[0])))
             model.step(*(x[i] for x in some), rng)
@@ -370,17 +392,17 @@ def _flat(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.array(rows[k], np.float32) for k in range(PARTS)]) if rows else None
 
 
-def train(texts: DataFrame, lexicon: Lexicon, of: int, which: int, sample: int = SAMPLE) -> LogBilinear:
-    """A model begun on ``sample`` documents, then the mean of what all tasks make of it; untrained without any text."""
-    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of != which, F.lit(True))
-    ids = texts.where(learn).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = texts.where(learn).join(F.broadcast(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # ids may repeat
-    schema = "part int, worth long, values array<float>"
-    begun = _flat(some.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_train(lexicon, of, which, None, 1, LEAST_STEPS), schema))
-    if begun is None:
-        return LogBilinear(lexicon)
-    parts = texts.mapInArrow(_train(lexicon, of, which, begun), schema)
-    return LogBilinear(lexicon).set(_flat(parts.repartition(PARTS, "part").mapInArrow(_mean, "part int, values array<float>")))
+def train(texts: DataFrame, lexicon: Lexicon, of: int, which: int) -> LogBilinear:
+    """Round after round, the mean of what all tasks make of the model before; untrained without any text."""
+    model, begun, first = LogBilinear(lexicon), None, 0
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(sum(ROUNDS)))
+    for size in ROUNDS:
+        some = texts.where((turn >= first) & (turn < first + size))
+        first += size
+        parts = some.mapInArrow(_train(lexicon, of, which, begun), "part int, worth long, values array<float>")
+        now = _flat(parts.repartition(PARTS, "part").mapInArrow(_mean, "part int, values array<float>"))
+        begun = begun if now is None else now  # no text may be of a round
+    return model if begun is None else model.set(begun)
 
 
 def score(docs: DataFrame, of: int = 7, which: int = 2, hot: int = HOT) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meshquery.llm import common, decontam, jaccard, langid, lm, spandedup
@@ -364,6 +365,19 @@ def test_model_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_every_training_token_is_learned_from(monkeypatch):
+    lex = lm.Lexicon([(5, 0, 9)], {-1: (30, 1), 0: (9, 1)})
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(997))) for i in range(60)]
+    learned = [i for i, _ in rows if not lm.held_out(i, 7, 2)]
+    seen = []
+    monkeypatch.setattr(lm, "STEPS", (0, 0), raising=False)
+    monkeypatch.setattr(lm.LogBilinear, "step", lambda self, two, one, cls, word, rng: seen.append(len(cls)))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    (out,) = lm._train(lex, 7, 2)([batch])
+    assert sum(seen) == 998 * len(learned) == out.column("worth")[0].as_py()
+
+
+
 def test_words_are_told_apart_by_their_contexts(spark):
     rng = random.Random(18)
     pairs = [("red", "apple"), ("big", "house"), ("old", "table"), ("new", "music")]  # words of one shape and count
