@@ -10,7 +10,8 @@ from .named import BACKWARD, BUSY
 from .tables import DETAIL, SYMBOLS, TREEMAP
 from .views import DEPS
 
-_NODES = "hit AS (SELECT id, kind, name, file, line, end_line, package, parent_function, type_info FROM nodes WHERE id IN (SELECT id FROM r) ORDER BY file NULLS FIRST, line NULLS FIRST, id LIMIT 200)"
+_SLICE = "hit AS (SELECT id, kind, name, file, line, end_line, package, parent_function, type_info FROM nodes WHERE id IN (SELECT id FROM r))"
+_NODES = f"{_SLICE[:-1]} ORDER BY file NULLS FIRST, line NULLS FIRST, id LIMIT 200)"
 _NEAR = f"""near AS (SELECT * FROM (SELECT n.id, 'function' AS kind, n.name, n.package, n.file, n.line, 'caller' AS direction FROM e_call c JOIN functions n ON n.id = c.source WHERE c.target = {BUSY}
   UNION ALL SELECT n.id, 'function', n.name, n.package, n.file, n.line, 'callee' FROM e_call c JOIN functions n ON n.id = c.target WHERE c.source = {BUSY}) ORDER BY direction, name, id LIMIT 200),
 around AS (SELECT id, kind, name, package, file, line, NULL::VARCHAR AS direction FROM functions WHERE id = {BUSY} UNION ALL SELECT * FROM near)"""
@@ -126,7 +127,7 @@ ORACLE = {
     "A5_source": sql("SELECT file, content, package FROM sources WHERE file = (SELECT min(file) FROM sources)"),
     "A6_slice_nodes": sql("SELECT * FROM hit", BACKWARD, _NODES),
     "A6_slice_edges": sql("SELECT source, target, kind FROM (SELECT *, 'dfg' AS kind FROM e_dfg UNION ALL SELECT *, 'param_in' FROM e_param_in UNION ALL SELECT *, 'param_out' FROM e_param_out) WHERE source IN (SELECT id FROM hit) AND target IN (SELECT id FROM hit) ORDER BY 1, 2, 3 LIMIT 1000", BACKWARD, _NODES),
-    "A8_slice_lines": sql("SELECT file, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT file, line FROM hit WHERE file IS NOT NULL AND line IS NOT NULL) GROUP BY file", BACKWARD, _NODES),
+    "A8_slice_lines": sql("SELECT file, string_agg(line, ',' ORDER BY line) AS lines FROM (SELECT DISTINCT file, line FROM hit WHERE file IS NOT NULL AND line IS NOT NULL) GROUP BY file", BACKWARD, _SLICE),
     "R20_row_number": sql("SELECT id, row_number() OVER (ORDER BY loc DESC, id) AS rank FROM measured QUALIFY rank <= 50"),
     "T08_schema": sql(f"SELECT * FROM (VALUES {values(_DOCS)}) t(category, name, description) UNION ALL SELECT 'node_kind', kind, count(*) || ' rows' FROM nodes GROUP BY kind UNION ALL SELECT 'edge_kind', kind, count(*) || ' rows' FROM edges GROUP BY kind"),
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from meshquery import api
+from meshquery import api, registry_more
 from meshquery.operators import findings
 from meshquery.schema import NODES
 from meshquery.sources import ingest, search
@@ -77,6 +77,14 @@ def test_lookups(served):
     assert pairs(api.slice_lines(api.slice_(served, "H")), "file") == [("main.go",)]
 
 
+def test_slice_lines_are_those_of_the_whole_slice(spark):
+    n = api.MOST_NODES + 50
+    nodes = [("H", "parameter", "H", {"file": "main.go", "line": n})] + [(f"n{k}", "local", "x", {"file": "main.go", "line": k}) for k in range(1, n)]
+    g = graph(spark, nodes, [(f"n{k}", "H", "param_in") for k in range(1, n)])
+    assert registry_more.GRAPH["A8_slice_lines"](g).first().lines == ",".join(map(str, range(1, n + 1)))
+    assert api.slice_(g, "H").nodes.count() == api.MOST_NODES and api.whole_slice(g, "H").edges.count() == n - 1
+
+
 def test_streams(spark, tmp_path):
     g = functions(spark, ["aa"])
     spark.createDataFrame([("n1", "function", "bad") + (None,) * 8], NODES).write.parquet(str(tmp_path / "in/one"))
