@@ -1,7 +1,10 @@
 """Hand-made graphs with answers known by construction."""
 
+import random
+
 import pytest
 
+from meshquery import session
 from meshquery.graph import Graph
 from meshquery.operators import callgraph, extract, findings, named, protocols, traverse, views
 from meshquery.plans.carrier import build
@@ -252,6 +255,27 @@ def edge_list(spark, *edges):
     return spark.createDataFrame([tuple(e) for e in edges], "source string, target string")
 
 
+def test_long_flows_take_few_rounds(spark, monkeypatch):
+    n, stored = 120, []
+    for module in (callgraph, traverse):
+        for name in ("kept", "checkpointed"):
+            monkeypatch.setattr(module, name, lambda df, f=getattr(session, name): stored.append(1) or f(df), raising=False)
+    flows = spark.createDataFrame([(f"a{k:03}", f"a{k + 1:03}") for k in range(n)] + [(f"a{n}", f"a{n - 2}")], "source string, target string")
+    types = callgraph.Types(flows, spark.createDataFrame([("a000", "T"), ("a060", "U")], "value string, type string"))
+    assert pairs(types.component, "id", "component") == [(f"a{k}", f"a{n - 2}") for k in range(n - 2, n + 1)]
+    ends = spark.createDataFrame([("a001",), ("a120",), ("b",)], "value string")
+    assert pairs(types.at(ends), "value", "type") == [("a001", "T"), ("a120", "T"), ("a120", "U")]
+    assert pairs(types.reached(ends), "type", "reached") == [("T", 2), ("U", 1)]
+    assert len(stored) < n / 2
+
+
+def test_large_pieces_have_the_same_components(spark):
+    rnd = random.Random(5)
+    e = spark.createDataFrame([(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(70)], "source string, target string")
+    small, large = (pairs(callgraph.strong_components(e, most), "id", "component") for most in (1000, 1))
+    assert small == large and len({c for _, c in small}) > 0
+
+
 def test_strong_components(spark):
     e = edge_list(spark, "ab", "bc", "ca", "cd", "de", "ed", "ef", "fg", "hh", "xa", *[("hub", f"n{i}") for i in range(30)], *[(f"n{i}", "hub") for i in range(0, 30, 2)])
     e = e.union(edge_list(spark, "ab", (None, "a"), ("a", None)))
