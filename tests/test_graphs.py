@@ -6,7 +6,7 @@ import pytest
 
 from meshquery import session
 from meshquery.graph import Graph
-from meshquery.operators import callgraph, extract, findings, named, protocols, traverse, views
+from meshquery.operators import callgraph, extract, findings, named, navigation, protocols, traverse, views
 from meshquery.plans.carrier import build
 from meshquery.schema import EDGES, NODES, violations
 from meshquery.session import kept
@@ -255,6 +255,20 @@ def edge_list(spark, *edges):
     return spark.createDataFrame([tuple(e) for e in edges], "source string, target string")
 
 
+def test_interfaces_of_a_name_leave_the_rest_alone(spark, monkeypatch):
+    nodes = [(f"{k}{n}", "type_decl", f"{k}{n}") for k in "ti" for n in range(3)] + [(f"f{n}", "function", f"f{n}") for n in range(4)]
+    edges = [(f"t{n}", f"i{m}", "implements") for n in range(3) for m in range(3) if n != m] + [("t0", "i1", "implements")]
+    edges += [("t0", "f0", "has_method"), ("t0", "f0", "has_method"), ("t1", "f1", "has_method"), ("i1", "f2", "has_method"), ("i1", "f3", "has_method"), ("i2", "f3", "has_method")]
+    g = graph(spark, nodes, edges + [("f0", "f2", "satisfies_method"), ("f0", "f3", "satisfies_method"), ("f0", "f3", "satisfies_method"), ("f1", "f3", "satisfies_method")])
+    stored = []
+    monkeypatch.setattr(navigation, "kept", lambda df: stored.append(kept(df)) or stored[-1], raising=False)
+    before = spark.conf.get(navigation.PART_OF_KEYS, None)
+    got = pairs(navigation.type_impl_map(g), "interface_id", "concrete_id", "method_count")
+    assert got == [("i0", "t1", 0), ("i0", "t2", 0), ("i1", "t0", 3), ("i1", "t0", 3), ("i1", "t2", 0), ("i2", "t0", 2), ("i2", "t1", 1)]
+    assert pairs(named.interface_map(g, "i2"), "concrete_name", "method_count") == [("t0", 2), ("t1", 1)]
+    assert [d.count() for d in stored[1::2]] == [3, 2] and spark.conf.get(navigation.PART_OF_KEYS, None) == before
+
+
 def test_long_flows_take_few_rounds(spark, monkeypatch):
     n, stored = 120, []
     for module in (callgraph, traverse):
