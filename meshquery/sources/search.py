@@ -97,7 +97,7 @@ class Index:
         if g.path is None:
             return cls(postings(g.sources), listed_files(g.sources))
         path = f"{g.path}/derived-search"
-        if not exists(g.spark, f"{path}/files/_SUCCESS"):
+        if not exists(g.spark, f"{path}/files/batch=0"):  # written last; partitions that are replaced one by one leave no _SUCCESS
             write_batch(g.sources, path)
         return cls.load(g.spark, path)
 

@@ -51,6 +51,24 @@ def test_search(spark):
     assert search.match(i, "cafe missing").count() == 0 and search.match(i, "..").count() == 0
 
 
+def test_a_stored_graph_is_indexed_once(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(search, "write_batch", lambda *a, f=search.write_batch: written.append(a) or f(*a))
+    src = spark.createDataFrame([("a.go", "func", "p")], "file string, content string, package string")
+    g = graph(spark, [("x", "local", "x")], [], sources=src).save(str(tmp_path / "g"))
+    assert all(pairs(search.Index.of(g).every("func"), "file") == [("a.go",)] for _ in range(2)) and len(written) == 1
+
+
+def test_searches_build_no_graph(spark, monkeypatch):
+    def built(*_):
+        raise AssertionError("a graph was built")
+
+    monkeypatch.setattr(registry_more, "stored", built)
+    found = registry_more.queries()
+    hits = {k: found[k](spark, "/root/testdata/sf0.001").count() for k in found if k.startswith("S13_")}
+    assert len(hits) == 5 and hits["S13_ranked"] == 50
+
+
 @pytest.fixture
 def served(spark):
     metrics = spark.createDataFrame([("H", 5, 1, 0, 10, 1), ("R", 2, 0, 1, 4, 0)], "function_id string, cyclomatic_complexity long, fan_in long, fan_out long, loc long, num_params long")
